@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from provena.llm import decontam
+from provena.llm import bpe, decontam
 from provena.llm.common import table
 
 
+def vocabulary() -> tuple[str, str]:
+    """File of ranks and pattern of the vocabulary in use; the place of the files is public_tokenizers'."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op1_byte_bpe(spark, sf_dir):
+    return bpe.round_trip(table(spark, sf_dir, "documents"), *vocabulary())
+
+
 def op9_decontamination(spark, sf_dir):
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -33,7 +44,7 @@ FROM d LEFT JOIN per_word USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def queries():
-    return {"op9_decontamination": op9_decontamination}
+    return {f.__name__: f for f in (op1_byte_bpe, op9_decontamination)}
 
 
 def oracle_sql():
