@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from provena.llm import bpe, decontam
+from provena.llm import bpe, decontam, langid
 from provena.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op1_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), *vocabulary())
 
 
+def op10_language_id(spark, sf_dir):
+    return langid.report(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark, sf_dir):
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -44,7 +48,7 @@ FROM d LEFT JOIN per_word USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def queries():
-    return {f.__name__: f for f in (op1_byte_bpe, op9_decontamination)}
+    return {f.__name__: f for f in (op1_byte_bpe, op9_decontamination, op10_language_id)}
 
 
 def oracle_sql():
