@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from provena.llm.common import text_slices
 
@@ -147,10 +148,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
                 cols += [pa.array([s[k] for s in spans], pa.list_(pa.int32())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(cols, [*kept, *added])
 
-    schema = docs.select(kept).schema.add(ids_col, "binary")
-    if offsets:
-        schema = schema.add("char_starts", "array<int>").add("char_ends", "array<int>")
-    return frame.mapInArrow(run, schema)
+    kinds = [T.BinaryType(), *[T.ArrayType(T.IntegerType())] * 2]
+    return frame.mapInArrow(run, T.StructType([*docs.select(kept).schema, *(T.StructField(c, k) for c, k in zip(added, kinds, strict=False))]))
 
 
 def decode(docs: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "bytes") -> DataFrame:
@@ -164,14 +163,13 @@ def decode(docs: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids",
             for at in range(0, batch.num_rows, 500):
                 rows = batch.slice(at, 500)
                 ids = [x or b"" for x in rows.column(ids_col).to_pylist()]
-                flat = own.decode(np.frombuffer(b"".join(ids), "<u4").astype(np.int64))
-                n = np.add.reduceat(np.concatenate([own.lengths[np.frombuffer(b"".join(ids), "<u4")], [0]]), np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])[:-1]]).astype(np.int64)) if ids else np.zeros(0, np.int64)
-                n = np.where([bool(x) for x in ids], n, 0)
-                ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
-                raw = flat.tobytes()
+                flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
+                raw = own.decode(flat).tobytes()
+                bytes_before = np.concatenate([[0], np.cumsum(own.lengths[flat])])
+                ends = bytes_before[np.cumsum([0, *(len(x) // 4 for x in ids)])]
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), pa.array([raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], [*kept, bytes_col])
 
-    return docs.select(kept).mapInArrow(run, docs.select(kept).schema.add(bytes_col, "binary"))
+    return docs.select(*kept).mapInArrow(run, T.StructType([*docs.select(kept).schema, T.StructField(bytes_col, T.BinaryType())]))
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

@@ -149,3 +149,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         raise RuntimeError(f"components: not settled after {most_rounds} rounds")
     stars = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+
+
+def kept_table(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared checkpoint folder: for results with many narrow rows, which checkpoint() would store wide."""
+    import uuid
+
+    spark = df.sparkSession
+    ready_checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from provena.llm.common import text_slices
 
@@ -193,7 +194,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             lang, score = own.predict(rows)
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
 
-    schema = docs.sparkSession.createDataFrame([], frame.schema).schema.add("lang_pred", "string").add("score", "double")
+    schema = T.StructType([*frame.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return frame.mapInArrow(run, schema)
 
 
