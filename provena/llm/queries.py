@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from provena.llm import bpe, decontam, embed_dedup, jaccard_join, langid, suffix_dedup
+from provena.llm import bpe, decontam, embed_dedup, jaccard_join, langid, pii, suffix_dedup
 from provena.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op10_language_id(spark, sf_dir):
     return langid.report(table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark, sf_dir):
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_jaccard_join(spark, sf_dir):
     return jaccard_join.groups(table(spark, sf_dir, "documents"))
 
@@ -60,7 +64,7 @@ FROM d LEFT JOIN per_word USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def queries():
-    return {f.__name__: f for f in (op1_byte_bpe, op3_ngram_jaccard_join, op4_suffix_array_dedup, op8_embedding_near_dedup, op9_decontamination, op10_language_id)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_pii, op3_ngram_jaccard_join, op4_suffix_array_dedup, op8_embedding_near_dedup, op9_decontamination, op10_language_id)}
 
 
 OP8_SQL = """
