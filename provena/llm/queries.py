@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from provena.llm import bpe, decontam, embed_dedup, html_extract, jaccard_join, langid, pii, suffix_dedup
+from provena.llm import bpe, decontam, embed_dedup, html_extract, jaccard_join, langid, lm_score, pii, suffix_dedup, token_output
 from provena.llm.common import table
 
 
@@ -33,6 +33,14 @@ def op4_suffix_array_dedup(spark, sf_dir):
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op5_token_output(spark, sf_dir):
+    return token_output.report(table(spark, sf_dir, "documents"), *vocabulary())
+
+
+def op6_lm_scoring(spark, sf_dir):
+    return lm_score.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_html_extraction(spark, sf_dir):
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -68,7 +76,7 @@ FROM d LEFT JOIN per_word USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def queries():
-    return {f.__name__: f for f in (op1_byte_bpe, op2_pii, op3_ngram_jaccard_join, op4_suffix_array_dedup, op7_html_extraction, op8_embedding_near_dedup, op9_decontamination, op10_language_id)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_pii, op3_ngram_jaccard_join, op4_suffix_array_dedup, op5_token_output, op6_lm_scoring, op7_html_extraction, op8_embedding_near_dedup, op9_decontamination, op10_language_id)}
 
 
 OP8_SQL = """
