@@ -1,11 +1,538 @@
-"""Named queries over the driver's tables, each with its SQL."""
+"""Named queries over the driver's tables, each beside its SQL where SQL expresses it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from provena.functions import text as X
+from provena.operators import code, containment, contracts, findings, masking, reconcile, report, spans
+from provena.sources import files
 
-def oracle_sql():
-    return {}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name."""
+
+    def keep(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _long(c: str | Column) -> Column:
+    return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(0)).cast("long")
+
+
+_NORM = "lower(trim(regexp_replace(coalesce({0}, ''), '[\\s\\x0B]+', ' ', 'g')))"
+_LINES = "(SELECT doc_id, CASE WHEN list_extract(l, -1) = '' THEN l[:-2] ELSE l END AS lines FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))"
+_PCT = "CASE WHEN {1} = 0 THEN {2} ELSE round_even(CAST(100.0 AS DOUBLE) * {0} / {1}, 1) END"
+
+
+# Containment and predictions.
+
+_HITS = f"""p AS MATERIALIZED (SELECT item_id, {_NORM.format("text")} AS p FROM benchmark),
+t AS MATERIALIZED (SELECT doc_id, source, {_NORM.format("text")} AS t FROM documents),
+hits AS MATERIALIZED (SELECT item_id, doc_id, source FROM p JOIN t ON p.p <> '' AND contains(t.t, p.p))"""
+
+
+def _hits(spark, sf_dir):
+    return containment.containing(_t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents"), "item_id", "doc_id")
+
+
+@query(f"WITH {_HITS} SELECT item_id, doc_id FROM hits")
+def passage_containment(spark, sf_dir):
+    return _hits(spark, sf_dir)
+
+
+def _found(spark, sf_dir):
+    items = _t(spark, sf_dir, "benchmark").select("item_id")
+    hits = _hits(spark, sf_dir).join(_t(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    return containment.first_found(items, hits, "item_id", "doc_id", F.col("source") == F.concat(F.lit("src"), F.col("item_id") % 20))
+
+
+_FIRST = f"""{_HITS}, f AS (SELECT item_id, coalesce(min(doc_id) FILTER (source = 'src' || (item_id % 20)), min(doc_id)) AS found_in FROM hits GROUP BY item_id),
+found AS (SELECT benchmark.item_id, found_in FROM benchmark LEFT JOIN f USING (item_id))"""
+
+
+@query(f"WITH {_FIRST} SELECT item_id, found_in FROM found")
+def passage_hint_first(spark, sf_dir):
+    return _found(spark, sf_dir)
+
+
+_SHARES = f"""{_FIRST}, r AS (SELECT item_id % 5 AS rule, count(*) AS total, count(found_in) AS confirmed,
+  coalesce(string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) FILTER (found_in IS NULL), '') AS unconfirmed FROM found GROUP BY 1)"""
+
+
+def _shares(spark, sf_dir):
+    return containment.confirmed(_found(spark, sf_dir), F.col("item_id") % 5, F.col("item_id").cast("string"))
+
+
+@query(f"WITH {_SHARES} SELECT rule, total, confirmed, unconfirmed, {_PCT.format('confirmed', 'total', '0.0')} AS share FROM r")
+def inverse_shares(spark, sf_dir):
+    return _shares(spark, sf_dir)
+
+
+@query(f"WITH {_SHARES} SELECT CAST(sum(total) AS BIGINT) AS total, CAST(sum(confirmed) AS BIGINT) AS confirmed, {_PCT.format('sum(confirmed)', 'sum(total)', '0.0')} AS share FROM r")
+def inverse_total(spark, sf_dir):
+    out = _shares(spark, sf_dir).agg(F.sum("total").alias("total"), F.sum("confirmed").alias("confirmed"))
+    return out.withColumn("share", X.percent(F.col("confirmed"), F.col("total"), 0.0))
+
+
+@query(f"WITH {_SHARES} SELECT rule, unconfirmed FROM r WHERE total > 0 AND confirmed < total")
+def partially_confirmed(spark, sf_dir):
+    return _shares(spark, sf_dir).where("total > 0 and confirmed < total").select("rule", "unconfirmed")
+
+
+@query(
+    """WITH q AS (SELECT page_id, lower(url) AS url, regexp_replace(regexp_replace(lower(url), '[0-9]+', '<n>', 'g'), '([^A-Za-z0-9_<>])', '\\\\\\1', 'g') AS needle FROM pages)
+SELECT a.page_id, regexp_matches(a.url, replace(a.needle, '<n>', '[0-9][0-9_]*(?:[.][0-9]+)?')) AS own,
+  coalesce(regexp_matches(b.url, replace(a.needle, '<n>', '[0-9][0-9_]*(?:[.][0-9]+)?')), false) AS next_one
+FROM q a LEFT JOIN q b ON b.page_id = a.page_id + 1"""
+)
+def placeholder_match(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages").select("page_id", X.normalise(F.col("url")).alias("url"), X.needle_pattern(F.regexp_replace("url", "[0-9]+", "<N>")).alias("needle"))
+    after = p.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("after"))
+    return p.join(after, "page_id", "left").select("page_id", F.regexp_like("url", "needle").alias("own"), F.coalesce(F.regexp_like("after", F.col("needle")), F.lit(False)).alias("next_one"))
+
+
+# Lines and quotes.
+
+
+def _line_docs(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", "source", X.lines(F.col("text")).alias("lines"))
+
+
+@query(
+    f"""WITH l AS {_LINES}, kk AS (SELECT doc_id, lines, 1 + doc_id % len(lines) AS k, 1 + doc_id % len(lines) + doc_id % 9 - 4 AS said FROM l WHERE len(lines) > 0),
+q AS (SELECT *, trim(regexp_replace(trim(trim(lines[k]), '"'), '\\s+', ' ', 'g')) AS quote, greatest(said - 3, 1) AS lo, said + 1 + 3 AS hi FROM kk)
+SELECT doc_id, CAST(said AS BIGINT) AS said, quote = '' OR contains(trim(regexp_replace(array_to_string(lines[lo:CASE WHEN trim(lines[k]) = '' THEN hi - 1 ELSE hi END], ' '), '\\s+', ' ', 'g')), quote) AS found FROM q"""
+)
+def line_window_quote(spark, sf_dir):
+    d = _line_docs(spark, sf_dir).where(F.size("lines") > 0)
+    at = (F.col("doc_id") % F.size("lines") + 1).cast("int")
+    said = (at + F.col("doc_id") % 9 - 4).cast("int")
+    return d.select("doc_id", said.cast("long").alias("said"), spans.quote_found(F.col("lines"), F.element_at("lines", at), said, said).alias("found"))
+
+
+@query(f"WITH l AS {_LINES} SELECT doc_id, CAST(1 + doc_id % len(lines) AS BIGINT) AS n, array_to_string(lines[greatest(1 + doc_id % len(lines) - 3, 1):1 + doc_id % len(lines) + 3], chr(10)) AS around FROM l WHERE len(lines) > 0")
+def line_context(spark, sf_dir):
+    d = _line_docs(spark, sf_dir).where(F.size("lines") > 0)
+    n = (F.col("doc_id") % F.size("lines") + 1).cast("int")
+    return d.select("doc_id", n.cast("long").alias("n"), spans.context(F.col("lines"), n).alias("around"))
+
+
+@query(
+    f"""WITH l AS {_LINES}, x AS (SELECT doc_id, unnest(range(1, len(lines) + 1)) AS n, unnest(lines) AS line FROM l),
+y AS MATERIALIZED (SELECT doc_id, n, line, length(line) % 11 AS ind, nullif(regexp_extract(line, '^([A-Z][a-z]+)', 1), '') AS name FROM x),
+t AS MATERIALIZED (SELECT y.doc_id, y.n AS target, ind AS own FROM y JOIN (SELECT doc_id, max(n) AS n FROM y GROUP BY doc_id) USING (doc_id, n)),
+u AS MATERIALIZED (SELECT t.doc_id, target, own, n, ind, name, min(ind) OVER (PARTITION BY t.doc_id, target ORDER BY n DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM t JOIN y ON t.doc_id = y.doc_id AND y.n < target AND trim(line) <> '')
+SELECT t.doc_id, t.target AS n, b.name FROM t LEFT JOIN (SELECT doc_id, arg_max(name, n) AS name FROM u WHERE ind < least(own, coalesce(low, own)) AND name IS NOT NULL GROUP BY doc_id) b USING (doc_id)"""
+)
+def nearest_preceding(spark, sf_dir):
+    d = _line_docs(spark, sf_dir).select("doc_id", F.posexplode("lines").alias("p", "line"))
+    d = d.select("doc_id", (F.col("p") + 1).cast("long").alias("n"), "line", (F.length("line") % 11).alias("indent"))
+    last = d.groupBy("doc_id").agg(F.max("n").alias("n"))
+    return spans.nearest_preceding(last, d, "doc_id", F.nullif(F.regexp_extract("line", "^([A-Z][a-z]+)", 1), F.lit(""))).select("doc_id", "n", "name")
+
+
+# Spans and coverage.
+
+_EVENTS = """views AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) - 600 AS s, CAST(floor(epoch(ts)) AS BIGINT) + 600 AS e FROM events WHERE event_type = 'view'),
+errs AS (SELECT DISTINCT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events WHERE event_type = 'error'),
+marked AS (SELECT user_id, sec, EXISTS (SELECT 1 FROM views v WHERE v.user_id = errs.user_id AND sec BETWEEN s AND e) AS hit FROM errs)"""
+
+
+def _points(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("user_id", "event_type", F.unix_timestamp("ts").alias("at"))
+    views = e.where("event_type = 'view'").select("user_id", (F.col("at") - 600).alias("start"), (F.col("at") + 600).alias("end"))
+    errors = e.where("event_type = 'error'").select("user_id", F.col("at").alias("start"), F.col("at").alias("end")).distinct()
+    return errors, views
+
+
+def _covered(spark, sf_dir):
+    errors, views = _points(spark, sf_dir)
+    return code.coverage(errors.withColumnsRenamed({"user_id": "path", "start": "line"}), views.withColumnRenamed("user_id", "path")).withColumnRenamed("path", "user_id")
+
+
+@query(f"WITH {_EVENTS} SELECT user_id, count(*) AS total, CAST(sum(hit::INT) AS BIGINT) AS covered, {_PCT.format('sum(hit::INT)', 'count(*)', '100.0')} AS share FROM marked GROUP BY user_id")
+def interval_coverage(spark, sf_dir):
+    return _covered(spark, sf_dir)
+
+
+@query(f"WITH {_EVENTS} SELECT user_id, sec FROM marked WHERE NOT hit")
+def interval_uncovered(spark, sf_dir):
+    errors, views = _points(spark, sf_dir)
+    return spans.overlaps(errors, views, "user_id", how="left_anti").select("user_id", F.col("start").alias("sec"))
+
+
+@query(f"WITH {_EVENTS} SELECT count(*) AS total, CAST(coalesce(sum(hit::INT), 0) AS BIGINT) AS covered, {_PCT.format('sum(hit::INT)', 'count(*)', '100.0')} AS share FROM marked")
+def coverage_total(spark, sf_dir):
+    return code.total_coverage(_covered(spark, sf_dir))
+
+
+@query(f"WITH {_EVENTS} SELECT user_id % 10 AS module, count(*) AS total, CAST(sum(hit::INT) AS BIGINT) AS covered FROM marked GROUP BY ROLLUP (user_id % 10)")
+def coverage_rollup(spark, sf_dir):
+    return _covered(spark, sf_dir).rollup((F.col("user_id") % 10).alias("module")).agg(F.sum("total").alias("total"), F.sum("covered").alias("covered"))
+
+
+@query(
+    """SELECT o_orderkey, arg_min(l_linenumber, (2 * CAST(l_quantity AS BIGINT), -l_linenumber)) AS l_linenumber
+FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) BETWEEN date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) - CAST(l_quantity AS BIGINT) AND date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) + CAST(l_quantity AS BIGINT)
+GROUP BY o_orderkey"""
+)
+def innermost_span(spark, sf_dir):
+    day = lambda c: F.unix_date(F.col(c).cast("date")).cast("long")
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", day("o_orderdate").alias("at"), F.col("o_orderkey").alias("k"))
+    s = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), (day("l_shipdate") - F.col("l_quantity").cast("long")).alias("start"), (day("l_shipdate") + F.col("l_quantity").cast("long")).alias("end"), "l_linenumber")
+    return spans.innermost(o, s.withColumn("ord", F.col("l_linenumber")), "k", "at", "o_orderkey", "l_linenumber", "ord").select("o_orderkey", "l_linenumber")
+
+
+# Keys, numbers, blocks.
+
+
+@query("SELECT doc_id, CAST(count(l.doc_id) AS BIGINT) AS times, CASE count(l.doc_id) WHEN 0 THEN 'missing' WHEN 1 THEN 'once' ELSE 'duplicate' END AS state FROM documents LEFT JOIN labels l USING (doc_id) GROUP BY doc_id")
+def exactly_once(spark, sf_dir):
+    return reconcile.exactly_once(_t(spark, sf_dir, "documents").select("doc_id"), _t(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("SELECT o_orderkey, count(l_orderkey) AS times, CASE count(l_orderkey) WHEN 0 THEN 'missing' WHEN 1 THEN 'once' ELSE 'duplicate' END AS state FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+def exactly_once_lines(spark, sf_dir):
+    return reconcile.exactly_once(_t(spark, sf_dir, "orders").select("o_orderkey"), _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey")
+
+
+@query("SELECT o_orderkey AS k, 'left' AS side FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT DISTINCT l_orderkey, 'right' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)")
+def reconcile_both_ways(spark, sf_dir):
+    return reconcile.both_ways(_t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")), _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k")), "k")
+
+
+@query("SELECT count(DISTINCT l_orderkey) AS distinct_keys, count(*) AS total, count(DISTINCT l_orderkey) = count(*) AS same FROM lineitem")
+def distinct_vs_total(spark, sf_dir):
+    n = _t(spark, sf_dir, "lineitem").agg(F.count_distinct("l_orderkey").alias("distinct_keys"), F.count("*").alias("total"))
+    return n.withColumn("same", F.col("distinct_keys") == F.col("total"))
+
+
+@query("SELECT conv_id, count(*) AS times, string_agg(DISTINCT role, ',' ORDER BY role) AS places FROM conversations GROUP BY conv_id HAVING count(*) > 1")
+def duplicate_numbers(spark, sf_dir):
+    return reconcile.collisions(_t(spark, sf_dir, "conversations"), "conv_id", "role")
+
+
+@query(f"WITH d AS (SELECT doc_id, {_NORM.format('text')} AS t FROM documents) SELECT md5(t) AS t, count(*) AS times, min(doc_id) AS first FROM d GROUP BY t HAVING count(*) > 1")
+def duplicate_texts(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.md5(X.normalise(F.col("text"))).alias("t"))
+    return d.groupBy("t").agg(F.count("*").alias("times"), F.min("doc_id").alias("first")).where("times > 1")
+
+
+@query("SELECT c_nationkey, CAST((max(c_custkey) - 1) // 100 * 100 + 101 AS BIGINT) AS block FROM customer GROUP BY c_nationkey")
+def next_block(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").groupBy("c_nationkey").agg(reconcile.next_block(F.col("c_custkey")).alias("block"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN c_custkey * 100 + 1 ELSE 900001 + 100 * (row_number() OVER (PARTITION BY c_custkey % 7 = 0 ORDER BY c_custkey) - 1) END AS block FROM customer")
+def block_assign(spark, sf_dir):
+    m = _t(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 7 == 0, F.col("c_custkey") * 100 + 1).alias("own"))
+    return reconcile.assigned_blocks(m, "c_custkey", "own", 900001).select("c_custkey", "block")
+
+
+@query("SELECT 'CUST-R-' || lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(3, length(CAST(c_custkey AS VARCHAR))) AS INTEGER), '0') AS rule_id, CAST(c_custkey AS INTEGER) AS number, CAST(count(o_custkey) AS BIGINT) AS times FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def story_occurrences(spark, sf_dir):
+    """Table lines made of orders, in each of which rule ids are counted; ids become tokens, so the join is on equality."""
+    rule = lambda c: F.concat(F.lit("CUST-R-"), X.padded(F.col(c), 3))
+    table = _t(spark, sf_dir, "orders").select(F.concat(F.lit("| "), rule("o_custkey"), F.lit(" | "), "o_orderstatus", F.lit(" |")).alias("line"))
+    tokens = table.where(F.startswith(F.ltrim("line"), F.lit("|"))).select(F.explode(F.regexp_extract_all("line", F.lit(r"([\w-]+)"), 1)).alias("rule_id"))
+    ids = _t(spark, sf_dir, "customer").select(rule("c_custkey").alias("rule_id"))
+    return reconcile.exactly_once(ids, tokens, "rule_id").select("rule_id", X.rule_number(F.col("rule_id")).alias("number"), "times")
+
+
+@query("SELECT c_mktsegment, count(*) AS n, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey) AS rows_without FROM customer WHERE c_acctbal < 0 GROUP BY c_mktsegment")
+def blank_rows(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer").where("c_acctbal < 0")
+    return c.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("c_custkey")).cast("array<string>"), ",").alias("rows_without"))
+
+
+# Tiers, filters, plans.
+
+# A plan's prefixes.
+_TIERS = [("/en", "L0"), ("/en/", "L1"), ("/de", "L2"), ("/fr", "L0"), ("/fr/1", "L2"), ("/es/", "L1")]
+_TIER_SQL = ", ".join(f"('{p}', '{t}', {i})" for i, (p, t) in enumerate(_TIERS))
+_PATH = "regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', '')"
+
+
+def _tiered(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/]*", ""), "[?#].*$", "").alias("path"))
+    tiers = spark.createDataFrame([(p, t, i) for i, (p, t) in enumerate(_TIERS)], "prefix string, tier string, ord int")
+    return reconcile.tier_of(p, "path", tiers, "L0")
+
+
+_TIERED = f"""p AS (SELECT page_id, {_PATH} AS path FROM pages), tiers AS (SELECT * FROM (VALUES {_TIER_SQL}) AS v(prefix, tier, ord)),
+best AS (SELECT page_id, path, coalesce(arg_max(tier, (length(rtrim(prefix, '/')), ord)), 'L0') AS tier
+  FROM p LEFT JOIN tiers ON rtrim(path, '/') = rtrim(prefix, '/') OR starts_with(rtrim(path, '/'), rtrim(prefix, '/') || '/') GROUP BY page_id, path)"""
+
+
+@query(f"WITH {_TIERED} SELECT page_id, path, tier FROM best")
+def longest_prefix_tier(spark, sf_dir):
+    return _tiered(spark, sf_dir).select("page_id", "path", "tier")
+
+
+@query(f"WITH {_TIERED}, s AS (SELECT * FROM (VALUES ('0', 0), ('1', 0), ('2', 1), ('3', 1), ('4', 2), ('77', 2)) AS v(stage, least)) SELECT stage, CAST(count(*) FILTER (CAST(tier[2:2] AS INT) >= least) AS BIGINT) AS allowed FROM best, s GROUP BY stage")
+def stages_allowed(spark, sf_dir):
+    stages = F.explode(F.array(*map(F.lit, ("0", "1", "2", "3", "4", "77"))))
+    return _tiered(spark, sf_dir).groupBy("tier").count().select("tier", "count", stages.alias("stage")).groupBy("stage").agg(_long(F.sum(F.when(reconcile.stage_allowed(F.col("stage"), F.col("tier")), F.col("count")))).alias("allowed"))
+
+
+@query(f"WITH {_TIERED} SELECT max(tier) AS tier, count(*) FILTER (tier = 'L2') AS deep FROM best")
+def run_tier(spark, sf_dir):
+    return _tiered(spark, sf_dir).agg(F.max_by("tier", reconcile.tier_rank(F.col("tier"))).alias("tier"), F.count_if(F.col("tier") == "L2").alias("deep"))
+
+
+@query("SELECT page_id FROM pages WHERE NOT regexp_matches(url, '^.*/en/.*$|^.*\\.html$', 's')")
+def glob_exclude(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").where(~X.any_glob(F.col("url"), ["**/en/*", "*.html"])).select("page_id")
+
+
+@query("SELECT doc_id FROM documents WHERE coalesce(try_cast(CASE WHEN doc_id % 5 = 0 THEN 'about ' || n_chars WHEN doc_id % 7 = 0 THEN NULL ELSE CAST(n_chars AS VARCHAR) END AS INT) >= 1000, true)")
+def min_size(spark, sf_dir):
+    said = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("about "), "n_chars")).when(F.col("doc_id") % 7 == 0, None).otherwise(F.col("n_chars").cast("string"))
+    return _t(spark, sf_dir, "documents").where(F.coalesce(said.try_cast("int") >= 1000, F.lit(True))).select("doc_id")
+
+
+@query("SELECT doc_id, regexp_replace(text, '((?i:token|secret|api_?key)\\s*[:=]\\s*[\"'']?)[A-Za-z0-9+/_.-]{8,}([\"'']?)', '\\1***MASKED***\\2', 'g') AS text FROM documents WHERE contains(text, 'token')")
+def mask_secrets(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").where(F.contains("text", F.lit("token"))).select("doc_id", masking.masked(F.col("text")).alias("text"))
+
+
+@query("SELECT n_regionkey, n_name FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS r FROM nation) WHERE (r - 1) % 3 = 0")
+def every_third(spark, sf_dir):
+    """A sampling operator: every third nation; the 25 nations are all there are."""
+    from pyspark.sql import Window
+
+    n = _t(spark, sf_dir, "nation").withColumn("r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("n_nationkey")))
+    return n.where((F.col("r") - 1) % 3 == 0).select("n_regionkey", "n_name")
+
+
+@query(
+    """WITH g AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), e AS (SELECT lang, n, n * CAST(100 AS DOUBLE) / (SELECT sum(n) FROM g) AS x FROM g),
+f AS (SELECT *, row_number() OVER (ORDER BY round_even(x - floor(x), 9) DESC, lang) AS r, CAST(100 - sum(floor(x)) OVER () AS BIGINT) AS more FROM e)
+SELECT lang, n, CAST(floor(x) AS BIGINT) + CASE WHEN r <= more THEN 1 ELSE 0 END AS seats FROM f"""
+)
+def largest_remainder(spark, sf_dir):
+    g = _t(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+    return reconcile.largest_remainder(g, "n", 100)
+
+
+# Attempts, verdicts, differences.
+
+
+@query(
+    """WITH a AS (SELECT user_id, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events),
+b AS (SELECT *, min(n) FILTER (ok) OVER (PARTITION BY user_id) AS f FROM a WHERE n <= 2)
+SELECT user_id, CASE WHEN max(f) IS NULL THEN 'escalated' ELSE 'ok' END AS status, CAST(max(n) AS BIGINT) AS retries, CAST(NULL AS BIGINT) AS tokens FROM b WHERE f IS NULL OR n <= f GROUP BY user_id"""
+)
+def retry_outcome(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("at"), (F.col("event_type") != "error").alias("ok"))
+    return reconcile.outcomes(e, "user_id", "at", "ok")
+
+
+@query(
+    """WITH a AS (SELECT user_id, event_type <> 'error' AS ok, CAST(value AS BIGINT) AS tokens, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events),
+b AS (SELECT *, min(n) FILTER (ok) OVER (PARTITION BY user_id) AS f FROM a WHERE n <= 2), c AS (SELECT user_id, CAST(nullif(sum(tokens), 0) AS BIGINT) AS tokens, max(f) IS NULL AS bad FROM b WHERE f IS NULL OR n <= f GROUP BY user_id)
+SELECT count(*) AS tasks, CAST(coalesce(sum(bad::INT), 0) AS BIGINT) AS escalated, CAST(sum(tokens) AS BIGINT) AS tokens, CASE WHEN sum(bad::INT) > 0 THEN 1 ELSE 0 END AS exit_code FROM c"""
+)
+def run_summary(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("at"), (F.col("event_type") != "error").alias("ok"), F.bround("value").cast("long").alias("tokens"))
+    o = reconcile.outcomes(e, "user_id", "at", "ok")
+    bad = F.count_if(F.col("status") == "escalated")
+    return o.agg(F.count("*").alias("tasks"), bad.alias("escalated"), F.sum("tokens").alias("tokens"), F.when(bad > 0, 1).otherwise(0).alias("exit_code"))
+
+
+@query(f"SELECT lang, count(*) AS total, CAST(sum(quality) AS BIGINT) AS confirmed, {_PCT.format('sum(quality)', 'count(*)', '0.0')} AS share, 100.0 * sum(quality) / count(*) >= 50 AS accepted FROM labels JOIN documents USING (doc_id) GROUP BY lang")
+def acceptance(spark, sf_dir):
+    v = _t(spark, sf_dir, "labels").join(_t(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").select("lang", F.when(F.col("quality") == 1, contracts.VERDICTS[0]).otherwise(contracts.VERDICTS[1]).alias("verdict"))
+    return reconcile.acceptance(v, "verdict", contracts.VERDICTS[0], 50.0, ["lang"])
+
+
+@query("SELECT event_type AS verdict, count(*) AS n FROM events GROUP BY event_type")
+def verdict_histogram(spark, sf_dir):
+    return report.histogram(_t(spark, sf_dir, "events"), "event_type")
+
+
+@query(f"SELECT lang, count(*) AS n, {_PCT.format('count(*)', '(SELECT count(*) FROM documents)', '0.0')} AS share FROM documents GROUP BY lang")
+def language_share(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    total = d.agg(F.count("*").alias("total"))
+    return d.groupBy("lang").agg(F.count("*").alias("n")).join(F.broadcast(total)).select("lang", "n", X.percent(F.col("n"), F.col("total"), 0.0).alias("share"))
+
+
+@query("SELECT coalesce(o_orderkey, l_orderkey) AS k, CASE WHEN o_orderkey IS NULL THEN 'added' WHEN l_orderkey IS NULL THEN 'removed' WHEN p = s THEN 'unchanged' ELSE 'modified' END AS verdict FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'F' ELSE 'O' END AS p FROM orders) FULL JOIN (SELECT l_orderkey, min(l_linestatus) AS s FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey")
+def rule_differences(spark, sf_dir):
+    old = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderstatus") == "F", "F").otherwise("O").alias("v"))
+    new = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.min("l_linestatus").alias("v"))
+    return reconcile.differences(old, new, "k", "v")
+
+
+@query("SELECT p_partkey, p_size > 40 AS deleted, CAST(count(DISTINCT l_orderkey) AS BIGINT) AS rules, CASE WHEN count(l_orderkey) = 0 THEN 'not covered' WHEN p_size > 40 THEN 'deleted' ELSE 'suspect' END AS effect FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey, p_size")
+def impact_map(spark, sf_dir):
+    changed = _t(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") > 40).alias("deleted"))
+    trace = _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_orderkey")
+    return reconcile.impact(changed, trace, "p_partkey", "l_orderkey")
+
+
+@query("WITH t AS (SELECT DISTINCT l_partkey FROM lineitem), c AS (SELECT p_partkey FROM part WHERE p_size > 30) SELECT (SELECT count(*) FROM t) AS traced, count(*) AS changed, 100.0 * count(*) / (SELECT count(*) FROM t) > 30 AS stop FROM c JOIN t ON l_partkey = p_partkey")
+def applicability(spark, sf_dir):
+    traced = _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("k")).distinct()
+    changed = _t(spark, sf_dir, "part").where("p_size > 30").select(F.col("p_partkey").alias("k"), F.lit(1).alias("c"))
+    n = traced.join(changed, "k", "left").agg(F.count("*").alias("traced"), F.count("c").alias("changed"))
+    return n.withColumn("stop", 100.0 * F.col("changed") / F.col("traced") > 30)
+
+
+@query("SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'not_in_code' WHEN quality = 1 THEN 'confirms' ELSE 'contradicts' END AS verdict FROM documents LEFT JOIN labels l USING (doc_id)")
+def claim_verdicts(spark, sf_dir):
+    out = _t(spark, sf_dir, "documents").select("doc_id").join(_t(spark, sf_dir, "labels"), "doc_id", "left")
+    return out.select("doc_id", F.when(F.col("quality").isNull(), "not_in_code").when(F.col("quality") == 1, "confirms").otherwise("contradicts").alias("verdict"))
+
+
+# Contracts, findings, reports.
+
+
+@query(
+    """WITH c AS (SELECT conv_id, turn, role, text FROM conversations)
+SELECT 'contract' AS "check", CAST(conv_id AS VARCHAR) AS artifact, '[' || turn || '].' || col AS path, expected, got, '' AS hint, 'error' AS severity FROM (
+  SELECT conv_id, turn, 'role' AS col, 'one of: user, system' AS expected, role AS got FROM c WHERE role NOT IN ('user', 'system')
+  UNION ALL SELECT conv_id, turn, 'text', 'text like ^[A-Z]', CASE WHEN length(text) > 160 THEN text[:160] || '…' ELSE text END FROM c WHERE role = 'user' AND NOT regexp_matches(text, '^[A-Z]')
+  UNION ALL SELECT conv_id, turn, 'text', 'at least 40 characters', text FROM c WHERE length(text) < 40)"""
+)
+def contract_check(spark, sf_dir):
+    rules = [contracts.required("role"), contracts.one_of("role", ["user", "system"]), contracts.when(F.col("role") == "user", contracts.pattern("text", "^[A-Z]")), contracts.min_length("text", 40)]
+    return contracts.violations(_t(spark, sf_dir, "conversations"), rules, F.col("conv_id").cast("string"), F.col("turn"))
+
+
+@query("SELECT 'contract' AS \"check\", count(*) FILTER (role NOT IN ('user', 'system')) + count(*) FILTER (length(text) < 40) AS n_errors, CAST(0 AS BIGINT) AS n_warnings, false AS ok FROM conversations")
+def severity_summary(spark, sf_dir):
+    rules = [contracts.one_of("role", ["user", "system"]), contracts.min_length("text", 40)]
+    return findings.summary(contracts.violations(_t(spark, sf_dir, "conversations"), rules, F.col("conv_id").cast("string"), F.col("turn")))
+
+
+@query("SELECT 'order' AS \"check\", string_agg('- ' || o_orderkey || ' at o_totalprice' || chr(10) || '  expected: at most 200000' || chr(10) || '  got: ' || CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR), chr(10) ORDER BY CAST(o_orderkey AS VARCHAR)) AS text FROM orders WHERE o_totalprice > 200000")
+def retry_text(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").where("o_totalprice > 200000")
+    return findings.retry_text(o.select(*findings.finding("order", F.col("o_orderkey"), F.lit("o_totalprice"), F.lit("at most 200000"), F.bround("o_totalprice").cast("long"))))
+
+
+@query("SELECT r_name AS region, count(*) AS n, string_agg(n_name, ', ' ORDER BY n_name) AS nations FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY r_name")
+def report_cells(spark, sf_dir):
+    n = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey")
+    return n.groupBy(F.col("r_name").alias("region")).agg(F.count("*").alias("n"), report.cell(F.col("n_name"), F.col("n_name")).alias("nations"))
+
+
+@query("SELECT source, CAST(sum(strlen(text)) AS BIGINT) AS bytes, sum(strlen(text)) <= 512 * 1024 AS fits FROM documents GROUP BY source")
+def byte_budget(spark, sf_dir):
+    return report.within_budget(_t(spark, sf_dir, "documents"), "text", "source", 512)
+
+
+@query("SELECT doc_id AS id, text AS statement FROM documents")
+def statement_projection(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("statement"))
+
+
+@query("SELECT event_id, try_cast(nullif(regexp_extract(props, '([0-9]+)', 1), '') AS BIGINT) AS metric FROM events")
+def metric_extract(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", F.regexp_extract("props", "([0-9]+)", 1).try_cast("long").alias("metric"))
+
+
+@query("SELECT page_id, url || '/x.py' AS file, CAST(page_id % 50 AS INT) AS start_line, CAST(CASE WHEN page_id % 3 = 0 THEN page_id % 50 + 7 ELSE page_id % 50 END AS INT) AS end_line FROM pages")
+def parse_ref(spark, sf_dir):
+    n = F.col("page_id") % 50
+    ref = F.concat("url", F.lit("/x.py:"), n, F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("-"), n + 7)).otherwise(""))
+    return _t(spark, sf_dir, "pages").withColumn("r", X.source_ref(ref)).select("page_id", F.col("r.file").alias("file"), F.col("r.start").alias("start_line"), F.col("r.end").alias("end_line"))
+
+
+@query("SELECT conv_id AS tag, 'out/' || turn || '.md' AS path, text AS body FROM conversations WHERE conv_id % 2 = 0 UNION ALL SELECT conv_id, 'out/' || turn || '.md', text FROM conversations WHERE conv_id % 2 = 1")
+def file_blocks(spark, sf_dir):
+    """Outputs made of conversations, a block a turn, read again; half of them name files without their folder."""
+    c = _t(spark, sf_dir, "conversations")
+    name = F.concat(F.when(F.col("conv_id") % 2 == 0, "out/").otherwise(""), F.col("turn"), F.lit(".md"))
+    block = F.concat(F.lit("=== FILE: "), name, F.lit(" ===\n"), "text", F.lit("\n=== END FILE ==="))
+    made = c.groupBy(F.col("conv_id").alias("tag")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", block.alias("b")))), lambda x: x["b"]), "\n").alias("output"))
+    return files.accepted_blocks(made, c.select(F.col("conv_id").alias("tag"), F.concat(F.lit("out/"), "turn", F.lit(".md")).alias("path")))
+
+
+@query("SELECT page_id, regexp_extract(rtrim(url, '/'), '([^/]*)$', 1) AS name, regexp_replace(regexp_extract(rtrim(url, '/'), '([^/]*)$', 1), '(.)\\.[^.]+$', '\\1') AS module, lpad(CAST(page_id AS VARCHAR), CAST(greatest(3, length(CAST(page_id AS VARCHAR))) AS INTEGER), '0') AS padded, CASE WHEN length(html) > 200 THEN html[:200] || '…' ELSE html END AS cut FROM pages")
+def scalar_functions(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages")
+    return p.select("page_id", X.file_name(F.col("url")).alias("name"), X.module_name(F.col("url")).alias("module"), X.padded(F.col("page_id"), 3).alias("padded"), X.clipped(F.col("html"), 200).alias("cut"))
+
+
+@query(f"WITH l AS {_LINES} SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, {_NORM.format('lines[1]')} AS first_line FROM l")
+def text_lines(spark, sf_dir):
+    d = _line_docs(spark, sf_dir)
+    return d.select("doc_id", F.size("lines").cast("long").alias("n_lines"), X.normalise(F.try_element_at("lines", F.lit(1))).alias("first_line"))
+
+
+# Code. A source for each conversation, made of its turns.
+
+
+def _code(spark, sf_dir, other: bool):
+    c = _t(spark, sf_dir, "conversations")
+    if other:
+        turn = F.concat(F.lit("function turn_"), "turn", F.lit("(x) {\n  if (x) {\n    throw "), "turn", F.lit(";\n  }\n}"))
+    else:
+        turn = F.concat(F.lit("def turn_"), "turn", F.lit("(x):\n    if x:\n        raise ValueError("), F.col("turn"), F.lit(")\n    return x"))
+    made = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", turn.alias("c")))), lambda x: x["c"]), "\n")
+    return c.groupBy(F.concat(F.lit("c"), "conv_id").alias("path")).agg(made.alias("text"))
+
+
+@query("SELECT 'c' || conv_id AS path, CAST(2 * count(*) AS BIGINT) AS branches, CAST(count(*) AS BIGINT) AS functions FROM conversations GROUP BY conv_id")
+def py_branches(spark, sf_dir):
+    found = code.python_items(_code(spark, sf_dir, False))
+    return found.groupBy("path").agg(F.count_if(F.col("what") == "branch").alias("branches"), F.count_if(F.col("what") == "function").alias("functions"))
+
+
+@query(f"SELECT 'c' || conv_id AS path, CAST(2 * count(*) AS BIGINT) AS total, CAST(count(*) AS BIGINT) AS covered, {_PCT.format('count(*)', '(2 * count(*))', '100.0')} AS share FROM conversations GROUP BY conv_id")
+def py_coverage(spark, sf_dir):
+    """Branch coverage where the rules name the raise lines alone and the `if` above each spans it; rules are held against raises only."""
+    sources = _code(spark, sf_dir, False)
+    branches = code.python_items(sources).where("what = 'branch'")
+    rules = branches.where("name = 'raise'").select("path", (F.col("line") - 1).alias("start"), (F.col("line") - 1).alias("end"))
+    return code.coverage(branches, rules)
+
+
+@query("SELECT 'c' || conv_id AS path, CAST(count(*) AS BIGINT) AS ifs, CAST(count(*) AS BIGINT) AS raises FROM conversations GROUP BY conv_id")
+def line_branches(spark, sf_dir):
+    found = code.line_branches(_code(spark, sf_dir, True))
+    return found.groupBy("path").agg(F.count_if(F.col("name") == "if").alias("ifs"), F.count_if(F.col("name") == "raise").alias("raises"))
+
+
+@query("WITH t AS (SELECT conv_id, turn, conv_id % 5 AS kind FROM conversations) SELECT 'c' || conv_id || '-' || turn AS id, CASE kind WHEN 1 THEN 'no such file' WHEN 2 THEN 'quote not found' WHEN 3 THEN 'other function' WHEN 4 THEN NULL ELSE NULL END AS problem FROM t")
+def evidence_binding(spark, sf_dir):
+    """Rules made of each turn, a fifth of which name another file, a fifth another quote, a fifth another function."""
+    from pyspark.sql import Window
+
+    sources = _code(spark, sf_dir, False)
+    found = code.python_items(sources).where("what = 'span'")
+    bodies = sources.select("path", X.lines(F.col("text")).alias("lines"))
+    kind = F.col("conv_id") % 5
+    at = (4 * (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1) + 3).cast("int")
+    rules = _t(spark, sf_dir, "conversations").select(
+        F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("id"), F.concat(F.when(kind == 1, "no/c").otherwise("c"), "conv_id").alias("source_file"), at.alias("start"), at.alias("end"),
+        F.concat(F.when(kind == 2, "never said ").otherwise(""), F.lit("raise   ValueError("), "turn", F.lit(")")).alias("evidence"), F.when(kind == 3, "elsewhere").when(kind == 4, "UNCERTAIN").otherwise(F.concat(F.lit("Some.turn_"), "turn")).alias("enclosing"),
+    )
+    return spans.bound(rules, bodies, found.select("path", F.col("line").alias("start"), "end", "name", "ord")).select("id", "problem")
