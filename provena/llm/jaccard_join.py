@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from provena.llm.common import Words, components, cut, lowered, mixed, text_slices
+from provena.llm.common import Words, components, cut, kept_table, lowered, mixed, text_slices
 
 SHINGLE = 5
 #: Sets link when DEN * overlap >= NUM * union.
@@ -27,9 +28,11 @@ NUM, DEN = 75, 100
 #: Up to so many sets under a signature are paired off at once.
 FEW = 8
 #: Shingles that begin so many sets or more come last in the order.
-FREQUENT = 256
+FREQUENT = 64
 #: Bits of the maps of frequent shingles and of sets to compare. Other sizes change the cost only.
 MAP_BITS = 1 << 24
+#: Parts by which sets are counted: sets overlap no more than the smaller counts of all parts.
+PARTS = 256
 #: What comparing two sets costs, as a number of signatures.
 COMPARE = 6
 
@@ -88,9 +91,14 @@ def lead_up(n: int) -> int:
     return n - need(n, n) + 1
 
 
+def _shares(s: np.ndarray) -> bytes:
+    """How many shingles fall into each of PARTS parts, 255 for that or more."""
+    return np.minimum(np.bincount((s & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes()
+
+
 def _names(batches):
     for rows, sets in _sets(batches):
-        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([_name(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "node", "n"])
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([_name(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_shares(s) if len(s) else None for s in sets], pa.binary())], ["doc_id", "node", "n", "shares"])
 
 
 def _leads(batches):
@@ -231,8 +239,8 @@ def _pairs(small: int):
     return run
 
 
-def _chosen(which):
-    """(node, shingles) of the sets in a map, each once a task."""
+def _chosen(which, kind: str):
+    """(node, shingles) of the sets in a map, each once a task; a kind narrower than the hashes keeps their last bits."""
 
     def run(batches):
         seen: set[int] = set()
@@ -241,7 +249,7 @@ def _chosen(which):
             for s in sets:
                 if len(s) > 1 and which.value[(name := _name(s)) % MAP_BITS] and name not in seen:
                     seen.add(name)
-                    out.append((name, s.tobytes()))
+                    out.append((name, np.sort(s.astype(kind)).tobytes()))
             if len(seen) > 500_000:
                 seen.clear()
             if out:
@@ -250,15 +258,31 @@ def _chosen(which):
     return run
 
 
-def _linked(batches):
+def _linked(kind: str):
+    """Pairs whose overlap is what they need. Of narrow hashes a larger overlap may be counted, never a smaller one."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind)
+                if len(x) > len(y):
+                    x, y = y, x
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                keep.append(int((y[at] == x).sum()) >= need(len(x), len(y)))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _possible(batches):
+    """Pairs whose counts by part leave enough room for the overlap they need."""
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            keep.append(int((y[at] == x).sum()) >= need(len(x), len(y)))
+        x, y = (np.frombuffer(b"".join(v.as_py() for v in batch.column(c)), np.uint8).reshape(-1, PARTS) for c in ("x", "y"))
+        n, m = np.asarray(batch.column("n")), np.asarray(batch.column("m"))
+        low = np.minimum(x, y)
+        most = np.where((low == 255).any(axis=1), np.minimum(n, m), low.sum(axis=1, dtype=np.int64))
+        keep = most >= -(-NUM * (n + m) // (NUM + DEN))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
 
@@ -267,13 +291,21 @@ def _bits(df: DataFrame, col: str):
     return df.groupBy((x / 32768).cast("int").alias("at")).agg(F.bitmap_construct_agg(x % 32768).alias("bits")).collect()
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose sets link. Only sets that a pair names leave the scan."""
+def _verified(docs: DataFrame, shares: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose sets link.
+
+    Counts by part rule out most others, 16 bits of each shingle nearly all of the rest; whole hashes
+    leave the scan for what is left alone. Neither of the first two loses a link.
+    """
     spark = docs.sparkSession
-    which = spark.sparkContext.broadcast(_map(_bits(pairs.select(F.explode(F.array("a", "b")).alias("v")), "v")))
-    sets = docs.select("text").mapInArrow(_chosen(which), "node long, s binary").dropDuplicates(["node"])
-    rows = pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a")
-    return rows.mapInArrow(_linked, "a long, b long")
+    side = lambda node, n, x: shares.select(F.col("node").alias(node), F.col("n").alias(n), F.col("shares").alias(x))
+    pairs = cut(pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").mapInArrow(_possible, "a long, b long"))
+    for kind in ("<u2", "<u8"):
+        which = spark.sparkContext.broadcast(_map(_bits(pairs.select(F.explode(F.array("a", "b")).alias("v")), "v")))
+        sets = docs.select("text").mapInArrow(_chosen(which, kind), "node long, s binary").dropDuplicates(["node"])
+        rows = pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a")
+        pairs = cut(rows.mapInArrow(_linked(kind), "a long, b long"))
+    return pairs
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -285,7 +317,8 @@ def groups(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    named = cut(docs.mapInArrow(_names, "doc_id long, node long, n long"))
+    named = kept_table(docs.mapInArrow(_names, T.StructType([docs.schema["doc_id"], *(T.StructField(c, k) for c, k in (("node", T.LongType()), ("n", T.LongType()), ("shares", T.BinaryType())))])), "sets")
+    shares = named.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("shares").alias("shares"))
 
     counts = docs.select("text").mapInArrow(_leads, "k long, m long").groupBy("k").agg(F.sum("m").alias("m"))
     x, often = F.pmod(F.col("k"), F.lit(MAP_BITS)), F.col("m") >= FREQUENT
@@ -297,7 +330,7 @@ def groups(docs: DataFrame) -> DataFrame:
     lists = entries.repartition("sig", "salt").sortWithinPartitions("sig", "salt", "info", "node")
     scanned = cut(lists.mapInArrow(_pairs(small), "a long, b long, sig long, info long"))
     first = scanned.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = cut(_verified(docs, cut(first)))
+    links = _verified(docs, shares, first)
 
     so_far = components(links).withColumnRenamed("node", "b")
     listed = scanned.where("sig is not null").select("sig", "b", "info").distinct().join(so_far, "b", "left").select("sig", "b", "info", F.coalesce("component", "b").alias("c"))
@@ -315,7 +348,7 @@ def groups(docs: DataFrame) -> DataFrame:
     if rest.isEmpty():
         whole = so_far.withColumnRenamed("b", "node")
     else:
-        whole = components(links.unionByName(_verified(docs, rest)))
+        whole = components(links.unionByName(_verified(docs, shares, rest)))
 
     classes = named.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low")).join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = classes.groupBy("component").agg(F.min("low").alias("component_id"))
