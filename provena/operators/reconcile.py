@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provena.functions.text import percent
+from provena.operators.storage import kept
 
 BLOCK = 100
 
@@ -42,7 +43,8 @@ def assigned_blocks(modules: DataFrame, key: str, own: str, start: int) -> DataF
     """
     spark = modules.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    new = modules.where(F.col(own).isNull()).repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id())
+    # Numbers of parts are read twice, so the parts are kept.
+    new = kept(modules.where(F.col(own).isNull()).repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id()))
     counts = sorted((r["_part"], r["count"]) for r in new.groupBy("_part").count().collect())
     before, total = {}, 0
     for part, n in counts:
