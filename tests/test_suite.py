@@ -10,7 +10,9 @@ SF = "/root/testdata/sf0.001"
 
 
 def _plain(v):
-    if v is None or v != v:
+    import pandas as pd
+
+    if v is None or v is pd.NA or (isinstance(v, float) and v != v):
         return "null"
     if not isinstance(v, (bool, str)):
         try:
