@@ -79,6 +79,32 @@ def queries():
     return {f.__name__: f for f in (op1_byte_bpe, op2_pii, op3_ngram_jaccard_join, op4_suffix_array_dedup, op5_token_output, op6_lm_scoring, op7_html_extraction, op8_embedding_near_dedup, op9_decontamination, op10_language_id)}
 
 
+OP3_SQL = """
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sh AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+shared AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT a, b FROM shared JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+low AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, CAST(least(doc_id, coalesce(m, doc_id)) AS BIGINT) AS component_id
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)
+"""
+
+OP4_SQL = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(coalesce(text, '')) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+win AS MATERIALIZED (SELECT doc_id, p, md5(substr(h, CAST(2 * p + 1 AS BIGINT), 100)) AS w FROM d, unnest(range(0, n - 49)) AS t(p) WHERE n >= 50),
+least_doc AS MATERIALIZED (SELECT w, min(doc_id) AS m FROM win GROUP BY w),
+gone AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS p FROM win JOIN least_doc USING (w) WHERE doc_id > m),
+runs AS (SELECT doc_id, count(*) AS n_removed, CAST(sum(new) AS BIGINT) AS n_spans FROM (
+  SELECT doc_id, CASE WHEN lag(p) OVER (PARTITION BY doc_id ORDER BY p) = p - 1 THEN 0 ELSE 1 END AS new FROM gone) GROUP BY doc_id),
+remains AS (SELECT doc_id, string_agg(substr(h, CAST(2 * b.p + 1 AS BIGINT), 2), '' ORDER BY b.p) AS k
+  FROM (SELECT doc_id, h, unnest(range(0, n)) AS p FROM d WHERE doc_id IN (SELECT doc_id FROM gone)) b LEFT JOIN gone USING (doc_id, p) WHERE gone.p IS NULL GROUP BY doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN runs.doc_id IS NULL THEN h ELSE coalesce(k, '') END)) AS kept_sha256
+FROM d LEFT JOIN runs USING (doc_id) LEFT JOIN remains USING (doc_id)
+"""
+
 OP8_SQL = """
 WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
@@ -95,4 +121,4 @@ FROM embeddings LEFT JOIN low USING (vec_id) LEFT JOIN n USING (vec_id)
 
 
 def oracle_sql():
-    return {"op8_embedding_near_dedup": OP8_SQL, "op9_decontamination": OP9_SQL}
+    return {"op3_ngram_jaccard_join": OP3_SQL, "op4_suffix_array_dedup": OP4_SQL, "op8_embedding_near_dedup": OP8_SQL, "op9_decontamination": OP9_SQL}

@@ -22,11 +22,11 @@ GRAM = 20
 #: Before and after an anchor's place, what the strings around it span.
 BEFORE, AFTER = LENGTH - GRAM, LENGTH
 #: Bytes that the sort by words looks at before blind tries take over.
-SHALLOW = 24
+SHALLOW = 48
 #: An anchor with more contexts than this is settled by grouping its strings' hashes over the cluster.
-MOST_TOGETHER = 4000
+MOST_TOGETHER = 500_000
 #: Anchors that a task holds to settle among its own documents.
-HELD = 600_000
+HELD = 500_000
 MAP_BITS = 1 << 26
 
 
@@ -96,7 +96,7 @@ def _placed(batches):
         at = np.concatenate([place[rest], np.zeros(len(cd), np.int64)])
         return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(at, mask=np.arange(len(at)) >= len(rest))], schema=_FOUND)
 
-    for rows, data, offsets in text_slices(batches):
+    for rows, data, offsets in text_slices(batches, most=1 << 20):
         row, place, h = _anchors(data, offsets)
         if not len(row):
             continue
@@ -166,15 +166,16 @@ def _wanted(which):
 
     def run(batches):
         marks = which.value
-        for rows, data, offsets in text_slices(batches):
+        for rows, data, offsets in text_slices(batches, most=1 << 20):
             row, place, h = _anchors(data, offsets)
             own = np.flatnonzero(_marked(marks, h))
             if not len(own):
                 continue
             row, place, h = row[own], place[own], h[own]
             lo, hi = _contexts(data, offsets, row, place)
+            ctx = range_hashes(_BYTE_KEYS[data], lo, hi)
             ids, raw = np.asarray(rows.column("doc_id")), data.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[row]), pa.array(lo - offsets[row]), pa.array((place - lo).astype(np.int32)), pa.array([raw[a:b] for a, b in zip(lo, hi, strict=True)], pa.binary())], ["key", "doc", "lo", "before", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(ids[row]), pa.array(lo - offsets[row]), pa.array((place - lo).astype(np.int32)), pa.array([raw[a:b] for a, b in zip(lo, hi, strict=True)], pa.binary())], ["key", "ctx", "doc", "lo", "before", "bytes"])
 
     return run
 
@@ -219,8 +220,8 @@ def blind_trie(rows: np.ndarray) -> tuple[list[int], list[int]]:
     return order, common
 
 
-def deep_shallow(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, group): rows, byte strings of one length, in order, and a number that equal ones share.
+def deep_shallow(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, group): rows, byte strings of one length, in order within the groups they come in, and a number that equal ones of a group share.
 
     Shallow: groups are divided by one 8-byte word after the other, all groups at once, and a string
     alone in its group is done. Deep: groups still together at SHALLOW bytes, where a longer common
@@ -230,7 +231,7 @@ def deep_shallow(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     words = np.zeros((n, -(-width // 8) * 8), np.uint8)
     words[:, :width] = rows
     words = words.view(">u8").astype(np.uint64)
-    order, group = np.arange(n), np.zeros(n, np.int64)
+    order, group = np.arange(n), group.astype(np.int64)
     active = np.arange(n)  # places in order whose group has several strings
     for d in range(min(SHALLOW // 8, words.shape[1])):
         if not len(active):
@@ -254,78 +255,155 @@ def deep_shallow(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for a, k in zip(first[differs].tolist(), size[differs].tolist(), strict=True):
             places = active[a : a + k]
             own = order[places]
-            by, common = blind_trie(rows[own])
-            order[places] = own[by]
-            name = places[0]
-            for p, c in zip(places.tolist(), common, strict=True):
-                name = name if c == width and p != places[0] else p
-                group[p] = name
+            tails = np.ascontiguousarray(rows[own][:, SHALLOW:])
+            _, one, which = np.unique(tails.view(np.dtype((np.void, tails.shape[1]))).ravel(), return_index=True, return_inverse=True)
+            by, _ = blind_trie(tails[one])
+            rank = np.empty(len(by), np.int64)
+            rank[by] = np.arange(len(by))
+            at = np.argsort(rank[which], kind="stable")
+            order[places] = own[at]
+            r = rank[which][at]
+            group[places] = places[np.searchsorted(r, r)]
     return order, group
 
 
-def _compared(batches):
-    """Of contexts in order of anchor and doc: covered intervals; those of anchors with very many contexts go on as hashes of their strings."""
-    names = ["h1", "h2", "doc", "lo", "hi"]
+def _rows(data: np.ndarray, at: np.ndarray, n: np.ndarray, step: int, width: int) -> np.ndarray:
+    """width bytes from each place on, forwards or backwards, zeros where n bytes are over."""
+    k, out = np.arange(width), np.zeros((len(at), width), np.uint8)
+    for a in range(0, len(at), 20_000):
+        some = data[np.clip(at[a : a + 20_000, None] + step * k, 0, max(0, len(data) - 1))]
+        out[a : a + 20_000] = np.where(k < n[a : a + 20_000, None], some, 0)
+    return out
 
-    def strings(rows):
-        """All 50-byte strings of contexts: (context, start in it, bytes)."""
+
+def _shared(rows: np.ndarray, n: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """The longest prefix that each string has in common with another of its run: in order of suffixes, with one next to it."""
+    order, _ = deep_shallow(rows, run)
+    a, b = order[:-1], order[1:]
+    differ = rows[a] != rows[b]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+    common = np.minimum(common, np.minimum(n[a], n[b])) * (run[a] == run[b])
+    out = np.zeros(len(rows), np.int64)
+    np.maximum.at(out, a, common)
+    np.maximum.at(out, b, common)
+    return out
+
+
+class _Contexts:
+    """Contexts of whole runs of anchors, in order of anchor and doc."""
+
+    def __init__(self, rows: pa.Table):
         col = rows.column("bytes").combine_chunks()
         ends = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
-        data = np.frombuffer(col.buffers()[2], np.uint8)
-        n, before = np.diff(ends), np.asarray(rows.column("before").combine_chunks())
-        count = np.minimum(before, n - LENGTH) - np.maximum(0, before + GRAM - LENGTH) + 1
-        of = np.repeat(np.arange(len(col)), count)
-        start = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + np.maximum(0, before + GRAM - LENGTH)[of]
-        return of, start, data, ends[of] + start
-
-    def sorted_out(rows):
-        of, start, data, at = strings(rows)
-        order, group = deep_shallow(data[at[:, None] + np.arange(LENGTH)])
-        doc = np.asarray(rows.column("doc").combine_chunks())[of]
-        least = np.full(len(of), np.iinfo(np.int64).max)
+        self.data, self.start = np.frombuffer(col.buffers()[2], np.uint8), ends[:-1]
+        self.n = np.diff(ends)
+        key, self.doc, self.lo, self.before = (np.asarray(rows.column(c).combine_chunks()).astype(np.int64) for c in ("key", "doc", "lo", "before"))
+        self.run = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+        self.run = np.searchsorted(self.run, self.run)  # a run is named by its first place
+
+    def strings(self) -> tuple[np.ndarray, np.ndarray]:
+        """(context, start in it) of all its 50-byte strings around the anchor."""
+        first = np.maximum(0, self.before + GRAM - LENGTH)
+        count = np.maximum(0, np.minimum(self.before, self.n - LENGTH) - first + 1)
+        of = np.repeat(np.arange(len(self.n)), count)
+        return of, np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + first[of]
+
+
+_COMPARED = ["h1", "h2", "doc", "lo", "hi"]
+
+
+def _sorted_out(rows: pa.Table) -> pa.RecordBatch:
+    """What is covered by strings that stand in a smaller doc of the same run."""
+    c = _Contexts(rows)
+    at = c.start + c.before
+    right = _shared(_rows(c.data, at, c.n - c.before, 1, AFTER), c.n - c.before, c.run)
+    left = _shared(_rows(c.data, at - 1, c.before, -1, BEFORE), c.before, c.run)
+    view = np.lib.stride_tricks.sliding_window_view(c.data, LENGTH)
+    held = []
+    # Equal strings have the anchor at the same place in them, so each place is a sort of its own.
+    for k in range(BEFORE + 1):
+        own = np.flatnonzero((left >= k) & (right >= LENGTH - k))
+        if len(own) < 2:
+            continue
+        order, group = deep_shallow(view[c.start[own] + c.before[own] - k], np.searchsorted(c.run[own], c.run[own]))
+        doc = c.doc[own]
+        least = np.full(len(own), np.iinfo(np.int64).max)
         np.minimum.at(least, group, doc[order])
-        gone = order[doc[order] > least[group]]
-        lo = (np.asarray(rows.column("lo").combine_chunks())[of] + start)[gone]
-        d, lo, hi = _merged(doc[gone], lo, lo + LENGTH)
-        none = np.zeros(len(d), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(none, mask=none == 0), pa.array(none), *map(pa.array, (d, lo, hi))], names)
-
-    def hashed(rows):
-        of, start, data, at = strings(rows)
-        keys = _BYTE_KEYS[data]
-        h1, h2 = range_hashes(keys, at, at + LENGTH), range_hashes(mixed(keys), at, at + LENGTH)
-        lo = np.asarray(rows.column("lo").combine_chunks())[of] + start
-        return pa.RecordBatch.from_arrays([*map(pa.array, (h1.view(np.int64), h2.view(np.int64), np.asarray(rows.column("doc").combine_chunks())[of], lo, lo + LENGTH))], names)
-
-    held, size, large = [], 0, None
+        gone = own[order[doc[order] > least[group]]]
+        held.append((c.doc[gone], (c.lo + c.before)[gone] - k))
+    d, lo = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64),) * 2
+    d, lo, hi = _merged(d, lo, lo + LENGTH)
+    none = np.zeros(len(d), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(none, mask=none == 0), pa.array(none), *map(pa.array, (d, lo, hi))], _COMPARED)
+
+
+def _hashed(rows: pa.Table) -> pa.RecordBatch:
+    """All strings, as hashes."""
+    c = _Contexts(rows)
+    of, start = c.strings()
+    at, keys = c.start[of] + start, _BYTE_KEYS[c.data]
+    h1, h2 = range_hashes(keys, at, at + LENGTH), range_hashes(mixed(keys), at, at + LENGTH)
+    doc, lo = c.doc[of], c.lo[of] + start
+    # A string that a smaller doc has among these very rows is settled here.
+    order = np.lexsort((doc, h1 ^ mixed(h2)))
+    h = (h1 ^ mixed(h2))[order]
+    first = np.maximum.accumulate(np.where(np.concatenate([[True], h[1:] != h[:-1]]), np.arange(len(h)), 0))
+    gone = doc[order] > doc[order][first]
+    d, a, b = _merged(doc[order[gone]], lo[order[gone]], lo[order[gone]] + LENGTH)
+    rest = order[~gone]
+    none = np.arange(len(rest) + len(d)) >= len(rest)
+    both = [np.concatenate([x[rest].view(np.int64), np.zeros(len(d), np.int64)]) for x in (h1, h2)]
+    return pa.RecordBatch.from_arrays([*(pa.array(x, mask=none) for x in both), *(pa.array(np.concatenate(x)) for x in ((doc[rest], d), (lo[rest], a), (lo[rest] + LENGTH, b)))], _COMPARED)
+
+
+def _compared(batches, most: int = MOST_TOGETHER, together: int = 20_000):
+    """Of contexts in order of anchor, context and doc: covered intervals; a run of more than `most` contexts goes on as hashes of its strings."""
+    held, size, wait, large = [], 0, together, None
+
+    def pieces(t, key):
+        """Yields what is complete, and last what must wait."""
+        nonlocal large
+        if large is not None:
+            end = int(np.searchsorted(key, large, side="right"))
+            for a in range(0, end, 10_000):
+                yield _hashed(t.slice(a, min(10_000, end - a)))
+            t, key = t.slice(end), key[end:]
+            if len(key):
+                large = None
+        yield t
+
+    last = None
     for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            piece = batch.slice(at, 1000)
-            held.append(pa.Table.from_batches([piece]))
-            size += piece.num_rows
-            if size < MOST_TOGETHER:
-                continue
-            t = pa.concat_tables(held)
-            key = np.asarray(t.column("key").combine_chunks())
-            if large is not None and (end := int(np.searchsorted(key, large, side="right"))):
-                yield hashed(t.slice(0, end))
-                t, key = t.slice(end), key[end:]
-            if len(key) and (end := int(np.searchsorted(key, key[-1]))):
-                yield sorted_out(t.slice(0, end))
-                t, key = t.slice(end), key[end:]
-            large = None if not len(key) else key[0] if len(key) >= MOST_TOGETHER else large if key[0] == large else None
-            if large is not None and len(key):
-                yield hashed(t)
-                t = t.slice(0, 0)
-            held, size = [t], t.num_rows
-    if size:
+        # Equal contexts in larger docs are settled already: the first of each is all that others need.
+        key, ctx, doc = (np.asarray(batch.column(c)) for c in ("key", "ctx", "doc"))
+        first = np.ones(len(key), bool)
+        first[1:] = (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1]) | (doc[1:] == doc[:-1])
+        first[0] = last is None or (key[0], ctx[0]) != last[:2] or doc[0] == last[2]
+        last = (key[-1], ctx[-1], doc[-1])
+        held.append(pa.Table.from_batches([batch.filter(pa.array(first))]))
+        size += int(first.sum())
+        if size < wait:
+            continue
         t = pa.concat_tables(held)
+        *done, t = pieces(t, np.asarray(t.column("key").combine_chunks()))
+        yield from done
         key = np.asarray(t.column("key").combine_chunks())
-        end = int(np.searchsorted(key, large, side="right")) if large is not None else 0
+        end = int(np.searchsorted(key, key[-1])) if len(key) else 0
         if end:
-            yield hashed(t.slice(0, end))
-        if end < len(key):
-            yield sorted_out(t.slice(end))
+            yield _sorted_out(t.slice(0, end))
+            t = t.slice(end)
+        elif len(key) > most:
+            large = key[0]
+            *done, t = pieces(t, key)
+            yield from done
+        held, size = [t], t.num_rows
+        wait = max(together, min(2 * size, most + 1))
+    if size:
+        t = pa.concat_tables(held)
+        *done, t = pieces(t, np.asarray(t.column("key").combine_chunks()))
+        yield from done
+        if t.num_rows:
+            yield _sorted_out(t)
 
 
 def covered(docs: DataFrame) -> DataFrame:
@@ -344,8 +422,8 @@ def covered(docs: DataFrame) -> DataFrame:
     for r in bits:
         marks[r["at"] * 4096 : (r["at"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
     which = spark.sparkContext.broadcast(marks)
-    near = docs.mapInArrow(_wanted(which), "key long, doc long, lo long, before int, bytes binary")
-    near = near.repartition("key").sortWithinPartitions("key", "doc")
+    near = docs.mapInArrow(_wanted(which), "key long, ctx long, doc long, lo long, before int, bytes binary")
+    near = near.repartition("key").sortWithinPartitions("key", "ctx", "doc")
     compared = kept_table(near.mapInArrow(_compared, "h1 long, h2 long, doc long, lo long, hi long"), "compared")
     strings = compared.where("h1 is not null")
     least = strings.groupBy("h1", "h2").agg(F.min("doc").alias("least"))
