@@ -124,15 +124,38 @@ def lowered(is_word: np.ndarray) -> np.ndarray:
     return np.where(is_word[low], low, 0).astype(np.uint8)
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+#: Up to so many links, a fixed number, one task joins what rounds over the cluster would.
+FEW_LINKS = 1 << 16
+
+
+def _joined(batches):
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[p]
+        return x
+
+    for b in batches:
+        for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True):
+            u, v = find(u), find(v)
+            parent[max(u, v)] = min(u, v)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["node", "component"])
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60, few: int = FEW_LINKS) -> DataFrame:
     """(node, component): the smallest node that links reach, for each node that has a link.
 
     Large-star and small-star rounds as joins and aggregates: no neighbour list is ever gathered, so a
     node with very many links costs a partial minimum and a join that adaptive execution may split. Each
-    round's edges are checkpointed; the rounds end when a round changes nothing.
+    round's edges are checkpointed; the rounds end when a round changes nothing. Where only `few` edges
+    are there, or left, one task of that bounded size does the same.
     """
-    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
+    edges = links.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u > v").distinct()
     edges = cut(edges)
+    if edges.count() <= few:
+        return edges.coalesce(1).mapInArrow(_joined, "node long, component long")
     state = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -144,6 +167,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == (now["n"], now["h"]):
             break
+        if now["n"] <= few:
+            return edges.coalesce(1).mapInArrow(_joined, "node long, component long")
         state = (now["n"], now["h"])
     else:
         raise RuntimeError(f"components: not settled after {most_rounds} rounds")
