@@ -14,6 +14,8 @@ link between different components is missed.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +35,8 @@ FREQUENT = 64
 MAP_BITS = 1 << 24
 #: Parts by which sets are counted: sets overlap no more than the smaller counts of all parts.
 PARTS = 256
+#: Words of 64 bits that map a set: sets differ in no fewer shingles than their maps in bits.
+MARKS = 16
 #: What comparing two sets costs, as a number of signatures.
 COMPARE = 6
 
@@ -96,9 +100,18 @@ def _shares(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes()
 
 
+def _marks(sets: list[np.ndarray]) -> np.ndarray:
+    """A map of 64 * MARKS bits of each set, in MARKS words."""
+    out = np.zeros((len(sets), MARKS * 64), np.uint8)
+    for i, s in enumerate(sets):
+        out[i, ((s >> np.uint64(20)) % np.uint64(MARKS * 64)).astype(np.int64)] = 1
+    return np.packbits(out, axis=1, bitorder="little").view("<i8")
+
+
 def _names(batches):
     for rows, sets in _sets(batches):
-        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([_name(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_shares(s) if len(s) else None for s in sets], pa.binary())], ["doc_id", "node", "n", "shares"])
+        marks = _marks(sets)
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([_name(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_shares(s) if len(s) else None for s in sets], pa.binary()), *(pa.array(marks[:, k]) for k in range(MARKS))], ["doc_id", "node", "n", "shares", *(f"m{k}" for k in range(MARKS))])
 
 
 def _leads(batches):
@@ -184,14 +197,19 @@ def _may(a: tuple[int, int], b: tuple[int, int], small: int) -> bool:
 
 
 def _pairs(small: int):
-    """Of rows in order of signature, salt and info: pairs to compare, and all entries of lists of more than FEW sets or that are salted."""
+    """Of rows in order of signature, salt, place and info: pairs to compare, and all entries of lists of more than FEW sets or that are salted.
+
+    In a long list the sets with the least before the signature come first: of near copies those that
+    differ least from the others. The first of each band of sizes is the pivot of that and the next bands.
+    """
 
     def run(batches):
-        key, held, pivot, long = None, [], None, False
+        key, held, pivots, long = None, [], {}, False
         pairs, entries = set(), []
 
         def close():
             if not long:
+                held.sort(key=lambda h: h[1] >> 32)
                 pairs.update((x[0], y[0]) for i, x in enumerate(held) for y in held[i + 1 :] if _may(x, y, small))
 
         def flush():
@@ -200,6 +218,15 @@ def _pairs(small: int):
             entries.clear()
             return out
 
+        def listed(s: int, v: int, f: int):
+            n = f >> 32
+            band = int(math.log(n) / math.log(DEN / NUM))
+            pivots.setdefault(band, (v, n))
+            for u, m in (pivots[k] for k in (band - 1, band, band + 1) if k in pivots):
+                if u != v and DEN * min(n, m) >= NUM * max(n, m):
+                    pairs.add((u, v))
+            entries.append((s, v, f))
+
         for batch in batches:
             sig, salt, node, info = (np.asarray(batch.column(c)) for c in ("sig", "salt", "node", "info"))
             # Entries alone under their signature are most; the first and last may go on in other batches.
@@ -213,22 +240,18 @@ def _pairs(small: int):
             for s, x, v, f in zip(sig[at].tolist(), salt[at].tolist(), node[at].tolist(), info[at].tolist(), strict=True):
                 if (s, x) != key:
                     close()
-                    key, held, pivot, long = (s, x), [], None, x >= 0
-                if long:
-                    entries.append((s, v, f))
-                elif held and v == held[-1][0]:
+                    key, held, pivots, long, last = (s, x), [], {}, x >= 0, None
+                if v == last:
                     continue
-                else:
-                    held.append((v, f))
-                    if len(held) > FEW:
-                        long = True
-                        entries += [(s, *h) for h in held]
-                for u, g in ([*held] if long and held and not pivot else [(v, f)]) if long else ():
-                    if pivot is None or DEN * (pivot[1] >> 32) < NUM * (g >> 32):
-                        pivot = (u, g)
-                    elif u != pivot[0]:
-                        pairs.add((pivot[0], u))
+                last = v
                 if long:
+                    listed(s, v, f)
+                    continue
+                held.append((v, f))
+                if len(held) > FEW:
+                    long = True
+                    for h in held:
+                        listed(s, *h)
                     held = []
             if len(pairs) + len(entries) > 50_000:
                 yield flush()
@@ -317,8 +340,9 @@ def groups(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    named = kept_table(docs.mapInArrow(_names, T.StructType([docs.schema["doc_id"], *(T.StructField(c, k) for c, k in (("node", T.LongType()), ("n", T.LongType()), ("shares", T.BinaryType())))])), "sets")
-    shares = named.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("shares").alias("shares"))
+    named = kept_table(docs.mapInArrow(_names, T.StructType([docs.schema["doc_id"], *(T.StructField(c, k) for c, k in (("node", T.LongType()), ("n", T.LongType()), ("shares", T.BinaryType()), *((f"m{k}", T.LongType()) for k in range(MARKS))))])), "sets")
+    marks = [f"m{k}" for k in range(MARKS)]
+    shares = named.where("node is not null").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "shares", *marks)])
 
     counts = docs.select("text").mapInArrow(_leads, "k long, m long").groupBy("k").agg(F.sum("m").alias("m"))
     x, often = F.pmod(F.col("k"), F.lit(MAP_BITS)), F.col("m") >= FREQUENT
@@ -327,7 +351,8 @@ def groups(docs: DataFrame) -> DataFrame:
     common = spark.sparkContext.broadcast(_map(found))
 
     entries = docs.select("text").mapInArrow(_signatures(common, small), "sig long, salt byte, node long, info long")
-    lists = entries.repartition("sig", "salt").sortWithinPartitions("sig", "salt", "info", "node")
+    place = lambda c: F.shiftright(c, 2).bitwiseAND(F.lit(0x3FFFFFFF))
+    lists = entries.repartition("sig", "salt").sortWithinPartitions("sig", "salt", place("info"), "info", "node")
     scanned = cut(lists.mapInArrow(_pairs(small), "a long, b long, sig long, info long"))
     first = scanned.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = _verified(docs, shares, first)
@@ -335,15 +360,18 @@ def groups(docs: DataFrame) -> DataFrame:
     so_far = components(links).withColumnRenamed("node", "b")
     listed = scanned.where("sig is not null").select("sig", "b", "info").distinct().join(so_far, "b", "left").select("sig", "b", "info", F.coalesce("component", "b").alias("c"))
     several = listed.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("sig")
-    listed = listed.join(several, "sig", "left_semi")
-    size, place = lambda c: F.shiftright(c, 32), lambda c: F.shiftright(c, 2).bitwiseAND(F.lit(0x3FFFFFFF))
+    listed = listed.join(several, "sig", "left_semi").join(shares.select(F.col("node").alias("b"), *marks), "b")
+    size = lambda c: F.shiftright(c, 32)
     p, q = F.col("p"), F.col("q")
     single = p.bitwiseAND(F.lit(2)) != 0
     could = (
         (DEN * size(p) >= NUM * size(q)) & (size(p) <= size(q)) & (p.bitwiseAND(F.lit(1)) != 0) & (~single | (size(q) > small))
         & (F.when(single, 1).otherwise(2) + F.least(size(p) - place(p), size(q) - place(q)) >= F.ceil(F.lit(NUM) * (size(p) + size(q)) / (NUM + DEN)))
     )
-    across = listed.select("sig", F.col("b").alias("a"), F.col("info").alias("p"), F.col("c").alias("ca")).join(listed.select("sig", "b", F.col("info").alias("q"), F.col("c").alias("cb")), "sig").where((F.col("ca") != F.col("cb")) & could)
+    differ = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"_{m}"))) for m in marks), F.lit(0))
+    close = size(p) + size(q) - differ >= 2 * F.ceil(F.lit(NUM) * (size(p) + size(q)) / (NUM + DEN))
+    one, other = listed.select("sig", F.col("b").alias("a"), F.col("info").alias("p"), F.col("c").alias("ca"), *marks), listed.select("sig", "b", F.col("info").alias("q"), F.col("c").alias("cb"), *[F.col(m).alias(f"_{m}") for m in marks])
+    across = one.join(other, (one["sig"] == other["sig"]) & (F.col("ca") != F.col("cb")) & could & close)
     rest = cut(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     if rest.isEmpty():
         whole = so_far.withColumnRenamed("b", "node")
