@@ -75,15 +75,15 @@ def _merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray):
     return doc[first], lo[first], (reach - base)[last]
 
 
-_FOUND = pa.schema([("key", pa.int64()), ("ctx", pa.int64()), ("doc", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("place", pa.int64())])
+_FOUND = pa.schema([("key", pa.int64()), ("ctx", pa.int64()), ("doc", pa.int64()), ("lo", pa.int64()), ("n", pa.int32()), ("known", pa.bool_())])
 
 
 def _placed(batches):
-    """Rows (hash of the anchor, hash of the context, doc, context from lo to hi, place). What a task can settle alone is a row without place: covered from lo to hi."""
+    """Rows (hash of the anchor, hash of the context, doc, context of n bytes from lo). What a task can settle alone is known: n bytes from lo are covered."""
     held, size = [], 0
 
     def out():
-        h, ctx, doc, lo, hi, place = (np.concatenate(x) for x in zip(*held, strict=True))
+        h, ctx, doc, lo, hi = (np.concatenate(x) for x in zip(*held, strict=True))
         both = mixed(h * np.uint64(3) + ctx)
         order = np.lexsort((doc, both))
         b, d = both[order], doc[order]
@@ -92,18 +92,17 @@ def _placed(batches):
         done = order[d > least]
         rest = np.sort(order[d == least])
         cd, cl, ch = _merged(doc[done], lo[done], hi[done])
-        cols = [np.concatenate([h[rest].view(np.int64), cd]), np.concatenate([ctx[rest].view(np.int64), np.zeros(len(cd), np.int64)]), np.concatenate([doc[rest], cd]), np.concatenate([lo[rest], cl]), np.concatenate([hi[rest], ch])]
-        at = np.concatenate([place[rest], np.zeros(len(cd), np.int64)])
-        return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(at, mask=np.arange(len(at)) >= len(rest))], schema=_FOUND)
+        cols = [np.concatenate([h[rest].view(np.int64), cd]), np.concatenate([ctx[rest].view(np.int64), np.zeros(len(cd), np.int64)]), np.concatenate([doc[rest], cd]), np.concatenate([lo[rest], cl]), np.concatenate([hi[rest] - lo[rest], ch - cl]).astype(np.int32)]
+        return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.arange(len(cols[0])) >= len(rest))], schema=_FOUND)
 
-    for rows, data, offsets in text_slices(batches, most=1 << 20):
+    for rows, data, offsets in text_slices(batches):
         row, place, h = _anchors(data, offsets)
         if not len(row):
             continue
         lo, hi = _contexts(data, offsets, row, place)
         ctx = range_hashes(_BYTE_KEYS[data], lo, hi)
         ids = np.asarray(rows.column("doc_id"))
-        held.append((h, ctx, ids[row], lo - offsets[row], hi - offsets[row], place - offsets[row]))
+        held.append((h, ctx, ids[row], lo - offsets[row], hi - offsets[row]))
         size += len(row)
         if size > HELD:
             yield out()
@@ -117,8 +116,8 @@ def _settled(batches):
     rest = None
 
     def work(t):
-        key, ctx, doc, lo, hi = (np.asarray(t.column(c).combine_chunks()) for c in ("key", "ctx", "doc", "lo", "hi"))
-        known = np.asarray(t.column("place").combine_chunks().is_null())
+        key, ctx, doc, lo, n, known = (np.asarray(t.column(c).combine_chunks()) for c in ("key", "ctx", "doc", "lo", "n", "known"))
+        hi = lo + n
         new_key = np.concatenate([[True], key[1:] != key[:-1]])
         new_ctx = new_key | np.concatenate([[True], ctx[1:] != ctx[:-1]])
         k, c = np.cumsum(new_key) - 1, np.cumsum(new_ctx) - 1
@@ -166,7 +165,7 @@ def _wanted(which):
 
     def run(batches):
         marks = which.value
-        for rows, data, offsets in text_slices(batches, most=1 << 20):
+        for rows, data, offsets in text_slices(batches):
             row, place, h = _anchors(data, offsets)
             own = np.flatnonzero(_marked(marks, h))
             if not len(own):
@@ -410,7 +409,7 @@ def covered(docs: DataFrame) -> DataFrame:
     """(doc, lo, hi): bytes from lo to hi are in 50-byte strings that a document with a smaller doc_id has; intervals may overlap."""
     spark = docs.sparkSession
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") >= LENGTH)
-    found = docs.mapInArrow(_placed, "key long, ctx long, doc long, lo long, hi long, place long")
+    found = docs.mapInArrow(_placed, "key long, ctx long, doc long, lo long, n int, known boolean")
     lists = found.repartition("key").sortWithinPartitions("key", "ctx", "doc")
     settled = kept_table(lists.mapInArrow(_settled, "key long, doc long, lo long, hi long"), "settled")
     x = F.pmod(F.expr("key & 9223372036854775807"), F.lit(MAP_BITS))
