@@ -11,8 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text bytes that one numpy pass takes at once (a longer text is a pass of its own).
-SLICE_BYTES = 2 << 20
+#: Text bytes that one numpy pass takes at once, under a power of two that tables of powers are as long as (a longer text is a pass of its own).
+SLICE_BYTES = 1_000_000
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
