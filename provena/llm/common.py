@@ -183,5 +183,5 @@ def kept_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     ready_checkpoints(spark)
     path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
