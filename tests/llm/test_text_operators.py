@@ -317,3 +317,29 @@ def test_lm_score(spark):
                 loss -= math.log(0.6 * p + (0.35 + 0.6 * (1 - share)) * (single[m][w] - less * own[w]) / (total[m] - less * len(x)) + 0.05 / size)
             assert got[i][name] == pytest.approx(loss / len(x), abs=1e-9)
     assert lm_score.report(docs.limit(0), labels).count() == 0
+
+
+def test_lm_score_keeps_every_word(spark):
+    rows = [(i, " ".join(f"w{i}x{k} of w{(i * 7 + k) % 500}" for k in range(1800))) for i in range(40)]
+    rows += [(40, "w0x1 of w1 w39x1799 of"), (41, None), (42, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    texts = {i: (t or "").split() for i, t in rows}
+    pairs = lambda x: list(zip(["<"] + x, x, strict=False))
+    marked = lm_score.chosen(docs, labels.where("quality = 1"))
+    got = {r.doc_id: r for r in lm_score.score(marked, chunk_bytes=200_000).collect()}
+    assert len({w for x in texts.values() for w in x}) > 1 << 16 and sorted(got) == sorted(texts)
+    assert got[41].n_words == got[42].n_words == 0 and got[41].score is None
+    for i in (0, 1, 39, 40):
+        for name, ids in (("loss_target", [j for j in texts if j % 2]), ("loss_background", list(texts))):
+            single, pair, after, loss = Counter(), Counter(), Counter(), 0.0
+            for j in ids:
+                if j != i and texts[j]:
+                    single.update(["<"] + texts[j])
+                    pair.update(pairs(texts[j]))
+                    after.update(v for v, _ in pairs(texts[j]))
+            total, even = sum(single.values()) - single["<"], 1 / (1 + len({w for x in texts.values() for w in x}))
+            for v, w in pairs(texts[i]):
+                p, share = (pair[v, w] / single[v], after[v] / single[v]) if single[v] else (0, 0)
+                loss -= math.log(0.6 * p + (0.35 + 0.6 * (1 - share)) * single[w] / total + 0.05 * even)
+            assert got[i][name] == pytest.approx(loss / len(texts[i]), abs=1e-9)
