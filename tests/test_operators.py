@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from provena.functions import text as X
 from provena.operators import code, contracts, findings, masking, reconcile, spans
+from provena.plans import suite
 from provena.sources import files
 
 
@@ -152,3 +153,11 @@ def test_stream_gate(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.task, r.status, r.tries) for r in spark.table("gated").collect()) == [("x", "ok", 2), ("y", "escalated", 3)]
+
+
+def test_mask_documents_takes_every_document(spark, tmp_path):
+    texts = ["password = hunter2hunter", "TOKEN = abcdefgh12", "go to db://me:s3cret@host/x", "-----BEGIN RSA PRIVATE KEY-----\nabcd\n-----END RSA PRIVATE KEY-----", "API_KEY: abcdefgh12", "nothing", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in suite.queries()["mask_documents"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(7)) and got[5] == "nothing" and got[6] is None
+    assert all("***MASKED***" in got[i] for i in range(5)) and not any(x in got[i] for i in range(5) for x in ("hunter2", "abcdefgh12", "s3cret", "abcd"))
