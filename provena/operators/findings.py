@@ -25,8 +25,11 @@ def summary(found: DataFrame) -> DataFrame:
     return found.groupBy("check").agg(n("error"), n("warning")).withColumn("ok", F.col("n_errors") == 0)
 
 
-def retry_text(found: DataFrame) -> DataFrame:
-    """For each check with errors, their text in order of artifact and path, for who is to mend them."""
+def retry_text(found: DataFrame, *by: str) -> DataFrame:
+    """For each check with errors, or each group of the columns `by`, their text in order of artifact and path, for who is to mend them.
+
+    A group's text is one string: by check alone it grows with the data, by check and artifact with what is wrong with one artifact.
+    """
     one = F.concat_ws("\n", F.concat(F.lit("- "), "artifact", F.lit(" at "), "path"), F.concat(F.lit("  expected: "), "expected"), F.concat(F.lit("  got: "), "got"), F.when(F.col("hint") != "", F.concat(F.lit("  hint: "), "hint")))
     ordered = F.array_sort(F.collect_list(F.struct("artifact", "path", one.alias("text"))))
-    return errors(found).groupBy("check").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"))
+    return errors(found).groupBy(*(by or ("check",))).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"))

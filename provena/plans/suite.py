@@ -269,6 +269,12 @@ def blank_rows(spark, sf_dir):
     return c.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("c_custkey")).cast("array<string>"), ",").alias("rows_without"))
 
 
+@query("SELECT c_mktsegment, c_custkey FROM customer WHERE c_acctbal < 0")
+def blank_row_keys(spark, sf_dir):
+    """What blank_rows lists, a row a customer."""
+    return _t(spark, sf_dir, "customer").where("c_acctbal < 0").select("c_mktsegment", "c_custkey")
+
+
 # Tiers, filters, plans.
 
 # A plan's prefixes.
@@ -442,10 +448,19 @@ def severity_summary(spark, sf_dir):
     return findings.summary(contracts.violations(_t(spark, sf_dir, "conversations"), rules, F.col("conv_id").cast("string"), F.col("turn")))
 
 
+def _dear_orders(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").where("o_totalprice > 200000")
+    return o.select(*findings.finding("order", F.col("o_orderkey"), F.lit("o_totalprice"), F.lit("at most 200000"), F.bround("o_totalprice").cast("long")))
+
+
 @query("SELECT 'order' AS \"check\", string_agg('- ' || o_orderkey || ' at o_totalprice' || chr(10) || '  expected: at most 200000' || chr(10) || '  got: ' || CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR), chr(10) ORDER BY CAST(o_orderkey AS VARCHAR)) AS text FROM orders WHERE o_totalprice > 200000")
 def retry_text(spark, sf_dir):
-    o = _t(spark, sf_dir, "orders").where("o_totalprice > 200000")
-    return findings.retry_text(o.select(*findings.finding("order", F.col("o_orderkey"), F.lit("o_totalprice"), F.lit("at most 200000"), F.bround("o_totalprice").cast("long"))))
+    return findings.retry_text(_dear_orders(spark, sf_dir))
+
+
+@query("SELECT 'order' AS \"check\", CAST(o_orderkey AS VARCHAR) AS artifact, '- ' || o_orderkey || ' at o_totalprice' || chr(10) || '  expected: at most 200000' || chr(10) || '  got: ' || CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) AS text FROM orders WHERE o_totalprice > 200000")
+def retry_text_by_artifact(spark, sf_dir):
+    return findings.retry_text(_dear_orders(spark, sf_dir), "check", "artifact")
 
 
 @query("SELECT r_name AS region, count(*) AS n, string_agg(n_name, ', ' ORDER BY n_name) AS nations FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY r_name")

@@ -161,3 +161,13 @@ def test_mask_documents_takes_every_document(spark, tmp_path):
     got = {r.doc_id: r.text for r in suite.queries()["mask_documents"](spark, str(tmp_path)).collect()}
     assert sorted(got) == list(range(7)) and got[5] == "nothing" and got[6] is None
     assert all("***MASKED***" in got[i] for i in range(5)) and not any(x in got[i] for i in range(5) for x in ("hunter2", "abcdefgh12", "s3cret", "abcd"))
+
+
+def test_retry_text_by_artifact(spark):
+    made = spark.createDataFrame([("b", "q"), ("a", "y"), ("a", "x"), ("c", "z")], "a string, p string")
+    found = made.select(*findings.finding("k", F.col("a"), F.col("p"), F.lit("1"), F.lit("2"), severity=F.when(F.col("a") == "c", "warning").otherwise("error")))
+    row = lambda a, p: f"- {a} at {p}\n  expected: 1\n  got: 2"
+    got = {(r.check, r.artifact): r.text for r in findings.retry_text(found, "check", "artifact").collect()}
+    assert got == {("k", "a"): row("a", "x") + "\n" + row("a", "y"), ("k", "b"): row("b", "q")}
+    assert findings.retry_text(found).columns == ["check", "text"]
+    assert len(suite.oracle_sql()["blank_row_keys"]) and "collect_list" not in suite.queries()["blank_row_keys"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
