@@ -48,7 +48,7 @@ _WIDER = {
     "email": rf"(?<![{_LOCAL}])[{_LOCAL}]{{1,64}}+ ?[\[({{]\s?(?i:at)\s?[\])}}] ?[A-Za-z0-9-]++(?:(?:\.| ?[\[({{]\s?(?i:dot)\s?[\])}}] ?)[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}+:){7}[0-9A-Fa-f]{1,4}+(?![0-9A-Fa-f:])",
     "phone": r"(?<![0-9+)(-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9-])",
-    "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,200}+",
+    "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+",
     "name": rf"(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}\p{{Ll}}++(?: \p{{Lu}}\p{{Ll}}++)?",
 }
 # What a text with a match surely has.

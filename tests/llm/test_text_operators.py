@@ -249,6 +249,16 @@ def test_pii(spark):
     assert pii.report(docs.limit(0)).count() == 0
 
 
+def test_pii_takes_the_whole_of_a_long_secret(spark):
+    run = "Ab3-dE5_gH7/jK9+" * 300
+    rows = [(i, f'{k} = "{run[:n]}" then more') for i, (k, n) in enumerate([("token", 60), ("secret", 201), ("api_key", 4800)])] + [(9, "nothing here")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, spans string")
+    by = {r.doc_id: r.spans.split(",") for r in pii.report(docs).collect()}
+    assert "secret:9:69" in by[0] and "secret:10:211" in by[1] and "secret:11:4811" in by[2]
+    for r in pii.redact(docs).collect():
+        assert "Ab3" not in r.text and "jK9" not in r.text
+
+
 def test_pii_reliabilities():
     votes = np.array([[1, 1, 1], [1, 1, 0], [-1, -1, -1], [1, -1, 0], [-1, -1, 1]])
     p, shares = pii.estimate(votes, np.array([50, 20, 60, 3, 4]))
