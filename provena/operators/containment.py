@@ -5,37 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provena.functions.text import normalise, percent
+from provena.functions.text import PLACEHOLDER, needle_pattern, normalise, percent
 
 _ANCHOR = 3
-#: Passages of fewer words than an anchor and its neighbours go to every task, so far as they are few.
-MOST_SHORT_BYTES = 8 << 20
+_HOLE = "\u0001"
+#: Passages without an anchor go to every task, in parts of about so many bytes.
+SHORT_BYTES = 8 << 20
 
 
 def containing(passages: DataFrame, texts: DataFrame, passage_id: str, text_id: str) -> DataFrame:
-    """(passage_id, text_id) of each passage whose normalised text stands in a normalised text.
+    """(passage_id, text_id) of each passage whose normalised text stands in a normalised text; a placeholder in it also stands for a number.
 
     The words in a passage but its first and last are whole words wherever it stands, so the passage and
-    its text share the words after the first: an equi join on those finds all candidates. Empty passages
+    its text share three such words that no placeholder is in: an equi join on those finds all candidates.
+    Passages without such words are held against all texts, in parts that are broadcast. Empty passages
     stand nowhere.
     """
-    p = passages.select(passage_id, normalise(F.col("text")).alias("_p")).where("_p <> ''").withColumn("_w", F.split("_p", " "))
-    long = p.where(F.size("_w") >= _ANCHOR + 2).withColumn("_a", F.array_join(F.slice("_w", 2, _ANCHOR), " "))
+    p = passages.select(passage_id, normalise(F.col("text")).alias("_p")).where("_p <> ''").withColumn("_q", F.regexp_replace("_p", PLACEHOLDER, _HOLE))
+    p = p.withColumn("_w", F.split("_q", " ")).withColumn("_n", F.when(F.contains("_q", F.lit(_HOLE)), needle_pattern(F.col("_p"))))
+    runs = F.transform(F.sequence(F.lit(2), F.size("_w") - _ANCHOR), lambda i: F.array_join(F.slice("_w", i, _ANCHOR), " "))
+    p = p.withColumn("_a", F.when(F.size("_w") >= _ANCHOR + 2, F.get(F.filter(runs, lambda r: ~F.contains(r, F.lit(_HOLE))), F.lit(0))))
+    stands = F.contains("_t", "_p") | F.coalesce(F.regexp_like("_t", F.col("_n")), F.lit(False))
     t = texts.select(text_id, normalise(F.col("text")).alias("_t"))
     words = t.withColumn("_w", F.split("_t", " "))
     grams = F.transform(F.sequence(F.lit(1), F.size("_w") - _ANCHOR + 1), lambda i: F.array_join(F.slice("_w", i, _ANCHOR), " "))
     anchored = words.where(F.size("_w") >= _ANCHOR).select(text_id, "_t", F.explode(F.array_distinct(grams)).alias("_a"))
-    out = anchored.join(long.select(passage_id, "_p", "_a"), "_a").where(F.contains("_t", "_p")).select(passage_id, text_id)
-    short = p.where(F.size("_w") < _ANCHOR + 2).select(passage_id, "_p")
-    size = short.agg(F.sum(F.octet_length("_p"))).first()[0] or 0
-    if not size:
-        return out
-    if size > MOST_SHORT_BYTES:
-        raise ValueError(f"{size} bytes of passages under {_ANCHOR + 2} words")
-    rows = [(r[passage_id], r["_p"]) for r in short.collect()]
-    known = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(x).alias("p")) for i, x in rows])
-    few = t.select(text_id, F.explode(F.filter(known, lambda x: F.contains("_t", x["p"]))).alias("x")).select(F.col("x.id").alias(passage_id), text_id)
-    return out.unionByName(few)
+    out = anchored.join(p.where("_a is not null").select(passage_id, "_p", "_n", "_a"), "_a").where(stands).select(passage_id, text_id)
+    short = p.where("_a is null").select(passage_id, "_p", "_n")
+    parts = -(-(short.agg(F.sum(F.octet_length("_p"))).first()[0] or 0) // SHORT_BYTES)
+    for k in range(parts):
+        part = short.where(F.pmod(F.xxhash64(passage_id, "_p"), F.lit(parts)) == k)
+        out = out.unionByName(t.join(F.broadcast(part), stands).select(passage_id, text_id))
+    return out
 
 
 def first_found(passages: DataFrame, hits: DataFrame, passage_id: str, text_id: str, hinted: Column) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from provena.functions import text as X
-from provena.operators import code, contracts, findings, masking, reconcile, spans
+from provena.operators import code, containment, contracts, findings, masking, reconcile, spans
 from provena.plans import suite
 from provena.sources import files
 
@@ -171,3 +171,10 @@ def test_retry_text_by_artifact(spark):
     assert got == {("k", "a"): row("a", "x") + "\n" + row("a", "y"), ("k", "b"): row("b", "q")}
     assert findings.retry_text(found).columns == ["check", "text"]
     assert len(suite.oracle_sql()["blank_row_keys"]) and "collect_list" not in suite.queries()["blank_row_keys"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
+def test_containing_takes_placeholders_and_short_passages_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(containment, "SHORT_BYTES", 8)
+    passages = spark.createDataFrame([(1, "Wait <N> s until all the lights go out"), (2, "at <n> o"), (3, "a <num> b <n> c"), (4, "go out"), (5, "of <N> men we saw none come back"), (6, "")], "p long, text string")
+    texts = spark.createDataFrame([(1, "so wait 1_000.5 s  until all the lights go out now"), (2, "at 7 o'clock, a 1 b 2.5 c"), (3, "wait x s until all the lights go out; of men we saw none come back"), (4, None)], "d long, text string")
+    assert sorted(map(tuple, containment.containing(passages, texts, "p", "d").collect())) == [(1, 1), (2, 2), (3, 2), (4, 1), (4, 3)]
