@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy pass takes at once, under a power of two that tables of powers are as long as (a longer text is a pass of its own).
@@ -23,11 +23,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Names like the stems that no column of df has, for columns that come and go within an operator."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for n in (f"{stem}_{k}" for k in range(len(taken) + 1)) if n not in taken) for stem in stems]
+
+
+def named(columns: list[str]) -> list[Column]:
+    """The columns of these very names, dots and all."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def without(df: DataFrame, *columns: str) -> DataFrame:
+    """df without columns of these names."""
+    gone = {c.lower() for c in columns}
+    return df.select(*named([c for c in df.columns if c.lower() not in gone]))
+
+
 def ready_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to the folder in spark.checkpoint.dir; only where that is unset, as in local tests, to an own one."""
+    """Checkpoints go to the folder in spark.checkpoint.dir; where that is unset, to an own one if all runs on this machine, else it's an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="provena-checkpoint-"))
 
 
@@ -56,6 +75,26 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: i
             at = to
 
 
+def binary_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """text_slices() of a binary column."""
+    for batch in batches:
+        col = batch.column(column).cast(pa.large_binary())
+        if col.null_count:
+            col = pc.fill_null(col, b"")
+        ends = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int64)
+        data = np.frombuffer(col.buffers()[2], np.uint8) if col.buffers()[2] is not None else np.zeros(0, np.uint8)
+        at = 0
+        while at < len(col):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
+            yield batch.slice(at, to - at), data[ends[at] : ends[to]], ends[at : to + 1] - ends[at]
+            at = to
+
+
+def binary_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The runs of data between the offsets as a binary column, without a copy for each."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A finalizer that spreads each bit of a 64-bit word over all."""
     h = h ^ (h >> np.uint64(31))

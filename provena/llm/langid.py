@@ -8,6 +8,7 @@ whose weights are averaged; one temperature, fitted on sampled rows kept out of
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,16 +16,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from provena.llm.common import text_slices
+from provena.llm.common import fresh, named, text_slices, without
 
 BITS = 16
 SHARDS = 4
 UNKNOWN = "und"
 #: Rows a language gives to the sample that weights are learned from.
 SAMPLE_PER_LANGUAGE = 1500
+#: More values of lang than this are no languages: weights are a table of this many columns at most, which goes to every task.
 MOST_LANGUAGES = 512
+#: Bytes of text that one pass looks at.
+PASS_BYTES = 250_000
 
 _SCALE = 40.0
 _letters: list[np.ndarray] = []
@@ -68,7 +71,7 @@ def _by_row(rows: pa.RecordBatch) -> list[np.ndarray]:
 
 def _frequencies(batches):
     seen, total = np.zeros(1 << BITS, bool), np.zeros(1 << BITS, np.int64)
-    for rows, _, _ in text_slices(batches):
+    for rows, _, _ in text_slices(batches, most=PASS_BYTES):
         for b in _by_row(rows):
             seen[:] = False
             seen[b] = True
@@ -78,7 +81,7 @@ def _frequencies(batches):
 
 
 def _sparse(batches):
-    for rows, _, _ in text_slices(batches):
+    for rows, _, _ in text_slices(batches, most=PASS_BYTES):
         found = [np.unique(b, return_counts=True) for b in _by_row(rows)]
         yield pa.RecordBatch.from_arrays([rows.column("lang"), rows.column("part"), pa.array([f[0].astype("<i4").tobytes() for f in found], pa.binary()), pa.array([(f[1] / max(1, f[1].sum())).astype("<f4").tobytes() for f in found], pa.binary())], ["lang", "part", "at", "tf"])
 
@@ -134,8 +137,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Learns from text and lang of the rows that are not held out and have both; without such rows the model knows no language."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    """Learns from text and lang of the rows that are not held out and have both; without such rows the model knows no language.
+
+    More than MOST_LANGUAGES values of lang raise an error.
+    """
+    rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} values of lang")
@@ -150,7 +156,9 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     share = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))]), F.col("lang"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 40)) / (1 << 40)
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(SHARDS * 10)).cast("int")
-    sample = rows.where(draw < share).limit(2 * per_language * len(languages)).select("lang", "text", part.alias("part")).mapInArrow(_sparse, "lang string, part int, at binary, tf binary")
+    # The least draws of all tasks, so that rows which repeat a doc_id can't make the sample grow and no order of reading changes it.
+    drawn = rows.where(draw < share).orderBy(draw, "doc_id", "text", "lang").limit(2 * per_language * len(languages))
+    sample = drawn.select("lang", "text", part.alias("part")).mapInArrow(_sparse, "lang string, part int, at binary, tf binary")
     number = {k: i for i, k in enumerate(languages)}
 
     def learn(group: pa.Table) -> pa.Table:
@@ -182,30 +190,38 @@ def _temperature(rows: list[tuple[int, np.ndarray]]) -> float:
     return min(np.exp(np.linspace(-3, 3, 121)), key=loss)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score. A text that is null or has no letters is `und` with score 0."""
+def predicted(docs: DataFrame, model: Model):
+    """A column of docs' text: struct (lang, score). Only the text goes to Python, and nothing but the struct comes back."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    frame = docs.drop("lang_pred", "score")
-    names = frame.columns
 
-    def run(batches):
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shipped.value
-        for rows, _, _ in text_slices(batches):
-            lang, score = own.predict(rows)
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
+        for batch in texts:
+            lang, score = [], [np.zeros(0)]
+            for rows, _, _ in text_slices(iter([pa.RecordBatch.from_arrays([batch], ["text"])]), most=PASS_BYTES):
+                best, p = own.predict(rows)
+                lang += best
+                score.append(p)
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(np.concatenate(score))], ["lang", "score"])
+
+    return F.arrow_udf(run, "lang string, score double")(F.col("text"))
 
-    schema = T.StructType([*frame.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return frame.mapInArrow(run, schema)
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with lang_pred and score, which replace columns of those names. A text that is null or has no letters is `und` with score 0."""
+    frame = without(docs, "lang_pred", "score")
+    (own,) = fresh(frame, "found")
+    return frame.withColumn(own, predicted(frame, model)).select(*named(frame.columns), F.col(f"{own}.lang").alias("lang_pred"), F.col(f"{own}.score").alias("score"))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """Per document: whether it was held out from learning, the predicted language, and the calibrated score."""
-    found = predict(docs.select("doc_id", "text"), train(docs.select("doc_id", "text", "lang")))
+    found = predict(docs.select("doc_id", "text"), train(docs))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def keep_known(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """docs without the rows that are `und` or whose best language scores under `least`."""
-    names = docs.columns
-    found = predict(docs.select(*names), train(docs))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(names)
+    """docs without the rows that are `und` or whose best language scores under `least`; no column is changed, whatever its name."""
+    (own,) = fresh(docs, "found")
+    found = docs.withColumn(own, predicted(docs, train(docs)))
+    return found.where((F.col(f"{own}.lang") != UNKNOWN) & (F.col(f"{own}.score") >= least)).select(*named(docs.columns))
