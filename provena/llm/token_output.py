@@ -14,11 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provena.llm.bpe import read_ranks
-from provena.llm.common import kept_table, mixed, text_slices
+from provena.llm.common import binary_array, binary_slices, kept_table, mixed, text_slices
 
 #: Tokens of a sequence, and sequences of a shard.
 LENGTH = 512
 SHARD = 2048
+#: Bytes of sequences that one task puts in order.
+RANGE_BYTES = 64 << 20
 _known: dict = {}
 
 
@@ -101,44 +103,53 @@ def shards(docs: DataFrame, ranks_path: str, pattern: str, key: int = 20240607,
         n += k
     shipped, stride = spark.sparkContext.broadcast(before), size * length
 
+    kind_of, per_shard = f"<u{size}", shard
+    whole_shards = -(-n // per_shard)
+    # Slots are dense and evenly spread, so ranges of shards need no sampling: as many as there are tasks, more where a task had too many bytes.
+    ranges = max(1, min(whole_shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * stride // RANGE_BYTES))))
+
     def dealt(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                rows = batch.slice(at, 500)
-                out, slots, docs_, places, tokens = [], [], [], [], []
-                for doc, ids, part, first in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "ids", "part", "first")), strict=True):
-                    k = -(-len(ids) // stride)
-                    end = ids[-size:]
-                    whole = ids + end * ((k * stride - len(ids)) // size)
-                    out += [whole[i * stride : (i + 1) * stride] for i in range(k)]
-                    slots += [shipped.value[part] + first + i for i in range(k)]
-                    docs_ += [doc] * k
-                    places += range(k)
-                    tokens += [length] * (k - 1) + [len(ids) // size - (k - 1) * length]
-                if out:
-                    slot = feistel(np.array(slots), n, key)
-                    yield pa.RecordBatch.from_arrays([pa.array(slot // shard), pa.array(slot), pa.array(docs_, rows.schema.field("doc_id").type), pa.array(places, pa.int32()), pa.array(tokens, pa.int32()), pa.array(out, pa.binary())], ["shard", "slot", "doc_id", "place", "tokens", "data"])
+        for rows, data, ends in binary_slices(batches, "ids"):
+            ids, ends = data.view(kind_of), ends // size
+            k = -(-np.diff(ends) // length)
+            first = np.concatenate([[0], np.cumsum(k)])
+            if not first[-1]:
+                continue
+            out = np.full(int(first[-1]) * length, ids[-1], kind_of)
+            out[np.arange(len(ids)) + np.repeat(first[:-1] * length - ends[:-1], np.diff(ends))] = ids
+            place = np.arange(first[-1]) - np.repeat(first[:-1], k)
+            start = np.array([shipped.value[p] for p in rows.column("part").to_pylist()], np.int64) + np.asarray(rows.column("first"))
+            slot = feistel(np.repeat(start, k) + place, n, key)
+            tokens = np.minimum(length, np.repeat(np.diff(ends), k) - place * length)
+            doc = rows.column("doc_id").take(pa.array(np.repeat(np.arange(len(k)), k)))
+            yield pa.RecordBatch.from_arrays([pa.array((slot // per_shard * ranges // whole_shards).astype(np.int32)), pa.array(slot), doc, pa.array(place.astype(np.int32)), pa.array(tokens.astype(np.int32)), binary_array(out.view(np.uint8), np.arange(first[-1] + 1) * stride)], ["range", "slot", "doc_id", "place", "tokens", "data"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = flat.mapInArrow(dealt, f"shard long, slot long, doc_id {kind}, place int, tokens int, data binary")
-    # A shard has a bounded number of sequences, and slots are spread evenly: no group can grow or be hot.
-    parts = max(1, min(-(-n // shard), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    ordered = rows.repartitionByRange(parts, "shard").sortWithinPartitions("slot")
+    rows = flat.mapInArrow(dealt, f"range int, slot long, doc_id {kind}, place int, tokens int, data binary")
+    ordered = rows.repartitionById(ranges, "range").sortWithinPartitions("slot").drop("range")
 
     def packed(batches):
-        held: list = []
+        held: list[pa.RecordBatch] = []
 
-        def out(rows):
-            return pa.RecordBatch.from_arrays([pa.array([rows[0][0]]), pa.array([rows[0][1]]), pa.array([len(rows)]), pa.array([stride]), pa.array([[r[2] for r in rows]]), pa.array([[r[3] for r in rows]], pa.list_(pa.int32())), pa.array([[r[4] for r in rows]], pa.list_(pa.int32())), pa.array([b"".join(r[5] for r in rows)], pa.binary())], ["shard", "first_slot", "n", "stride", "doc_ids", "places", "tokens", "data"])
+        def out():
+            slot, doc, place, tokens, data = (pa.chunked_array([b.column(c) for b in held]).combine_chunks() for c in ("slot", "doc_id", "place", "tokens", "data"))
+            m = len(slot)
+            whole = data.buffers()[2][data.offset * stride : (data.offset + m) * stride]
+            lists = [pa.ListArray.from_arrays(pa.array([0, m], pa.int32()), x) for x in (doc, place, tokens)]
+            return pa.RecordBatch.from_arrays([pa.array([slot[0].as_py() // per_shard]), slot.slice(0, 1), pa.array([m]), pa.array([stride]), *lists, pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, m * stride], np.int32)), whole])], ["shard", "first_slot", "n", "stride", "doc_ids", "places", "tokens", "data"])
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[0] != held[0][0]:
-                    yield out(held)
+            if not batch.num_rows:
+                continue
+            own = np.asarray(batch.column("slot")) // per_shard
+            cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if held and held[0].column("slot")[0].as_py() // per_shard != own[a]:
+                    yield out()
                     held = []
-                held.append(row)
+                held.append(batch.slice(a, b - a))
         if held:
-            yield out(held)
+            yield out()
 
     return kept_table(ordered.mapInArrow(packed, f"shard long, first_slot long, n long, stride long, doc_ids array<{kind}>, places array<int>, tokens array<int>, data binary"), "shards")
 
