@@ -5,6 +5,10 @@ some run of places. An anchor's context is all that the 50-byte strings around i
 are equal settle most anchors. Where documents share an anchor but not its context, the suffixes that
 begin up to an anchor are sorted, deep and shallow: by words to a shallow depth, and groups whose common
 prefix goes on by blind tries. Suffixes with a common prefix of 50 bytes lie side by side then.
+
+An anchor that a task finds in many contexts (a common line in different surroundings, a text that
+repeats itself) would bring them all to one task. It is hot: its strings travel instead, by their own
+hashes, after each task has kept the least document of each.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provena.llm.common import _BYTE_KEYS, kept_table, mixed, range_hashes, text_slices
+from provena.llm.common import _BYTE_KEYS, fresh, kept_table, mixed, named, range_hashes, text_slices, without
 
 LENGTH = 50
 GRAM = 20
@@ -23,11 +27,15 @@ GRAM = 20
 BEFORE, AFTER = LENGTH - GRAM, LENGTH
 #: Bytes that the sort by words looks at before blind tries take over.
 SHALLOW = 48
-#: An anchor with more contexts than this is settled by grouping its strings' hashes over the cluster.
-MOST_TOGETHER = 500_000
-#: Anchors that a task holds to settle among its own documents.
-HELD = 500_000
-MAP_BITS = 1 << 26
+#: Contexts of one anchor that are sorted together; the strings of an anchor with more are grouped by their hashes over the cluster.
+MOST_TOGETHER = 20_000
+#: Anchors that a task holds to settle among its own documents, and rows left of one of them from which it is hot.
+HELD = 300_000
+HOT = 16
+#: Rows that wait for the rest of their anchor.
+WAITING = 400_000
+#: Bits of the largest map of anchors that goes to every task; the maps grow with what is in them. Beyond it, contexts are joined with the anchors instead.
+MAP_BITS = 1 << 29
 
 
 def _least(h: np.ndarray, w: int, f) -> np.ndarray:
@@ -75,25 +83,45 @@ def _merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray):
     return doc[first], lo[first], (reach - base)[last]
 
 
-_FOUND = pa.schema([("key", pa.int64()), ("ctx", pa.int64()), ("doc", pa.int64()), ("lo", pa.int64()), ("n", pa.int32()), ("known", pa.bool_())])
+_CONTEXT, _KNOWN, _IS_HOT = 0, 1, 2
+_FOUND = pa.schema([("key", pa.int64()), ("ctx", pa.int64()), ("doc", pa.int64()), ("lo", pa.int64()), ("n", pa.int32()), ("kind", pa.int8())])
+
+
+def _firsts(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it."""
+    first = np.ones(len(sorted_columns[0]), bool)
+    first[1:] = False
+    for c in sorted_columns:
+        first[1:] |= c[1:] != c[:-1]
+    return first
+
+
+def _least_of(name: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each row the least doc among the rows of its name."""
+    order = np.lexsort((doc, name))
+    first = _firsts(name[order])
+    out = np.empty(len(doc), np.int64)
+    out[order] = doc[order][np.maximum.accumulate(np.where(first, np.arange(len(doc)), 0))]
+    return out
 
 
 def _placed(batches):
-    """Rows (hash of the anchor, hash of the context, doc, context of n bytes from lo). What a task can settle alone is known: n bytes from lo are covered."""
+    """Rows (hash of the anchor, hash of the context, doc, context of n bytes from lo, kind). What a task can settle alone is known: n bytes from lo are covered. Of a hot anchor nothing but that it is hot goes on."""
     held, size = [], 0
 
     def out():
         h, ctx, doc, lo, hi = (np.concatenate(x) for x in zip(*held, strict=True))
-        both = mixed(h * np.uint64(3) + ctx)
-        order = np.lexsort((doc, both))
-        b, d = both[order], doc[order]
-        first = np.concatenate([[True], b[1:] != b[:-1]])
-        least = d[np.maximum.accumulate(np.where(first, np.arange(len(b)), 0))]
-        done = order[d > least]
-        rest = np.sort(order[d == least])
-        cd, cl, ch = _merged(doc[done], lo[done], hi[done])
-        cols = [np.concatenate([h[rest].view(np.int64), cd]), np.concatenate([ctx[rest].view(np.int64), np.zeros(len(cd), np.int64)]), np.concatenate([doc[rest], cd]), np.concatenate([lo[rest], cl]), np.concatenate([hi[rest] - lo[rest], ch - cl]).astype(np.int32)]
-        return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.arange(len(cols[0])) >= len(rest))], schema=_FOUND)
+        gone = doc > _least_of(mixed(h * np.uint64(3) + ctx), doc)
+        rest = np.flatnonzero(~gone)
+        keys, times = np.unique(h[rest], return_counts=True)
+        hot = keys[times > HOT]
+        if len(hot):
+            rest = rest[~np.isin(h[rest], hot)]
+        cd, cl, ch = _merged(doc[gone], lo[gone], hi[gone])
+        none, some = np.zeros(len(cd), np.int64), np.zeros(len(hot), np.int64)
+        cols = [np.concatenate(x) for x in ((h[rest].view(np.int64), cd, hot.view(np.int64)), (ctx[rest].view(np.int64), none, some), (doc[rest], cd, some), (lo[rest], cl, some), (hi[rest] - lo[rest], ch - cl, some))]
+        kind = np.repeat([_CONTEXT, _KNOWN, _IS_HOT], [len(rest), len(cd), len(hot)])
+        return pa.RecordBatch.from_arrays([*map(pa.array, cols[:4]), pa.array(cols[4].astype(np.int32)), pa.array(kind.astype(np.int8))], schema=_FOUND)
 
     for rows, data, offsets in text_slices(batches):
         row, place, h = _anchors(data, offsets)
@@ -112,75 +140,104 @@ def _placed(batches):
 
 
 def _settled(batches):
-    """Of rows in order of anchor, context and doc: what is covered for certain, and (with key) the anchors whose bytes must be looked at."""
-    rest = None
+    """Of rows in order of anchor, context and doc: what is covered for certain, and (with key) the anchors whose bytes must be looked at, and which of them are hot."""
 
     def work(t):
-        key, ctx, doc, lo, n, known = (np.asarray(t.column(c).combine_chunks()) for c in ("key", "ctx", "doc", "lo", "n", "known"))
-        hi = lo + n
-        new_key = np.concatenate([[True], key[1:] != key[:-1]])
-        new_ctx = new_key | np.concatenate([[True], ctx[1:] != ctx[:-1]])
-        k, c = np.cumsum(new_key) - 1, np.cumsum(new_ctx) - 1
-        starts = np.flatnonzero(new_key)
-        real = ~known
+        key, ctx, doc, lo, n, kind = (np.asarray(t.column(c).combine_chunks()) for c in ("key", "ctx", "doc", "lo", "n", "kind"))
+        hi, real = lo + n, kind == _CONTEXT
+        new_key, new_ctx = _firsts(key), _firsts(key, ctx)
+        k, starts = np.cumsum(new_key) - 1, np.flatnonzero(new_key)
         low = np.minimum.reduceat(np.where(real, doc, np.iinfo(np.int64).max), starts)
         top = np.maximum.reduceat(np.where(real, doc, np.iinfo(np.int64).min), starts)
-        least = doc[np.flatnonzero(new_ctx)][c]
-        covered = known | (doc > least)
+        least = doc[np.flatnonzero(new_ctx)][np.cumsum(new_ctx) - 1]
+        covered = (kind == _KNOWN) | (real & (doc > least))
         ask = np.zeros(len(starts), bool)
         ask[k[real & ~covered & (doc > low[k])]] = True
         ask &= top > low
+        hot = np.bincount(k[real], minlength=len(starts)) > MOST_TOGETHER
+        hot[k[kind == _IS_HOT]] = True
+        ask |= hot
         cd, cl, ch = _merged(doc[covered], lo[covered], hi[covered])
         asked = key[starts[ask]]
-        none = np.zeros(len(asked), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(len(cd), np.int64), asked]), mask=np.arange(len(cd) + len(asked)) < len(cd)), *(pa.array(np.concatenate([x, none])) for x in (cd, cl, ch))], ["key", "doc", "lo", "hi"])
+        none, head = np.zeros(len(asked), np.int64), np.arange(len(cd) + len(asked)) < len(cd)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(len(cd), np.int64), asked]), mask=head), pa.array(np.concatenate([np.zeros(len(cd), bool), hot[ask]]), mask=head), *(pa.array(np.concatenate([x, none])) for x in (cd, cl, ch))], ["key", "hot", "doc", "lo", "hi"])
 
-    carried, held, size = None, [], 0  # carried: the least doc of an anchor and of a context that go on, and whether the anchor has several
+    held, size = [], 0
     for batch in batches:
         held.append(pa.Table.from_batches([batch]))
         size += batch.num_rows
-        if size < 200_000:
+        if size < WAITING // 4:
             continue
         t = pa.concat_tables(held).combine_chunks()
         key = np.asarray(t.column("key").combine_chunks())
         end = int(np.searchsorted(key, key[-1]))
-        if end == 0 and size < 2_000_000:
-            continue
-        if end == 0:
-            # An anchor of millions of rows: its contexts so far are settled by what came first; the rest goes on with one row for each of its least documents.
-            ctx = np.asarray(t.column("ctx").combine_chunks())
-            doc = np.asarray(t.column("doc").combine_chunks())
-            yield work(t)
-            again = np.unique([int(np.argmin(doc)), int(np.searchsorted(ctx, ctx[-1]))])
-            held, size = [t.take(pa.array(again))], len(again)
+        if end == 0 and size < WAITING:
             continue
+        # An anchor of so many rows is hot: what its contexts cover is found by their strings, so it may be divided here.
+        end = end or len(key)
         yield work(t.slice(0, end))
         held, size = [t.slice(end)], t.num_rows - end
-    if held:
+    if size:
         yield work(pa.concat_tables(held).combine_chunks())
 
 
-def _wanted(which):
-    """Anchors in a map of hashes, with their contexts' bytes."""
+_NEAR = ["key", "ctx", "doc", "lo", "hi", "before", "bytes"]
+_STRING, _COVER = -1, -2
+
+
+def _strings_of(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, place: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """The 50-byte strings around these anchors: (h1, h2, doc, lo, hi), one row for all places of a string in a doc that touch; what a smaller doc of these rows has is covered."""
+    first, last = np.maximum(offsets[row], place + GRAM - LENGTH), np.minimum(place, offsets[row + 1] - LENGTH)
+    step = np.zeros(len(data) + 2, np.int32)
+    np.add.at(step, first, 1)
+    np.add.at(step, last + 1, -1)
+    at = np.flatnonzero(np.cumsum(step[:-1]) > 0)
+    keys = _BYTE_KEYS[data]
+    h1, h2 = range_hashes(keys, at, at + LENGTH), range_hashes(mixed(keys), at, at + LENGTH)
+    of = np.searchsorted(offsets, at, side="right") - 1
+    doc, lo = ids[of], at - offsets[of]
+    both = h1 ^ mixed(h2)
+    gone = doc > _least_of(both, doc)
+    cd, cl, ch = _merged(doc[gone], lo[gone], lo[gone] + LENGTH)
+    rest = np.flatnonzero(~gone)
+    # Places of one string in one doc, as merged intervals.
+    rest = rest[np.lexsort((doc[rest], both[rest]))]
+    group = np.cumsum(_firsts(both[rest], doc[rest])) - 1 if len(rest) else rest
+    name, sl, sh = _merged(group, lo[rest], lo[rest] + LENGTH)
+    own = rest[np.searchsorted(group, name)]
+    none = np.zeros(len(cd), np.int64)
+    cols = [np.concatenate(x) for x in ((h1[own].view(np.int64), cd), (h2[own].view(np.int64), none), (doc[own], cd), (sl, cl), (sh, ch))]
+    before = np.repeat(np.array([_STRING, _COVER], np.int32), [len(own), len(cd)])
+    return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(before), pa.nulls(len(before), pa.binary())], _NEAR)
+
+
+def _wanted(which, hot=None):
+    """Anchors in a map of hashes (None: all), with their contexts' bytes; of those in the map of hot ones, the strings by their hashes."""
 
     def run(batches):
-        marks = which.value
         for rows, data, offsets in text_slices(batches):
             row, place, h = _anchors(data, offsets)
-            own = np.flatnonzero(_marked(marks, h))
+            ids = np.asarray(rows.column("doc_id"))
+            burns = _marked(hot.value, h) if hot is not None else np.zeros(len(h), bool)
+            if burns.any():
+                yield _strings_of(data, offsets, row[burns], place[burns], ids)
+            own = np.flatnonzero(~burns & (_marked(which.value, h) if which is not None else True))
             if not len(own):
                 continue
             row, place, h = row[own], place[own], h[own]
             lo, hi = _contexts(data, offsets, row, place)
             ctx = range_hashes(_BYTE_KEYS[data], lo, hi)
-            ids, raw = np.asarray(rows.column("doc_id")), data.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(ids[row]), pa.array(lo - offsets[row]), pa.array((place - lo).astype(np.int32)), pa.array([raw[a:b] for a, b in zip(lo, hi, strict=True)], pa.binary())], ["key", "ctx", "doc", "lo", "before", "bytes"])
+            # A context that a smaller doc has is covered already.
+            own = np.flatnonzero(ids[row] == _least_of(mixed(h * np.uint64(3) + ctx), ids[row]))
+            row, place, h, lo, hi, ctx = (x[own] for x in (row, place, h, lo, hi, ctx))
+            raw = data.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(ids[row]), pa.array(lo - offsets[row]), pa.array(hi - offsets[row]), pa.array((place - lo).astype(np.int32)), pa.array([raw[a:b] for a, b in zip(lo, hi, strict=True)], pa.binary())], _NEAR)
 
     return run
 
 
 def _marked(marks: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = h % np.uint64(MAP_BITS)
+    at = h % np.uint64(len(marks) * 8)
     return (marks[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
@@ -356,8 +413,9 @@ def _hashed(rows: pa.Table) -> pa.RecordBatch:
 
 
 def _compared(batches, most: int = MOST_TOGETHER, together: int = 20_000):
-    """Of contexts in order of anchor, context and doc: covered intervals; a run of more than `most` contexts goes on as hashes of its strings."""
+    """Of strings by hash, then contexts by anchor, in order of those and of doc: covered intervals; a run of more than `most` contexts goes on as hashes of its strings."""
     held, size, wait, large = [], 0, together, None
+    string = None  # (h1, h2, least doc) of the string that the last batch ended in
 
     def pieces(t, key):
         """Yields what is complete, and last what must wait."""
@@ -371,8 +429,27 @@ def _compared(batches, most: int = MOST_TOGETHER, together: int = 20_000):
                 large = None
         yield t
 
+    def covered(batch):
+        nonlocal string
+        key, ctx, doc, lo, hi, before = (np.asarray(batch.column(c)) for c in _NEAR[:-1])
+        first = _firsts(key, ctx)
+        if string is not None and (key[0], ctx[0]) == string[:2]:
+            first[0] = False
+        at = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
+        least = np.where(at >= 0, doc[at], string[2] if string is not None else 0)
+        string = (key[-1], ctx[-1], least[-1])
+        gone = (before == _COVER) | (doc > least)
+        d, a, b = _merged(doc[gone], lo[gone], hi[gone])
+        none = np.zeros(len(d), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(none, mask=none == 0), pa.array(none), *map(pa.array, (d, a, b))], _COMPARED)
+
     last = None
     for batch in batches:
+        if (n := batch.column("bytes").null_count) and batch.num_rows:
+            yield covered(batch.slice(0, n))
+            batch = batch.slice(n)
+        if not batch.num_rows:
+            continue
         # Equal contexts in larger docs are settled already: the first of each is all that others need.
         key, ctx, doc = (np.asarray(batch.column(c)) for c in ("key", "ctx", "doc"))
         first = np.ones(len(key), bool)
@@ -405,24 +482,37 @@ def _compared(batches, most: int = MOST_TOGETHER, together: int = 20_000):
             yield _sorted_out(t)
 
 
-def covered(docs: DataFrame) -> DataFrame:
+def _map(spark, keys: DataFrame, most: int):
+    """A broadcast map of bits of these hashes with room for sixteen for each, up to `most` bits (a power of two); None if there are none."""
+    n = keys.count()
+    if not n:
+        return None
+    bits = max(1 << 20, min(most, 1 << (16 * n - 1).bit_length()))
+    x = F.expr(f"key & {bits - 1}")
+    found = keys.groupBy((x / 32768).cast("int").alias("at")).agg(F.bitmap_construct_agg(x % 32768).alias("bits")).collect()
+    marks = np.zeros(bits // 8, np.uint8)
+    for r in found:
+        marks[r["at"] * 4096 : (r["at"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return spark.sparkContext.broadcast(marks)
+
+
+def covered(docs: DataFrame, most_bits: int = MAP_BITS) -> DataFrame:
     """(doc, lo, hi): bytes from lo to hi are in 50-byte strings that a document with a smaller doc_id has; intervals may overlap."""
     spark = docs.sparkSession
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") >= LENGTH)
-    found = docs.mapInArrow(_placed, "key long, ctx long, doc long, lo long, n int, known boolean")
+    found = docs.mapInArrow(_placed, "key long, ctx long, doc long, lo long, n int, kind byte")
     lists = found.repartition("key").sortWithinPartitions("key", "ctx", "doc")
-    settled = kept_table(lists.mapInArrow(_settled, "key long, doc long, lo long, hi long"), "settled")
-    x = F.pmod(F.expr("key & 9223372036854775807"), F.lit(MAP_BITS))
-    bits = settled.where("key is not null").groupBy((x / 32768).cast("int").alias("at")).agg(F.bitmap_construct_agg(x % 32768).alias("bits")).collect()
-    done = settled.where("key is null").select("doc", "lo", "hi")
-    if not bits:
+    settled = kept_table(lists.mapInArrow(_settled, "key long, hot boolean, doc long, lo long, hi long"), "settled")
+    done, asked = settled.where("key is null").select("doc", "lo", "hi"), settled.where("key is not null")
+    few = asked.count() * 8 <= most_bits
+    which = _map(spark, asked, most_bits) if few else None
+    if few and which is None:
         return done
-    marks = np.zeros(MAP_BITS // 8, np.uint8)
-    for r in bits:
-        marks[r["at"] * 4096 : (r["at"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    which = spark.sparkContext.broadcast(marks)
-    near = docs.mapInArrow(_wanted(which), "key long, ctx long, doc long, lo long, before int, bytes binary")
-    near = near.repartition("key").sortWithinPartitions("key", "ctx", "doc")
+    # What this map has besides hot anchors goes as strings too, which changes nothing but the cost.
+    near = docs.mapInArrow(_wanted(which, _map(spark, asked.where("hot"), min(most_bits, 1 << 26))), "key long, ctx long, doc long, lo long, hi long, before int, bytes binary")
+    if not few:
+        near = near.join(asked.select("key").distinct(), "key", "left_semi").unionByName(near.where("before < 0"))
+    near = near.repartition("key").sortWithinPartitions(F.col("bytes").isNotNull(), "key", "ctx", "doc")
     compared = kept_table(near.mapInArrow(_compared, "h1 long, h2 long, doc long, lo long, hi long"), "compared")
     strings = compared.where("h1 is not null")
     least = strings.groupBy("h1", "h2").agg(F.min("doc").alias("least"))
@@ -430,40 +520,43 @@ def covered(docs: DataFrame) -> DataFrame:
     return done.unionByName(compared.where("h1 is null").select("doc", "lo", "hi")).unionByName(again)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs with `spans` (removed runs of bytes, as longs lo << 32 | hi) and `kept` (the other bytes, in order).
+def remove_repeats(docs: DataFrame, most_bits: int = MAP_BITS) -> DataFrame:
+    """docs with `spans` (removed runs of bytes, as longs lo << 32 | hi) and `kept` (the other bytes, in order), which replace columns of those names.
 
     A null text has no bytes. Documents under 50 bytes, and rows without doc_id, lose nothing and take
     nothing from others. Rows that repeat a doc_id are one document. `kept` may end a character early.
+    doc_id must be a whole number. Other columns stay, whatever their names.
     """
+    frame = without(docs, "spans", "kept")
+    names = frame.columns
+    cover, doc = fresh(frame, "cover", "doc")
     code = F.shiftleft(F.col("lo"), 32).bitwiseOR(F.col("hi"))
-    by_doc = covered(docs).groupBy("doc").agg(F.collect_list(code).alias("_cover"))
-    frame = docs.drop("spans", "kept").join(by_doc.withColumnRenamed("doc", "_doc"), F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
-    names = [c for c in frame.columns if c != "_cover"]
+    by_doc = covered(docs, most_bits).groupBy(F.col("doc").alias(doc)).agg(F.collect_list(code).alias(cover))
+    frame = frame.join(by_doc, F.col("doc_id") == F.col(doc), "left").select(*named(names), cover)
 
     def run(batches):
         for batch in batches:
             for rows, data, offsets in text_slices([batch]):
                 raw, spans, kept = data.tobytes(), [], []
-                for i, cover in enumerate(rows.column("_cover")):
+                for i, found in enumerate(rows.column(cover)):
                     own = raw[offsets[i] : offsets[i + 1]]
-                    if not cover.is_valid:
+                    if not found.is_valid:
                         spans.append([])
                         kept.append(own)
                         continue
-                    x = np.asarray(cover.values)
+                    x = np.asarray(found.values)
                     _, lo, hi = _merged(np.zeros(len(x), np.int64), x >> 32, x & 0xFFFFFFFF)
                     spans.append(((lo << 32) | hi).tolist())
                     ends = [0, *np.stack([lo, hi], axis=1).ravel().tolist(), len(own)]
                     kept.append(b"".join(own[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)))
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), pa.array(spans, pa.list_(pa.int64())), pa.array(kept, pa.binary())], [*names, "spans", "kept"])
 
-    schema = T.StructType([*frame.select(names).schema, T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("kept", T.BinaryType())])
+    schema = T.StructType([*docs.select(*named(names)).schema, T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("kept", T.BinaryType())])
     return frame.mapInArrow(run, schema)
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, most_bits: int = MAP_BITS) -> DataFrame:
     """Per document: its bytes, those removed, the runs they make, and a digest of the rest."""
-    out = remove_repeats(docs.select("doc_id", "text"))
+    out = remove_repeats(docs.select("doc_id", "text"), most_bits)
     n = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     return out.select("doc_id", n.alias("n_bytes"), (n - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

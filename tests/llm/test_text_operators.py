@@ -167,6 +167,17 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.report(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most_bits", [suffix_dedup.MAP_BITS, 64])
+def test_suffix_dedup_of_hot_anchors(spark, most_bits):
+    line, rows = prose(72, 9), [(1, "over and over. " * 300), (2, prose(74, 5) + "over and over. " * 90), (None, "over and over. " * 9)]
+    rows += [(3 + k, prose(900 + k, 9) + " " + line[k % 3 : 60 + k % 9] + "\n" + prose(1200 + k, 9)) for k in range(220)]
+    docs = spark.createDataFrame([(*r, "clash", "x") for r in rows], "doc_id long, text string, _doc string, cover string").repartition(2)
+    got = Counter(tuple(r) for r in suffix_dedup.report(docs, most_bits).collect() if r.doc_id is not None)
+    assert got == removed([r for r in rows if r[0] is not None])
+    out = suffix_dedup.remove_repeats(docs, most_bits)
+    assert out.columns == ["doc_id", "text", "_doc", "cover", "spans", "kept"] and {r["_doc"] for r in out.collect()} == {"clash"}
+
+
 def test_suffix_comparison_of_large_runs():
     """Runs handed on as hashes cover the same bytes as sorted ones."""
     line = (prose(71, 12) + " ")[:70]
@@ -174,7 +185,7 @@ def test_suffix_comparison_of_large_runs():
     batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array(texts)], ["doc_id", "text"])
 
     class All:
-        value = np.full(suffix_dedup.MAP_BITS // 8, 255, np.uint8)
+        value = np.full(1024, 255, np.uint8)
 
     near = pa.Table.from_batches(list(suffix_dedup._wanted(All)([batch]))).sort_by([("key", "ascending"), ("ctx", "ascending"), ("doc", "ascending")])
 
