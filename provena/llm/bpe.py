@@ -16,18 +16,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from provena.llm.common import text_slices
+from provena.llm.common import binary_array, binary_slices, fresh, modest_batches, named, text_slices, without
 
 #: The file of ranks is broadcast; no vocabulary in use comes near this size.
 MOST_RANK_BYTES = 64 << 20
 #: Pieces whose ids a worker remembers; beyond that it forgets all and goes on.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Stands between pieces that go to the library in one string; a piece that has it is merged by rank.
 BETWEEN = "\U0010ffff"
 
 _codecs: dict[str, Codec] = {}
+_decoders: dict[str, Decoder] = {}
 
 
 def read_ranks(spark, path: str):
@@ -46,15 +46,41 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in own else chr(next(others)) for b in range(256)]
 
 
-class Codec:
-    """One vocabulary in a worker."""
+class Decoder:
+    """The bytes of a vocabulary's tokens, by rank."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for t, r in ranks.items():
+            tokens[r] = t
+        self.lengths = np.array([len(t) for t in tokens])
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
+
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of the ids, one token after the other; a character may be split over tokens."""
+        if len(ids) and int(ids.max()) >= len(self.lengths):
+            raise ValueError(f"id {int(ids.max())} is not in the vocabulary")
+        n = self.lengths[ids]
+        ends = np.cumsum(n)
+        at = np.repeat(self.starts[ids] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return self.flat[at]
+
+
+def _ranks_of(raw: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line.strip())}
+
+
+class Codec(Decoder):
+    """One vocabulary in a worker that encodes."""
 
     def __init__(self, raw: bytes, pattern: str):
         import regex
         import tiktoken
         from tokenizers import Tokenizer, models, pre_tokenizers
 
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line.strip())}
+        ranks = _ranks_of(raw)
+        super().__init__(ranks)
         sign = byte_alphabet()
         name = {t: "".join(sign[b] for b in t) for t in ranks}
         merges = [(name[t[:i]], name[t[i:]]) for t in sorted(ranks, key=ranks.get) for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
@@ -66,12 +92,6 @@ class Codec:
         # x, y, z with x + y == y + z: the bytes begin with a repetition and one byte more of it.
         self.overlap = re.compile(rb"(.)(.*?)\1\2\1", re.DOTALL).search
         self.ids: dict[str, bytes] = {}
-        tokens = [b""] * (max(ranks.values()) + 1)
-        for t, r in ranks.items():
-            tokens[r] = t
-        self.lengths = np.array([len(t) for t in tokens])
-        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -98,15 +118,6 @@ class Codec:
                 self.ids[p] = own
         return [b"".join(map(self.ids.__getitem__, pieces)) for pieces in split]
 
-    def decode(self, ids: np.ndarray) -> np.ndarray:
-        """The bytes of the ids, one token after the other; a character may be split over tokens."""
-        if len(ids) and int(ids.max()) >= len(self.lengths):
-            raise ValueError(f"id {int(ids.max())} is not in the vocabulary")
-        n = self.lengths[ids]
-        ends = np.cumsum(n)
-        at = np.repeat(self.starts[ids] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
-        return self.flat[at]
-
     def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First character and end of each token; tokens that share a character both have it."""
         lead = (np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80
@@ -125,51 +136,59 @@ def codec(ranks, pattern: str) -> Codec:
     return _codecs[key]
 
 
+def decoder(ranks) -> Decoder:
+    name, raw = ranks.value
+    if name not in _decoders:
+        _decoders[name] = Decoder(_ranks_of(raw))
+    return _decoders[name]
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", offsets: bool = False) -> DataFrame:
     """docs with the ids of the whole text: binary, little-endian unsigned 32-bit integers.
 
     offsets adds char_starts and char_ends, each token's characters. A null or empty text has no ids
-    (empty binary). No special tokens: their strings are ordinary text. Other columns stay; a column
-    that is named like a new one is replaced.
+    (empty binary). No special tokens: their strings are ordinary text. Other columns stay and don't leave
+    the JVM; a column that is named like a new one is replaced. Rows that repeat a doc_id have ids each.
     """
+    modest_batches(docs.sparkSession)
     ranks = read_ranks(docs.sparkSession, ranks_path)
-    added = [ids_col, *["char_starts", "char_ends"] * offsets]
-    kept = [c for c in docs.columns if c not in added]
-    frame = docs.select(*kept, F.col(text_col).alias("_text"))
-
-    def run(batches):
-        own = codec(ranks, pattern)
-        for rows, _, _ in text_slices(batches, "_text"):
-            texts = [t or "" for t in rows.column("_text").to_pylist()]
-            ids = own.encode(texts)
-            cols = [*(rows.column(c) for c in kept), pa.array(ids, pa.binary())]
+
+    def run(texts: pa.Array) -> pa.Array:
+        own, ids, spans = codec(ranks, pattern), [], []
+        for rows, _, _ in text_slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])])):
+            some = [t or "" for t in rows.column(0).to_pylist()]
+            new = own.encode(some)
+            ids += new
             if offsets:
-                spans = [own.spans(t, np.frombuffer(x, "<u4")) if x else ((), ()) for t, x in zip(texts, ids, strict=True)]
-                cols += [pa.array([s[k] for s in spans], pa.list_(pa.int32())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays(cols, [*kept, *added])
+                spans += [own.spans(t, np.frombuffer(x, "<u4")) if x else ((), ()) for t, x in zip(some, new, strict=True)]
+        parts = [pa.array(ids, pa.binary())]
+        if offsets:
+            parts += [pa.array([s[k] for s in spans], pa.list_(pa.int32())) for k in (0, 1)]
+        return pa.StructArray.from_arrays(parts, ["ids", "char_starts", "char_ends"][: len(parts)])
 
-    kinds = [T.BinaryType(), *[T.ArrayType(T.IntegerType())] * 2]
-    return frame.mapInArrow(run, T.StructType([*docs.select(kept).schema, *(T.StructField(c, k) for c, k in zip(added, kinds, strict=False))]))
+    kind = "ids binary, char_starts array<int>, char_ends array<int>" if offsets else "ids binary"
+    found = F.arrow_udf(run, kind)(F.col(text_col))
+    if not offsets:
+        return docs.withColumn(ids_col, found["ids"])
+    frame = without(docs, ids_col, "char_starts", "char_ends")
+    (own,) = fresh(frame, "encoded")
+    return frame.withColumn(own, found).select(*named(frame.columns), F.col(f"{own}.ids").alias(ids_col), f"{own}.char_starts", f"{own}.char_ends")
 
 
 def decode(docs: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "bytes") -> DataFrame:
-    """docs with the bytes that the ids stand for; null ids are as none. Ids outside the vocabulary raise an error."""
+    """docs with the bytes that the ids stand for; null ids are as none. Ids outside the vocabulary raise an error. Other columns stay."""
+    modest_batches(docs.sparkSession)
     ranks = read_ranks(docs.sparkSession, ranks_path)
-    kept = [c for c in docs.columns if c != bytes_col]
-
-    def run(batches):
-        own = codec(ranks, pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                rows = batch.slice(at, 500)
-                ids = [x or b"" for x in rows.column(ids_col).to_pylist()]
-                flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
-                raw = own.decode(flat).tobytes()
-                bytes_before = np.concatenate([[0], np.cumsum(own.lengths[flat])])
-                ends = bytes_before[np.cumsum([0, *(len(x) // 4 for x in ids)])]
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), pa.array([raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], [*kept, bytes_col])
-
-    return docs.select(*kept).mapInArrow(run, T.StructType([*docs.select(kept).schema, T.StructField(bytes_col, T.BinaryType())]))
+
+    def run(ids: pa.Array) -> pa.Array:
+        own, out = decoder(ranks), []
+        for _, data, ends in binary_slices(iter([pa.RecordBatch.from_arrays([ids], ["ids"])]), "ids"):
+            own_ids = data.view("<u4").astype(np.int64)
+            bytes_before = np.concatenate([[0], np.cumsum(own.lengths[own_ids])]) if len(own_ids) else np.zeros(1, np.int64)
+            out.append(binary_array(own.decode(own_ids), bytes_before[ends // 4]))
+        return pa.concat_arrays(out) if out else pa.array([], pa.binary())
+
+    return docs.withColumn(bytes_col, F.arrow_udf(run, "binary")(F.col(ids_col)))
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
