@@ -1,10 +1,11 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
-Base patterns give spans that always stay. Wider patterns give candidates besides. Labelers vote on both:
-strict forms, gazetteers, words before a span, checksums and what touches it. Expectation-maximisation
-over the counts of vote patterns estimates how reliable each labeler is; the posteriors train a
-logistic classifier on the same features, which decides on the candidates. Only counts of patterns reach
-the driver: there are at most 3 ** LABELERS of them a kind.
+Base patterns give spans that always stay. Wider patterns give candidates besides. Labelers vote on all
+matches, those that fail their base check too: strict forms, gazetteers, words before a span, checksums
+and what touches it. Expectation-maximisation over the counts of vote patterns estimates how reliable
+each labeler is; the posteriors train a logistic classifier on the same features, which decides on the
+candidates. Its weights start from, and without evidence stay at, labelers that are right four times of
+five. Only counts of patterns reach the driver: there are at most 3 ** LABELERS of them a kind.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provena.llm.common import kept_table, packed, unpacked
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "name")
 LABELERS = 5
@@ -22,6 +25,8 @@ LABELERS = 5
 ACCEPTED = 0.8
 #: Characters before and after a span that labelers see.
 AROUND = 32
+#: What is taken of labelers before any evidence: how often they are right, and the share of candidates that are personal data.
+RIGHT, SHARE = 0.8, 0.3
 
 # The base patterns. Each takes a whole run at once and starts at a run's beginning or where a match ended, so that no text costs more than linear time; the matches are those of the plain patterns.
 _LOCAL = "A-Za-z0-9._%+-"
@@ -44,6 +49,14 @@ _CONTEXT = {
     "secret": rf"(?:{_KEYS})",
     "name": r"(?:name is|i am|called|heiß|m'appelle|me llamo|signed|dear)",
 }
+_AGAINST = {
+    "email": r"(?:handle|import|package)",
+    "ip": r"(?:version|release|section|chapter|\bv\.? ?)",
+    "card": r"(?:order|tracking|isbn|serial|invoice|account no)",
+    "phone": r"(?:part|order|item|serial|ref|invoice|sku|isbn|case|ticket|model|number of|\bno\.|\bnr\.|#)",
+    "secret": r"(?:path|file|https?:|www\.|import|include|isbn|doi|slug|href|src)",
+    "name": r"(?:street|avenue|st\.|hotel|museum)",
+}
 _WIDER = {
     "email": rf"(?<![{_LOCAL}])[{_LOCAL}]{{1,64}}+ ?[\[({{]\s?(?i:at)\s?[\])}}] ?[A-Za-z0-9-]++(?:(?:\.| ?[\[({{]\s?(?i:dot)\s?[\])}}] ?)[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}+:){7}[0-9A-Fa-f]{1,4}+(?![0-9A-Fa-f:])",
@@ -132,24 +145,26 @@ def _votes(text: Column, c: Column, kind: str) -> list[Column]:
     m = c["m"]
     left = F.lower(F.substring(text, F.greatest(c["s"] - AROUND, F.lit(0)) + 1, F.least(c["s"], F.lit(AROUND))))
     before, after = F.right(left, F.lit(1)), F.substring(text, c["e"] + 1, F.lit(1))
-    context = F.when(left.rlike(_CONTEXT[kind]), 1).otherwise(0)
+    context = F.when(left.rlike(_CONTEXT[kind]), 1).when(left.rlike(_AGAINST[kind]), -1).otherwise(0)
     touched = before.rlike(r"[\p{L}0-9]") | after.rlike(r"[\p{L}0-9]")
-    touch = _vote(~touched & ((before == " ") | (before == "") | before.isin('"', "'", "(", "<", ":")), touched)
+    touch = _vote(~touched & ((before == "") | before.isin('"', "'", "(", "<", ":", "=")), touched)
     never = F.lit(False)
     if kind == "email":
         own = [_vote(m.rlike(rf"^[A-Za-z0-9][{_LOCAL}]*(?:@| ?[\[({{])"), m.rlike(r"^[._%+-]")), _vote(m.rlike(rf"(?i)(?:{_ENDINGS})$"), m.rlike(r"[0-9]$")), _vote(F.length(m).between(6, 80), F.length(m) > 200)]
     elif kind == "ip":
         v4 = F.contains(m, F.lit("."))
-        own = [_vote(m.rlike(r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$") | ~v4, m.rlike(r"[0-9]{4}")), _vote(m.rlike(r"^(?:10|127|169|172|192)\.|:"), m.rlike(r"^0")), _vote(_valid("ip", m) | ~v4, v4 & ~_valid("ip", m))]
+        own = [_vote(m.rlike(r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$") | (~v4 & m.rlike("[0-9A-Fa-f]{3}")), m.rlike(r"[0-9]{4}") & v4), _vote(m.rlike(r"^(?:10|127|169|172|192)\.") | m.rlike(r"^(?i:[0-9a-f]*:)*(?i:[0-9]*[a-f])"), m.rlike(r"^0") | (~v4 & ~m.rlike("[0-9A-Fa-f]{2}"))), _vote(_valid("ip", m), v4 & ~_valid("ip", m))]
     elif kind == "card":
         n = F.length(_digits(m))
         own = [_vote((n == 16) | (n == 15), n == 13), _vote(m.rlike(r"^(?:4|5[1-5]|3[47]|6)"), m.rlike(r"^[0179]")), _vote(luhn(m), ~luhn(m))]
     elif kind == "phone":
         n = F.length(_digits(m))
-        own = [_vote(m.rlike(r"^\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]|^\([0-9]{3}\)"), m.rlike(r"[ ().-]{3}")), _vote(m.rlike(r"^\+(?:1|33|34|44|49|41|43)"), m.rlike(r"^\+0")), _vote(n.between(9, 15), (n < 9) | (n > 15))]
+        own = [_vote(m.rlike(r"^\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]|^\([0-9]{3}\)"), m.rlike(r"[ ().-]{3}")), _vote(m.rlike(r"^\+(?:1|33|34|44|49|41|43)"), m.rlike(r"^\+0")), _vote(n.between(9, 15) & m.rlike(r"^\+"), (n < 9) | (n > 15))]
     elif kind == "secret":
-        distinct = F.size(F.array_distinct(F.split(m, "")))
-        own = [_vote(m.rlike(r"^(?:[0-9a-f]{32,}|[A-Za-z0-9+/_-]{20,})$") & m.rlike(r"[0-9].*[0-9].*[0-9]") & m.rlike("[A-Za-z]"), ~m.rlike(r"[0-9]") | ~m.rlike("[A-Za-z]")), _vote(left.rlike(rf"(?:{_KEYS})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?$"), ~left.rlike(r"[:=]")), _vote(distinct >= 10, distinct < 8)]
+        # Paths, slugs and names in code are words and short numbers; random strings change between letters, capitals and digits all the time.
+        words = m.rlike(r"^(?:[/_+-]|[A-Z]?[a-z]{2,}+|[A-Z]{2,}+(?![a-z])|[0-9]{1,4}+(?![0-9]))*+$")
+        changes = F.regexp_count(m, F.lit(r"(?<=[A-Za-z])[0-9]|(?<=[0-9])[A-Za-z]|(?<=[a-z])[A-Z]"))
+        own = [_vote(~words & m.rlike(r"[0-9].*[0-9].*[0-9]") & m.rlike("[A-Za-z]"), words | ~m.rlike("[A-Za-z]")), _vote(left.rlike(rf"(?:{_KEYS})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?$"), ~left.rlike(r"[:=]\s{0,3}[\"']?$")), _vote(changes * 6 >= F.length(m), (changes * 12 < F.length(m)) & ~m.rlike("^[0-9a-f]{32,}$"))]
     else:
         own = [_vote(m.rlike(rf"^(?:{_TITLES})\.? "), never), _vote(m.rlike(rf" (?:{_GIVEN})\b"), never), _vote(F.length(m) < 40, F.length(m) > 60)]
     return [own[0], own[1], context, own[2], touch]
@@ -168,25 +183,20 @@ def _or_none(a: Column, kind: str) -> Column:
     return F.coalesce(a, _none(kind))
 
 
-def _with_spans(docs: DataFrame) -> DataFrame:
-    """docs with _base (spans of the base patterns that hold) and _wider (candidates that touch none of them), voted on."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.withColumn("_t", text)
-    out = out.withColumns({f"_b{i}": _found(F.col("_t"), _PATTERNS[k], i, _HINT[k](F.col("_t"))) for i, k in enumerate(BASE)} | {f"_w{KINDS.index(k)}": _found(F.col("_t"), p, KINDS.index(k), _WIDER_HINT[k](F.col("_t"))) for k, p in _WIDER.items()})
-    good = [F.filter(_or_none(F.col(f"_b{i}"), _SPAN), _holds(k)) for i, k in enumerate(BASE)]
-    out = out.withColumn("_base", F.concat(*good))
-    free = lambda c: ~F.exists("_base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
-    return out.withColumns({f"_w{KINDS.index(k)}": F.filter(F.col(f"_w{KINDS.index(k)}"), free) for k in _WIDER})
-
-
 _VOTED = "array<struct<kind:int,s:int,e:int,v:string>>"
 
 
-def _voted(frame: DataFrame, wider_only: bool) -> Column:
-    parts = [_judged(F.col("_t"), F.col(f"_w{KINDS.index(k)}"), k) for k in _WIDER]
-    if not wider_only:
-        parts += [_judged(F.col("_t"), F.col(f"_b{i}"), k) for i, k in enumerate(BASE)]
-    return F.concat(*[_or_none(p, _VOTED) for p in parts])
+def _spotted(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """(row: docs' columns `keep`, base: spans of the base patterns that hold, wider: voted candidates that touch none of them, seen: votes on all matches of the base patterns)."""
+    out = docs.select(packed(docs, keep), F.coalesce(F.col("text"), F.lit("")).alias("t"))
+    t = F.col("t")
+    out = out.withColumns({f"b{i}": _found(t, _PATTERNS[k], i, _HINT[k](t)) for i, k in enumerate(BASE)} | {f"w{KINDS.index(k)}": _found(t, p, KINDS.index(k), _WIDER_HINT[k](t)) for k, p in _WIDER.items()})
+    out = out.withColumn("base", F.concat(*[F.filter(_or_none(F.col(f"b{i}"), _SPAN), _holds(k)) for i, k in enumerate(BASE)]))
+    free = lambda c: ~F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
+    wider = F.concat(*[_or_none(_judged(t, F.filter(f"w{KINDS.index(k)}", free), k), _VOTED) for k in _WIDER])
+    seen = F.concat(*[_or_none(_judged(t, F.col(f"b{i}"), k), _VOTED) for i, k in enumerate(BASE)])
+    plain = F.transform("base", lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e")))
+    return out.select("row", F.array_sort(plain).alias("base"), wider.alias("wider"), F.transform(seen, lambda c: F.struct(c["kind"].alias("kind"), c["v"].alias("v"))).alias("seen"))
 
 
 def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
@@ -212,21 +222,21 @@ def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[n
     return p, shares
 
 
-def classifier(votes: np.ndarray, counts: np.ndarray, p: np.ndarray, rounds: int = 400, rate: float = 0.5, ridge: float = 0.01) -> np.ndarray:
-    """Weights of a logistic classifier on the votes (three indicators a labeler, then the constant), fitted to the posteriors."""
+def classifier(votes: np.ndarray, counts: np.ndarray, p: np.ndarray, rounds: int = 400, rate: float = 0.5, ridge: float = 0.002) -> np.ndarray:
+    """Weights of a logistic classifier on the votes (three indicators a labeler, then the constant), fitted to the posteriors; a ridge holds them at what is taken of labelers, so votes never seen keep that."""
     x = np.concatenate([(votes[:, :, None] == np.array([-1, 0, 1])).reshape(len(votes), -1), np.ones((len(votes), 1))], axis=1).astype(float)
-    share = counts / counts.sum()
-    w = np.zeros(x.shape[1])
+    share, sure = counts / counts.sum(), np.log(RIGHT / (1 - RIGHT))
+    taken = np.concatenate([np.tile([-sure, 0.0, sure], votes.shape[1]), [np.log(SHARE / (1 - SHARE))]])
+    w = taken.copy()
     for _ in range(rounds):
-        q = 1 / (1 + np.exp(-x @ w))
-        w -= rate * 4 * (x.T @ (share * (q - p)) + ridge * w / 10)
+        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w -= rate * (x.T @ (share * (q - p)) + ridge * (w - taken))
     return w
 
 
-def fit(docs: DataFrame) -> dict[str, np.ndarray]:
-    """Weights by kind, from the candidates and base matches of all documents; kinds without any are absent."""
-    frame = _with_spans(docs.select("text"))
-    counts = frame.select(F.explode(_voted(frame, False)).alias("c")).groupBy("c.kind", "c.v").count().collect()
+def _fitted(found: DataFrame) -> dict[str, np.ndarray]:
+    votes_of = lambda a: F.transform(a, lambda c: F.struct(c["kind"].alias("kind"), c["v"].alias("v")))
+    counts = found.select(F.explode(F.concat(votes_of("wider"), votes_of("seen"))).alias("c")).groupBy("c.kind", "c.v").count().collect()
     out = {}
     for i, k in enumerate(KINDS):
         own = [r for r in counts if r["kind"] == i]
@@ -236,15 +246,18 @@ def fit(docs: DataFrame) -> dict[str, np.ndarray]:
     return out
 
 
-def find(docs: DataFrame, weights: dict[str, np.ndarray] | None = None) -> DataFrame:
-    """docs with `base` and `spans`: arrays of (kind, s, e), by kind as in KINDS, then start; s and e count characters.
+def fit(docs: DataFrame) -> dict[str, np.ndarray]:
+    """Weights by kind, from the candidates and base matches of all documents; kinds without any are absent."""
+    return _fitted(_spotted(docs, ["text"]))
 
-    A null text is as an empty one: no spans. base spans stay in spans. Columns named like the new ones are replaced.
-    """
-    weights = fit(docs) if weights is None else weights
-    frame = _with_spans(docs.drop("base", "spans"))
+
+def _decided(docs: DataFrame, weights: dict[str, np.ndarray] | None, keep: list[str]) -> DataFrame:
+    """(row, base, spans). Without weights, what one scan spots is kept, the weights are fitted to it, and it is decided."""
+    found = _spotted(docs, keep)
+    if weights is None:
+        found = kept_table(found, "personal-data")
+        weights = _fitted(found)
     plain = lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e"))
-    base = F.transform("_base", plain)
     extra = _none("array<struct<kind:int,s:int,e:int>>")
     if weights:
         table = F.create_map(*[x for k, w in weights.items() for j in range(LABELERS) for v in range(3) for x in (F.lit(KINDS.index(k) * 100 + j * 10 + v), F.lit(float(w[j * 3 + v])))])
@@ -254,11 +267,21 @@ def find(docs: DataFrame, weights: dict[str, np.ndarray] | None = None) -> DataF
             parts = [F.element_at(table, c["kind"] * 100 + j * 10 + F.substring(c["v"], j + 1, 1).cast("int")) for j in range(LABELERS)]
             return F.coalesce(reduce(lambda a, b: a + b, parts, F.element_at(constant, c["kind"])), F.lit(-99.0)) >= float(np.log(ACCEPTED / (1 - ACCEPTED)))
 
-        extra = F.transform(F.filter(_voted(frame, True), accepted), plain)
+        extra = F.transform(F.filter("wider", accepted), plain)
     # Candidates of different kinds may name one place: the earlier kind has it.
-    out = frame.withColumns({"base": F.array_sort(base), "_extra": F.array_sort(F.array_distinct(extra))})
-    sole = F.filter("_extra", lambda c: ~F.exists("_extra", lambda d: (d["kind"] < c["kind"]) & (d["s"] < c["e"]) & (c["s"] < d["e"])))
-    return out.withColumn("spans", F.array_sort(F.concat("base", sole))).select(*[c for c in docs.columns if c not in ("base", "spans")], "base", "spans")
+    out = found.select("row", "base", F.array_sort(F.array_distinct(extra)).alias("extra"))
+    sole = F.filter("extra", lambda c: ~F.exists("extra", lambda d: (d["kind"] < c["kind"]) & (d["s"] < c["e"]) & (c["s"] < d["e"])))
+    return out.select("row", "base", F.array_sort(F.concat("base", sole)).alias("spans"))
+
+
+def find(docs: DataFrame, weights: dict[str, np.ndarray] | None = None) -> DataFrame:
+    """docs with `base` and `spans`: arrays of (kind, s, e), by kind as in KINDS, then start; s and e count characters.
+
+    A null text is as an empty one: no spans. base spans stay in spans. Rows that repeat a doc_id are
+    looked at each. Columns named like the new ones are replaced, others stay whatever their names.
+    """
+    kept = [c for c in docs.columns if c not in ("base", "spans")]
+    return _decided(docs, weights, kept).select(*unpacked(kept), "base", "spans")
 
 
 def written(spans: Column) -> Column:
@@ -269,17 +292,18 @@ def written(spans: Column) -> Column:
 
 def report(docs: DataFrame) -> DataFrame:
     """Per document: base spans by kind, a digest of them, and all spans."""
-    out = find(docs.select("doc_id", "text"))
+    out = _decided(docs, None, ["doc_id"])
     n = [F.size(F.filter("base", _is(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)]
-    return out.select("doc_id", *n, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    return out.select(*unpacked(["doc_id"]), *n, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
 def redact(docs: DataFrame, weights: dict[str, np.ndarray] | None = None) -> DataFrame:
     """docs with each span, or run of spans that overlap, replaced by its kind in angle brackets.
 
-    Texts without spans stay as they are, null too; n_chars, if present, follows a changed text.
+    Texts without spans stay as they are, null too; n_chars, if present, follows a changed text. No other
+    column is changed, whatever its name.
     """
-    found = find(docs, weights)
+    found = _decided(docs, weights, docs.columns)
     by_start = F.array_sort(F.transform("spans", lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["kind"].alias("kind"))))
 
     def join(done: Column, c: Column) -> Column:
@@ -287,14 +311,16 @@ def redact(docs: DataFrame, weights: dict[str, np.ndarray] | None = None) -> Dat
         over = F.struct(last["s"].alias("s"), F.greatest(last["e"], c["e"]).alias("e"), last["kind"].alias("kind"))
         return F.when((F.size(done) > 0) & (c["s"] < F.try_element_at(done, F.lit(-1))["e"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(over))).otherwise(F.concat(done, F.array(c)))
 
-    out = found.withColumn("_runs", F.aggregate(by_start, _none("array<struct<s:int,e:int,kind:int>>"), join))
+    text = F.col("row").getField("text")
+    out = found.withColumn("runs", F.aggregate(by_start, _none("array<struct<s:int,e:int,kind:int>>"), join))
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    starts = F.concat(F.array(F.lit(0)), F.transform("_runs", lambda c: c["e"]))
-    ends = F.concat(F.transform("_runs", lambda c: c["s"]), F.array(F.length("text")))
-    tags = F.concat(F.transform("_runs", lambda c: F.element_at(names, c["kind"] + 1)), F.array(F.lit("")))
-    pieces = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b"), tags.alias("t")), lambda x: F.concat(F.substring("text", x["a"] + 1, x["b"] - x["a"]), x["t"]))
-    hit = F.size("_runs") > 0
-    out = out.withColumn("text", F.when(hit, F.array_join(pieces, "")).otherwise(F.col("text")))
+    starts = F.concat(F.array(F.lit(0)), F.transform("runs", lambda c: c["e"]))
+    ends = F.concat(F.transform("runs", lambda c: c["s"]), F.array(F.length(text)))
+    tags = F.concat(F.transform("runs", lambda c: F.element_at(names, c["kind"] + 1)), F.array(F.lit("")))
+    pieces = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b"), tags.alias("t")), lambda x: F.concat(F.substring(text, x["a"] + 1, x["b"] - x["a"]), x["t"]))
+    hit = F.size("runs") > 0
+    out = out.withColumn("text", F.when(hit, F.array_join(pieces, "")).otherwise(text))
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(hit, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+        changed["n_chars"] = F.when(hit, F.length("text")).otherwise(F.col("row").getField("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[changed[c].alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in docs.columns])
