@@ -1,9 +1,10 @@
 """Main text of web pages: a linear-chain conditional random field over a page's leaf blocks.
 
 A block is the text between two block-level tags. Its features are the tags, classes, ids and roles of
-what it stands in, and how its text looks. The field is trained on labelled pages: a bounded sample of
-pages that mark their article as such, and pages set anew from that sample's own blocks in other
-markup, where it is known which blocks are article. Viterbi's path labels the blocks of every page.
+what it stands in, and how its text looks. The field is trained on labelled pages: of a bounded sample
+those that mark their article as such, pages set anew from the sample's own blocks in other markup, and
+pages set of drawn words, where it is known which blocks are article. So no table leaves the field
+untrained, whatever its markup. Viterbi's path labels the blocks of every page.
 """
 
 from __future__ import annotations
@@ -19,10 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from provena.llm.common import modest_batches, text_slices
+
 #: Labelled pages are made from at most so many pages.
 SAMPLE_PAGES = 240
-#: Pages set anew for each sampled one.
-ANEW = 5
+#: Pages set anew for each sampled one, and pages set of drawn words.
+ANEW, DRAWN = 5, 200
+#: A page set anew has at most so many blocks of article, drawn from all of the page's.
+MOST_BLOCKS = 24
 BITS = 14
 
 # Fixed values of the markup language.
@@ -254,35 +259,60 @@ def labelled(page: str) -> tuple[list[Block], list[bool]]:
     return out, ys
 
 
-def _own_labels(page: str) -> tuple[list[Block], list[bool]]:
-    """A page that marks its article: blocks in it that stand in no comment list."""
+# What marks an article, and what stands in one without belonging to it.
+_MARKS = frozenset("article main".split())
+_NEVER = frozenset("nav aside footer form dialog noscript .comment .comments .reply .replies .ad .ads .advert .adsbygoogle .banner .sponsored .promo .related .share .social .newsletter .subscribe .sidebar .widget .menu .cookie .notice .popup .breadcrumbs .pagination .tags".split())
+
+
+def own_labels(page: str) -> tuple[list[Block], list[bool] | None]:
+    """Blocks, with labels where the page marks its article: what stands in the mark and in nothing that never belongs to it."""
     found = blocks(page)
-    return found, ["article" in b.path and ".comment" not in b.path and ".comments" not in b.path for b in found]
+    ys = [bool(_MARKS & {*b.path}) and not _NEVER & {*b.path} for b in found]
+    return found, ys if any(ys) else None
+
+
+def _like_article(b: Block) -> bool:
+    """Whether a block of an unmarked page may serve as text of an article set anew: long, in sentences, hardly linked."""
+    return len(b.text) >= 80 and b.linked < 0.3 * len(b.text) and b.text[-1] in ".!?…»”)"
+
+
+def _drawn(draw: np.random.Generator) -> tuple[list[str], list[str]]:
+    """Texts of an article and of what stands around it, of drawn syllables."""
+    syllable = lambda: "".join(chr(97 + int(draw.integers(26))) for _ in range(int(draw.integers(1, 4))))
+    words = lambda n: " ".join("".join(syllable() for _ in range(int(draw.integers(1, 4)))) for _ in range(n)).capitalize()
+    article = [words(int(draw.integers(3, 12)))]
+    article += [". ".join(words(int(draw.integers(4, 20))) for _ in range(int(draw.integers(1, 7)))) + "." for _ in range(int(draw.integers(2, 10)))]
+    return article, [words(int(draw.integers(1, 9))) + ("", ".")[int(draw.integers(2))] for _ in range(12)] + ["© " + words(3)]
 
 
 def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Field:
-    """The field after the sampled pages, in one bounded task."""
-    marks = pages.where(F.contains(F.col("html"), F.lit("<article"))).select("page_id", "html")
-    n = marks.count()
-    draw = F.pmod(F.xxhash64("page_id", F.lit("sample")), F.lit(1 << 40)) / (1 << 40)
-    sample = marks.where(draw < 2 * sample_pages / max(1, n)).select("html").limit(sample_pages)
+    """The field after the sampled pages, the first by a hash of page_id, in one bounded task; without pages, after pages of drawn words alone."""
+    draw = F.xxhash64("page_id", F.lit("sample"))
+    sample = pages.where("html is not null").select("page_id", "html").orderBy(draw, "page_id", "html").limit(sample_pages).select("html")
 
     def learn(batches):
         own = [t for batch in batches for t in batch.column("html").to_pylist()]
         rng, made = np.random.default_rng(3), []
+
+        def anew(article, other, times):
+            for _ in range(times):
+                few = article if len(article) <= MOST_BLOCKS else [article[i] for i in np.sort(rng.permutation(len(article))[:MOST_BLOCKS])]
+                made.append(labelled(set_anew(few, other, rng)))
+
         for page in sorted(own):
-            bs, ys = _own_labels(page)
-            made.append((bs, ys))
-            article, other = [b.text for b, y in zip(bs, ys, strict=True) if y], [b.text for b, y in zip(bs, ys, strict=True) if not y]
+            bs, ys = own_labels(page)
+            if ys is not None:
+                made.append((bs, ys))
+            of = [_like_article(b) for b in bs] if ys is None else ys
+            article, other = [b.text for b, y in zip(bs, of, strict=True) if y], [b.text for b, y in zip(bs, of, strict=True) if not y]
             if article and other:
-                # Long articles are cut to some blocks for training only.
-                made += [labelled(set_anew(article[:12], other, rng)) for _ in range(ANEW)]
-        f = train_field(made) if made else Field(np.zeros(1 << BITS), np.zeros((2, 2)))
+                anew(article, other, ANEW)
+        for _ in range(DRAWN):
+            anew(*_drawn(rng), 1)
+        f = train_field(made)
         yield pa.RecordBatch.from_arrays([pa.array([f.weights.tobytes()], pa.binary()), pa.array([f.steps.tobytes()], pa.binary())], ["w", "s"])
 
-    row = sample.coalesce(1).mapInArrow(learn, "w binary, s binary").first() if n else None
-    if row is None:
-        return Field(np.zeros(1 << BITS), np.zeros((2, 2)))
+    row = sample.coalesce(1).mapInArrow(learn, "w binary, s binary").first()
     return Field(np.frombuffer(bytes(row["w"])), np.frombuffer(bytes(row["s"])).reshape(2, 2))
 
 
@@ -294,17 +324,18 @@ def main_text(page: str | None, field: Field) -> str:
 def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) of each page: its article's blocks in order, joined by one space.
 
-    A page that is null, empty or without an article has an empty text. Whole pages are read.
+    A page that is null, empty or without an article has an empty text. Whole pages are read. No tag is
+    asked for: pages that mark no article are labelled by the field like all others. Rows that repeat a
+    page_id are extracted each; columns besides page_id, url and html are left out.
     """
+    modest_batches(pages.sparkSession)
     shipped = pages.sparkSession.sparkContext.broadcast(train(pages) if field is None else field)
 
     def run(batches):
         own = shipped.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                rows = batch.slice(at, 500)
-                texts = [main_text(p, own) for p in rows.column("html").to_pylist()]
-                yield pa.RecordBatch.from_arrays([rows.column("page_id"), rows.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+        for rows, _, _ in text_slices(batches, "html"):
+            texts = [main_text(p, own) for p in rows.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([rows.column("page_id"), rows.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
     return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

@@ -1,5 +1,7 @@
 """Learned operators, the embedding join, components and the pipeline."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -60,6 +62,43 @@ def test_main_text_of_known_markup(spark):
     assert got[104].text == "Head & line First paragraph, with more. Second é A line"
 
 
+def foreign(opening: str, seed: int) -> tuple[str, list[str], list[str]]:
+    """(page, article's texts, others): a page whose article stands in `opening`."""
+    r = np.random.default_rng(seed)
+    article = [prose(seed, 7), *(prose(seed * 50 + i, int(r.integers(15, 60))) + "." for i in range(int(r.integers(3, 9))))]
+    other = [f"{prose(seed * 77 + i, 2)}" for i in range(6)]
+    inner = f"<h1>{article[0]}</h1>" + "".join(f"<p>{t}</p>" for t in article[1:])
+    end = "".join(f"</{t}>" for t in reversed(re.findall(r"<([A-Za-z]+)", opening)))
+    page = f'<html><body><nav><ul>{"".join(f"<li><a href=/>{t}</a></li>" for t in other[:4])}</ul></nav><div class="ad">{other[4]}.</div>{opening}{inner}{end}<footer>&copy; {other[5]}</footer></body></html>'
+    return page, article, [*other[:4], other[4] + ".", "© " + other[5]]
+
+
+@pytest.mark.parametrize("opening", ["<main>", "<ARTICLE>", "<div>", '<div class="post-content">', '<Section id="story">', "<table><tr><td>"])
+def test_tables_without_the_article_tag(spark, opening):
+    made = [(i, *foreign(opening, i + 1)) for i in range(60)]
+    pages = spark.createDataFrame([(i, "u", page) for i, page, _, _ in made], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    hit = sum(t in got[i] for i, _, article, _ in made for t in article)
+    wrong = sum(t in got[i] for i, _, _, other in made for t in other)
+    total = sum(len(article) for _, _, article, _ in made)
+    assert 2 * hit / (total + hit + wrong) > 0.95
+
+
+def test_extraction_without_pages_or_signals(spark):
+    kind = "page_id long, url string, html string"
+    assert html_extract.extract(spark.createDataFrame([], kind)).count() == 0
+    rows = html_extract.extract(spark.createDataFrame([(None, None, "plain"), (1, "u", "<p></p>"), (1, "u", "<p></p>")], kind)).collect()
+    assert sorted(r.page_id or 0 for r in rows) == [0, 1, 1] and all(r.n_chars == len(r.text) for r in rows)
+    one = spark.createDataFrame([(1, "u", foreign("<div>", 9)[0])], kind)
+    assert html_extract.extract(one).first().text == " ".join(foreign("<div>", 9)[1])
+
+
+def test_adverts_in_an_article_are_not_of_it():
+    page = '<article><h1>Head</h1><p>Text.</p><div class="ad">Buy</div><aside>More</aside><div class="comment"><p>Hm.</p></div></article>'
+    found, ys = html_extract.own_labels(page)
+    assert [b.text for b, y in zip(found, ys, strict=True) if y] == ["Head", "Text."]
+
+
 def test_field_on_markup_it_has_not_seen():
     rng = np.random.default_rng(5)
     texts = lambda k: [prose(1000 * k + i, 20 + i) + "." for i in range(8)]
