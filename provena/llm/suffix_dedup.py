@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provena.llm.common import _BYTE_KEYS, fresh, kept_table, mixed, named, range_hashes, text_slices, without
+from provena.llm.common import _BYTE_KEYS, fresh, kept_table, mixed, modest_batches, named, range_hashes, text_slices, without
 
 LENGTH = 50
 GRAM = 20
@@ -31,7 +31,7 @@ SHALLOW = 48
 MOST_TOGETHER = 20_000
 #: Anchors that a task holds to settle among its own documents, and rows left of one of them from which it is hot.
 HELD = 300_000
-HOT = 16
+HOT = 64
 #: Rows that wait for the rest of their anchor.
 WAITING = 400_000
 #: Bits of the largest map of anchors that goes to every task; the maps grow with what is in them. Beyond it, contexts are joined with the anchors instead.
@@ -48,10 +48,10 @@ def _least(h: np.ndarray, w: int, f) -> np.ndarray:
 
 
 def _anchors(data: np.ndarray, offsets: np.ndarray):
-    """Of texts that lie one after the other: (row, place, hash) of the anchors, in order."""
+    """Of texts that lie one after the other: (row, place, hash) of the anchors, in order, and the hash of the anchor that each place's 50-byte string is known by, its least."""
     n, w = len(data), LENGTH - GRAM + 1
     if n < LENGTH:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
     at = np.arange(n - GRAM + 1)
     h = range_hashes(_BYTE_KEYS[data], at, at + GRAM)
     for end in offsets[1:-1]:
@@ -61,7 +61,7 @@ def _anchors(data: np.ndarray, offsets: np.ndarray):
     place = np.flatnonzero(_least(low, w, np.maximum) == h)
     row = np.searchsorted(offsets, place, side="right") - 1
     fits = (offsets[row + 1] - offsets[row] >= LENGTH) & (place + GRAM <= offsets[row + 1])
-    return row[fits], place[fits], h[place[fits]]
+    return row[fits], place[fits], h[place[fits]], low[w - 1 :]
 
 
 def _contexts(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, place: np.ndarray):
@@ -124,7 +124,7 @@ def _placed(batches):
         return pa.RecordBatch.from_arrays([*map(pa.array, cols[:4]), pa.array(cols[4].astype(np.int32)), pa.array(kind.astype(np.int8))], schema=_FOUND)
 
     for rows, data, offsets in text_slices(batches):
-        row, place, h = _anchors(data, offsets)
+        row, place, h, _ = _anchors(data, offsets)
         if not len(row):
             continue
         lo, hi = _contexts(data, offsets, row, place)
@@ -185,13 +185,15 @@ _NEAR = ["key", "ctx", "doc", "lo", "hi", "before", "bytes"]
 _STRING, _COVER = -1, -2
 
 
-def _strings_of(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, place: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-    """The 50-byte strings around these anchors: (h1, h2, doc, lo, hi), one row for all places of a string in a doc that touch; what a smaller doc of these rows has is covered."""
+def _strings_of(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, place: np.ndarray, ids: np.ndarray, burns) -> pa.RecordBatch:
+    """The 50-byte strings around these anchors that are known by a hot one: (h1, h2, doc, lo, hi), one row for all places of a string in a doc that touch; what a smaller doc of these rows has is covered."""
     first, last = np.maximum(offsets[row], place + GRAM - LENGTH), np.minimum(place, offsets[row + 1] - LENGTH)
     step = np.zeros(len(data) + 2, np.int32)
     np.add.at(step, first, 1)
     np.add.at(step, last + 1, -1)
     at = np.flatnonzero(np.cumsum(step[:-1]) > 0)
+    # A string that is known by another anchor is found by that one's contexts, or as a string of its own.
+    at = at[burns(at)]
     keys = _BYTE_KEYS[data]
     h1, h2 = range_hashes(keys, at, at + LENGTH), range_hashes(mixed(keys), at, at + LENGTH)
     of = np.searchsorted(offsets, at, side="right") - 1
@@ -216,11 +218,11 @@ def _wanted(which, hot=None):
 
     def run(batches):
         for rows, data, offsets in text_slices(batches):
-            row, place, h = _anchors(data, offsets)
+            row, place, h, known_by = _anchors(data, offsets)
             ids = np.asarray(rows.column("doc_id"))
             burns = _marked(hot.value, h) if hot is not None else np.zeros(len(h), bool)
             if burns.any():
-                yield _strings_of(data, offsets, row[burns], place[burns], ids)
+                yield _strings_of(data, offsets, row[burns], place[burns], ids, lambda at: _marked(hot.value, known_by[at]))
             own = np.flatnonzero(~burns & (_marked(which.value, h) if which is not None else True))
             if not len(own):
                 continue
@@ -499,6 +501,7 @@ def _map(spark, keys: DataFrame, most: int):
 def covered(docs: DataFrame, most_bits: int = MAP_BITS) -> DataFrame:
     """(doc, lo, hi): bytes from lo to hi are in 50-byte strings that a document with a smaller doc_id has; intervals may overlap."""
     spark = docs.sparkSession
+    modest_batches(spark)
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") >= LENGTH)
     found = docs.mapInArrow(_placed, "key long, ctx long, doc long, lo long, n int, kind byte")
     lists = found.repartition("key").sortWithinPartitions("key", "ctx", "doc")
