@@ -1,7 +1,8 @@
 """Benchmark decontamination: a hash set of the test windows goes to every task, which scans its texts.
 
-The set is broadcast in parts of at most `part_bytes` of window text (one part for usual benchmarks);
-a larger benchmark is scanned part after part, so what is broadcast never grows with the data.
+The set is broadcast in parts of at most `part_bytes` of window text (one part for usual benchmarks); a
+larger benchmark is scanned part after part: what one part found is written to the shared checkpoint
+folder before the next is broadcast, so no more than one part is in a task or the driver at a time.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.common import Words, lowered, text_slices
+from provena.llm.common import Words, kept_table, lowered, modest_batches, packed, text_slices
 
 WINDOW = 10
 PART_BYTES = 24 << 20
@@ -60,10 +61,14 @@ class _Index:
             self.by_n[n] = (np.unique(hashes), sieve, dict(table))
 
 
-def _marked(index: _Index, batches):
-    """The batches with their words counted, and what this part hits added to what earlier parts hit."""
-    kind = pa.list_(pa.struct([(k, pa.int64()) for k in ("lo", "hi", "from", "to")]))
-    for rows, data, offsets in text_slices(batches, "_text"):
+_KIND = "struct<n_words:long,spans:array<struct<lo:long,hi:long,`from`:long,`to`:long>>,items:array<string>>"
+_SPANS = pa.list_(pa.struct([(k, pa.int64()) for k in ("lo", "hi", "from", "to")]))
+
+
+def _marked(index: _Index, texts: pa.Array, before: pa.Array | None = None) -> pa.Array:
+    """Words of the texts, and what this part hits added to what earlier parts hit."""
+    words, spans, found = [], [], []
+    for rows, data, offsets in text_slices(iter([pa.RecordBatch.from_arrays([texts, *[before] * (before is not None)], ["text", "before"][: 1 + (before is not None)])])):
         w = Words(data, offsets, _KEPT)
         hit = defaultdict(list)
         for n, (keys, sieve, table) in index.by_n.items():
@@ -75,10 +80,10 @@ def _marked(index: _Index, batches):
                 for text, items in table[key]:
                     if text == own:
                         hit[int(w.row[i])].append((i, i + n, items))
-        spans, found = [], []
-        for r, (s, names) in enumerate(zip(rows.column("_spans").to_pylist(), rows.column("_items").to_pylist(), strict=True)):
-            f, base, merged, items = int(w.first_word[r]), int(offsets[r]), [], set(names)
-            for lo, hi, of in sorted([*hit.get(r, ()), *((x["lo"] + f, x["hi"] + f, ()) for x in s)]):
+        earlier = rows.column("before").to_pylist() if before is not None else [None] * rows.num_rows
+        for r, old in enumerate(earlier):
+            f, base, merged, items = int(w.first_word[r]), int(offsets[r]), [], set(old["items"] if old else ())
+            for lo, hi, of in sorted([*hit.get(r, ()), *((x["lo"] + f, x["hi"] + f, ()) for x in (old["spans"] if old else ()))]):
                 items.update(of)
                 if merged and lo <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], hi)
@@ -86,40 +91,57 @@ def _marked(index: _Index, batches):
                     merged.append([lo, hi])
             spans.append([{"lo": lo - f, "hi": hi - f, "from": int(w.starts[lo]) - base, "to": int(w.ends[hi - 1]) - base} for lo, hi in merged])
             found.append(sorted(items))
-        new = {"_n_words": pa.array(w.per_row, pa.int64()), "_spans": pa.array(spans, kind), "_items": pa.array(found, pa.list_(pa.string()))}
-        yield pa.RecordBatch.from_arrays([new.get(c, rows.column(c)) for c in rows.schema.names], rows.schema.names)
+        words.append(w.per_row)
+    return pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *words]), pa.int64()), pa.array(spans, _SPANS), pa.array(found, pa.list_(pa.string()))], ["n_words", "spans", "items"])
+
+
+def _marker(rows, first: bool):
+    made = []
+
+    def index() -> _Index:
+        if not made:
+            made.append(_Index(rows.value))
+        return made[0]
 
+    def start(texts: pa.Array) -> pa.Array:
+        return _marked(index(), texts)
 
-def _marker(rows):
-    def run(batches):
-        yield from _marked(_Index(rows.value), batches)
+    def go_on(texts: pa.Array, before: pa.Array) -> pa.Array:
+        return _marked(index(), texts, before)
 
-    return run
+    return F.arrow_udf(start if first else go_on, _KIND)
 
 
 def marked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, part_bytes: int = PART_BYTES, item_col: str = "item_id") -> DataFrame:
-    """docs with _n_words, _spans (words lo to hi, bytes from to to, ends exclusive, merged) and _items.
+    """(row: docs' columns, found: n_words, spans (words lo to hi, bytes from to to, ends exclusive, merged) and items).
 
     A null or empty text, or one without words, has no words and no hits; an item without words, or an
-    empty benchmark, hits nothing. Items of the same words are all named.
+    empty benchmark, hits nothing. Items of the same words are all named. Columns may have any name.
     """
+    modest_batches(docs.sparkSession)
     spark, found = docs.sparkSession, windows(benchmark, window, item_col)
     size = found.agg(F.sum(F.length("words") + F.length("item") + 16)).first()[0] or 0
     parts = -(-size // part_bytes) or 1
-    out = docs.withColumns({"_text": F.col(text_col), "_n_words": F.lit(0).cast("long"), "_spans": F.expr("cast(array() as array<struct<lo:long,hi:long,`from`:long,`to`:long>>)"), "_items": F.expr("cast(array() as array<string>)")})
+    if parts > 1:
+        found = kept_table(found, "windows")
+    out = docs.select(packed(docs))
+    text = F.col("row").getField(text_col)
     for p in range(parts):
         rows = found.where(F.pmod(F.xxhash64("words"), F.lit(parts)) == p) if parts > 1 else found
         index = spark.sparkContext.broadcast([tuple(r) for r in rows.collect()])
-        out = out.mapInArrow(_marker(index), out.schema)
-    return out.drop("_text")
+        out = out.select("row", (_marker(index, True)(text) if p == 0 else _marker(index, False)(text, F.col("found"))).alias("found"))
+        if p + 1 < parts:
+            out = kept_table(out, "marked")
+            index.destroy()
+    return out
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """One row per document: words, words hit, items found in it, and whether it is contaminated."""
-    found = marked(docs.select("doc_id", "text"), benchmark, **how)
-    n_hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"])
-    names = F.array_join(F.array_sort("_items"), ",")
-    return found.select("doc_id", F.col("_n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    found = marked(docs.select("doc_id", "text"), benchmark, **how).select("row.doc_id", "found.*")
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"])
+    names = F.array_join(F.array_sort("items"), ",")
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "spans", **how) -> DataFrame:
@@ -131,17 +153,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "spans", **
     if mode not in ("spans", "documents"):
         raise ValueError(f"mode: {mode}")
     found = marked(docs, benchmark, **how)
-    hit = F.size("_spans") > 0
+    spans, text, changed = F.col("found.spans"), F.col("row").getField("text"), {}
+    hit = F.size(spans) > 0
     if mode == "documents":
-        return found.where(~hit).select(docs.columns)
-    raw = F.encode("text", "UTF-8")
-    ends = F.arrays_zip(
-        F.concat(F.array(F.lit(0).cast("long")), F.transform("_spans", lambda s: s["to"])).alias("a"),
-        F.concat(F.transform("_spans", lambda s: s["from"]), F.array(F.octet_length("text").cast("long"))).alias("b"),
-    )
-    pieces = F.transform(ends, lambda x: F.decode(F.substring(raw, (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int")), "UTF-8"))
-    left = F.array_join(F.filter(pieces, lambda x: F.trim(x) != ""), "\n")
-    found = found.withColumn("text", F.when(hit, left).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(hit, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return found.select(docs.columns)
+        found = found.where(~hit)
+    else:
+        raw = F.encode(text, "UTF-8")
+        ends = F.arrays_zip(
+            F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda s: s["to"])).alias("a"),
+            F.concat(F.transform(spans, lambda s: s["from"]), F.array(F.octet_length(text).cast("long"))).alias("b"),
+        )
+        pieces = F.transform(ends, lambda x: F.decode(F.substring(raw, (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int")), "UTF-8"))
+        found = found.withColumn("left", F.when(hit, F.array_join(F.filter(pieces, lambda x: F.trim(x) != ""), "\n")).otherwise(text))
+        changed["text"] = F.col("left")
+        if "n_chars" in docs.columns:
+            changed["n_chars"] = F.when(hit, F.length("left")).otherwise(F.col("row").getField("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return found.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
