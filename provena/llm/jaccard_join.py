@@ -6,7 +6,8 @@ prefixes under that order. Small sets enumerate all two-element subsets of their
 listed under each shingle of theirs, and the lists are scanned. The size at the boundary is the one up
 to which subsets cost less, by the lists' own lengths.
 
-Equal sets are one node from the start. A list of more than FEW sets is not paired off: its sets are
+Equal sets are one node from the start, named by 64 bits of a hash; where those are equal for sets that 128
+bits tell apart, the other 64 are their names. A list of more than FEW sets is not paired off: its sets are
 held against one pivot of like size, and once the components of all links found so far are known, only
 sets of different components in a list are compared. Thus a group of thousands costs its length, and no
 link between different components is missed.
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provena.llm.common import Words, components, cut, kept_table, lowered, mixed, text_slices
+from provena.llm.common import Words, components, cut, kept_table, lowered, mixed, modest_batches, text_slices
 
 SHINGLE = 5
 #: Sets link when DEN * overlap >= NUM * union.
@@ -31,8 +32,10 @@ NUM, DEN = 75, 100
 FEW = 8
 #: Shingles that begin so many sets or more come last in the order.
 FREQUENT = 64
-#: Bits of the maps of frequent shingles and of sets to compare. Other sizes change the cost only.
-MAP_BITS = 1 << 24
+#: Bits of the least and the largest map of frequent shingles or of sets to compare; a map has sixteen for each of those, as far as that allows. Other sizes change the cost only.
+MAP_BITS, MOST_BITS = 1 << 20, 1 << 29
+#: Parts in which the sets of one component are dealt when they get their smallest doc_id.
+SALT = 32
 #: Parts by which sets are counted: sets overlap no more than the smaller counts of all parts.
 PARTS = 256
 #: Words of 64 bits that map a set: sets differ in no fewer shingles than their maps in bits.
@@ -49,7 +52,7 @@ _TOP = np.uint64(1 << 63)
 
 
 def _sets(batches, common=None):
-    """(rows, [sorted shingles of each row]); bit 63 is set for those in `common`, a map by MAP_BITS."""
+    """(rows, [sorted shingles of each row]); bit 63 is set for those in the map `common`."""
     for rows, data, offsets in text_slices(batches):
         w = Words(data, offsets, _KEPT)
         at, h = w.grams(SHINGLE)
@@ -57,7 +60,7 @@ def _sets(batches, common=None):
         whole = {int(r): int(w.first_word[r]) for r in short}
         h = h >> np.uint64(1)
         if common is not None:
-            h = h | (common[(h % np.uint64(MAP_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(63))
+            h = h | (_marked(common, h).astype(np.uint64) << np.uint64(63))
         cuts = np.searchsorted(w.row[at], np.arange(rows.num_rows + 1))
         out = []
         for r in range(rows.num_rows):
@@ -73,11 +76,24 @@ def _sets(batches, common=None):
         yield rows, out
 
 
-def _name(s: np.ndarray) -> int:
-    """The node of a set: equal for equal sets."""
+def _marked(marks: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether each hash is in a map of bits."""
+    at = h % np.uint64(len(marks) * 8)
+    return (marks[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _both_names(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell a set from others."""
     plain = s & ~_TOP
-    both = mixed(plain).sum(dtype=np.uint64) ^ (np.bitwise_xor.reduce(mixed(plain ^ np.uint64(0x5851F42D4C957F2D))) if len(s) else np.uint64(0))
-    return int(mixed(np.array([both + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
+    a, b = mixed(plain), mixed(plain ^ np.uint64(0x5851F42D4C957F2D))
+    both = np.array([a.sum(dtype=np.uint64) + np.uint64(len(s)), b.sum(dtype=np.uint64) ^ np.bitwise_xor.reduce(a) if len(s) else 0], np.uint64)
+    return tuple(mixed(both).view(np.int64).tolist())
+
+
+def _name(s: np.ndarray, shared: frozenset[int]) -> int:
+    """The node of a set: equal for equal sets. shared: first names that different sets have."""
+    first, other = _both_names(s)
+    return other if first in shared else first
 
 
 def need(n: int, m: int) -> int:
@@ -110,12 +126,13 @@ def _marks(sets: list[np.ndarray]) -> np.ndarray:
 
 def _names(batches):
     for rows, sets in _sets(batches):
-        marks = _marks(sets)
-        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([_name(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_shares(s) if len(s) else None for s in sets], pa.binary()), *(pa.array(marks[:, k]) for k in range(MARKS))], ["doc_id", "node", "n", "shares", *(f"m{k}" for k in range(MARKS))])
+        marks, names = _marks(sets), [_both_names(s) if len(s) else None for s in sets]
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(pa.array([x[k] if x else None for x in names], pa.int64()) for k in (0, 1)), pa.array([len(s) for s in sets], pa.int64()), pa.array([_shares(s) if len(s) else None for s in sets], pa.binary()), *(pa.array(marks[:, k]) for k in range(MARKS))], ["doc_id", "node", "other", "n", "shares", *(f"m{k}" for k in range(MARKS))])
 
 
 def _leads(batches):
     """Shingles at the beginning of each different set of a task, with counts."""
+    none: frozenset[int] = frozenset()
     seen, held, size = set(), [], 0
 
     def out():
@@ -124,7 +141,7 @@ def _leads(batches):
 
     for _, sets in _sets(batches):
         for s in sets:
-            if len(s) > 1 and (name := _name(s)) not in seen:
+            if len(s) > 1 and (name := _name(s, none)) not in seen:
                 seen.add(name)
                 held.append(s[: lead(len(s))])
                 size += len(held[-1])
@@ -137,14 +154,6 @@ def _leads(batches):
         yield out()
 
 
-def _map(rows) -> np.ndarray:
-    out = np.zeros(MAP_BITS, bool)
-    for r in rows:
-        if r["bits"] is not None:
-            out[r["at"] * 32768 : (r["at"] + 1) * 32768] = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")[:32768]
-    return out
-
-
 def boundary(m1: float, m2: float, most: int = 400) -> int:
     """The largest size up to which subsets of two cost less than list entries; m1, m2: sum of the lists' lengths and of their squares."""
     others = max(0.0, m2 / m1 - 1) / 2 if m1 else 0.0
@@ -152,7 +161,7 @@ def boundary(m1: float, m2: float, most: int = 400) -> int:
     return max(cheap, default=1)
 
 
-def _signatures(common, small: int):
+def _signatures(common, small: int, shared: frozenset[int]):
     """A row for each signature of each different set of a task: part, node, size, place, and whether sets no smaller find it there."""
 
     def run(batches):
@@ -161,7 +170,7 @@ def _signatures(common, small: int):
             sig, node, info, hot = [], [], [], []
             for s in sets:
                 n = len(s)
-                if n < 2 or (name := _name(s)) in seen:
+                if n < 2 or (name := _name(s, shared)) in seen:
                     continue
                 seen.add(name)
                 p, up = lead(n), lead_up(n)
@@ -262,15 +271,16 @@ def _pairs(small: int):
     return run
 
 
-def _chosen(which, kind: str):
-    """(node, shingles) of the sets in a map, each once a task; a kind narrower than the hashes keeps their last bits."""
+def _chosen(which, whose, kind: str, shared: frozenset[int]):
+    """(node, shingles) of the sets in a map, each once a task, from texts whose hashed doc_id is in another; a kind narrower than the hashes keeps their last bits."""
 
     def run(batches):
         seen: set[int] = set()
-        for _, sets in _sets(batches):
+        own = (b.filter(pa.array(_marked(whose.value, np.asarray(b.column("who")).view(np.uint64)))) for b in batches if b.num_rows)
+        for _, sets in _sets(own):
             out = []
             for s in sets:
-                if len(s) > 1 and which.value[(name := _name(s)) % MAP_BITS] and name not in seen:
+                if len(s) > 1 and _marked(which.value, np.array([name := _name(s, shared)]).view(np.uint64))[0] and name not in seen:
                     seen.add(name)
                     out.append((name, np.sort(s.astype(kind)).tobytes()))
             if len(seen) > 500_000:
@@ -309,23 +319,45 @@ def _possible(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
 
-def _bits(df: DataFrame, col: str):
-    x = F.pmod(F.col(col), F.lit(MAP_BITS))
-    return df.groupBy((x / 32768).cast("int").alias("at")).agg(F.bitmap_construct_agg(x % 32768).alias("bits")).collect()
+def _size(n: int) -> int:
+    """Bits of a map of n hashes."""
+    return min(MOST_BITS, max(MAP_BITS, 1 << (16 * n - 1).bit_length() if n else 0))
+
+
+def _at(c: str, bits: int):
+    """(block, bit) of a hash in a map."""
+    x = F.expr(f"`{c}` & {bits - 1}")
+    return (x / 32768).cast("int"), x % 32768
 
 
-def _verified(docs: DataFrame, shares: DataFrame, pairs: DataFrame) -> DataFrame:
+def _map(rows, bits: int) -> np.ndarray:
+    marks = np.zeros(bits // 8, np.uint8)
+    for r in rows:
+        if r["bits"] is not None:
+            marks[r["at"] * 4096 : (r["at"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return marks
+
+
+def _mapped(df: DataFrame, c: str, n: int):
+    """The hashes of a column, about n different ones, as a broadcast map."""
+    block, bit = _at(c, bits := _size(n))
+    return df.sparkSession.sparkContext.broadcast(_map(df.groupBy(block.alias("at")).agg(F.bitmap_construct_agg(bit).alias("bits")).collect(), bits))
+
+
+def _verified(docs: DataFrame, shares: DataFrame, pairs: DataFrame, shared: frozenset[int]) -> DataFrame:
     """Those of the pairs (a, b) whose sets link.
 
     Counts by part rule out most others, 16 bits of each shingle nearly all of the rest; whole hashes
-    leave the scan for what is left alone. Neither of the first two loses a link.
+    leave the scan for what is left alone. Neither of the first two loses a link. One text of each set is
+    cut up again, not its copies.
     """
-    spark = docs.sparkSession
     side = lambda node, n, x: shares.select(F.col("node").alias(node), F.col("n").alias(n), F.col("shares").alias(x))
     pairs = cut(pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").mapInArrow(_possible, "a long, b long"))
     for kind in ("<u2", "<u8"):
-        which = spark.sparkContext.broadcast(_map(_bits(pairs.select(F.explode(F.array("a", "b")).alias("v")), "v")))
-        sets = docs.select("text").mapInArrow(_chosen(which, kind), "node long, s binary").dropDuplicates(["node"])
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+        whose = nodes.distinct().join(shares.select("node", "who"), "node")
+        n = 2 * pairs.count()
+        sets = docs.select("text", F.xxhash64("doc_id").alias("who")).mapInArrow(_chosen(_mapped(nodes, "node", n), _mapped(whose, "who", n), kind, shared), "node long, s binary").dropDuplicates(["node"])
         rows = pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a")
         pairs = cut(rows.mapInArrow(_linked(kind), "a long, b long"))
     return pairs
@@ -336,26 +368,37 @@ def groups(docs: DataFrame) -> DataFrame:
 
     Words are runs of anything but the space and the characters 9 to 13, A to Z lower-cased. Fewer words
     than a shingle's make one shingle of their own; a text that is null or has none makes an empty set,
-    which links with nothing. Sets are told apart by 64-bit names and shingles by 63-bit hashes.
+    which links with nothing. Sets are told apart by 128 bits and shingles by 63. Rows without doc_id link
+    like others; rows that repeat one are each a row. An empty table gives none.
     """
     spark = docs.sparkSession
+    modest_batches(spark)
     docs = docs.select("doc_id", "text")
-    named = kept_table(docs.mapInArrow(_names, T.StructType([docs.schema["doc_id"], *(T.StructField(c, k) for c, k in (("node", T.LongType()), ("n", T.LongType()), ("shares", T.BinaryType()), *((f"m{k}", T.LongType()) for k in range(MARKS))))])), "sets")
     marks = [f"m{k}" for k in range(MARKS)]
-    shares = named.where("node is not null").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "shares", *marks)])
-
+    kinds = [(c, T.LongType()) for c in ("node", "other", "n")] + [("shares", T.BinaryType())] + [(c, T.LongType()) for c in marks]
+    named = kept_table(docs.mapInArrow(_names, T.StructType([docs.schema["doc_id"], *(T.StructField(c, k) for c, k in kinds)])), "sets")
+    # First names of different sets: of 10 ** 10 documents, two or three are expected.
+    clash = named.where("node is not null").groupBy("node").agg(F.min("other").alias("x"), F.max("other").alias("y")).where("x <> y")
+    shared = frozenset(r[0] for r in clash.select("node").collect())
+    if shared:
+        named = named.withColumn("node", F.when(F.col("node").isin([*shared]), F.col("other")).otherwise(F.col("node")))
+    # who: the hashed doc_id of one text that has the set.
+    shares = kept_table(named.where("node is not null").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "shares", *marks)], F.min(F.xxhash64("doc_id")).alias("who")), "shares")
+
+    begun = shares.agg(F.sum(F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1)).first()[0] or 0
+    bits = _size(int(begun) // FREQUENT)
     counts = docs.select("text").mapInArrow(_leads, "k long, m long").groupBy("k").agg(F.sum("m").alias("m"))
-    x, often = F.pmod(F.col("k"), F.lit(MAP_BITS)), F.col("m") >= FREQUENT
-    found = counts.groupBy((x / 32768).cast("int").alias("at")).agg(F.bitmap_construct_agg(F.when(often, x % 32768)).alias("bits"), F.sum(F.when(~often, F.col("m"))).alias("m1"), F.sum(F.when(~often, F.col("m") * F.col("m"))).alias("m2")).collect()
+    (block, bit), often = _at("k", bits), F.col("m") >= FREQUENT
+    found = counts.groupBy(block.alias("at")).agg(F.bitmap_construct_agg(F.when(often, bit)).alias("bits"), F.sum(F.when(~often, F.col("m"))).alias("m1"), F.sum(F.when(~often, F.col("m") * F.col("m"))).alias("m2")).collect()
     small = boundary(sum(r["m1"] or 0 for r in found), sum(r["m2"] or 0 for r in found))
-    common = spark.sparkContext.broadcast(_map(found))
+    common = spark.sparkContext.broadcast(_map(found, bits))
 
-    entries = docs.select("text").mapInArrow(_signatures(common, small), "sig long, salt byte, node long, info long")
+    entries = docs.select("text").mapInArrow(_signatures(common, small, shared), "sig long, salt byte, node long, info long")
     place = lambda c: F.shiftright(c, 2).bitwiseAND(F.lit(0x3FFFFFFF))
     lists = entries.repartition("sig", "salt").sortWithinPartitions("sig", "salt", place("info"), "info", "node")
     scanned = cut(lists.mapInArrow(_pairs(small), "a long, b long, sig long, info long"))
     first = scanned.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = _verified(docs, shares, first)
+    links = _verified(docs, shares, first, shared)
 
     so_far = components(links).withColumnRenamed("node", "b")
     listed = scanned.where("sig is not null").select("sig", "b", "info").distinct().join(so_far, "b", "left").select("sig", "b", "info", F.coalesce("component", "b").alias("c"))
@@ -370,17 +413,23 @@ def groups(docs: DataFrame) -> DataFrame:
     )
     differ = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"_{m}"))) for m in marks), F.lit(0))
     close = size(p) + size(q) - differ >= 2 * F.ceil(F.lit(NUM) * (size(p) + size(q)) / (NUM + DEN))
-    one, other = listed.select("sig", F.col("b").alias("a"), F.col("info").alias("p"), F.col("c").alias("ca"), *marks), listed.select("sig", "b", F.col("info").alias("q"), F.col("c").alias("cb"), *[F.col(m).alias(f"_{m}") for m in marks])
-    across = one.join(other, (one["sig"] == other["sig"]) & (F.col("ca") != F.col("cb")) & could & close)
+    # Sets that link are of one band of sizes or of neighbouring ones, so a list falls into bands before it is paired.
+    band = lambda c: F.floor(F.log(size(c).cast("double")) / math.log(DEN / NUM) + 1e-9).cast("int")
+    one = listed.select("sig", band(F.col("info")).alias("band"), F.col("b").alias("a"), F.col("info").alias("p"), F.col("c").alias("ca"), *marks)
+    other = listed.select("sig", F.explode(F.array(band(F.col("info")) - 1, band(F.col("info")))).alias("band"), "b", F.col("info").alias("q"), F.col("c").alias("cb"), *[F.col(m).alias(f"_{m}") for m in marks])
+    across = one.join(other, (one["sig"] == other["sig"]) & (one["band"] == other["band"]) & (F.col("ca") != F.col("cb")) & could & close)
     rest = cut(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     if rest.isEmpty():
         whole = so_far.withColumnRenamed("b", "node")
     else:
-        whole = components(links.unionByName(_verified(docs, shares, rest)))
-
-    classes = named.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low")).join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lowest = classes.groupBy("component").agg(F.min("low").alias("component_id"))
-    ids = classes.join(lowest, "component").select("node", "component_id")
+        whole = components(links.unionByName(_verified(docs, shares, rest, shared)))
+
+    lows = named.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"))
+    # A component may hold a third of all sets: its smallest doc_id goes back to it in parts.
+    own = cut(lows.join(whole, "node").withColumn("salt", F.pmod("node", F.lit(SALT)).cast("int")))
+    lowest = own.groupBy("component").agg(F.min("low").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    linked = own.join(lowest, ["component", "salt"]).select("node", "component_id")
+    ids = lows.join(linked, "node", "left").select("node", F.coalesce("component_id", "low").alias("component_id"))
     return named.join(ids, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

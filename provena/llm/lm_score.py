@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.common import Words, lowered, mixed, text_slices
+from provena.llm.common import Words, lowered, mixed, modest_batches, text_slices
 
 #: Weights of pair, word and uniform distribution.
 MIX = (0.6, 0.35, 0.05)
@@ -220,6 +220,7 @@ def score(marked: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
 
     A text that is null or has no words has n_words 0 and null losses.
     """
+    modest_batches(marked.sparkSession)
     size = marked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # A number of buckets that holds over a wide range of sizes, as each chunk asks each bucket.
     bits = max(8, int(size // BUCKET_BYTES).bit_length())

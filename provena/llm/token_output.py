@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provena.llm.bpe import read_ranks
-from provena.llm.common import binary_array, binary_slices, kept_table, mixed, text_slices
+from provena.llm.common import binary_array, binary_slices, kept_table, mixed, modest_batches, text_slices
 
 #: Tokens of a sequence, and sequences of a shard.
 LENGTH = 512
@@ -92,6 +92,7 @@ def shards(docs: DataFrame, ranks_path: str, pattern: str, key: int = 20240607,
     Numbers follow the parts that the input is read in, so an unchanged input keeps its order.
     """
     spark = docs.sparkSession
+    modest_batches(spark)
     ranks = read_ranks(spark, ranks_path)
     flat = kept_table(numbered(docs, ranks_path, pattern, length), "token-ids")
     size = int(width(sum(1 for line in ranks.value[1].splitlines() if line.strip()) + 1)[-1])

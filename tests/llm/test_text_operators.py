@@ -270,6 +270,52 @@ def test_pii_takes_the_whole_of_a_long_secret(spark):
         assert "Ab3" not in r.text and "jK9" not in r.text
 
 
+LURES = {
+    "secret": ["see /usr/local/lib/python3/site-packages/numpy for it", "slug: the-quick-brown-fox-jumps-over-13-dogs", "A" * 20 + "1", "import provena_operators_suite_module2", "on 2024-01-01-monday-morning-meeting-notes", "id 12345678901234567890123"],
+    "phone": ["part no. 555-123-4567 fits", "order 555 123 4567 came", "serial (555) 123-4567"],
+    "ip": ["version 1:2:3:4:5:6:7:8 of it"],
+}
+
+
+def _planted(seed: int) -> tuple[str, str, str]:
+    """(before, personal data of an added kind, kind)."""
+    r = np.random.default_rng(seed)
+    hexes = lambda n: "".join(r.choice(list("0123456789abcdef"), n))
+    base64_ = lambda n: "".join(r.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), n))
+    digits = lambda n: "".join(map(str, r.integers(0, 10, n)))
+    return [
+        ('token = "', base64_(32), "secret"), ("api_key: ", hexes(40), "secret"), ("password=", base64_(24) + "9a8", "secret"),
+        ("write to mail ", f"joe{digits(2)} [at] host{digits(1)} [dot] org", "email"), ("call me: ", f"({digits(3)}) 555-{digits(4)}", "phone"),
+        ("host addr ", ":".join(hexes(4) for _ in range(8)), "ip"),
+    ][seed % 6]
+
+
+@pytest.mark.parametrize("with_lures", [True, False])
+def test_pii_finds_what_is_added_and_leaves_lures(spark, with_lures):
+    rows, want = [], {}
+    for i in range(180):
+        before, data, kind = _planted(i)
+        start = f"{prose(i, 5)} {before}"
+        rows.append((i, f"{start}{data} {prose(i + 500, 4)}"))
+        want[i] = f"{kind}:{len(start)}:{len(start) + len(data)}"
+    lures = [(1000 + i, f"{prose(i, 5)} {t} {prose(i, 4)}") for i, t in enumerate([x for v in LURES.values() for x in v] * 6)]
+    docs = spark.createDataFrame(rows + (lures if with_lures else []), "doc_id long, text string")
+    weights = pii.fit(docs)
+    of = lambda d: {r.doc_id: [f"{pii.KINDS[x.kind]}:{x.s}:{x.e}" for x in r.spans] for r in pii.find(d, weights).collect()}
+    found = of(docs)
+    right = sum(want[i] in found[i] for i in want)
+    said = sum(len(found[i]) for i in found)
+    assert right / len(want) >= 0.9 and right / said >= 0.9
+    # Lures are left alone by a model that saw none as well.
+    assert sum(map(len, of(spark.createDataFrame(lures, "doc_id long, text string")).values())) <= len(lures) // 10
+
+
+def test_pii_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.org", "x", 3, "y", "z")], "doc_id long, text string, base string, runs int, row string, spans string")
+    out = pii.redact(docs).first()
+    assert out.asDict() == {"doc_id": 1, "text": "mail <EMAIL>", "base": "x", "runs": 3, "row": "y", "spans": "z"}
+
+
 def test_pii_reliabilities():
     votes = np.array([[1, 1, 1], [1, 1, 0], [-1, -1, -1], [1, -1, 0], [-1, -1, 1]])
     p, shares = pii.estimate(votes, np.array([50, 20, 60, 3, 4]))
