@@ -23,6 +23,11 @@ def normalise(c: Column) -> Column:
     return F.lower(squash(c))
 
 
+def blank(c: Column) -> Column:
+    """Whether a line has nothing but white space, of whatever kind."""
+    return F.regexp_like(c, F.lit(r"(?U)^[\s\x1C-\x1F]*$"))
+
+
 def lines(c: Column) -> Column:
     """Lines by all Unicode breaks; a break at the end opens no further line."""
     parts = F.split(F.coalesce(c, F.lit("")), _BREAKS, -1)

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.functions.text import lines, percent
+from provena.functions.text import line_count, lines, percent, source_ref
 from provena.operators.spans import overlaps
 
 # How branches and functions begin in other languages.
@@ -56,8 +56,7 @@ def register(spark: SparkSession) -> None:
 def python_items(files: DataFrame) -> DataFrame:
     """(path, what, name, line, end, ord) of Python files (path, text); a file that can't be parsed has one row `error`."""
     register(files.sparkSession)
-    files.createOrReplaceTempView("_provena_py_files")
-    return files.sparkSession.sql("SELECT f.path, i.* FROM _provena_py_files f, LATERAL py_items(f.text) i")
+    return files.sparkSession.sql("SELECT f.path, i.* FROM {files} f, LATERAL py_items(f.text) i", files=files.select("path", "text"))
 
 
 def branch_kind(line: Column) -> Column:
@@ -78,15 +77,28 @@ def line_branches(files: DataFrame) -> DataFrame:
     return each.select("path", branch_kind(F.col("line")).alias("name"), (F.col("n") + 1).alias("line"), (F.col("n") + 1).alias("end")).where("name is not null")
 
 
-def coverage(items: DataFrame, ranges: DataFrame, tolerance: int = 0) -> DataFrame:
-    """For each path: branches, those that a rule's range overlaps, their share (100.0 of none)."""
-    numbered = items.select("path", F.col("line").alias("start"), "end")
-    hit = overlaps(numbered, ranges, "path", tolerance).withColumn("hit", F.lit(1))
-    missed = overlaps(numbered, ranges, "path", tolerance, "left_anti").withColumn("hit", F.lit(0))
-    out = hit.unionByName(missed).groupBy("path").agg(F.count("*").alias("total"), F.sum("hit").alias("covered"))
+def rule_ranges(rules: DataFrame) -> DataFrame:
+    """(path, start, end) of the lines that rules (source, evidence) speak of: to the end of the reference, or of the quote where that is longer. Sources that are no reference have none."""
+    at = source_ref(F.col("source"))
+    tall = F.greatest(line_count(F.col("evidence").cast("string")) - 1, F.lit(0))
+    out = rules.select(at.alias("r"), tall.alias("more")).where("r is not null")
+    return out.select(F.col("r.file").alias("path"), F.col("r.start").alias("start"), F.greatest(F.col("r.end"), F.col("r.start") + F.col("more")).alias("end"))
+
+
+def coverage(items: DataFrame, ranges: DataFrame, tolerance: int = 0, paths: DataFrame | None = None) -> DataFrame:
+    """For each path: branches, those that a rule's range overlaps, their share (100.0 of none). paths (path) adds those without branches."""
+    found = overlaps(items.select("path", F.col("line").alias("start"), "end"), ranges, "path", tolerance, "flag")
+    out = found.groupBy("path").agg(F.count("*").alias("total"), F.count_if("hit").alias("covered"))
+    if paths is not None:
+        out = paths.select("path").distinct().join(out, "path", "left").fillna({"total": 0, "covered": 0})
     return out.withColumn("share", percent(F.col("covered"), F.col("total"), 100.0))
 
 
+def without_rules(functions: DataFrame, ranges: DataFrame) -> DataFrame:
+    """functions (path, name, line, end) that no rule's range overlaps, always exactly."""
+    return overlaps(functions.select("path", "name", F.col("line").alias("start"), "end"), ranges, "path", 0, "left_anti").select("path", "name", F.col("start").alias("line"), "end")
+
+
 def total_coverage(by_path: DataFrame) -> DataFrame:
     """The sums over all paths."""
     n = by_path.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("covered"), F.lit(0)).alias("covered"))

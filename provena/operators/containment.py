@@ -6,37 +6,67 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provena.functions.text import PLACEHOLDER, needle_pattern, normalise, percent
+from provena.operators.storage import kept
 
-_ANCHOR = 3
 _HOLE = "\u0001"
+#: Words of an anchor: three where a passage has them, else one.
+ANCHORS = (3, 1)
+#: Up to so many different anchors, 16 bytes each, go to every task; more are joined by a shuffle of hashes.
+BROADCAST_ANCHORS = 1 << 21
 #: Passages without an anchor go to every task, in parts of about so many bytes.
 SHORT_BYTES = 8 << 20
 
 
+def _hashes(words: Column, k: int, first: Column, last: Column) -> Column:
+    """Hashes of the runs of k words that begin at the places from first to last, counted from 0."""
+    return F.when(last >= first, F.transform(F.sequence(first, last), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)])))
+
+
+def _candidates(p: DataFrame, t: DataFrame, passage_id: str, text_id: str, k: int) -> DataFrame:
+    """(passage_id, text_id) of the texts that have a passage's rarest anchor. Only hashes and ids are shuffled."""
+    runs = F.transform(F.sequence(F.lit(1), F.size("_w") - k - 1), lambda i: F.struct(F.array_join(F.slice("_w", i + 1, k), " ").alias("r"), F.xxhash64(*[F.get(F.col("_w"), i + j) for j in range(k)]).alias("h")))
+    free = F.transform(F.filter(runs, lambda r: ~F.contains(r["r"], F.lit(_HOLE))), lambda r: r["h"])
+    anchors = p.select(passage_id, F.explode(F.array_distinct(free)).alias("_h"))
+    every = anchors.select("_h").distinct()
+    every = F.broadcast(every) if every.count() <= BROADCAST_ANCHORS else every
+    words = F.split("_t", " ")
+    seen = t.select(text_id, words.alias("_w")).select(text_id, F.explode(F.array_distinct(_hashes(F.col("_w"), k, F.lit(0), F.size("_w") - k))).alias("_h")).join(every, "_h")
+    seen = kept(seen)
+    often = seen.groupBy("_h").agg(F.count("*").alias("_n"))
+    # An anchor that no text has rules its passage out; of the others the rarest makes fewest candidates.
+    rarest = anchors.join(often, "_h", "left").groupBy(passage_id).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_h").alias("h"))).alias("_r"))
+    rarest = rarest.where("_r.n > 0").select(passage_id, F.col("_r.h").alias("_h"))
+    return seen.join(rarest, "_h").select(passage_id, text_id)
+
+
 def containing(passages: DataFrame, texts: DataFrame, passage_id: str, text_id: str) -> DataFrame:
     """(passage_id, text_id) of each passage whose normalised text stands in a normalised text; a placeholder in it also stands for a number.
 
-    The words in a passage but its first and last are whole words wherever it stands, so the passage and
-    its text share three such words that no placeholder is in: an equi join on those finds all candidates.
+    The words in a passage but its first and last are whole words wherever it stands, so a run of them that
+    no placeholder is in is an anchor that its text has too: an equi join on hashes finds all candidates.
     Passages without such words are held against all texts, in parts that are broadcast. Empty passages
     stand nowhere.
     """
     p = passages.select(passage_id, normalise(F.col("text")).alias("_p")).where("_p <> ''").withColumn("_q", F.regexp_replace("_p", PLACEHOLDER, _HOLE))
     p = p.withColumn("_w", F.split("_q", " ")).withColumn("_n", F.when(F.contains("_q", F.lit(_HOLE)), needle_pattern(F.col("_p"))))
-    runs = F.transform(F.sequence(F.lit(2), F.size("_w") - _ANCHOR), lambda i: F.array_join(F.slice("_w", i, _ANCHOR), " "))
-    p = p.withColumn("_a", F.when(F.size("_w") >= _ANCHOR + 2, F.get(F.filter(runs, lambda r: ~F.contains(r, F.lit(_HOLE))), F.lit(0))))
-    stands = F.contains("_t", "_p") | F.coalesce(F.regexp_like("_t", F.col("_n")), F.lit(False))
+    clean = F.transform(F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0))), lambda w: ~F.contains(w, F.lit(_HOLE)))
+    run = lambda k: F.exists(F.sequence(F.lit(0), F.greatest(F.size("_w") - 2 - k, F.lit(0))), lambda i: (F.size("_w") - 2 >= k) & F.forall(F.slice(clean, i + 1, k), lambda x: x))
+    p = p.withColumn("_k", F.coalesce(*[F.when(run(k), k) for k in ANCHORS], F.lit(0)))
+    sizes = {r["_k"] for r in p.select("_k").distinct().collect()}
     t = texts.select(text_id, normalise(F.col("text")).alias("_t"))
-    words = t.withColumn("_w", F.split("_t", " "))
-    grams = F.transform(F.sequence(F.lit(1), F.size("_w") - _ANCHOR + 1), lambda i: F.array_join(F.slice("_w", i, _ANCHOR), " "))
-    anchored = words.where(F.size("_w") >= _ANCHOR).select(text_id, "_t", F.explode(F.array_distinct(grams)).alias("_a"))
-    out = anchored.join(p.where("_a is not null").select(passage_id, "_p", "_n", "_a"), "_a").where(stands).select(passage_id, text_id)
-    short = p.where("_a is null").select(passage_id, "_p", "_n")
-    parts = -(-(short.agg(F.sum(F.octet_length("_p"))).first()[0] or 0) // SHORT_BYTES)
+    stands = F.contains("_t", "_p") | F.coalesce(F.regexp_like("_t", F.col("_n")), F.lit(False))
+    out = None
+    for k in (k for k in ANCHORS if k in sizes):
+        near = _candidates(p.where(F.col("_k") == k), t, passage_id, text_id, k)
+        found = near.join(p.select(passage_id, "_p", "_n"), passage_id).join(t, text_id).where(stands).select(passage_id, text_id)
+        out = found if out is None else out.unionByName(found)
+    short = p.where("_k = 0").select(passage_id, "_p", "_n")
+    parts = -(-(short.agg(F.sum(F.octet_length("_p"))).first()[0] or 0) // SHORT_BYTES) if 0 in sizes else 0
     for k in range(parts):
         part = short.where(F.pmod(F.xxhash64(passage_id, "_p"), F.lit(parts)) == k)
-        out = out.unionByName(t.join(F.broadcast(part), stands).select(passage_id, text_id))
-    return out
+        found = t.join(F.broadcast(part), stands).select(passage_id, text_id)
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else p.join(t, F.lit(False)).select(passage_id, text_id)
 
 
 def first_found(passages: DataFrame, hits: DataFrame, passage_id: str, text_id: str, hinted: Column) -> DataFrame:
@@ -45,8 +75,19 @@ def first_found(passages: DataFrame, hits: DataFrame, passage_id: str, text_id:
     return passages.join(found, passage_id, "left")
 
 
-def confirmed(found: DataFrame, group: Column, label: Column) -> DataFrame:
-    """By group: expectations, confirmed ones, their share (0.0 of none), and the others' labels in order."""
+def confirmed(found: DataFrame, group: Column, label: Column, rules: DataFrame | None = None) -> DataFrame:
+    """By group: expectations, confirmed ones, their share (0.0 of none), and the others' labels in order.
+
+    rules (rule) adds those without expectations. The labels are one text a rule: a rule's own predictions
+    are few; misses() has them as rows, whatever their number.
+    """
     ok = F.col("found_in").isNotNull()
     out = found.groupBy(group.alias("rule")).agg(F.count("*").alias("total"), F.count_if(ok).alias("confirmed"), F.array_join(F.array_sort(F.collect_list(F.when(~ok, label))), ",").alias("unconfirmed"))
+    if rules is not None:
+        out = rules.select("rule").distinct().join(out, "rule", "left").fillna({"total": 0, "confirmed": 0, "unconfirmed": ""})
     return out.withColumn("share", percent(F.col("confirmed"), F.col("total"), 0.0))
+
+
+def misses(found: DataFrame, group: Column, label: Column) -> DataFrame:
+    """(rule, label) of the expectations that no text confirms."""
+    return found.where("found_in is null").select(group.alias("rule"), label.alias("label"))

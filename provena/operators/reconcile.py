@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provena.functions.text import percent
+from provena.functions.text import any_glob, percent, source_ref
 from provena.operators.storage import kept
 
 BLOCK = 100
@@ -25,8 +25,16 @@ def both_ways(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return only(a, b, "left").unionByName(only(b, a, "right"))
 
 
+def used(numbers: DataFrame, number: str, place: str) -> DataFrame:
+    """(number, place, times): where each number is used, a row a place."""
+    return numbers.groupBy(number, F.col(place).cast("string").alias("place")).agg(F.count("*").alias("times"))
+
+
 def collisions(numbers: DataFrame, number: str, place: str) -> DataFrame:
-    """Numbers used more than once, how often, and in which places in order."""
+    """Numbers used more than once, how often, and in which places in order.
+
+    The places are one text a number: few, as a place counts once; used() has them as rows, whatever their number.
+    """
     return numbers.groupBy(number).agg(F.count("*").alias("times"), F.array_join(F.array_sort(F.collect_set(F.col(place).cast("string"))), ",").alias("places")).where("times > 1")
 
 
@@ -36,26 +44,62 @@ def next_block(number: Column) -> Column:
     return F.coalesce(F.floor((top - 1) / BLOCK) * BLOCK + BLOCK + 1, F.lit(1)).cast("long")
 
 
-def assigned_blocks(modules: DataFrame, key: str, own: str, start: int) -> DataFrame:
-    """modules with `block`: their own first number, or one block after the other from `start`, in order of key, for those without.
-
-    Only modules, a plan's own list, are numbered; numbers within ranges of keys come first, then the ranges' offsets, so no task sees all.
-    """
-    spark = modules.sparkSession
+def dense(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with `number`, from 0 in order: numbers within ranges come first, then the ranges' offsets, so no task sees all."""
+    spark = rows.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # Numbers of parts are read twice, so the parts are kept.
-    new = kept(modules.where(F.col(own).isNull()).repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id()))
-    counts = sorted((r["_part"], r["count"]) for r in new.groupBy("_part").count().collect())
-    before, total = {}, 0
-    for part, n in counts:
-        before[part] = total
+    new = kept(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    before, total = [], 0
+    for part, n in sorted((r["_part"], r["count"]) for r in new.groupBy("_part").count().collect()):
+        before += [F.lit(part), F.lit(total).cast("long")]
         total += n
-    offset = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("_part")) if before else F.lit(0)
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy(key))
-    numbered = new.withColumn("block", (F.lit(start) + BLOCK * (offset + rank - 1)).cast("long")).drop("_part")
+    offset = F.element_at(F.create_map(*before), F.col("_part")) if before else F.lit(0).cast("long")
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return new.withColumn("number", offset + rank - 1).drop("_part")
+
+
+def assigned_blocks(modules: DataFrame, key: str, own: str, start: int) -> DataFrame:
+    """modules with `block`: their own first number, or one block after the other from `start`, in order of key, for those without."""
+    new = dense(modules.where(F.col(own).isNull()), key)
+    numbered = new.withColumn("block", (F.lit(start) + BLOCK * F.col("number")).cast("long")).drop("number")
     return modules.where(F.col(own).isNotNull()).withColumn("block", F.col(own).cast("long")).unionByName(numbered)
 
 
+def planned(inventory: DataFrame, exclude: list[str], least: int | None = None, *by: str) -> DataFrame:
+    """(by, pos, path): the modules of inventories (modules: array of variants, each an object with path and approx_size, or a bare string).
+
+    Entries without a path, those that a glob excludes and those that say they have fewer than `least` lines are left out; a size that is no number excludes nothing.
+    """
+    each = inventory.select(*by, F.posexplode("modules").alias("pos", "m"))
+    is_object = F.startswith(F.schema_of_variant("m"), F.lit("OBJECT"))
+    path = F.when(is_object, F.try_variant_get("m", "$.path", "string")).otherwise(F.try_variant_get("m", "$", "string"))
+    size = F.when(is_object, F.try_variant_get("m", "$.approx_size", "int"))
+    out = each.select(*by, "pos", path.alias("path"), size.alias("size")).where("path <> ''").where(~any_glob(F.col("path"), exclude))
+    return (out if least is None else out.where(F.col("size").isNull() | (F.col("size") >= least))).drop("size")
+
+
+def to_run(tasks: DataFrame, outputs: DataFrame, found: DataFrame, force: bool = False) -> DataFrame:
+    """tasks (tag) with `state`: skipped if an output (tag, path) is there and none of its findings (tag, severity) is an error, else run; with force all run."""
+    there = outputs.select("tag").distinct().withColumn("_there", F.lit(True))
+    bad = found.where("severity = 'error'").select("tag").distinct().withColumn("_bad", F.lit(True))
+    out = tasks.join(there, "tag", "left").join(bad, "tag", "left")
+    fine = F.col("_there").isNotNull() & F.col("_bad").isNull() & F.lit(not force)
+    return out.withColumn("state", F.when(fine, "skipped").otherwise("run")).drop("_there", "_bad")
+
+
+def not_written(expected: DataFrame, outputs: DataFrame) -> DataFrame:
+    """(tag, paths) of the tasks none of whose expected files (tag, path) is there; paths are a task's own, in order."""
+    there = expected.join(outputs.select("tag", "path").distinct(), ["tag", "path"], "left_semi").select("tag").distinct()
+    return expected.join(there, "tag", "left_anti").groupBy("tag").agg(F.array_join(F.array_sort(F.collect_set("path")), " | ").alias("paths"))
+
+
+def referenced(rules: DataFrame, files: DataFrame) -> DataFrame:
+    """files (path) that some rule's source speaks of."""
+    said = rules.select(source_ref(F.col("source"))["file"].alias("path")).where("path is not null").distinct()
+    return files.join(said, "path", "left_semi")
+
+
 def tier_of(modules: DataFrame, path: str, tiers: DataFrame, default: str) -> DataFrame:
     """modules with `tier`: that of the longest prefix (prefix, tier, ord) that is the path or a folder above it; of equal ones the last; else the default.
 

@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provena.functions.text import line_count, quoted_in, squash
+from provena.functions.text import blank, line_count, quoted_in, squash
 
 #: Lines by which a quote may be off.
 TOLERANCE = 3
 
 
 def overlaps(items: DataFrame, ranges: DataFrame, key: str, tolerance: int = 0, how: str = "left_semi", width: int = 1 << 10) -> DataFrame:
-    """items (key, start, end) that some range (key, start, end) overlaps; how="left_anti" for the others.
+    """items (key, start, end) that some range (key, start, end) overlaps; how="left_anti" for the others, "flag" for all with a column `hit`.
 
     Both sides are cut into buckets of `width`, so that a key with very many ranges is spread and the
     join stays an equi join; an item that overlaps in several buckets is still one row.
     """
-    if how not in ("left_semi", "left_anti"):
+    if how not in ("left_semi", "left_anti", "flag"):
         raise ValueError(how)
     bucket = lambda lo, hi: F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width)))
     near = ranges.select(F.col(key).alias("_k"), (F.col("start") - tolerance).alias("_lo"), (F.col("end") + tolerance).alias("_hi")).where("_lo <= _hi")
@@ -25,13 +25,21 @@ def overlaps(items: DataFrame, ranges: DataFrame, key: str, tolerance: int = 0,
     numbered = items.withColumn("_id", F.struct(key, "start", "end"))
     spread = numbered.select("_id", F.col(key).alias("_k"), "start", "end").distinct().withColumn("_b", bucket(F.col("start"), F.col("end")))
     hit = spread.join(near, (spread["_k"] == near["_k"]) & (spread["_b"] == near["_b"]) & (near["_lo"] <= spread["end"]) & (near["_hi"] >= spread["start"]), "left_semi")
-    return numbered.join(hit.select("_id").distinct(), "_id", how).drop("_id")
+    ids = hit.select("_id").distinct()
+    if how == "flag":
+        return numbered.join(ids.withColumn("hit", F.lit(True)), "_id", "left").withColumn("hit", F.coalesce("hit", F.lit(False))).drop("_id")
+    return numbered.join(ids, "_id", how).drop("_id")
 
 
-def innermost(points: DataFrame, spans: DataFrame, key: str, at: str, point_id: str, name: str, order: str) -> DataFrame:
-    """For each point the name of the smallest span (key, start, end) around it; of equal ones that of the last `order`. Null if there is none."""
-    s = spans.select(F.col(key).alias("_k"), F.col("start").alias("_lo"), F.col("end").alias("_hi"), F.col(name).alias("_name"), F.col(order).alias("_order"))
-    best = points.join(s, (F.col(key) == F.col("_k")) & F.col(at).between(F.col("_lo"), F.col("_hi"))).groupBy(point_id)
+def innermost(points: DataFrame, spans: DataFrame, key: str, at: str, point_id: str, name: str, order: str, width: int = 1 << 10) -> DataFrame:
+    """For each point the name of the smallest span (key, start, end) around it; of equal ones that of the last `order`. Null if there is none.
+
+    Spans are cut into buckets of `width`, of which a point is in one.
+    """
+    s = spans.where(F.col("start") <= F.col("end")).select(F.col(key).alias("_k"), F.col("start").alias("_lo"), F.col("end").alias("_hi"), F.col(name).alias("_name"), F.col(order).alias("_order"))
+    s = s.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor(F.col("_hi") / width))))
+    near = points.withColumn("_bucket", F.floor(F.col(at) / width))
+    best = near.join(s, (near[key] == s["_k"]) & (near["_bucket"] == s["_b"]) & F.col(at).between(F.col("_lo"), F.col("_hi"))).groupBy(point_id)
     found = best.agg(F.min_by("_name", F.struct((F.col("_hi") - F.col("_lo")).alias("size"), (-F.col("_order")).alias("late"))).alias(name))
     return points.join(found, point_id, "left")
 
@@ -40,13 +48,36 @@ def nearest_preceding(targets: DataFrame, lines: DataFrame, key: str, declared:
     """For each target line (key, n) the declaration it stands in, going up by indent alone.
 
     lines has (key, n, line, indent). Going up from a target, only lines that aren't blank and are indented less than all between count; the first of them that `declared` names is the answer.
+    One pass over each key's lines in order keeps the lines that still count, with the name each leads to.
     """
-    t = lines.join(targets.select(key, "n").distinct(), [key, "n"], "left_semi").select(F.col(key), F.col("n").alias("target"), F.col("indent").alias("_own"))
-    up = t.join(lines.where(F.trim("line") != "").withColumn("_name", declared), key).where(F.col("n") < F.col("target"))
-    before = Window.partitionBy(key, "target").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
-    level = F.least("_own", F.min("indent").over(before))
-    hit = up.withColumn("_level", level).where((F.col("indent") < F.col("_level")) & F.col("_name").isNotNull())
-    found = hit.groupBy(key, F.col("target").alias("n")).agg(F.max_by("_name", "n").alias("name"))
+    wanted = targets.select(F.col(key).alias("_k"), F.col("n").alias("_n")).distinct().withColumn("_wanted", F.lit(True))
+    rows = lines.select(F.col(key).alias("_k"), F.col("n").alias("_n"), F.col("indent").cast("int").alias("_indent"), (~blank(F.col("line"))).alias("_counts"), declared.alias("_name"))
+    rows = rows.join(wanted, ["_k", "_n"], "left").repartition("_k").sortWithinPartitions("_k", "_n")
+
+    def walk(batches):
+        import pyarrow as pa
+
+        last, stack = None, []  # (indent, name of it or of the nearest named one before it that still counts)
+        for batch in batches:
+            keys, ns, names = [], [], []
+            for k, n, indent, counts, name, asked in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if k != last:
+                    last, stack = k, []
+                if asked:
+                    i = len(stack)
+                    while i and stack[i - 1][0] >= indent:
+                        i -= 1
+                    keys.append(k)
+                    ns.append(n)
+                    names.append(stack[i - 1][1] if i else None)
+                if counts:
+                    while stack and stack[-1][0] >= indent:
+                        stack.pop()
+                    stack.append((indent, name if name is not None else stack[-1][1] if stack else None))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(ns, batch.schema.field(1).type), pa.array(names, pa.string())], [key, "n", "name"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    found = rows.mapInArrow(walk, f"`{key}` {kinds['_k']}, n {kinds['_n']}, name string")
     return targets.join(found, [key, "n"], "left")
 
 

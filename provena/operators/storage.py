@@ -4,12 +4,21 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset, an own one if all runs on this machine, else it's an error."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="provena-checkpoint-"))
+    return sc.getCheckpointDir().rstrip("/")
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df, computed now and kept in the folder in spark.checkpoint.dir; only where that is unset, as in local tests, in an own one."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="provena-checkpoint-"))
+    """df, computed now and kept in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provena.functions import text as X
-from provena.operators import code, containment, contracts, findings, masking, reconcile, report, spans
+from provena.operators import code, completeness, containment, contracts, findings, masking, reconcile, report, spans
 from provena.sources import files
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,6 +103,46 @@ def partially_confirmed(spark, sf_dir):
     return _shares(spark, sf_dir).where("total > 0 and confirmed < total").select("rule", "unconfirmed")
 
 
+_NUMBER_SQL = "[0-9][0-9_]*(?:[.][0-9]+)?"
+
+
+@query(
+    f"""WITH t AS (SELECT p_partkey, lower('The part ' || p_partkey || ' is a ' || p_name || ' made by ' || p_brand || ' of size ' || p_size || ' at ' || p_retailprice || ' each') AS t FROM part),
+q AS (SELECT DISTINCT p_name || '|' || p_brand AS prediction, lower('a ' || p_name || ' made by ' || p_brand || ' of size {_NUMBER_SQL} at {_NUMBER_SQL} each') AS n FROM part)
+SELECT prediction, p_partkey FROM q JOIN t ON regexp_matches(t.t, q.n)"""
+)
+def placeholder_containment(spark, sf_dir):
+    """Predictions with placeholders for numbers, one a name and brand, searched in a text of each part."""
+    p = _t(spark, sf_dir, "part")
+    texts = p.select("p_partkey", F.concat(F.lit("The part "), "p_partkey", F.lit(" is a "), "p_name", F.lit(" made by "), "p_brand", F.lit(" of  size "), "p_size", F.lit(" at "), "p_retailprice", F.lit(" each")).alias("text"))
+    said = p.select(F.concat("p_name", F.lit("|"), "p_brand").alias("prediction"), F.concat(F.lit("A "), "p_name", F.lit(" made by "), "p_brand", F.lit(" of size <n> at < NUM > each")).alias("text")).distinct()
+    return containment.containing(said, texts, "prediction", "p_partkey")
+
+
+@query(f"""WITH {_FIRST}, r AS (SELECT 'src' || (item_id % 20) AS rule, count(*) AS total, count(found_in) AS confirmed FROM found GROUP BY 1), s AS (SELECT DISTINCT source AS rule FROM documents WHERE source IS NOT NULL)
+SELECT rule, coalesce(total, 0) AS total, coalesce(confirmed, 0) AS confirmed, {_PCT.format("coalesce(confirmed, 0)", "coalesce(total, 0)", "0.0")} AS share FROM s LEFT JOIN r USING (rule)""")
+def inverse_by_source(spark, sf_dir):
+    """Every source has a row, those without expectations too."""
+    rules = _t(spark, sf_dir, "documents").where("source is not null").select(F.col("source").alias("rule"))
+    label = F.col("item_id").cast("string")
+    return containment.confirmed(_found(spark, sf_dir), F.concat(F.lit("src"), F.col("item_id") % 20), label, rules).drop("unconfirmed")
+
+
+@query(f"WITH {_FIRST} SELECT item_id % 5 AS rule, CAST(item_id AS VARCHAR) AS label FROM found WHERE found_in IS NULL")
+def unconfirmed_rows(spark, sf_dir):
+    return containment.misses(_found(spark, sf_dir), F.col("item_id") % 5, F.col("item_id").cast("string"))
+
+
+@query(
+    f"""WITH {_SHARES}, n AS (SELECT rule, total, confirmed, {_PCT.format("confirmed", "total", "0.0")} AS share, row_number() OVER (ORDER BY CAST(rule AS VARCHAR)) - 1 AS k FROM r)
+SELECT 0 AS part, i AS number, ['# Predictions against sources', '', '| rule | predictions | confirmed | % |', '|---|---|---|---|'][i + 1] AS line FROM range(4) AS t(i)
+UNION ALL SELECT 1, k, '| ' || rule || ' | ' || total || ' | ' || confirmed || ' | ' || share || ' |' FROM n
+UNION ALL SELECT 2, 0, '**Total: ' || CAST(coalesce(sum(confirmed), 0) AS BIGINT) || '/' || CAST(coalesce(sum(total), 0) AS BIGINT) || ' = ' || {_PCT.format("coalesce(sum(confirmed), 0)", "coalesce(sum(total), 0)", "0.0")} || '%**' FROM n"""
+)
+def inverse_report(spark, sf_dir):
+    return report.inverse_report(_shares(spark, sf_dir))
+
+
 @query(
     """WITH q AS (SELECT page_id, lower(url) AS url, regexp_replace(regexp_replace(lower(url), '[0-9]+', '<n>', 'g'), '([^A-Za-z0-9_<>])', '\\\\\\1', 'g') AS needle FROM pages)
 SELECT a.page_id, regexp_matches(a.url, replace(a.needle, '<n>', '[0-9][0-9_]*(?:[.][0-9]+)?')) AS own,
@@ -195,6 +235,42 @@ def coverage_rollup(spark, sf_dir):
     return _covered(spark, sf_dir).rollup((F.col("user_id") % 10).alias("module")).agg(F.sum("total").alias("total"), F.sum("covered").alias("covered"))
 
 
+_ALL_USERS = f"{_EVENTS}, u AS (SELECT DISTINCT user_id FROM events), c AS (SELECT u.user_id, count(sec) AS total, CAST(coalesce(sum(hit::INT), 0) AS BIGINT) AS covered FROM u LEFT JOIN marked USING (user_id) GROUP BY u.user_id)"
+
+
+def _all_covered(spark, sf_dir):
+    errors, views = _points(spark, sf_dir)
+    paths = _t(spark, sf_dir, "events").select(F.col("user_id").alias("path"))
+    return code.coverage(errors.withColumnsRenamed({"user_id": "path", "start": "line"}), views.withColumnRenamed("user_id", "path"), 0, paths)
+
+
+@query(f"WITH {_ALL_USERS} SELECT user_id, total, covered, {_PCT.format('covered', 'total', '100.0')} AS share FROM c")
+def coverage_of_all(spark, sf_dir):
+    """Users without errors have a row with 100.0."""
+    return _all_covered(spark, sf_dir).withColumnRenamed("path", "user_id")
+
+
+@query(
+    f"""WITH {_ALL_USERS}, v AS (SELECT DISTINCT user_id FROM views), n AS (SELECT *, {_PCT.format("covered", "total", "100.0")} AS share, row_number() OVER (ORDER BY user_id) - 1 AS k FROM c)
+SELECT 0 AS part, i AS number, ['# Coverage of branches by rules', '', '| module | branches | covered | % | functions without rules |', '|---|---|---|---|---|'][i + 1] AS line FROM range(4) AS t(i)
+UNION ALL SELECT 1, k, '| `' || n.user_id || '` | ' || total || ' | ' || covered || ' | ' || share || ' | ' || CASE WHEN v.user_id IS NULL THEN '`all`' ELSE '—' END || ' |' FROM n LEFT JOIN v ON v.user_id = n.user_id
+UNION ALL SELECT 2, 0, '**Total: ' || CAST(sum(covered) AS BIGINT) || '/' || CAST(sum(total) AS BIGINT) || ' = ' || {_PCT.format("sum(covered)", "sum(total)", "100.0")} || '%**' FROM n"""
+)
+def coverage_report(spark, sf_dir):
+    """A function spans all of each user's time; it has no rule where the user never viewed."""
+    views = _points(spark, sf_dir)[1].withColumnRenamed("user_id", "path")
+    functions = _t(spark, sf_dir, "events").groupBy(F.col("user_id").alias("path")).agg(F.lit("all").alias("name"), F.min(F.unix_timestamp("ts")).alias("line"), F.max(F.unix_timestamp("ts")).alias("end"))
+    bare = code.without_rules(functions, views)
+    return report.coverage_report(_all_covered(spark, sf_dir), bare)
+
+
+@query("SELECT 'c' || conv_id || '.py' AS path, CAST(turn + 1 AS INT) AS start, CAST(turn + 1 + greatest(len(string_split(trim(text), chr(10))) - 1, CASE WHEN turn % 3 = 0 THEN 1 ELSE 0 END) AS INT) AS \"end\" FROM conversations")
+def rule_ranges(spark, sf_dir):
+    """Ranges end where the reference or the quote does, whichever is later."""
+    source = F.concat(F.lit("c"), "conv_id", F.lit(".py:"), F.col("turn") + 1, F.when(F.col("turn") % 3 == 0, F.concat(F.lit("-"), F.col("turn") + 2)).otherwise(""))
+    return code.rule_ranges(_t(spark, sf_dir, "conversations").select(source.alias("source"), F.col("text").alias("evidence")))
+
+
 @query(
     """SELECT o_orderkey, arg_min(l_linenumber, (2 * CAST(l_quantity AS BIGINT), -l_linenumber)) AS l_linenumber
 FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) BETWEEN date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) - CAST(l_quantity AS BIGINT) AND date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) + CAST(l_quantity AS BIGINT)
@@ -263,6 +339,65 @@ def story_occurrences(spark, sf_dir):
     return reconcile.exactly_once(ids, tokens, "rule_id").select("rule_id", X.rule_number(F.col("rule_id")).alias("number"), "times")
 
 
+_TOLD = "regexp_replace('CUST-R-' || lpad(CAST({0} AS VARCHAR), CAST(greatest(3, length(CAST({0} AS VARCHAR))) AS INTEGER), '0'), '^', '')"
+
+
+def _rule(c: str) -> Column:
+    return F.concat(F.lit("CUST-R-"), X.padded(F.col(c), 3))
+
+
+def _stories(spark, sf_dir):
+    """A line for each order; a third of them have something before the id, a fifth something after it, a seventh are no table."""
+    k = F.col("o_orderkey")
+    line = F.concat(F.when(k % 7 == 0, "- ").otherwise("| "), F.when(k % 3 == 0, "see-v1.").otherwise(""), _rule("o_custkey"), F.when(k % 5 == 0, "-x").when(k % 5 == 1, ".").otherwise(""), F.lit(" | "), "o_orderstatus", F.lit(" |"))
+    return _t(spark, sf_dir, "orders").select(line.alias("line"))
+
+
+@query(f"SELECT {_TOLD.format('c_custkey')} AS rule_id, CAST(count(o_orderkey) AS BIGINT) AS times FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0 GROUP BY c_custkey")
+def occurrences_anywhere(spark, sf_dir):
+    rules = _t(spark, sf_dir, "customer").select(_rule("c_custkey").alias("rule_id"))
+    return completeness.occurrences(rules, _stories(spark, sf_dir))
+
+
+@query(
+    f"""WITH r AS (SELECT c_custkey, {_TOLD.format("c_custkey")} AS rule_id FROM customer), told AS (SELECT rule_id, count(o_orderkey) AS n FROM r LEFT JOIN orders ON o_custkey = c_custkey AND o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0 GROUP BY rule_id),
+t AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS k, CASE WHEN o_orderkey % 11 = 0 THEN 'NEW-R-' || (100 + o_orderkey) ELSE {_TOLD.format("o_custkey")} END AS rule_id, o_orderstatus = 'P' AS bare, o_orderkey % 13 = 0 AS wide FROM orders),
+ids AS (SELECT DISTINCT rule_id FROM t WHERE NOT wide), f AS (
+  SELECT 'stories.md' AS artifact, 'table (' || rule_id || ')' AS path, 'once in the table' AS expected, CASE WHEN n = 0 THEN 'never' ELSE n || ' times' END AS got FROM told WHERE n <> 1
+  UNION ALL SELECT 'traceability.csv', 'rule_id', (SELECT count(*) FROM r) || ' different ids', (SELECT count(*) FROM ids) || ' different ids' WHERE (SELECT count(*) FROM r) <> (SELECT count(*) FROM ids)
+  UNION ALL SELECT 'traceability.csv', 'rule_id (' || rule_id || ')', 'traced', 'missing' FROM r WHERE rule_id NOT IN (SELECT rule_id FROM ids)
+  UNION ALL SELECT 'traceability.csv', 'rule_id (' || rule_id || ')', 'a known rule', 'unknown' FROM ids WHERE rule_id NOT IN (SELECT rule_id FROM r)
+  UNION ALL SELECT 'traceability.csv', 'source (row ' || (k + 1) || ')', 'a source', '(empty)' FROM t WHERE bare AND NOT wide)
+SELECT 'completeness' AS "check", artifact, path, expected, got, '' AS hint, 'error' AS severity FROM f"""
+)
+def completeness_check(spark, sf_dir):
+    """Customers are rules, orders their stories and trace; some rows of the trace name other rules, lack a source, or are too wide."""
+    rules, k = _t(spark, sf_dir, "customer").select(_rule("c_custkey").alias("rule_id")), F.col("o_orderkey")
+    own = F.when(k % 11 == 0, F.concat(F.lit("NEW-R-"), k + 100)).otherwise(_rule("o_custkey"))
+    cells = F.array(F.concat(F.lit("q"), k), F.lit(""), F.concat(F.lit(" "), own), F.when(F.col("o_orderstatus") == "P", "\t").otherwise("a.py:1"), F.lit("high"), F.lit(""))
+    trace = _t(spark, sf_dir, "orders").select("o_orderkey", F.when(k % 13 == 0, F.concat(cells, F.array(F.lit("more")))).otherwise(cells).alias("cells"))
+    return completeness.check(rules, _stories(spark, sf_dir), trace, completeness.TRACE, "o_orderkey")
+
+
+@query("SELECT 'completeness' AS \"check\", 'traceability.csv' AS artifact, 'header' AS path, 'req_id,story_id,rule_id,source,confidence,verdict_stage90' AS expected, 'o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority' AS got, '' AS hint, 'error' AS severity FROM orders LIMIT 1")
+def completeness_header(spark, sf_dir):
+    """A trace with another header: that is all that is said of it. Stories tell each rule once."""
+    rules, orders = _t(spark, sf_dir, "customer").select(_rule("c_custkey").alias("rule_id")), _t(spark, sf_dir, "orders")
+    return completeness.check(rules, rules.select(F.concat(F.lit("| "), "rule_id").alias("line")), orders.select("o_orderkey", F.array("o_orderstatus").alias("cells")), orders.columns, "o_orderkey")
+
+
+@query("SELECT c_nationkey AS number, c_mktsegment AS place, count(*) AS times FROM customer GROUP BY ALL")
+def used_numbers(spark, sf_dir):
+    return reconcile.used(_t(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "number"), "number", "c_mktsegment")
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey) - 1 AS place FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def open_intents(spark, sf_dir):
+    """Orders without lines, the latest first."""
+    o = _t(spark, sf_dir, "orders").join(_t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")
+    return reconcile.dense(o.select("o_orderkey", (-F.unix_date(F.col("o_orderdate").cast("date"))).alias("late")), "late", "o_orderkey").select("o_orderkey", F.col("number").alias("place"))
+
+
 @query("SELECT c_mktsegment, count(*) AS n, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey) AS rows_without FROM customer WHERE c_acctbal < 0 GROUP BY c_mktsegment")
 def blank_rows(spark, sf_dir):
     c = _t(spark, sf_dir, "customer").where("c_acctbal < 0")
@@ -321,6 +456,123 @@ def min_size(spark, sf_dir):
     return _t(spark, sf_dir, "documents").where(F.coalesce(said.try_cast("int") >= 1000, F.lit(True))).select("doc_id")
 
 
+@query(
+    """SELECT conv_id, CAST(turn AS INT) AS pos, CASE WHEN turn % 2 = 0 THEN 'src/' || role || '/' || turn || '.py' ELSE role || turn END AS path FROM conversations
+WHERE role <> 'system' AND NOT (turn % 2 = 0 AND turn % 4 <> 2 AND length(text) < 200)"""
+)
+def module_plan(spark, sf_dir):
+    """An inventory for each conversation, its turns as modules: objects with a size or something that is none, and bare strings."""
+    t = F.col("turn")
+    entry = F.when(t % 2 == 0, F.to_json(F.struct(F.concat(F.lit("src/"), "role", F.lit("/"), t, F.lit(".py")).alias("path"), F.when(t % 4 == 2, F.lit("about 9")).otherwise(F.length("text").cast("string")).alias("approx_size")))).otherwise(F.concat(F.lit('"'), "role", t, F.lit('"')))
+    made = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", entry.alias("e")))), lambda x: F.parse_json(x["e"])).alias("modules"))
+    return reconcile.planned(made, ["src/system/*", "system*"], 200, "conv_id")
+
+
+@query(
+    """WITH o AS (SELECT conv_id, count(*) FILTER (role = 'user') AS there, count(*) FILTER (role = 'user' AND length(text) < 40) AS bad FROM conversations GROUP BY conv_id)
+SELECT conv_id AS tag, CASE WHEN there > 0 AND bad = 0 THEN 'skipped' ELSE 'run' END AS state FROM o"""
+)
+def skip_if_valid(spark, sf_dir):
+    """A task a conversation, its outputs the user's turns; a turn under 40 characters is an error, other short ones a warning."""
+    c = _t(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "tag")
+    outputs, n = c.where("role = 'user'").select("tag", F.col("turn").alias("path")), F.length("text")
+    found = c.where("role = 'user'").select("tag", F.when(n < 40, "error").when(n < 80, "warning").otherwise("info").alias("severity"))
+    return reconcile.to_run(c.select("tag").distinct(), outputs, found)
+
+
+@query("SELECT conv_id AS tag, string_agg(turn || '.md', ' | ' ORDER BY turn || '.md') AS paths FROM conversations GROUP BY conv_id HAVING count(*) FILTER (role = 'system') = 0")
+def not_written(spark, sf_dir):
+    """Expected is a file a turn, there are those of the system's turns; tasks without any of theirs are listed."""
+    c = _t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("tag"), F.concat("turn", F.lit(".md")).alias("path"), "role")
+    return reconcile.not_written(c.select("tag", "path"), c.where("role = 'system'"))
+
+
+@query("SELECT doc_id FROM documents WHERE source IN (SELECT 'src' || (item_id % 20) FROM benchmark)")
+def referenced_files(spark, sf_dir):
+    rules = _t(spark, sf_dir, "benchmark").select(F.concat(F.lit("src"), F.col("item_id") % 20, F.lit(":"), F.col("item_id") + 1).alias("source"))
+    return reconcile.referenced(rules, _t(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("path"))).select("doc_id")
+
+
+# Files. Tables stand for source trees.
+
+
+def _files(spark, sf_dir):
+    k = F.col("doc_id")
+    folder = F.when(k % 7 == 0, "node_modules/").when(k % 11 == 0, ".pytest_cache/").when(k % 13 == 0, "README").otherwise("")
+    return _t(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("/"), folder, k, F.when(k % 3 == 0, ".py").when(k % 3 == 1, ".md").otherwise(".bin")).alias("path"), "text")
+
+
+_FILES = "f AS (SELECT doc_id, source || '/' || CASE WHEN doc_id % 7 = 0 THEN 'node_modules/' WHEN doc_id % 11 = 0 THEN '.pytest_cache/' WHEN doc_id % 13 = 0 THEN 'README' ELSE '' END || doc_id || CASE doc_id % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.md' ELSE '.bin' END AS path, coalesce(text, '') AS text FROM documents)"
+
+
+@query(f"WITH {_FILES} SELECT doc_id, path FROM f WHERE doc_id % 7 <> 0 AND doc_id % 3 < 2 AND path IS NOT NULL")
+def source_tree(spark, sf_dir):
+    return files.sources(_files(spark, sf_dir)).select("doc_id", "path")
+
+
+@query(f"WITH {_FILES} SELECT doc_id FROM f WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND doc_id % 13 = 0 AND regexp_matches(path, '^README')")
+def manifests(spark, sf_dir):
+    """Manifests by name in the root alone."""
+    k = _files(spark, sf_dir)
+    return files.manifests(k).select("doc_id")
+
+
+@query(
+    f"""WITH {_FILES}, l AS (SELECT path, length(text) - length(replace(text, chr(10), '')) + CASE WHEN text <> '' AND NOT ends_with(text, chr(10)) THEN 1 ELSE 0 END AS lines, row_number() OVER (ORDER BY string_split(path, '/')) AS k, count(*) OVER () AS n
+  FROM f WHERE doc_id % 7 <> 0 AND (doc_id % 11 <> 0) AND path IS NOT NULL)
+SELECT path, CAST(lines AS BIGINT) AS lines FROM l WHERE k <= 5000 UNION ALL SELECT DISTINCT '… ' || (n - 5000) || ' more', NULL FROM l WHERE n > 5000"""
+)
+def tree_listing(spark, sf_dir):
+    return files.listing(_files(spark, sf_dir).where("path is not null"))
+
+
+@query("SELECT 'c' || conv_id AS path, 'width' AS problem, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS row FROM conversations QUALIFY turn % 4 = 3 UNION ALL SELECT DISTINCT 'c' || conv_id, 'header', 0 FROM conversations WHERE conv_id % 9 = 0")
+def csv_widths(spark, sf_dir):
+    """A CSV text a conversation, quoted cells with line breaks and commas; each fourth row lacks a cell, some headers are others."""
+    c = _t(spark, sf_dir, "conversations")
+    quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    row = F.concat("turn", F.lit(","), "role", F.when(F.col("turn") % 4 == 3, "").otherwise(F.concat(F.lit(","), quoted)))
+    head = F.when(F.col("conv_id") % 9 == 0, "turn,text,role").otherwise("turn,role,text")
+    made = c.groupBy("conv_id").agg(F.concat_ws("\n", head, F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", row.alias("r")))), lambda x: x["r"]), "\n")).alias("text"))
+    return files.csv_text_problems(made.select(F.concat(F.lit("c"), "conv_id").alias("path"), "text"), ["turn", "role", "text"])
+
+
+@query("SELECT conv_id, CAST(turn AS INT) AS turn, role, text FROM conversations")
+def csv_round_trip(spark, sf_dir):
+    """Conversations written as CSV to the shared folder and read again, line breaks, commas and quotes in cells included."""
+    import uuid
+
+    from provena.operators.storage import shared_folder
+
+    where = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    _t(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").write.csv(where, header=True, escape='"', quoteAll=True)
+    return files.csv_rows(spark, where).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("int").alias("turn"), "role", "text")
+
+
+@query("SELECT conv_id, CAST(turn AS INT) AS turn, CASE WHEN turn % 5 = 4 THEN NULL ELSE role END AS role, CASE WHEN turn % 5 = 4 THEN NULL ELSE length(text) END AS n, turn % 5 = 4 AS broken FROM conversations")
+def yaml_fields(spark, sf_dir):
+    """A YAML document a turn; each fifth can't be read."""
+    c = _t(spark, sf_dir, "conversations")
+    text = F.when(F.col("turn") % 5 == 4, "role: [user").otherwise(F.concat(F.lit("role: "), "role", F.lit("\nn: "), F.length("text"), F.lit("\nlist:\n  - a\n")))
+    docs = files.yaml_documents(c.select(F.concat_ws("/", "conv_id", "turn").alias("path"), text.alias("text")))
+    v, at = F.try_parse_json("document"), F.split("path", "/")
+    return docs.select(at[0].cast("long").alias("conv_id"), at[1].cast("int").alias("turn"), F.try_variant_get(v, "$.role", "string").alias("role"), F.try_variant_get(v, "$.n", "long").alias("n"), F.col("problem").isNotNull().alias("broken"))
+
+
+@query("SELECT page_id, 'Page ' || page_id || ' at ' || url || ', again ' || page_id || ' {OTHER}' AS text FROM pages")
+def template_fill(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", X.filled("Page {ID} at {URL}, again {ID} {OTHER}", {"ID": F.col("page_id").cast("string"), "URL": F.col("url")}).alias("text"))
+
+
+@query("SELECT conv_id, turn, true AS own, length(text) < 12 OR contains(replace(text, chr(10), ' '), replace(text[:6], chr(10), ' ')) AS holed FROM conversations")
+def masked_quotes(spark, sf_dir):
+    """A quote with a masked middle stands in the text it is from; the mask stands for anything within a line."""
+    c = _t(spark, sf_dir, "conversations").withColumn("line", F.get(X.lines(F.col("text")), F.lit(0)))
+    text = X.squash(F.col("line"))
+    holed = F.concat(F.left(text, F.lit(6)), F.lit(X.MASK), F.right(text, F.lit(3)))
+    return c.select("conv_id", "turn", X.quoted_in(text, text).alias("own"), F.when(F.length(text) < 12, True).otherwise(X.quoted_in(holed, text)).alias("holed"))
+
+
 @query("SELECT doc_id, regexp_replace(text, '((?i:token|secret|api_?key)\\s*[:=]\\s*[\"'']?)[A-Za-z0-9+/_.-]{8,}([\"'']?)', '\\1***MASKED***\\2', 'g') AS text FROM documents WHERE contains(text, 'token')")
 def mask_secrets(spark, sf_dir):
     return _t(spark, sf_dir, "documents").where(F.contains("text", F.lit("token"))).select("doc_id", masking.masked(F.col("text")).alias("text"))
@@ -442,6 +694,78 @@ def contract_check(spark, sf_dir):
     return contracts.violations(_t(spark, sf_dir, "conversations"), rules, F.col("conv_id").cast("string"), F.col("turn"))
 
 
+_RULES_SQL = """t AS (SELECT 'c' || conv_id AS artifact, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, turn, role, text FROM conversations),
+f AS (SELECT artifact, 'rules[' || i || '].category' AS path, 'one of: validation, authorization, calculation, state_transition, limit, notification, other' AS expected, '"' || role || '"' AS got FROM t WHERE role <> 'system'
+  UNION ALL SELECT artifact, 'rules[' || i || '].source', 'text like ^.+:[0-9]+(-[0-9]+)?$', '"nowhere"' FROM t WHERE role = 'assistant'
+  UNION ALL SELECT artifact, 'rules[' || i || '].id', 'text like ^[A-Za-z0-9_.\\-]+-R-[0-9]{3,}$', '"C-R-' || turn || '"' FROM t WHERE turn % 2 = 1
+  UNION ALL SELECT artifact, 'rules[' || i || '].enclosing', 'text that isn''t empty', '""' FROM t WHERE turn % 3 = 0
+  UNION ALL SELECT artifact, 'rules[' || i || '].config_driven', 'type boolean or string', CAST(turn AS VARCHAR) FROM t WHERE turn % 5 = 2
+  UNION ALL SELECT artifact, 'rules[' || i || ']', 'required: id, statement, category, evidence, source, enclosing, confidence', NULL FROM t WHERE turn % 4 = 1
+  UNION ALL SELECT DISTINCT artifact, '(document)', 'required: repo, module, rules', NULL FROM t WHERE CAST(artifact[2:] AS INT) % 6 = 0)"""
+
+
+def _rule_documents(spark, sf_dir):
+    """A document of rules a conversation, a rule a turn, with something wrong in many."""
+    t, role = F.col("turn"), F.col("role")
+    rule = F.to_json(F.struct(
+        F.concat(F.lit("C-R-"), F.when(t % 2 == 1, t.cast("string")).otherwise(X.padded(t, 3))).alias("id"), F.col("text").alias("statement"), F.when(role == "system", "other").otherwise(role).alias("category"),
+        F.when(t % 4 != 1, "x = 1").alias("evidence"), F.when(role == "assistant", "nowhere").otherwise("a/b.py:1-2").alias("source"), F.when(t % 3 == 0, "").otherwise("f").alias("enclosing"),
+        F.lit("high").alias("confidence"), F.when(t % 5 == 2, t).alias("config_driven"),
+    ))
+    rules = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", rule.alias("r")))), lambda x: x["r"]), ",")
+    head = F.concat(F.lit('{"repo":"r",'), F.when(F.col("conv_id") % 6 == 0, "").otherwise('"module":"m",'), F.lit('"edge_cases_and_errors":null,"rules":['))
+    made = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(rules.alias("rules"))
+    return made.select(F.concat(F.lit("c"), "conv_id").alias("artifact"), F.try_parse_json(F.concat(head, "rules", F.lit("]}"))).alias("document"))
+
+
+@query(f"WITH {_RULES_SQL} SELECT artifact, path, expected, got FROM f")
+def nested_contract(spark, sf_dir):
+    found = contracts.check_documents(_rule_documents(spark, sf_dir), contracts.KINDS["rules"], "schema:rules")
+    return found.select("artifact", "path", "expected", F.when(~F.startswith("expected", F.lit("required")), F.col("got")).alias("got"))
+
+
+@query(f"WITH {_RULES_SQL} SELECT row_number() OVER (ORDER BY artifact, string_split(replace(replace(path, '[', '.'), ']', ''), '.'), expected) - 1 AS place, artifact, path FROM f")
+def findings_in_order(spark, sf_dir):
+    """Positions sort as text: [10] before [2]."""
+    found = contracts.check_documents(_rule_documents(spark, sf_dir), contracts.KINDS["rules"], "schema:rules")
+    keyed = found.withColumn("parts", contracts.path_parts(F.col("path")))
+    return reconcile.dense(keyed, "artifact", "parts", "expected").select(F.col("number").alias("place"), "artifact", "path")
+
+
+@query(
+    """WITH t AS (SELECT 'c' || conv_id AS artifact, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, turn FROM conversations)
+SELECT artifact, '[' || i || '].verdict' AS path, 'one of: ПОДТВЕРЖДЕНО, ЧАСТИЧНО, ОПРОВЕРГНУТО, НЕ ОТНОСИТСЯ' AS expected FROM t WHERE turn % 5 = 4
+UNION ALL SELECT artifact, '[' || i || ']', 'required: checked_with' FROM t WHERE turn % 5 IN (1, 4)
+UNION ALL SELECT artifact, '[' || i || '].checked_with', 'text that isn''t empty' FROM t WHERE turn % 5 = 2"""
+)
+def validation_contract(spark, sf_dir):
+    """Where the verdict isn't the accepted one, it must be said how it was checked."""
+    t = F.col("turn") % 5
+    row = F.to_json(F.struct(
+        F.concat(F.lit("C-R-"), X.padded(F.col("turn"), 3)).alias("req_id"), F.when(t == 0, contracts.VERDICTS[0]).when(t < 4, contracts.VERDICTS[1]).otherwise("?").alias("verdict"), F.lit("ok").alias("layer1"),
+        F.lit("a:1").alias("source"), F.lit("s").alias("statement"), F.when(t == 2, "").when(t == 3, "run").alias("checked_with"),
+    ))
+    made = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", row.alias("r")))), lambda x: x["r"]), ",").alias("rows"))
+    docs = made.select(F.concat(F.lit("c"), "conv_id").alias("artifact"), F.parse_json(F.concat(F.lit("["), "rows", F.lit("]"))).alias("document"))
+    return contracts.check_documents(docs, contracts.KINDS["validation"], "schema:validation").select("artifact", "path", "expected")
+
+
+@query("SELECT '{\"check\":\"contract\",\"artifact\":\"' || conv_id || '\",\"path\":\"[' || turn || '].role\",\"expected\":\"one of: user, system\",\"got\":\"' || role || '\",\"hint\":\"\",\"severity\":\"error\"}' AS json FROM conversations WHERE role NOT IN ('user', 'system')")
+def json_findings(spark, sf_dir):
+    found = contracts.violations(_t(spark, sf_dir, "conversations"), [contracts.one_of("role", ["user", "system"])], F.col("conv_id").cast("string"), F.col("turn"))
+    return report.as_json(found)
+
+
+@query(
+    """WITH f AS (SELECT '| error | ' || conv_id || ' | [' || turn || '].role | one of: user, system | ' || role || ' |' AS line, row_number() OVER (ORDER BY CAST(conv_id AS VARCHAR), '[' || turn || '].role') - 1 AS k FROM conversations WHERE role NOT IN ('user', 'system'))
+SELECT 0 AS part, i AS number, ['# Findings', '', '| severity | artifact | path | expected | got |', '|---|---|---|---|---|'][i + 1] AS line FROM range(4) AS t(i)
+UNION ALL SELECT 1, k, line FROM f UNION ALL SELECT 2, 0, '**Errors: ' || count(*) || '**' FROM f"""
+)
+def findings_report(spark, sf_dir):
+    found = contracts.violations(_t(spark, sf_dir, "conversations"), [contracts.one_of("role", ["user", "system"])], F.col("conv_id").cast("string"), F.col("turn"))
+    return report.findings_report(found)
+
+
 @query("SELECT 'contract' AS \"check\", count(*) FILTER (role NOT IN ('user', 'system')) + count(*) FILTER (length(text) < 40) AS n_errors, CAST(0 AS BIGINT) AS n_warnings, false AS ok FROM conversations")
 def severity_summary(spark, sf_dir):
     rules = [contracts.one_of("role", ["user", "system"]), contracts.min_length("text", 40)]
@@ -513,52 +837,74 @@ def text_lines(spark, sf_dir):
     return d.select("doc_id", F.size("lines").cast("long").alias("n_lines"), X.normalise(F.try_element_at("lines", F.lit(1))).alias("first_line"))
 
 
-# Code. A source for each conversation, made of its turns.
+# Code. A source for each conversation, made of its turns: the user's raise in an `if`, the system's in a `match` of a method, others have no branch.
 
 
 def _code(spark, sf_dir, other: bool):
-    c = _t(spark, sf_dir, "conversations")
+    c, t, role = _t(spark, sf_dir, "conversations"), F.col("turn"), F.col("role")
     if other:
-        turn = F.concat(F.lit("function turn_"), "turn", F.lit("(x) {\n  if (x) {\n    throw "), "turn", F.lit(";\n  }\n}"))
+        user, system, rest = "function turn_{T}(x) {\n  if (x) {\n    throw {T};\n  }\n}", "  switch (x) {\n    case 1: throw {T};\n  }", "function turn_{T}(x) { return x; }"
     else:
-        turn = F.concat(F.lit("def turn_"), "turn", F.lit("(x):\n    if x:\n        raise ValueError("), F.col("turn"), F.lit(")\n    return x"))
-    made = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", turn.alias("c")))), lambda x: x["c"]), "\n")
+        user, system, rest = "def turn_{T}(x):\n    if x:\n        raise ValueError({T})\n    return x", "class Turn_{T}:\n    def run(self, x):\n        match x:\n            case 1:\n                raise KeyError({T})", "def turn_{T}(x):\n    return x"
+    own = F.replace(F.when(role == "user", user).when(role == "system", system).otherwise(rest), F.lit("{T}"), t.cast("string"))
+    made = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", own.alias("c")))), lambda x: x["c"]), "\n")
     return c.groupBy(F.concat(F.lit("c"), "conv_id").alias("path")).agg(made.alias("text"))
 
 
-@query("SELECT 'c' || conv_id AS path, CAST(2 * count(*) AS BIGINT) AS branches, CAST(count(*) AS BIGINT) AS functions FROM conversations GROUP BY conv_id")
+@query("SELECT 'c' || conv_id AS path, CAST(2 * count(*) FILTER (role IN ('user', 'system')) AS BIGINT) AS branches, count(*) AS functions FROM conversations GROUP BY conv_id")
 def py_branches(spark, sf_dir):
     found = code.python_items(_code(spark, sf_dir, False))
     return found.groupBy("path").agg(F.count_if(F.col("what") == "branch").alias("branches"), F.count_if(F.col("what") == "function").alias("functions"))
 
 
-@query(f"SELECT 'c' || conv_id AS path, CAST(2 * count(*) AS BIGINT) AS total, CAST(count(*) AS BIGINT) AS covered, {_PCT.format('count(*)', '(2 * count(*))', '100.0')} AS share FROM conversations GROUP BY conv_id")
+@query(f"WITH n AS (SELECT 'c' || conv_id AS path, CAST(2 * count(*) FILTER (role IN ('user', 'system')) AS BIGINT) AS total, CAST(count(*) FILTER (role IN ('user', 'system')) AS BIGINT) AS covered FROM conversations GROUP BY conv_id) SELECT path, total, covered, {_PCT.format('covered', 'total', '100.0')} AS share FROM n")
 def py_coverage(spark, sf_dir):
-    """Branch coverage where the rules name the raise lines alone and the `if` above each spans it; rules are held against raises only."""
+    """Rules name the line before each raise: it is within the `if` or `match` above, and not the raise. Sources without branches have 100.0."""
     sources = _code(spark, sf_dir, False)
     branches = code.python_items(sources).where("what = 'branch'")
     rules = branches.where("name = 'raise'").select("path", (F.col("line") - 1).alias("start"), (F.col("line") - 1).alias("end"))
-    return code.coverage(branches, rules)
+    return code.coverage(branches, rules, 0, sources)
+
+
+@query("SELECT 'c' || conv_id AS path, CASE WHEN role = 'system' THEN 'Turn_' || turn || '.run' ELSE 'turn_' || turn END AS name FROM conversations WHERE role NOT IN ('user', 'system')")
+def functions_without_rules(spark, sf_dir):
+    found = code.python_items(_code(spark, sf_dir, False))
+    rules = found.where("what = 'branch' and name = 'raise'").select("path", F.col("line").alias("start"), "end")
+    return code.without_rules(found.where("what = 'function'"), rules).select("path", "name")
 
 
-@query("SELECT 'c' || conv_id AS path, CAST(count(*) AS BIGINT) AS ifs, CAST(count(*) AS BIGINT) AS raises FROM conversations GROUP BY conv_id")
+@query("SELECT 'c' || conv_id AS path, count(*) FILTER (role = 'user') AS ifs, count(*) FILTER (role = 'user') AS raises, count(*) FILTER (role = 'system') AS matches FROM conversations GROUP BY conv_id HAVING count(*) FILTER (role IN ('user', 'system')) > 0")
 def line_branches(spark, sf_dir):
     found = code.line_branches(_code(spark, sf_dir, True))
-    return found.groupBy("path").agg(F.count_if(F.col("name") == "if").alias("ifs"), F.count_if(F.col("name") == "raise").alias("raises"))
+    return found.groupBy("path").agg(*[F.count_if(F.col("name") == n).alias(c) for n, c in (("if", "ifs"), ("raise", "raises"), ("match", "matches"))])
 
 
-@query("WITH t AS (SELECT conv_id, turn, conv_id % 5 AS kind FROM conversations) SELECT 'c' || conv_id || '-' || turn AS id, CASE kind WHEN 1 THEN 'no such file' WHEN 2 THEN 'quote not found' WHEN 3 THEN 'other function' WHEN 4 THEN NULL ELSE NULL END AS problem FROM t")
+@query(
+    """WITH t AS (SELECT conv_id, turn, role, CASE role WHEN 'user' THEN ['def turn_T(x):', '    if x:', '        raise ValueError(T)', '    return x'] WHEN 'system' THEN ['class Turn_T:', '    def run(self, x):', '        match x:', '            case 1:', '                raise KeyError(T)'] ELSE ['def turn_T(x):', '    return x'] END AS body FROM conversations),
+u AS (SELECT *, coalesce(sum(len(body)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t),
+whole AS (SELECT conv_id, flatten(list(list_transform(body, lambda x: replace(x, 'T', CAST(turn AS VARCHAR))) ORDER BY turn)) AS lines FROM t GROUP BY conv_id),
+spans AS (SELECT conv_id, before + CASE role WHEN 'system' THEN 2 ELSE 1 END AS lo, before + len(body) AS hi, CASE role WHEN 'system' THEN 'run' ELSE 'turn_' || turn END AS name FROM u),
+r AS (SELECT conv_id, turn, conv_id % 5 AS kind, before + CASE role WHEN 'user' THEN 3 WHEN 'system' THEN 5 ELSE 2 END + turn % 9 - 4 AS said, CASE role WHEN 'user' THEN 'raise ValueError(' || turn || ')' WHEN 'system' THEN 'raise KeyError(' || turn || ')' ELSE 'return x' END AS quote, CASE role WHEN 'system' THEN 'run' ELSE 'turn_' || turn END AS own FROM u),
+x AS (SELECT r.*, lines, (SELECT name FROM spans s WHERE s.conv_id = r.conv_id AND said BETWEEN lo AND hi) AS actual FROM r JOIN whole USING (conv_id))
+SELECT 'c' || conv_id || '-' || turn AS id, CASE WHEN kind = 1 THEN 'no such file' WHEN said < 1 OR said > len(lines) THEN 'no such line'
+  WHEN NOT contains(trim(regexp_replace(array_to_string(lines[CAST(greatest(said - 3, 1) AS BIGINT):CAST(said + 1 + 3 AS BIGINT)], ' '), '\s+', ' ', 'g')), CASE WHEN kind = 2 THEN 'never said ' ELSE '' END || quote) THEN 'quote not found'
+  WHEN kind = 4 THEN NULL WHEN actual IS NULL THEN 'module level' WHEN kind = 3 OR own <> actual THEN 'other function' END AS problem FROM x"""
+)
 def evidence_binding(spark, sf_dir):
-    """Rules made of each turn, a fifth of which name another file, a fifth another quote, a fifth another function."""
+    """Rules made of each turn; they say a line up to four off, a fifth of them another file, a fifth another quote, a fifth another function."""
     from pyspark.sql import Window
 
     sources = _code(spark, sf_dir, False)
     found = code.python_items(sources).where("what = 'span'")
     bodies = sources.select("path", X.lines(F.col("text")).alias("lines"))
-    kind = F.col("conv_id") % 5
-    at = (4 * (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1) + 3).cast("int")
+    kind, t, role = F.col("conv_id") % 5, F.col("turn"), F.col("role")
+    tall = F.when(role == "user", 4).when(role == "system", 5).otherwise(2)
+    before = F.coalesce(F.sum(tall).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = (before + F.when(role == "user", 3).when(role == "system", 5).otherwise(2) + t % 9 - 4).cast("int")
+    quote = F.when(role == "user", F.concat(F.lit("raise   ValueError("), t, F.lit(")"))).when(role == "system", F.concat(F.lit("raise KeyError("), t, F.lit(")"))).otherwise("return x")
+    own = F.when(role == "system", F.lit("Some.run")).otherwise(F.concat(F.lit("Some.turn_"), t))
     rules = _t(spark, sf_dir, "conversations").select(
         F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("id"), F.concat(F.when(kind == 1, "no/c").otherwise("c"), "conv_id").alias("source_file"), at.alias("start"), at.alias("end"),
-        F.concat(F.when(kind == 2, "never said ").otherwise(""), F.lit("raise   ValueError("), "turn", F.lit(")")).alias("evidence"), F.when(kind == 3, "elsewhere").when(kind == 4, "UNCERTAIN").otherwise(F.concat(F.lit("Some.turn_"), "turn")).alias("enclosing"),
+        F.concat(F.when(kind == 2, "never said ").otherwise(""), quote).alias("evidence"), F.when(kind == 3, "elsewhere").when(kind == 4, "UNCERTAIN").otherwise(own).alias("enclosing"),
     )
     return spans.bound(rules, bodies, found.select("path", F.col("line").alias("start"), "end", "name", "ord")).select("id", "problem")

@@ -9,24 +9,48 @@ from pyspark.sql import types as T
 from provena.functions.text import any_glob, lines, without_fence
 
 # Which files are sources, which folders never are, which files are manifests.
-SUFFIXES = ".py .pyi .js .ts .tsx .go .java .kt .rb .rs .c .h .cpp .cs .php .sql .sh .yaml .yml .toml .cfg .ini .json .md .rst .txt".split()
+SUFFIXES = [".py", ".pyi", ".js", ".ts", ".tsx", ".go", ".java", ".kt", ".rb", ".rs", ".c", ".h", ".cpp", ".cs", ".php", ".sql", ".sh", ".yaml", ".yml", ".toml", ".cfg", ".ini", ".json", ".md", ".rst", ".txt"]
 SKIPPED = [".git", "__pycache__", "node_modules", ".venv", "venv", "dist", "build", ".tox"]
 MANIFESTS = ["pyproject.toml", "setup.py", "setup.cfg", "requirements*.txt", "package.json", "go.mod", "pom.xml", "Cargo.toml", "Dockerfile*", "docker-compose*", "README*", ".github/workflows/*.yml", ".github/workflows/*.yaml"]
+#: Folders that a listing leaves out, and the most files it has.
+UNLISTED = [*SKIPPED, ".pytest_cache"]
 LISTED = 5000
+#: Fixed value: how an output marks a file.
 _BLOCK = r"(?s)===\s*FILE:\s*([^=\n]+?)\s*===\s*\n(.*?)\n?===\s*END\s*FILE\s*==="
 
 
+def below(path: Column, root: str) -> Column:
+    """The path without the folder it is read from."""
+    bare, start = F.regexp_replace(path, r"^[a-z0-9]+:/*", "/"), "/" + root.split(":", 1)[-1].strip("/") + "/"
+    return F.when(F.startswith(bare, F.lit(start)), F.substring(bare, len(start) + 1, 1 << 30)).otherwise(bare)
+
+
 def text_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """(path below root, text) of all files that aren't empty, which Spark leaves out; bytes that aren't UTF-8 are replaced."""
+    """(path below root, text, bytes) of all files; bytes that aren't UTF-8 are replaced. Empty files, which Spark's scan leaves out, are listed and have an empty text."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     found = (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
-    bare = F.regexp_replace("path", r"^[a-z0-9]+:/*", "/")
-    start = "/" + root.split(":", 1)[-1].strip("/") + "/"
-    return found.select(F.replace(bare, F.lit(start), F.lit("")).alias("path"), F.expr("make_valid_utf8(string(content))").alias("text"), F.col("content").alias("bytes"))
+    out = found.select(below(F.col("path"), root).alias("path"), F.expr("make_valid_utf8(string(content))").alias("text"), F.col("content").alias("bytes"))
+    empty = empty_files(spark, root, glob)
+    return out.unionByName(empty.select("path", F.lit("").alias("text"), F.lit(b"").alias("bytes")))
+
+
+def empty_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+    """(path) of the files without bytes, by the file system's own recursive listing."""
+    jvm, sc = spark._jvm, spark.sparkContext
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs, names = top.getFileSystem(sc._jsc.hadoopConfiguration()), []
+    if fs.exists(top):
+        listed = fs.listFiles(top, True)
+        while listed.hasNext():
+            f = listed.next()
+            if f.getLen() == 0:
+                names.append((f.getPath().toString(),))
+    out = spark.createDataFrame(names, "path string").select(below(F.col("path"), root).alias("path"))
+    return out.where(any_glob(F.element_at(F.split("path", "/", -1), -1), [glob])) if glob else out
 
 
-def in_skipped(path: Column) -> Column:
-    return F.exists(F.split(path, "/", -1), lambda p: p.isin(SKIPPED))
+def in_skipped(path: Column, folders: list[str] = SKIPPED) -> Column:
+    return F.exists(F.split(path, "/", -1), lambda p: p.isin(folders))
 
 
 def sources(files: DataFrame) -> DataFrame:
@@ -44,8 +68,10 @@ def source_lines(files: DataFrame) -> DataFrame:
 
 
 def listing(files: DataFrame, most: int = LISTED) -> DataFrame:
-    """(path, lines) by parts of paths, lines as line breaks; of more than `most` files a marker row stands for the rest."""
-    kept = files.where(~in_skipped(F.col("path"))).select("path", (F.length(F.col("text")) - F.length(F.replace("text", F.lit("\n"), F.lit("")))).cast("long").alias("lines"))
+    """(path, lines) by parts of paths, lines counted as a file's are: line feeds, and what is after the last; of more than `most` files a marker row stands for the rest."""
+    text = F.coalesce("text", F.lit(""))
+    n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + F.when((text != "") & ~F.endswith(text, F.lit("\n")), 1).otherwise(0)
+    kept = files.where(~in_skipped(F.col("path"), UNLISTED)).select("path", n_lines.cast("long").alias("lines"))
     n = kept.count()
     out = kept.orderBy(F.split("path", "/", -1)).limit(most)
     if n <= most:
@@ -58,12 +84,47 @@ def csv_rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, multiLine=True, escape='"')
 
 
+def csv_cells(texts: DataFrame, id_col: str = "path") -> DataFrame:
+    """(id, n, cells) of the records of CSV texts (id, text): quoted cells may have commas, doubled quotes and line breaks; records that are blank have no row but count in n, from 0."""
+
+    def run(batches):
+        import csv
+        import io
+
+        import pyarrow as pa
+
+        for batch in batches:
+            ids, ns, cells = [], [], []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for n, row in enumerate(csv.reader(io.StringIO(text or "", newline=""))):
+                    if any(c.strip() for c in row):
+                        ids.append(i)
+                        ns.append(n)
+                        cells.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(ns, pa.int32()), pa.array(cells, pa.list_(pa.string()))], [id_col, "n", "cells"])
+
+    kind = texts.schema[id_col].dataType.simpleString()
+    return texts.select(id_col, "text").mapInArrow(run, f"`{id_col}` {kind}, n int, cells array<string>")
+
+
+def csv_header(template: str) -> list[str]:
+    """The columns of a template's first line, quoted or not."""
+    import csv
+
+    return next(csv.reader([template.splitlines()[0]]), []) if template else []
+
+
 def csv_problems(spark: SparkSession, path: str, header: list[str]) -> DataFrame:
-    """(problem, row): a header that isn't just this one, and rows of another width; blank rows don't count."""
-    raw = text_files(spark, path).select(F.posexplode(lines(F.col("text"))).alias("n", "line"))
-    cells = F.size(F.split(F.regexp_replace("line", r"\"(?:[^\"]|\"\")*\"", ""), ",", -1))
-    head = raw.where((F.col("n") == 0) & (F.col("line") != ",".join(header))).select(F.lit("header").alias("problem"), F.lit(0).alias("row"))
-    return head.unionByName(raw.where((F.col("n") > 0) & (F.regexp_replace("line", r"[\s,]", "") != "") & (cells != len(header))).select(F.lit("width").alias("problem"), F.col("n").alias("row")))
+    """(problem, row) of one CSV file."""
+    return csv_text_problems(text_files(spark, path), header).select("problem", "row")
+
+
+def csv_text_problems(texts: DataFrame, header: list[str], id_col: str = "path") -> DataFrame:
+    """(id, problem, row) of CSV texts: a header that isn't just this one, and records of another width; blank records don't count."""
+    raw = csv_cells(texts, id_col)
+    head = raw.where("n = 0").select(id_col, "cells")
+    wrong = texts.select(id_col).join(head, id_col, "left").where(~F.equal_null("cells", F.array(*map(F.lit, header)))).select(id_col, F.lit("header").alias("problem"), F.lit(0).alias("row"))
+    return wrong.unionByName(raw.where((F.col("n") > 0) & (F.size("cells") != len(header))).select(id_col, F.lit("width").alias("problem"), F.col("n").alias("row")))
 
 
 def yaml_documents(files: DataFrame) -> DataFrame:

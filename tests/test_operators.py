@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from provena.functions import text as X
-from provena.operators import code, containment, contracts, findings, masking, reconcile, spans
+from provena.operators import code, completeness, containment, contracts, findings, masking, reconcile, spans
 from provena.plans import suite
 from provena.sources import files
 
@@ -178,3 +178,95 @@ def test_containing_takes_placeholders_and_short_passages_in_parts(spark, monkey
     passages = spark.createDataFrame([(1, "Wait <N> s until all the lights go out"), (2, "at <n> o"), (3, "a <num> b <n> c"), (4, "go out"), (5, "of <N> men we saw none come back"), (6, "")], "p long, text string")
     texts = spark.createDataFrame([(1, "so wait 1_000.5 s  until all the lights go out now"), (2, "at 7 o'clock, a 1 b 2.5 c"), (3, "wait x s until all the lights go out; of men we saw none come back"), (4, None)], "d long, text string")
     assert sorted(map(tuple, containment.containing(passages, texts, "p", "d").collect())) == [(1, 1), (2, 2), (3, 2), (4, 1), (4, 3)]
+
+
+def test_paths_lose_their_root_alone(spark):
+    d = spark.createDataFrame([("file:/q/x/q/f.py",), ("hdfs://n/q/a.py",), ("/other/f.py",)], "path string")
+    assert [r[0] for r in d.select(files.below(F.col("path"), "file:///q")).collect()] == ["x/q/f.py", "/n/q/a.py", "/other/f.py"]
+
+
+def test_empty_files_are_listed(spark, tmp_path):
+    (tmp_path / "a.py").write_text("")
+    (tmp_path / "b.py").write_text("x\ny")
+    (tmp_path / ".pytest_cache").mkdir()
+    (tmp_path / ".pytest_cache" / "c.md").write_text("z")
+    found = files.text_files(spark, str(tmp_path), "*.py")
+    assert {r.path: r.text for r in found.collect()} == {"a.py": "", "b.py": "x\ny"}
+    assert {r.path: r.lines for r in files.listing(files.text_files(spark, str(tmp_path))).collect()} == {"a.py": 0, "b.py": 2}
+
+
+def test_csv_texts(spark):
+    text = 'a,"b ""c"""\r\n1,"two\nlines, and a comma"\n\n , \n1\n'
+    d = spark.createDataFrame([("t", text), ("e", ""), ("n", None)], "path string, text string")
+    assert [(r.path, r.n, r.cells) for r in files.csv_cells(d).collect()] == [("t", 0, ["a", 'b "c"']), ("t", 1, ["1", "two\nlines, and a comma"]), ("t", 4, ["1"])]
+    assert sorted(map(tuple, files.csv_text_problems(d, files.csv_header('a,"b ""c"""')).collect())) == [("e", "header", 0), ("n", "header", 0), ("t", "width", 4)]
+
+
+def test_nearest_preceding_over_blank_and_tabbed_lines(spark):
+    source = "def a\n\t \n    x\n\n  def b\n    y\n\t\nz\n  w".split("\n")
+    d = spark.createDataFrame([("f", i + 1, t, len(t) - len(t.lstrip())) for i, t in enumerate(source)], "k string, n int, line string, indent int")
+    got = spans.nearest_preceding(d.select("k", "n"), d, "k", F.nullif(F.regexp_extract("line", r"def (\w)", 1), F.lit("")))
+    assert {r.n: r.name for r in got.collect()} == {1: None, 2: "a", 3: "a", 4: None, 5: "a", 6: "b", 7: "a", 8: None, 9: None}
+
+
+def test_rows_for_what_has_nothing(spark):
+    items = spark.createDataFrame([("a", 3, 3), ("a", 9, 9)], "path string, line int, end int")
+    ranges = code.rule_ranges(spark.createDataFrame([("a:2", "if x:\n  raise\n"), ("a:x", "q"), (None, None)], "source string, evidence string"))
+    assert [tuple(r) for r in ranges.collect()] == [("a", 2, 3)]
+    paths = spark.createDataFrame([("a",), ("b",)], "path string")
+    assert {tuple(r) for r in code.coverage(items, ranges, 0, paths).collect()} == {("a", 2, 1, 50.0), ("b", 0, 0, 100.0)}
+    found = spark.createDataFrame([(1, "x", "t"), (2, "x", None)], "i int, g string, found_in string")
+    rules = spark.createDataFrame([("x",), ("y",)], "rule string")
+    got = containment.confirmed(found, F.col("g"), F.col("i").cast("string"), rules)
+    assert {tuple(r) for r in got.collect()} == {("x", 2, 1, "2", 50.0), ("y", 0, 0, "", 0.0)}
+
+
+def test_placeholders_in_passages(spark):
+    texts = spark.createDataFrame([(1, "if Retries > 3 times, wait 12.5 s and then stop"), (2, "wait a s"), (3, None), (4, "costs 7")], "doc int, text string")
+    said = [(1, "retries > <n> times,  wait <N> s"), (2, "wait < число > s"), (3, "wait"), (4, "<n>"), (5, " "), (6, "then stop and"), (7, "s and then st")]
+    p = spark.createDataFrame(said, "item int, text string")
+    assert {tuple(r) for r in containment.containing(p, texts, "item", "doc").collect()} == {(1, 1), (2, 1), (3, 1), (3, 2), (4, 1), (4, 4), (7, 1)}
+
+
+def _documents(spark, *texts):
+    d = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "artifact string, t string")
+    return d.select("artifact", F.try_parse_json("t").alias("document"))
+
+
+def test_contracts_of_all_kinds(spark):
+    def problems(kind, *texts):
+        return sorted((r.artifact, r.path, r.expected) for r in contracts.check_documents(_documents(spark, *texts), contracts.KINDS[kind], kind).collect())
+
+    good = {
+        "inventory": '{"repo":"r","repo_path":"/r","modules":[{"path":"a","approx_size":3},{"path":"b","approx_size":"some"}],"frameworks":null}',
+        "module": '{"module":"m","purpose":"p","public_interface":[{"name":"f","kind":"function","source":"a:1"}],"confidence":"low"}',
+        "domain": '{"entities":[{"name":"e","source":"a:1-2","attributes":[{"name":"x","type":"t","source":"a:3"}]}],"confidence":"high","relations":[{"from":"a","to":"b","cardinality":"1:N","evidence":"e","source":"a:1"}]}',
+        "interface": '{"openapi":"3.1","paths":{}}',
+        "rules": '{"repo":"r","module":"m","rules":[]}',
+        "validation": '[{"req_id":"X-R-001","verdict":"ПОДТВЕРЖДЕНО","layer1":"l","source":"a:1","statement":"s"}]',
+        "predictions": '{"capability":"c","predictions":[{"rule_id":"X-R-001","expect":[{"kind":"check","text":"t"}]}]}',
+    }
+    for kind, text in good.items():
+        assert problems(kind, text) == [], kind
+    assert problems("inventory", '{"repo":1,"modules":[{"path":"a","approx_size":1.5},"bare"]}', "[]", "no json") == [
+        ("0", "(document)", "required: repo, repo_path, modules"), ("0", "modules[0].approx_size", "type integer or string"), ("0", "modules[1]", "type object"), ("0", "repo", "type string"),
+        ("1", "(document)", "type object"), ("2", "(document)", "a document"),
+    ]
+    assert problems("domain", '{"entities":[{"name":"e","source":"a:1","attributes":[{"name":"","type":"t","source":"here"}]}],"confidence":"sure"}') == [
+        ("0", "confidence", "one of: high, medium, low"), ("0", "entities[0].attributes[0].name", "text that isn't empty"), ("0", "entities[0].attributes[0].source", "text like ^.+:[0-9]+(-[0-9]+)?$"),
+    ]
+    cli = '{"openapi_applicable":false,"openapi_absence_evidence":"none","interface":"cli","commands":[{"name":"run","x-source":"a:1"}],"x-events":{"produces":[{"topic_or_queue":"q"}]}}'
+    assert problems("interface", cli, '{"openapi":"3.0","paths":{},"openapi_applicable":false,"openapi_absence_evidence":"e","interface":"cli"}', cli.replace('"a:1"', '"a"')) == [
+        ("0", "x-events.produces[0]", "required: topic_or_queue, source"), ("1", "(document)", "exactly one of the variants"), ("2", "(document)", "exactly one of the variants"), ("2", "x-events.produces[0]", "required: topic_or_queue, source"),
+    ]
+    assert problems("predictions", '{"capability":"c","predictions":[{"rule_id":"X-R-01","expect":[]},{"rule_id":"X-R-001"}]}') == [
+        ("0", "predictions[0].expect", "at least 1 items"), ("0", "predictions[0].rule_id", r"text like ^[A-Za-z0-9_.\-]+-R-[0-9]{3,}$"), ("0", "predictions[1]", "required: rule_id, expect"),
+    ]
+    ordered = contracts.in_order(contracts.check_documents(_documents(spark, '{"repo":"r","module":"m","rules":[' + ",".join(["1"] * 11) + "]}"), contracts.KINDS["rules"], "c")).collect()
+    assert [r.path for r in ordered][:4] == ["rules[0]", "rules[1]", "rules[10]", "rules[2]"]
+
+
+def test_occurrences_have_no_left_boundary(spark):
+    rules = spark.createDataFrame([("A-R-001",), ("B.A-R-001",), ("R-R-0012",)], "rule_id string")
+    table = spark.createDataFrame([("  | A-R-001 | x",), ("| B.A-R-001, zA-R-001.",), ("| A-R-001-x A-R-0011",), ("A-R-001",), ("| R-R-0012_",)], "line string")
+    assert {r.rule_id: r.times for r in completeness.occurrences(rules, table).collect()} == {"A-R-001": 3, "B.A-R-001": 1, "R-R-0012": 0}
