@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy pass takes at once, under a power of two that tables of powers are as long as (a longer text is a pass of its own).
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 500_000
 
 #: Bytes of an Arrow batch where the session sets no bound of its own: each task has several batches at a time in the JVM and in Python.
 BATCH_BYTES = "4m"
@@ -76,6 +77,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_libc = ctypes.CDLL(None)
+
+
+def tidy() -> None:
+    """Gives memory that a worker no longer uses back to the machine: workers stay for the next task, and several of them share an executor's memory with its JVM."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with about `most` bytes of text: (rows, UTF-8 bytes, offsets). A null text has no bytes."""
     for batch in batches:
@@ -93,6 +104,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: i
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
             yield batch.slice(at, to - at), data[ends[at] : ends[to]], ends[at : to + 1] - ends[at]
             at = to
+    tidy()
 
 
 def binary_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
