@@ -2,8 +2,9 @@
 
 Unit vectors are projected on leading principal dimensions and ordered by the cells of a grid as wide as
 the distance that the least cosine allows, label by label. Runs of that order are blocks with a bounding
-box. Blocks whose boxes are near meet in one task, which halves both again and again, skips what the
-boxes prove distant, and multiplies what is left in double precision.
+box. Blocks that come near by the cells of two dimensions and whose boxes are near by all leading ones
+meet in one task, which halves both again and again, skips what the boxes prove distant, and multiplies
+what is left in double precision. A block is sent once for each set of blocks that come to it.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.common import components, cut
+from provena.llm.common import components, cut, modest_batches
 
 LEAST_COSINE = 0.98
 #: Vectors in a block; a pair of blocks is what one row brings to a task.
@@ -21,6 +22,8 @@ BLOCK = 512
 LEAF = 64
 #: Leading dimensions in boxes, and those of them that order the grid.
 LEADING, ORDERED = 16, 4
+#: Sets in which the blocks that come to one block are dealt, by their number.
+SPREAD = 8
 #: The principal dimensions are fitted on at most so many vectors; any basis gives the same links.
 BASIS_SAMPLE = 20_000
 
@@ -72,14 +75,14 @@ def _ordered(bases, width: float):
     return run
 
 
-def _packed(bases):
-    """Consecutive vectors of a label and size as blocks with their box."""
+def _packed(bases, kind: str):
+    """Consecutive vectors of a label and size as blocks with their box; vectors in the kind of number that they came in."""
 
     def block(part: pa.Table, n: int) -> dict:
         x = _matrix(part.column("vec").combine_chunks())
         p = _leading(_unit(x), bases.value)
         first = part.slice(0, 1).to_pylist()[0]
-        return {"label": first["label"], "size": first["size"], "lo": p.min(axis=0).tolist(), "hi": p.max(axis=0).tolist(), "ids": np.asarray(part.column("rep")).astype("<i8").tobytes(), "times": np.asarray(part.column("times")).astype("<i8").tobytes(), "x": x.astype("<f8").tobytes()}
+        return {"label": first["label"], "size": first["size"], "lo": p.min(axis=0).tolist(), "hi": p.max(axis=0).tolist(), "ids": np.asarray(part.column("rep")).astype("<i8").tobytes(), "times": np.asarray(part.column("times")).astype("<i8").tobytes(), "x": x.astype(kind).tobytes()}
 
     schema = pa.schema([("label", pa.string()), ("size", pa.int32()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("ids", pa.binary()), ("times", pa.binary()), ("x", pa.binary())])
 
@@ -143,32 +146,45 @@ def _near(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, ux: np.n
     return out
 
 
-def _joined(bases, least: float):
-    """For each pair of blocks: how often each vector links, and each linked vector's smallest partner in the pair's own components."""
+def _joined(bases, least: float, kind: str):
+    """Of rows in order of block a and set, a's own first: how often each vector links, and each linked vector's smallest partner in the pair's own components."""
+
+    def block(batch, r: int) -> tuple:
+        ids, times, x, d = (batch.column(c)[r].as_py() for c in ("ids", "times", "x", "size"))
+        x = np.frombuffer(x, kind).reshape(-1, d).astype(np.float64)
+        u = _unit(x)
+        return np.frombuffer(ids, "<i8"), np.frombuffer(times, "<i8"), x, u, _leading(u, bases.value)
+
+    def compared(a: tuple, b: tuple, same: bool):
+        (ia, ta, x, ux, px), (ib, tb, y, uy, py) = a, b
+        s = _near(x, y, px, py, ux, uy, same, least)
+        na, nb = s @ tb, (0 if same else 1) * (s.T @ ta)
+        la, lb, big = ia.copy(), ib.copy(), np.iinfo(np.int64).max
+        while s.any():
+            na_l = np.minimum(la, np.where(s, lb[None, :], big).min(axis=1))
+            nb_l = np.minimum(lb, np.where(s, na_l[:, None], big).min(axis=0))
+            if same:
+                na_l = nb_l = np.minimum(na_l, nb_l)
+            if (na_l == la).all() and (nb_l == lb).all():
+                break
+            la, lb = na_l, nb_l
+        has = np.concatenate([s.any(axis=1), s.any(axis=0) & (not same)])
+        ids, n, low = np.concatenate([ia, ib]), np.concatenate([na, nb]), np.concatenate([la, lb])
+        if has.any():
+            yield pa.RecordBatch.from_arrays([pa.array(ids[has]), pa.array(n[has].astype(np.int64)), pa.array(low[has])], ["rep", "n", "low"])
 
     def run(batches):
+        own = None
         for batch in batches:
+            a, b, alone = (batch.column(c).to_pylist() for c in ("a", "b", "alone"))
             for r in range(batch.num_rows):
-                row = {k: batch.column(k)[r].as_py() for k in batch.schema.names}
-                same, d = row["a"] == row["b"], row["size"]
-                ia, ib = np.frombuffer(row["ids_a"], "<i8"), np.frombuffer(row["ids_b"], "<i8")
-                x, y = np.frombuffer(row["x_a"], "<f8").reshape(-1, d), np.frombuffer(row["x_b"], "<f8").reshape(-1, d)
-                ux, uy = _unit(x), _unit(y)
-                s = _near(x, y, _leading(ux, bases.value), _leading(uy, bases.value), ux, uy, same, least)
-                na, nb = s @ np.frombuffer(row["times_b"], "<i8"), (0 if same else 1) * (s.T @ np.frombuffer(row["times_a"], "<i8"))
-                la, lb, big = ia.copy(), ib.copy(), np.iinfo(np.int64).max
-                while s.any():
-                    na_l = np.minimum(la, np.where(s, lb[None, :], big).min(axis=1))
-                    nb_l = np.minimum(lb, np.where(s, na_l[:, None], big).min(axis=0))
-                    if same:
-                        na_l = nb_l = np.minimum(na_l, nb_l)
-                    if (na_l == la).all() and (nb_l == lb).all():
-                        break
-                    la, lb = na_l, nb_l
-                ids, n, low = np.concatenate([ia, ib]), np.concatenate([na, nb]), np.concatenate([la, lb])
-                has = np.concatenate([s.any(axis=1), s.any(axis=0) & (not same)])
-                if has.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[has]), pa.array(n[has].astype(np.int64)), pa.array(low[has])], ["rep", "n", "low"])
+                here = block(batch, r)
+                if a[r] == b[r]:
+                    own = here
+                    if alone[r]:
+                        yield from compared(own, own, True)
+                else:
+                    yield from compared(own, here, False)
 
     return run
 
@@ -181,6 +197,8 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE, id_col: str
     label. Equal vectors are compared once and count as often as they come.
     """
     spark = vectors.sparkSession
+    modest_batches(spark)
+    kind = "<f4" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "<f8"
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
     fine = F.col("label").isNotNull() & (F.size("vec") > 0) & ~F.exists("vec", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("vec", lambda v: v != 0)
     rows = rows.withColumn("key", F.when(F.coalesce(fine, F.lit(False)), F.md5(F.concat_ws(",", F.col("vec").cast("array<string>")))))
@@ -196,22 +214,26 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE, id_col: str
     grid = plain.mapInArrow(_ordered(bases, width), f"label string, size int, rep long, times long, vec array<double>, {cells}")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     run = grid.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    packed = run.mapInArrow(_packed(bases), "label string, size int, lo array<double>, hi array<double>, ids binary, times binary, x binary")
+    packed = run.mapInArrow(_packed(bases, kind), "label string, size int, lo array<double>, hi array<double>, ids binary, times binary, x binary")
     blocks = cut(packed.withColumn("block", F.monotonically_increasing_id()))
 
-    box = blocks.select("block", "label", "size", "lo", "hi", F.floor(F.col("lo")[0] / width).cast("int").alias("from"), F.floor(F.col("hi")[0] / width).cast("int").alias("to"))
-    left = box.select(F.col("block").alias("a"), "label", "size", F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), F.explode(F.sequence("from", "to")).alias("cell"))
-    right = box.select(F.col("block").alias("b"), "label", "size", F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), F.explode(F.sequence(F.col("from") - 1, F.col("to") + 1)).alias("cell"))
+    cell = lambda c, k: F.floor(F.col(c)[k] / width).cast("int")
+    cells_of = lambda more: F.explode(F.flatten(F.transform(F.sequence(cell("lo", 0) - more, cell("hi", 0) + more), lambda i: F.transform(F.sequence(cell("lo", 1) - more, cell("hi", 1) + more), lambda j: F.struct(i.alias("i"), j.alias("j"))))))
+    left = blocks.select(F.col("block").alias("a"), "label", "size", F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), cells_of(0).alias("cell"))
+    right = blocks.select(F.col("block").alias("b"), "label", "size", F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), cells_of(1).alias("cell"))
     gap = F.aggregate(
         F.zip_with(F.zip_with("lo_a", "hi_b", lambda p, q: p - q), F.zip_with("lo_b", "hi_a", lambda p, q: p - q), lambda p, q: F.greatest(p, q, F.lit(0.0))),
         F.lit(0.0),
         lambda s, g: s + g * g,
     )
-    pairs = left.join(right, ["label", "size", "cell"]).where((F.col("a") <= F.col("b")) & (gap <= 2 - 2 * least + 1e-9)).select("a", "b").distinct()
-    near = pairs.join(blocks.select(F.col("block").alias("a"), "size", F.col("ids").alias("ids_a"), F.col("times").alias("times_a"), F.col("x").alias("x_a")), "a")
-    near = near.join(blocks.select(F.col("block").alias("b"), F.col("ids").alias("ids_b"), F.col("times").alias("times_b"), F.col("x").alias("x_b")), "b")
-    # Without this, one task could get many of the few, large rows.
-    found = cut(near.repartition(parts * 4, "a", "b").mapInArrow(_joined(bases, least), "rep long, n long, low long"))
+    pairs = cut(left.join(right, ["label", "size", "cell"]).where((F.col("a") <= F.col("b")) & (gap <= 2 - 2 * least + 1e-9)).select("a", "b").distinct())
+    group = F.pmod("b", F.lit(SPREAD)).cast("int").alias("set")
+    data = blocks.select("block", "size", "ids", "times", "x")
+    come = pairs.where("a <> b").join(data.withColumnRenamed("block", "b"), "b").select("a", group, "b", F.lit(False).alias("alone"), "size", "ids", "times", "x")
+    own = pairs.select("a", group).distinct().join(data.withColumnRenamed("block", "a"), "a").select("a", "set", F.col("a").alias("b"), (F.pmod("a", F.lit(SPREAD)) == F.col("set")).alias("alone"), "size", "ids", "times", "x")
+    # Without this many parts, one task could get many of the few, large rows.
+    near = own.unionByName(come).repartition(parts * 4, "a", "set").sortWithinPartitions("a", "set", F.col("a") != F.col("b"))
+    found = cut(near.mapInArrow(_joined(bases, least, kind), "rep long, n long, low long"))
 
     linked = found.groupBy("rep").agg(F.sum("n").alias("n"))
     whole = components(found.select(F.col("rep").alias("a"), F.col("low").alias("b")))
