@@ -403,7 +403,9 @@ def groups(docs: DataFrame) -> DataFrame:
     so_far = components(links).withColumnRenamed("node", "b")
     listed = scanned.where("sig is not null").select("sig", "b", "info").distinct().join(so_far, "b", "left").select("sig", "b", "info", F.coalesce("component", "b").alias("c"))
     several = listed.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("sig")
-    listed = listed.join(several, "sig", "left_semi").join(shares.select(F.col("node").alias("b"), *marks), "b")
+    # A signature may list a third of all sets: which lists go on is told to them in parts.
+    several = several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    listed = listed.withColumn("salt", F.pmod("b", F.lit(SALT)).cast("int")).join(several, ["sig", "salt"], "left_semi").drop("salt").join(shares.select(F.col("node").alias("b"), *marks), "b")
     size = lambda c: F.shiftright(c, 32)
     p, q = F.col("p"), F.col("q")
     single = p.bitwiseAND(F.lit(2)) != 0
