@@ -34,7 +34,7 @@ _KEPT = lowered(_is_word)
 
 
 def chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text, target): whether each document is among the ids."""
+    """(doc_id, text, target): whether each document is among the ids, which must be whole numbers; a null is among none."""
     spark, ids = docs.sparkSession, ids.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     docs = docs.select("doc_id", "text")
     if ids.count() > MOST_IDS:

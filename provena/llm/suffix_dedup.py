@@ -32,6 +32,8 @@ MOST_TOGETHER = 20_000
 #: Anchors that a task holds to settle among its own documents, and rows left of one of them from which it is hot.
 HELD = 300_000
 HOT = 64
+#: Bytes of text of which only the least document's strings and contexts go on.
+PASS_BYTES = 1_000_000
 #: Rows that wait for the rest of their anchor.
 WAITING = 400_000
 #: Bits of the largest map of anchors that goes to every task; the maps grow with what is in them. Beyond it, contexts are joined with the anchors instead.
@@ -217,7 +219,7 @@ def _wanted(which, hot=None):
     """Anchors in a map of hashes (None: all), with their contexts' bytes; of those in the map of hot ones, the strings by their hashes."""
 
     def run(batches):
-        for rows, data, offsets in text_slices(batches):
+        for rows, data, offsets in text_slices(batches, most=PASS_BYTES):
             row, place, h, known_by = _anchors(data, offsets)
             ids = np.asarray(rows.column("doc_id"))
             burns = _marked(hot.value, h) if hot is not None else np.zeros(len(h), bool)

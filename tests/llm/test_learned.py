@@ -163,15 +163,69 @@ def test_components(spark, few):
 
 
 def test_pipeline(spark, tmp_path):
+    """Against brute force: letters, links of shingle sets, benchmark windows, base spans; then ids by the rank library."""
+    from tests.llm.test_text_operators import base_spans, linked, tik
+
     docs = documents(spark)
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    bench = spark.createDataFrame([(1, prose(2, 80)[:90])], "item_id long, text string")
-    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    item = prose(2, 80)[:90]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "near_copies", "benchmark", "personal_data", "token_ids"]
-    letters = {r.doc_id for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)}
-    near = {r.doc_id for r in jaccard_join.one_of_each(docs.where(docs.doc_id.isin(list(letters)))).collect()}
-    assert set(out) == near
-    assert prose(2, 80)[:80] not in out[4].text and out[1].text == prose(1, 120)
-    assert "<EMAIL>" in out[15].text and "4111" not in out[15].text
-    assert all(r.n_tokens * 4 == len(r.ids) for r in out.values())
+    texts = {r.doc_id: r.text for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)}
+    texts = {i: texts[i] for i, (_, low) in linked(list(texts.items())).items() if low == i}
+    words = item.split()
+    windows = [" ".join(words[i : i + 10]) for i in range(len(words) - 9)]
+
+    def clean(text: str) -> str:
+        own = [(m.start(), m.end()) for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)]
+        hit = [False] * len(own)
+        for i in range(len(own) - 9):
+            if " ".join(text[a:b] for a, b in own[i : i + 10]) in windows:
+                hit[i : i + 10] = [True] * 10
+        left, at = [], 0
+        for i, (a, b) in enumerate(own):
+            if hit[i] and not (i and hit[i - 1]):
+                left.append(text[at:a])
+            if hit[i]:
+                at = b
+        pieces = [p for p in [*left, text[at:]] if p.strip(" ")]
+        text = "\n".join(pieces) if any(hit) else text
+        for kind, a, b in sorted(base_spans(text), key=lambda x: -x[1]):
+            text = f"{text[:a]}<{kind.upper()}>{text[b:]}"
+        return text
+
+    want = {i: clean(t) for i, t in texts.items()}
+    assert {i: r.text for i, r in out.items()} == {i: t for i, t in want.items() if t.strip(" ")}
+    enc, _ = tik()
+    assert all(bytes(r.ids) == np.array(enc.encode_ordinary(r.text), "<u4").tobytes() and r.n_tokens * 4 == len(r.ids) for r in out.values())
+
+
+def test_pipeline_without_documents(spark, tmp_path):
+    docs = documents(spark).limit(0)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_operators_bear_nulls_repeats_and_names_of_any_kind(spark):
+    """Null ids, repeated rows, and columns named like an operator's own."""
+    from provena.llm import bpe, decontam, lm_score, pii, suffix_dedup, token_output
+    from provena.llm.queries import vocabulary
+
+    names = "score lang_pred base spans runs row found _text _spans _items _n_words _doc cover ids n_tokens who node".split()
+    text = prose(3, 30)
+    rows = [(i, t, "en", *["mine"] * len(names)) for i, t in [(None, text), (None, text), (1, text), (1, text), (2, None), (3, ""), (4, text + " a@b.org"), (None, None)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join(f"{n} string" for n in names))
+    bench = spark.createDataFrame([(None, text), (1, None)], "item_id long, text string")
+    for out in (langid.keep_known(docs), decontam.decontaminate(docs, bench), pii.redact(docs), suffix_dedup.remove_repeats(docs.drop("spans")).drop("spans", "kept"), bpe.encode(docs, *vocabulary(), ids_col="own").drop("own"), jaccard_join.one_of_each(docs)):
+        found = out.collect()
+        assert all(r[n] == "mine" for r in found for n in names if n in out.columns) and set(out.columns) >= {"doc_id", "text", "lang"}
+    assert langid.report(docs).count() == decontam.report(docs, bench).count() == pii.report(docs).count() == bpe.round_trip(docs, *vocabulary()).count() == jaccard_join.groups(docs).count() == suffix_dedup.report(docs).count() == len(rows)
+    groups = jaccard_join.groups(docs).collect()
+    assert {r.component_id for r in groups if r.n_shingles and r.doc_id in (None, 1)} == {1}
+    scored = lm_score.report(docs, spark.createDataFrame([(1, 1), (None, 1)], "doc_id long, quality int")).collect()
+    assert len(scored) == len(rows)
+    assert token_output.shards(docs, *vocabulary()).selectExpr("sum(n)").first()[0] == 5
+    vectors = spark.createDataFrame([(None, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1)], "vec_id long, embedding array<float>, label int")
+    assert sorted(r.n_links for r in embed_dedup.near_duplicates(vectors).collect()) == [2, 2, 2]
