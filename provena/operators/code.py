@@ -85,6 +85,11 @@ def rule_ranges(rules: DataFrame) -> DataFrame:
     return out.select(F.col("r.file").alias("path"), F.col("r.start").alias("start"), F.greatest(F.col("r.end"), F.col("r.start") + F.col("more")).alias("end"))
 
 
+def ranges_by_file(ranges: DataFrame) -> DataFrame:
+    """(path, ranges): a file's own ranges (start, end), in order."""
+    return ranges.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges"))
+
+
 def coverage(items: DataFrame, ranges: DataFrame, tolerance: int = 0, paths: DataFrame | None = None) -> DataFrame:
     """For each path: branches, those that a rule's range overlaps, their share (100.0 of none). paths (path) adds those without branches."""
     found = overlaps(items.select("path", F.col("line").alias("start"), "end"), ranges, "path", tolerance, "flag")

@@ -33,3 +33,16 @@ def retry_text(found: DataFrame, *by: str) -> DataFrame:
     one = F.concat_ws("\n", F.concat(F.lit("- "), "artifact", F.lit(" at "), "path"), F.concat(F.lit("  expected: "), "expected"), F.concat(F.lit("  got: "), "got"), F.when(F.col("hint") != "", F.concat(F.lit("  hint: "), "hint")))
     ordered = F.array_sort(F.collect_list(F.struct("artifact", "path", one.alias("text"))))
     return errors(found).groupBy(*(by or ("check",))).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"))
+
+
+def retry_pages(found: DataFrame, most: int = 100) -> DataFrame:
+    """(check, page, n, text): the text of retry_text() in pages of `most` errors at most, in order of artifact and path, so no text grows with the data.
+
+    Pages may begin with the rest of one that the check before left, as errors of all checks are numbered in one go.
+    """
+    from provena.operators.reconcile import dense
+
+    numbered = dense(errors(found).select("check", "artifact", "path", "expected", "got", "hint"), "check", "artifact", "path", "expected", "got", "hint")
+    paged = numbered.withColumn("page", F.floor(F.col("number") / most)).withColumn("severity", F.lit("error"))
+    texts = retry_text(paged, "check", "page")
+    return paged.groupBy("check", "page").agg(F.count("*").alias("n")).join(texts, ["check", "page"])

@@ -79,6 +79,25 @@ def planned(inventory: DataFrame, exclude: list[str], least: int | None = None,
     return (out if least is None else out.where(F.col("size").isNull() | (F.col("size") >= least))).drop("size")
 
 
+def objects(elements: Column) -> Column:
+    """Of an array of variants those that are objects."""
+    return F.filter(elements, lambda v: F.startswith(F.schema_of_variant(v), F.lit("OBJECT")))
+
+
+def doc_failure(ran: Column, output: Column, expected: Column) -> Column:
+    """How an example of the documentation failed: it doesn't run, it says something else, or it says nothing where it should; null if it didn't."""
+    said = F.coalesce(F.trim(output), F.lit(""))
+    return F.when(~ran, "does not run").when((said == "") & (F.trim(expected) != ""), "says nothing").when(said != F.trim(expected), "says something else")
+
+
+def stops(traced: DataFrame, capabilities: DataFrame, most: float = 30.0) -> DataFrame:
+    """One row: traced files (changed: boolean) and capabilities (touched: boolean), how many of each are changed, and whether that is too much to go on from: over `most` percent of files, or over half of the capabilities."""
+    f = traced.agg(F.count("*").alias("traced"), F.count_if("changed").alias("changed"))
+    c = capabilities.agg(F.count("*").alias("capabilities"), F.count_if("touched").alias("touched"))
+    over = (100.0 * F.col("changed") > most * F.col("traced")) | (2 * F.col("touched") > F.col("capabilities"))
+    return f.join(F.broadcast(c)).withColumn("stop", over)
+
+
 def to_run(tasks: DataFrame, outputs: DataFrame, found: DataFrame, force: bool = False) -> DataFrame:
     """tasks (tag) with `state`: skipped if an output (tag, path) is there and none of its findings (tag, severity) is an error, else run; with force all run."""
     there = outputs.select("tag").distinct().withColumn("_there", F.lit(True))

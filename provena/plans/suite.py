@@ -271,6 +271,13 @@ def rule_ranges(spark, sf_dir):
     return code.rule_ranges(_t(spark, sf_dir, "conversations").select(source.alias("source"), F.col("text").alias("evidence")))
 
 
+@query("SELECT l_orderkey AS path, string_agg(l_linenumber || '-' || greatest(l_linenumber, CAST(l_quantity AS BIGINT)), ',' ORDER BY l_linenumber, greatest(l_linenumber, CAST(l_quantity AS BIGINT))) AS ranges FROM lineitem GROUP BY l_orderkey")
+def ranges_by_file(spark, sf_dir):
+    """The lines of each order as ranges, in order."""
+    r = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("start"), F.greatest(F.col("l_linenumber").cast("long"), F.col("l_quantity").cast("long")).alias("end"))
+    return code.ranges_by_file(r).select("path", F.array_join(F.transform("ranges", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",").alias("ranges"))
+
+
 @query(
     """SELECT o_orderkey, arg_min(l_linenumber, (2 * CAST(l_quantity AS BIGINT), -l_linenumber)) AS l_linenumber
 FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) BETWEEN date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) - CAST(l_quantity AS BIGINT) AND date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) + CAST(l_quantity AS BIGINT)
@@ -592,10 +599,49 @@ def mask_documents(spark, sf_dir):
 @query("SELECT n_regionkey, n_name FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS r FROM nation) WHERE (r - 1) % 3 = 0")
 def every_third(spark, sf_dir):
     """A sampling operator: every third nation; the 25 nations are all there are."""
-    from pyspark.sql import Window
+    return reconcile.dense(_t(spark, sf_dir, "nation"), "n_nationkey").where("number % 3 = 0").select("n_regionkey", "n_name")
+
+
+@query("SELECT o_orderkey, o_orderdate FROM (SELECT *, row_number() OVER (ORDER BY CAST(o_orderdate AS DATE), o_orderkey) AS r FROM orders) WHERE (r - 1) % 3 = 0")
+def every_third_order(spark, sf_dir):
+    """A sampling operator: every third order by date, numbered by ranges."""
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", F.col("o_orderdate").cast("date").alias("day"))
+    return reconcile.dense(o, "day", "o_orderkey").where("number % 3 = 0").select("o_orderkey", "o_orderdate")
+
+
+@query(f"WITH {_TIERED} SELECT page_id, path FROM best WHERE tier = 'L2'")
+def deep_modules(spark, sf_dir):
+    return _tiered(spark, sf_dir).where(F.col("tier") == "L2").select("page_id", "path")
+
+
+@query("SELECT conv_id, count(*) FILTER (turn % 3 = 0) AS kept, count(*) AS given FROM conversations GROUP BY conv_id")
+def object_elements(spark, sf_dir):
+    """Of a list of objects, numbers and texts, the objects."""
+    t = F.col("turn")
+    one = F.when(t % 3 == 0, F.to_json(F.struct("turn"))).when(t % 3 == 1, t.cast("string")).otherwise(F.concat(F.lit('"'), "role", F.lit('"')))
+    made = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.collect_list(one), lambda x: F.parse_json(x)).alias("all"))
+    return made.select("conv_id", F.size(reconcile.objects(F.col("all"))).cast("long").alias("kept"), F.size("all").cast("long").alias("given"))
+
+
+@query("SELECT conv_id AS module, string_agg(text, chr(10) ORDER BY turn) AS statements FROM conversations WHERE role = 'user' GROUP BY conv_id")
+def module_statements(spark, sf_dir):
+    """The statements of each module, a conversation; modules without any have no row."""
+    of = F.array_sort(F.collect_list(F.when(F.col("role") == "user", F.struct("turn", "text"))))
+    made = _t(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("module")).agg(of.alias("s"))
+    return made.where(F.size("s") > 0).select("module", F.array_join(F.transform("s", lambda x: x["text"]), "\n").alias("statements"))
+
 
-    n = _t(spark, sf_dir, "nation").withColumn("r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("n_nationkey")))
-    return n.where((F.col("r") - 1) % 3 == 0).select("n_regionkey", "n_name")
+@query("SELECT count(*) AS rules_total FROM customer")
+def stats_map(spark, sf_dir):
+    return completeness.stats(_t(spark, sf_dir, "customer")).select(F.col("stats")["rules_total"].alias("rules_total"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'does not run' WHEN event_id % 4 = 1 THEN 'says nothing' WHEN event_id % 4 = 2 THEN 'says something else' END AS failure FROM events")
+def doc_examples(spark, sf_dir):
+    """Examples of documentation and how each failed."""
+    k = F.col("event_id") % 4
+    said = F.when(k == 1, " ").when(k == 2, "other").otherwise(F.concat(F.lit(" "), "props"))
+    return _t(spark, sf_dir, "events").select("event_id", reconcile.doc_failure(F.col("event_type") != "error", said, F.col("props")).alias("failure"))
 
 
 @query(
@@ -673,6 +719,18 @@ def applicability(spark, sf_dir):
     return n.withColumn("stop", 100.0 * F.col("changed") / F.col("traced") > 30)
 
 
+@query(
+    """WITH t AS (SELECT l_partkey, bool_or(p_size > 45) AS changed FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1), c AS (SELECT p_brand, bool_or(p_size > 45) AS touched FROM part GROUP BY 1),
+a AS (SELECT count(*) AS traced, count(*) FILTER (changed) AS changed FROM t), b AS (SELECT count(*) AS capabilities, count(*) FILTER (touched) AS touched FROM c)
+SELECT traced, changed, capabilities, touched, 100.0 * changed > 30 * traced OR 2 * touched > capabilities AS stop FROM a, b"""
+)
+def too_much_changed(spark, sf_dir):
+    """Parts are files, brands capabilities."""
+    p = _t(spark, sf_dir, "part").withColumn("big", F.col("p_size") > 45)
+    traced = _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey")).distinct().join(p, "p_partkey").select(F.col("big").alias("changed"))
+    return reconcile.stops(traced, p.groupBy("p_brand").agg(F.max("big").alias("touched")))
+
+
 @query("SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'not_in_code' WHEN quality = 1 THEN 'confirms' ELSE 'contradicts' END AS verdict FROM documents LEFT JOIN labels l USING (doc_id)")
 def claim_verdicts(spark, sf_dir):
     out = _t(spark, sf_dir, "documents").select("doc_id").join(_t(spark, sf_dir, "labels"), "doc_id", "left")
@@ -787,6 +845,21 @@ def retry_text_by_artifact(spark, sf_dir):
     return findings.retry_text(_dear_orders(spark, sf_dir), "check", "artifact")
 
 
+@query(
+    """WITH o AS (SELECT '- ' || o_orderkey || ' at o_totalprice' || chr(10) || '  expected: at most 200000' || chr(10) || '  got: ' || CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) AS t, row_number() OVER (ORDER BY CAST(o_orderkey AS VARCHAR)) - 1 AS k FROM orders WHERE o_totalprice > 200000)
+SELECT 'order' AS "check", k // 100 AS page, count(*) AS n, string_agg(t, chr(10) ORDER BY k) AS text FROM o GROUP BY ALL"""
+)
+def retry_pages(spark, sf_dir):
+    """What retry_text says, a hundred findings a row."""
+    return findings.retry_pages(_dear_orders(spark, sf_dir), 100)
+
+
+@query("SELECT o_custkey, count(*) AS n, string_agg(CAST(o_orderkey AS VARCHAR), ', ' ORDER BY o_orderkey) AS orders FROM orders GROUP BY o_custkey")
+def report_cells_by_customer(spark, sf_dir):
+    """A cell of each customer's own orders."""
+    return _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), report.cell(F.col("o_orderkey"), F.col("o_orderkey")).alias("orders"))
+
+
 @query("SELECT r_name AS region, count(*) AS n, string_agg(n_name, ', ' ORDER BY n_name) AS nations FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY r_name")
 def report_cells(spark, sf_dir):
     n = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey")
