@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.common import binary_array, binary_slices, fresh, modest_batches, named, text_slices, without
+from provena.llm.common import binary_array, binary_slices, fresh, modest_batches, named, remembered, text_slices, without
 
 #: The file of ranks is broadcast; no vocabulary in use comes near this size.
 MOST_RANK_BYTES = 64 << 20
 #: Pieces whose ids a worker remembers; beyond that it forgets all and goes on.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 #: Stands between pieces that go to the library in one string; a piece that has it is merged by rank.
 BETWEEN = "\U0010ffff"
 
@@ -131,16 +131,18 @@ def codec(ranks, pattern: str) -> Codec:
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     name, raw = ranks.value
-    if (key := f"{name} {pattern}") not in _codecs:
-        _codecs[key] = Codec(raw, pattern)
-    return _codecs[key]
+    own = remembered(_codecs)
+    if (key := f"{name} {pattern}") not in own:
+        own[key] = Codec(raw, pattern)
+    return own[key]
 
 
 def decoder(ranks) -> Decoder:
     name, raw = ranks.value
-    if name not in _decoders:
-        _decoders[name] = Decoder(_ranks_of(raw))
-    return _decoders[name]
+    own = remembered(_decoders)
+    if name not in own:
+        own[name] = Decoder(_ranks_of(raw))
+    return own[name]
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", offsets: bool = False) -> DataFrame:
@@ -175,23 +177,45 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     return frame.withColumn(own, found).select(*named(frame.columns), F.col(f"{own}.ids").alias(ids_col), f"{own}.char_starts", f"{own}.char_ends")
 
 
+def _decoded(own: Decoder, ids: pa.Array) -> pa.Array:
+    out = []
+    for _, data, ends in binary_slices(iter([pa.RecordBatch.from_arrays([ids], ["ids"])]), "ids"):
+        own_ids = data.view("<u4").astype(np.int64)
+        bytes_before = np.concatenate([[0], np.cumsum(own.lengths[own_ids])]) if len(own_ids) else np.zeros(1, np.int64)
+        out.append(binary_array(own.decode(own_ids), bytes_before[ends // 4]))
+    return pa.concat_arrays(out) if out else pa.array([], pa.binary())
+
+
 def decode(docs: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "bytes") -> DataFrame:
     """docs with the bytes that the ids stand for; null ids are as none. Ids outside the vocabulary raise an error. Other columns stay."""
     modest_batches(docs.sparkSession)
     ranks = read_ranks(docs.sparkSession, ranks_path)
 
     def run(ids: pa.Array) -> pa.Array:
-        own, out = decoder(ranks), []
-        for _, data, ends in binary_slices(iter([pa.RecordBatch.from_arrays([ids], ["ids"])]), "ids"):
-            own_ids = data.view("<u4").astype(np.int64)
-            bytes_before = np.concatenate([[0], np.cumsum(own.lengths[own_ids])]) if len(own_ids) else np.zeros(1, np.int64)
-            out.append(binary_array(own.decode(own_ids), bytes_before[ends // 4]))
-        return pa.concat_arrays(out) if out else pa.array([], pa.binary())
+        return _decoded(decoder(ranks), ids)
 
     return docs.withColumn(bytes_col, F.arrow_udf(run, "binary")(F.col(ids_col)))
 
 
+def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", bytes_col: str = "bytes") -> DataFrame:
+    """docs with the ids of encode() and the bytes of decode() of these ids, in one Python worker a task."""
+    modest_batches(docs.sparkSession)
+    ranks = read_ranks(docs.sparkSession, ranks_path)
+
+    def run(texts: pa.Array) -> pa.Array:
+        own, ids = codec(ranks, pattern), []
+        for rows, _, _ in text_slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])])):
+            ids += own.encode([t or "" for t in rows.column(0).to_pylist()])
+        made = pa.array(ids, pa.binary())
+        return pa.StructArray.from_arrays([made, _decoded(own, made)], ["ids", "bytes"])
+
+    frame = without(docs, ids_col, bytes_col)
+    (own,) = fresh(frame, "both")
+    found = docs.select(*named(frame.columns), F.arrow_udf(run, "ids binary, bytes binary")(F.col(text_col)).alias(own))
+    return found.select(*named(frame.columns), F.col(f"{own}.ids").alias(ids_col), F.col(f"{own}.bytes").alias(bytes_col))
+
+
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Per document: number of ids, digest of the ids, digest of the bytes that they decode to."""
-    both = decode(encode(docs.select("doc_id", "text"), ranks_path, pattern).select("doc_id", "ids"), ranks_path, pattern)
+    both = encode_and_decode(docs.select("doc_id", "text"), ranks_path, pattern)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))

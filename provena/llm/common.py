@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,10 +79,24 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 _libc = ctypes.CDLL(None)
+#: What workers keep between tasks, and when each was last asked for.
+_kept: dict[int, tuple[dict, float]] = {}
+#: Seconds after which what nobody asked for is forgotten.
+FORGET_AFTER = 20.0
+
+
+def remembered(cache: dict) -> dict:
+    """The cache, which is forgotten when a worker does other work for some time."""
+    _kept[id(cache)] = (cache, time.monotonic())
+    return cache
 
 
 def tidy() -> None:
     """Gives memory that a worker no longer uses back to the machine: workers stay for the next task, and several of them share an executor's memory with its JVM."""
+    for k, (cache, asked) in list(_kept.items()):
+        if time.monotonic() - asked > FORGET_AFTER:
+            cache.clear()
+            del _kept[k]
     pa.default_memory_pool().release_unused()
     if hasattr(_libc, "malloc_trim"):
         _libc.malloc_trim(0)

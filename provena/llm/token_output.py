@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provena.llm.bpe import read_ranks
-from provena.llm.common import binary_array, binary_slices, kept_table, mixed, modest_batches, text_slices
+from provena.llm.common import binary_array, binary_slices, kept_table, mixed, modest_batches, remembered, text_slices
 
 #: Tokens of a sequence, and sequences of a shard.
 LENGTH = 512
@@ -48,7 +48,7 @@ def _encoder(ranks, pattern: str):
     import tiktoken
 
     name, raw = ranks.value
-    if (name, pattern) not in _known:
+    if (name, pattern) not in remembered(_known):
         own = {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line.strip())}
         _known[name, pattern] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=own, special_tokens={}), max(own.values()) + 1
     return _known[name, pattern]
