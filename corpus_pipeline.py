@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from provena.llm import bpe, decontam, jaccard_join, langid, pii
-from provena.llm.common import kept_table, table
+from provena.llm.common import fresh, kept_table, named, table, without
 from provena.llm.queries import vocabulary
 
-#: SQL can't express the learned stages; tests hold the whole against a brute-force version.
+#: SQL can't express the learned stages; a test holds all stages' rows and texts against brute force.
 ORACLE_SQL = None
 
 
@@ -37,12 +37,15 @@ def personal_data(spark, docs, sf_dir):
 
 
 def token_ids(spark, docs, sf_dir):
-    """Documents with their ids, and digests of the ids and of what they decode to; text and decoded bytes are the same."""
-    out = bpe.decode(bpe.encode(docs, *vocabulary()), *vocabulary())
-    same = F.encode(F.coalesce("text", F.lit("")), "UTF-8") == F.col("bytes")
-    checked = out.withColumn("ids", F.when(same, F.col("ids")).otherwise(F.raise_error(F.concat(F.lit("ids of document "), F.col("doc_id").cast("string"), F.lit(" don't decode to its text")))))
-    n = (F.octet_length("ids") / 4).cast("long")
-    return checked.select(*docs.columns, n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"), "ids")
+    """Documents with their ids, and digests of the ids and of what they decode to; text and decoded bytes are the same. Columns named like these are replaced."""
+    added = ["n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    kept = without(docs, *added)
+    ids, back = fresh(kept, "ids", "bytes")
+    out = bpe.encode_and_decode(kept, *vocabulary(), ids_col=ids, bytes_col=back)
+    same = F.encode(F.coalesce("text", F.lit("")), "UTF-8") == F.col(back)
+    checked = F.when(same, F.col(ids)).otherwise(F.raise_error(F.concat(F.lit("ids of document "), F.col("doc_id").cast("string"), F.lit(" don't decode to its text"))))
+    n = (F.octet_length(ids) / 4).cast("long")
+    return out.select(*named(kept.columns), n.alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(back, 256).alias("decoded_sha256"), checked.alias("ids"))
 
 
 STAGES = [
