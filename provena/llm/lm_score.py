@@ -22,7 +22,7 @@ MIX = (0.6, 0.35, 0.05)
 MOST_IDS = 4_000_000
 #: Bytes of text of a chunk (one longer text is a chunk of its own); of text for which there is a bucket; words that one pass scores.
 CHUNK_BYTES = 8_000_000
-BUCKET_BYTES = 64_000_000
+BUCKET_BYTES = 16_000_000
 PASS_WORDS = 250_000
 #: What stands before a text's first word.
 _START = np.uint64(0x5851F42D4C957F2D)
