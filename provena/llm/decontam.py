@@ -109,7 +109,8 @@ def _marker(rows, first: bool):
     def go_on(texts: pa.Array, before: pa.Array) -> pa.Array:
         return _marked(index(), texts, before)
 
-    return F.arrow_udf(start if first else go_on, _KIND)
+    # As one that may differ from call to call, so that a filter on what follows from it does not call it twice.
+    return F.arrow_udf(start if first else go_on, _KIND).asNondeterministic()
 
 
 def marked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, part_bytes: int = PART_BYTES, item_col: str = "item_id") -> DataFrame:
