@@ -58,7 +58,9 @@ def containing(passages: DataFrame, texts: DataFrame, passage_id: str, text_id:
     out = None
     for k in (k for k in ANCHORS if k in sizes):
         near = _candidates(p.where(F.col("_k") == k), t, passage_id, text_id, k)
-        found = near.join(p.select(passage_id, "_p", "_n"), passage_id).join(t, text_id).where(stands).select(passage_id, text_id)
+        # Texts are normalised again where they are candidates, which few are.
+        found = near.join(p.select(passage_id, "_p", "_n"), passage_id).join(texts.select(text_id, F.col("text").alias("_raw")), text_id)
+        found = found.withColumn("_t", normalise(F.col("_raw"))).where(stands).select(passage_id, text_id)
         out = found if out is None else out.unionByName(found)
     short = p.where("_k = 0").select(passage_id, "_p", "_n")
     parts = -(-(short.agg(F.sum(F.octet_length("_p"))).first()[0] or 0) // SHORT_BYTES) if 0 in sizes else 0
