@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from provena.llm import bpe, decontam, embed_dedup, html_extract, jaccard_join, langid, lm_score, pii, suffix_dedup, token_output
+from provena.llm import bpe, conversations, decontam, embed_dedup, html_extract, jaccard_join, langid, lm_score, mixing, pii, suffix_dedup, token_output
 from provena.llm.common import table
 
 
@@ -53,6 +53,14 @@ def op9_decontamination(spark, sf_dir):
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_source_mixing(spark, sf_dir):
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark, sf_dir):
+    return conversations.report(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 _WORDS = "regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 OP9_SQL = f"""
@@ -76,7 +84,7 @@ FROM d LEFT JOIN per_word USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def queries():
-    return {f.__name__: f for f in (op1_byte_bpe, op2_pii, op3_ngram_jaccard_join, op4_suffix_array_dedup, op5_token_output, op6_lm_scoring, op7_html_extraction, op8_embedding_near_dedup, op9_decontamination, op10_language_id)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_pii, op3_ngram_jaccard_join, op4_suffix_array_dedup, op5_token_output, op6_lm_scoring, op7_html_extraction, op8_embedding_near_dedup, op9_decontamination, op10_language_id, op11_source_mixing, op12_conversation_repair)}
 
 
 OP3_SQL = """
