@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from provena.llm import bpe, conversations, decontam, embed_dedup, html_extract, jaccard_join, langid, lm_score, mixing, pii, suffix_dedup, token_output
+from provena.llm import bpe, conversations, decontam, embed_dedup, html_extract, jaccard_join, langid, lm_score, mixing, pii, suffix_dedup, token_output, whitening
 from provena.llm.common import table
 
 
@@ -61,6 +61,10 @@ def op12_conversation_repair(spark, sf_dir):
     return conversations.report(conversations.damaged(table(spark, sf_dir, "conversations")))
 
 
+def op13_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 _WORDS = "regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 OP9_SQL = f"""
@@ -84,7 +88,7 @@ FROM d LEFT JOIN per_word USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def queries():
-    return {f.__name__: f for f in (op1_byte_bpe, op2_pii, op3_ngram_jaccard_join, op4_suffix_array_dedup, op5_token_output, op6_lm_scoring, op7_html_extraction, op8_embedding_near_dedup, op9_decontamination, op10_language_id, op11_source_mixing, op12_conversation_repair)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_pii, op3_ngram_jaccard_join, op4_suffix_array_dedup, op5_token_output, op6_lm_scoring, op7_html_extraction, op8_embedding_near_dedup, op9_decontamination, op10_language_id, op11_source_mixing, op12_conversation_repair, op13_embedding_whitening)}
 
 
 OP3_SQL = """
