@@ -40,6 +40,11 @@ def windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id",
     return benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).mapInArrow(cut_up, "item string, n int, words binary").distinct()
 
 
+def _in_order(items: set) -> list:
+    """Names of items in order, a null one first."""
+    return sorted(items, key=lambda x: (x is not None, x or ""))
+
+
 class _Index:
     """Windows of one part, by length and hash; equal hashes keep all their windows."""
 
@@ -55,7 +60,7 @@ class _Index:
             _, hashes = w.grams(n)
             table = defaultdict(list)
             for h, t in zip(hashes.tolist(), texts, strict=True):
-                table[h].append((t, sorted(items[n, t])))
+                table[h].append((t, _in_order(items[n, t])))
             sieve = np.zeros(1 << 20, bool)
             sieve[(hashes >> np.uint64(44)).astype(np.int64)] = True
             self.by_n[n] = (np.unique(hashes), sieve, dict(table))
@@ -83,14 +88,14 @@ def _marked(index: _Index, texts: pa.Array, before: pa.Array | None = None) -> p
         earlier = rows.column("before").to_pylist() if before is not None else [None] * rows.num_rows
         for r, old in enumerate(earlier):
             f, base, merged, items = int(w.first_word[r]), int(offsets[r]), [], set(old["items"] if old else ())
-            for lo, hi, of in sorted([*hit.get(r, ()), *((x["lo"] + f, x["hi"] + f, ()) for x in (old["spans"] if old else ()))]):
+            for lo, hi, of in sorted([*hit.get(r, ()), *((x["lo"] + f, x["hi"] + f, ()) for x in (old["spans"] if old else ()))], key=lambda x: x[:2]):
                 items.update(of)
                 if merged and lo <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], hi)
                 else:
                     merged.append([lo, hi])
             spans.append([{"lo": lo - f, "hi": hi - f, "from": int(w.starts[lo]) - base, "to": int(w.ends[hi - 1]) - base} for lo, hi in merged])
-            found.append(sorted(items))
+            found.append(_in_order(items))
         words.append(w.per_row)
     return pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *words]), pa.int64()), pa.array(spans, _SPANS), pa.array(found, pa.list_(pa.string()))], ["n_words", "spans", "items"])
 
@@ -117,11 +122,12 @@ def marked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window
     """(row: docs' columns, found: n_words, spans (words lo to hi, bytes from to to, ends exclusive, merged) and items).
 
     A null or empty text, or one without words, has no words and no hits; an item without words, or an
-    empty benchmark, hits nothing. Items of the same words are all named. Columns may have any name.
+    empty benchmark, hits nothing. Items of the same words are all named; items whose id is null count as one,
+    which has no name. Columns may have any name.
     """
     modest_batches(docs.sparkSession)
     spark, found = docs.sparkSession, windows(benchmark, window, item_col)
-    size = found.agg(F.sum(F.length("words") + F.length("item") + 16)).first()[0] or 0
+    size = found.agg(F.sum(F.length("words") + F.coalesce(F.length("item"), F.lit(0)) + 16)).first()[0] or 0
     parts = -(-size // part_bytes) or 1
     if parts > 1:
         found = kept_table(found, "windows")
