@@ -40,6 +40,7 @@ _PATTERNS = {
 _KEYS = "token|passwd|password|passwort|secret|api[_-]?key|access[_-]?key|private[_-]?key|bearer|contraseña|clave|mot de passe"
 _TITLES = "Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|Señor|Señora"
 _GIVEN = "John|Mary|James|Anna|Peter|Paul|Maria|José|Juan|Carlos|Hans|Klaus|Jürgen|Sophie|Pierre|Jean|Marie|Michael|David|Sarah|Laura|Thomas|Robert|Linda|Emma|Lucas|Julia|Martin|Ana|Luis"
+_NO_NAMES = "Street|Avenue|Road|Square|Hotel|Museum|School|Hospital|Straße|Platz|Rue|Calle|Right|Wrong|President|Chairman|Speaker"
 _ENDINGS = "com|org|net|edu|gov|io|de|fr|es|uk|eu|info|biz|ch|at|us"
 _CONTEXT = {
     "email": r"(?:e-?mail|mail|contact|write|escrib|schreib|écri|correo)",
@@ -62,7 +63,7 @@ _WIDER = {
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}+:){7}[0-9A-Fa-f]{1,4}+(?![0-9A-Fa-f:])",
     "phone": r"(?<![0-9+)(-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9-])",
     "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+",
-    "name": rf"(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}\p{{Ll}}++(?: \p{{Lu}}\p{{Ll}}++)?",
+    "name": rf"(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}\p{{Ll}}++(?: \p{{Lu}}\p{{Ll}}++)?(?! (?:{_NO_NAMES})\b)(?<! (?:{_NO_NAMES}))",
 }
 # What a text with a match surely has.
 _HINT = {
@@ -82,26 +83,63 @@ _CHUNK = 128
 _SPAN = "array<struct<kind:int,s:int,e:int,m:string>>"
 
 
+def _let(f, *values: Column) -> Column:
+    """f of the values, each of which is computed once a row however often f's own lambdas ask for it."""
+    bound = F.array(F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)]))
+    return F.element_at(F.transform(bound, lambda z: f(*[z[f"v{i}"] for i in range(len(values))])), 1)
+
+
+def _wide(text: Column) -> Column:
+    """The text with four bytes for each character, so that any of them is found without going through those before."""
+    return F.encode(text, "UTF-32")
+
+
+def _part(wide: Column, start: Column, n: Column) -> Column:
+    """n characters of a _wide() text after the first `start`."""
+    return F.decode(F.substring(wide, start * 4 + 1, n * 4), "UTF-32")
+
+
+def _covered(spans: Column) -> Column:
+    """A byte 1 for each character that spans, in order and apart from one another, have; 0 for others up to the last span's end."""
+
+    def step(own: Column) -> Column:
+        part = lambda c, i: F.concat(F.repeat(F.lit("0"), c["s"] - F.coalesce(F.get(own, i - 1)["e"], F.lit(0))), F.repeat(F.lit("1"), c["e"] - c["s"]))
+        return F.encode(F.array_join(F.transform(own, part), ""), "UTF-8")
+
+    return _let(step, spans)
+
+
+def _touches(c: Column, covered: list[Column]) -> Column:
+    """Whether a span has a character that one of these has."""
+    return reduce(lambda a, b: a | b, [F.contains(F.substring(m, c["s"] + 1, c["e"] - c["s"]), F.encode(F.lit("1"), "UTF-8")) for m in covered], F.lit(False))
+
+
+def _apart(spans: Column, covered: list[Column]) -> Column:
+    return F.filter(spans, lambda c: ~_touches(c, covered))
+
+
 def _found(text: Column, pattern: str, kind: int, hint: Column) -> Column:
     """All matches, as (kind, start, end, match). Starts are running sums of what lies between and within matches, by chunks."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), 0)
-    n = F.size(matches)
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    steps = F.zip_with(F.slice(gaps, 1, n), F.transform(matches, lambda m: F.length(m)), lambda g, m: g + m)
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
 
-    def chunk(c: Column) -> Column:
-        before = total(F.slice(steps, 1, c * _CHUNK))
-        own = F.slice(steps, c * _CHUNK + 1, F.lit(_CHUNK))
+    def placed(matches: Column, gaps: Column) -> Column:
+        steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.length(g) + F.length(m))
+        return _let(chunks, matches, steps)
 
+    def chunks(matches: Column, steps: Column) -> Column:
+        def chunk(c: Column) -> Column:
+            return _let(spans, total(F.slice(steps, F.lit(1), c * _CHUNK)), F.slice(steps, c * _CHUNK + 1, F.lit(_CHUNK)), F.slice(matches, c * _CHUNK + 1, F.lit(_CHUNK)))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / _CHUNK).cast("int")), chunk))
+
+    def spans(before: Column, steps: Column, matches: Column) -> Column:
         def span(m: Column, i: Column) -> Column:
-            end = before + total(F.slice(own, 1, i + 1))
-            return F.struct(F.lit(kind).alias("kind"), (end - F.length(m)).alias("s"), end.alias("e"), m.alias("m"))
+            return _let(lambda end: F.struct(F.lit(kind).alias("kind"), (end - F.length(m)).alias("s"), end.alias("e"), m.alias("m")), before + total(F.slice(steps, F.lit(1), i + 1)))
 
-        return F.transform(F.slice(matches, c * _CHUNK + 1, F.lit(_CHUNK)), span)
+        return F.transform(matches, span)
 
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _CHUNK).cast("int")), chunk))
-    return F.when(hint, F.when(n > 0, spans)).otherwise(F.lit(None))
+    found = lambda matches: F.when(F.size(matches) > 0, _let(placed, matches, F.split(text, pattern, -1)))
+    return F.when(hint, _let(found, F.regexp_extract_all(text, F.lit(pattern), 0)))
 
 
 def _digits(m: Column) -> Column:
@@ -140,11 +178,9 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0)
 
 
-def _votes(text: Column, c: Column, kind: str) -> list[Column]:
-    """One of -1, 0, 1 by each labeler: strict form, gazetteer, context, checksum, what touches the span."""
-    m = c["m"]
-    left = F.lower(F.substring(text, F.greatest(c["s"] - AROUND, F.lit(0)) + 1, F.least(c["s"], F.lit(AROUND))))
-    before, after = F.right(left, F.lit(1)), F.substring(text, c["e"] + 1, F.lit(1))
+def _votes(left: Column, after: Column, c: Column, kind: str) -> list[Column]:
+    """One of -1, 0, 1 by each labeler: strict form, gazetteer, context, checksum, what touches the span. left: what stands before it, in small letters; after: the character after it."""
+    m, before = c["m"], F.right(left, F.lit(1))
     context = F.when(left.rlike(_CONTEXT[kind]), 1).when(left.rlike(_AGAINST[kind]), -1).otherwise(0)
     touched = before.rlike(r"[\p{L}0-9]") | after.rlike(r"[\p{L}0-9]")
     touch = _vote(~touched & ((before == "") | before.isin('"', "'", "(", "<", ":", "=")), touched)
@@ -170,9 +206,15 @@ def _votes(text: Column, c: Column, kind: str) -> list[Column]:
     return [own[0], own[1], context, own[2], touch]
 
 
-def _judged(text: Column, spans: Column, kind: str) -> Column:
+def _judged(wide: Column, spans: Column, kind: str) -> Column:
     """The spans with their votes, as a string of 0, 1, 2 for -1, 0, 1."""
-    return F.transform(spans, lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e"), F.concat(*[(v + 1).cast("string") for v in _votes(text, c, kind)]).alias("v")))
+
+    def judge(c: Column) -> Column:
+        left = F.lower(_part(wide, F.greatest(c["s"] - AROUND, F.lit(0)), F.least(c["s"], F.lit(AROUND))))
+        votes = _let(lambda left, after: F.concat(*[(v + 1).cast("string") for v in _votes(left, after, c, kind)]), left, _part(wide, c["e"], F.lit(1)))
+        return F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e"), votes.alias("v"))
+
+    return F.transform(spans, judge)
 
 
 def _none(kind: str) -> Column:
@@ -191,12 +233,26 @@ def _spotted(docs: DataFrame, keep: list[str]) -> DataFrame:
     out = docs.select(packed(docs, keep), F.coalesce(F.col("text"), F.lit("")).alias("t"))
     t = F.col("t")
     out = out.withColumns({f"b{i}": _found(t, _PATTERNS[k], i, _HINT[k](t)) for i, k in enumerate(BASE)} | {f"w{KINDS.index(k)}": _found(t, p, KINDS.index(k), _WIDER_HINT[k](t)) for k, p in _WIDER.items()})
-    out = out.withColumn("base", F.concat(*[F.filter(_or_none(F.col(f"b{i}"), _SPAN), _holds(k)) for i, k in enumerate(BASE)]))
-    free = lambda c: ~F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
-    wider = F.concat(*[_or_none(_judged(t, F.filter(f"w{KINDS.index(k)}", free), k), _VOTED) for k in _WIDER])
-    seen = F.concat(*[_or_none(_judged(t, F.col(f"b{i}"), k), _VOTED) for i, k in enumerate(BASE)])
+    some = reduce(lambda x, y: x | y, [F.col(f"b{i}").isNotNull() for i in range(len(BASE))] + [F.col(f"w{KINDS.index(k)}").isNotNull() for k in _WIDER])
+
+    def told(wide: Column, *found: Column) -> Column:
+        by_kind, wider = found[: len(BASE)], dict(zip(_WIDER, found[len(BASE) :], strict=True))
+        held = [F.filter(_or_none(c, _SPAN), _holds(k)) for c, k in zip(by_kind, BASE, strict=True)]
+
+        def judged(*held: Column) -> Column:
+            apart = [_let(lambda *v: _apart(v[0], list(v[1:])), _or_none(spans, _SPAN), *map(_covered, held)) for spans in wider.values()]
+            votes = [F.when(F.size(spans) > 0, _judged(wide, apart_k, k)) for (k, spans), apart_k in zip(wider.items(), apart, strict=True)]
+            seen = [F.when(F.size(c) > 0, _judged(wide, c, k)) for c, k in zip(by_kind, BASE, strict=True)]
+            join = lambda parts: F.concat(*[_or_none(x, _VOTED) for x in parts])
+            return F.struct(F.concat(*held).alias("base"), join(votes).alias("wider"), join(seen).alias("seen"))
+
+        return _let(judged, *held)
+
+    each = [F.col(f"b{i}") for i in range(len(BASE))] + [F.col(f"w{KINDS.index(k)}") for k in _WIDER]
+    nothing = F.struct(_none(_SPAN).alias("base"), _none(_VOTED).alias("wider"), _none(_VOTED).alias("seen"))
+    out = out.withColumn("told", F.when(some, _let(told, _wide(t), *each)).otherwise(nothing)).select("row", "told.*")
     plain = F.transform("base", lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e")))
-    return out.select("row", F.array_sort(plain).alias("base"), wider.alias("wider"), F.transform(seen, lambda c: F.struct(c["kind"].alias("kind"), c["v"].alias("v"))).alias("seen"))
+    return out.select("row", F.array_sort(plain).alias("base"), "wider", F.transform("seen", lambda c: F.struct(c["kind"].alias("kind"), c["v"].alias("v"))).alias("seen"))
 
 
 def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
@@ -222,11 +278,16 @@ def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[n
     return p, shares
 
 
+def untrained(labelers: int = LABELERS) -> np.ndarray:
+    """Weights before any evidence."""
+    sure = np.log(RIGHT / (1 - RIGHT))
+    return np.concatenate([np.tile([-sure, 0.0, sure], labelers), [np.log(SHARE / (1 - SHARE))]])
+
+
 def classifier(votes: np.ndarray, counts: np.ndarray, p: np.ndarray, rounds: int = 400, rate: float = 0.5, ridge: float = 0.002) -> np.ndarray:
     """Weights of a logistic classifier on the votes (three indicators a labeler, then the constant), fitted to the posteriors; a ridge holds them at what is taken of labelers, so votes never seen keep that."""
     x = np.concatenate([(votes[:, :, None] == np.array([-1, 0, 1])).reshape(len(votes), -1), np.ones((len(votes), 1))], axis=1).astype(float)
-    share, sure = counts / counts.sum(), np.log(RIGHT / (1 - RIGHT))
-    taken = np.concatenate([np.tile([-sure, 0.0, sure], votes.shape[1]), [np.log(SHARE / (1 - SHARE))]])
+    share, taken = counts / counts.sum(), untrained(votes.shape[1])
     w = taken.copy()
     for _ in range(rounds):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -247,7 +308,7 @@ def _fitted(found: DataFrame) -> dict[str, np.ndarray]:
 
 
 def fit(docs: DataFrame) -> dict[str, np.ndarray]:
-    """Weights by kind, from the candidates and base matches of all documents; kinds without any are absent."""
+    """Weights by kind, from the candidates and base matches of all documents. Kinds without any are absent; untrained() holds for them."""
     return _fitted(_spotted(docs, ["text"]))
 
 
@@ -258,20 +319,29 @@ def _decided(docs: DataFrame, weights: dict[str, np.ndarray] | None, keep: list[
         found = kept_table(found, "personal-data")
         weights = _fitted(found)
     plain = lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e"))
-    extra = _none("array<struct<kind:int,s:int,e:int>>")
-    if weights:
-        table = F.create_map(*[x for k, w in weights.items() for j in range(LABELERS) for v in range(3) for x in (F.lit(KINDS.index(k) * 100 + j * 10 + v), F.lit(float(w[j * 3 + v])))])
-        constant = F.create_map(*[x for k, w in weights.items() for x in (F.lit(KINDS.index(k)), F.lit(float(w[-1])))])
+    weights = {k: weights.get(k, untrained()) for k in KINDS}
+    # One flat list: a kind's LABELERS times three weights and its constant.
+    table, width = F.array(*[F.lit(float(x)) for k in KINDS for x in weights[k]]), 3 * LABELERS + 1
+
+    def accepted(c: Column, table: Column) -> Column:
+        parts = [F.get(table, c["kind"] * width + j * 3 + F.substring(c["v"], j + 1, 1).cast("int")) for j in range(LABELERS)]
+        return reduce(lambda a, b: a + b, parts, F.get(table, c["kind"] * width + width - 1)) >= float(np.log(ACCEPTED / (1 - ACCEPTED)))
+
+    def sole(extra: Column) -> Column:
+        """Candidates of different kinds may name one place: the earlier kind has it."""
+        own = [F.filter(extra, _is(KINDS.index(k))) for k in _WIDER]
+
+        def apart(*own: Column) -> Column:
+            def among(*covered: Column) -> Column:
+                return F.concat(*[_apart(spans, list(covered[:i])) if i else spans for i, spans in enumerate(own)])
 
-        def accepted(c: Column) -> Column:
-            parts = [F.element_at(table, c["kind"] * 100 + j * 10 + F.substring(c["v"], j + 1, 1).cast("int")) for j in range(LABELERS)]
-            return F.coalesce(reduce(lambda a, b: a + b, parts, F.element_at(constant, c["kind"])), F.lit(-99.0)) >= float(np.log(ACCEPTED / (1 - ACCEPTED)))
+            return _let(among, *map(_covered, own))
 
-        extra = F.transform(F.filter("wider", accepted), plain)
-    # Candidates of different kinds may name one place: the earlier kind has it.
-    out = found.select("row", "base", F.array_sort(F.array_distinct(extra)).alias("extra"))
-    sole = F.filter("extra", lambda c: ~F.exists("extra", lambda d: (d["kind"] < c["kind"]) & (d["s"] < c["e"]) & (c["s"] < d["e"])))
-    return out.select("row", "base", F.array_sort(F.concat("base", sole)).alias("spans"))
+        return F.when(F.size(extra) > 1, _let(apart, *own)).otherwise(extra)
+
+    extra = F.when(F.size("wider") > 0, _let(lambda wider, table: F.transform(F.filter(wider, lambda c: accepted(c, table)), plain), F.col("wider"), table)).otherwise(_none("array<struct<kind:int,s:int,e:int>>"))
+    out = found.select("row", "base", _let(sole, extra).alias("extra"))
+    return out.select("row", "base", F.array_sort(F.concat("base", "extra")).alias("spans"))
 
 
 def find(docs: DataFrame, weights: dict[str, np.ndarray] | None = None) -> DataFrame:
@@ -306,20 +376,26 @@ def redact(docs: DataFrame, weights: dict[str, np.ndarray] | None = None) -> Dat
     found = _decided(docs, weights, docs.columns)
     by_start = F.array_sort(F.transform("spans", lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["kind"].alias("kind"))))
 
-    def join(done: Column, c: Column) -> Column:
-        last = F.element_at(done, -1)
-        over = F.struct(last["s"].alias("s"), F.greatest(last["e"], c["e"]).alias("e"), last["kind"].alias("kind"))
-        return F.when((F.size(done) > 0) & (c["s"] < F.try_element_at(done, F.lit(-1))["e"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(over))).otherwise(F.concat(done, F.array(c)))
-
-    text = F.col("row").getField("text")
-    out = found.withColumn("runs", F.aggregate(by_start, _none("array<struct<s:int,e:int,kind:int>>"), join))
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    starts = F.concat(F.array(F.lit(0)), F.transform("runs", lambda c: c["e"]))
-    ends = F.concat(F.transform("runs", lambda c: c["s"]), F.array(F.length(text)))
-    tags = F.concat(F.transform("runs", lambda c: F.element_at(names, c["kind"] + 1)), F.array(F.lit("")))
-    pieces = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b"), tags.alias("t")), lambda x: F.concat(F.substring(text, x["a"] + 1, x["b"] - x["a"]), x["t"]))
-    hit = F.size("runs") > 0
-    out = out.withColumn("text", F.when(hit, F.array_join(pieces, "")).otherwise(text))
+    text = F.col("row").getField("text")
+
+    def cleaned(spans: Column, wide: Column, names: Column) -> Column:
+        ends = F.transform(spans, lambda c: c["e"])
+        tops = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / _CHUNK).cast("int")), lambda k: F.array_max(F.slice(ends, k * _CHUNK + 1, _CHUNK)))
+
+        def joined(ends: Column, tops: Column) -> Column:
+            def piece(c: Column, i: Column) -> Column:
+                # Where the spans before this one end: by whole chunks, then within its own.
+                k = F.floor(i / _CHUNK).cast("int")
+                before = F.greatest(F.lit(0), F.array_max(F.slice(tops, F.lit(1), k)), F.array_max(F.slice(ends, k * _CHUNK + 1, i - k * _CHUNK)))
+                return _let(lambda b: F.when(c["s"] >= b, F.concat(_part(wide, b, c["s"] - b), F.get(names, c["kind"]))).otherwise(""), before)
+
+            return F.concat(F.array_join(F.transform(spans, piece), ""), _part(wide, F.array_max(tops), F.length(text)))
+
+        return _let(joined, ends, tops)
+
+    hit = F.size("spans") > 0
+    out = found.withColumn("text", F.when(hit, _let(cleaned, by_start, _wide(text), names)).otherwise(text))
     changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(hit, F.length("text")).otherwise(F.col("row").getField("n_chars")).cast(docs.schema["n_chars"].dataType)
