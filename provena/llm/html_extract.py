@@ -29,6 +29,8 @@ ANEW, DRAWN = 5, 200
 #: A page set anew has at most so many blocks of article, drawn from all of the page's.
 MOST_BLOCKS = 24
 BITS = 14
+#: A sampled page whose blocks stand in so many open tags, all told, is set anew but not trained on itself.
+MOST_STEPS = 200_000
 
 # Fixed values of the markup language.
 _BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html iframe label legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead tr ul".split())
@@ -42,17 +44,54 @@ _NAMES = re.compile(r"(?:^|\s)(class|id|role|itemprop)\s*+=\s*+(?:\"([^\"]*+)\"|
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
+class Path:
+    """What a block stands in: an open tag with those of its features that nothing around it has, and the tag around it."""
+
+    __slots__ = ("parent", "tag", "new", "depth", "known")
+
+    def __init__(self, parent: Path | None, tag: str, new: tuple[str, ...]):
+        self.parent, self.tag, self.new = parent, tag, new
+        self.depth: int = parent.depth + 1 if parent else 1
+        self.known: dict[object, object] = {}
+
+    def __iter__(self):
+        at: Path | None = self
+        while at:
+            yield from at.new
+            at = at.parent
+
+    def __len__(self) -> int:
+        return self.depth
+
+    def gathered(self, key, start, add):
+        """start, to which add(sum, new features) has added each tag's from the outermost on. Sums are kept, so that a path costs no more than what no path before it had."""
+        todo, at = [], self
+        while at and key not in at.known:
+            todo.append(at)
+            at = at.parent
+        total = at.known[key] if at else start
+        for node in reversed(todo):
+            total = node.known[key] = add(total, node.new)
+        return total
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]
+    path: Path | tuple[str, ...]
     linked: int = 0
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's blocks in order: decoded text, white space as one space; nothing of scripts, styles, comments and the like."""
+    """The page's blocks in order: decoded text, white space as one space; nothing of scripts, styles, comments and the like.
+
+    The time is in proportion to the page, however many tags are open: a block refers to its innermost open
+    tag, and where a name was opened last is known.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Path] = []
+    places: dict[str, list[int]] = {}  # of each name's open tags
+    around: dict[str, int] = {}  # features of open tags
     held: list[str] = []
     linked, links, at = 0, 0, 0
 
@@ -61,15 +100,22 @@ def blocks(page: str) -> list[Block]:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                out.append(Block(text, tuple(x for _, own in stack for x in own), min(linked, len(text))))
+                out.append(Block(text, stack[-1] if stack else (), min(linked, len(text))))
             held.clear()
         linked = 0
 
     def pop(k: int):
         nonlocal links
-        links -= sum(t == "a" for t, _ in stack[k:])
+        for node in stack[k:]:
+            links -= node.tag == "a"
+            places[node.tag].pop()
+            for x in node.new:
+                del around[x]
         del stack[k:]
 
+    def last(names) -> int:
+        return max((p[-1] for x in names if (p := places.get(x))), default=-1)
+
     for m in _TAG.finditer(page):
         if m.start() < at:
             continue
@@ -84,8 +130,8 @@ def blocks(page: str) -> list[Block]:
         if tag in _BLOCK or tag in _RAW:
             close()
         if end:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if k is not None:
+            k = last((tag,))
+            if k >= 0:
                 pop(k)
             continue
         if tag in _VOID:
@@ -96,19 +142,18 @@ def blocks(page: str) -> list[Block]:
                 at = e.end() if e else len(page)
             continue
         if tag in _CLOSES or tag in _BLOCK:
-            closes = _CLOSES.get(tag, {"p"})
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in closes:
-                    pop(i)
-                    break
-                if stack[i][0] in _SCOPES:
-                    break
+            k = last(_CLOSES.get(tag, ("p",)))
+            if k > last(_SCOPES):
+                pop(k)
         own = [tag]
         for name, *values in _NAMES.findall(attributes):
             own += [f".{x.lower()}" for x in _PARTS.findall(" ".join(values))]
             own.append(f"{name.lower()}?")
         links += tag == "a"
-        stack.append((tag, tuple(own)))
+        new = tuple(x for x in dict.fromkeys(own) if x not in around)
+        around.update(dict.fromkeys(new, 1))
+        places.setdefault(tag, []).append(len(stack))
+        stack.append(Path(stack[-1] if stack else None, tag, new))
     if at < len(page):
         held.append(page[at:])
         linked += (len(page) - at) * (links > 0)
@@ -120,9 +165,16 @@ def _number(feature: str) -> int:
     return zlib.crc32(feature.encode()) & ((1 << BITS) - 1)
 
 
-def path_features(path: tuple[str, ...]) -> list[str]:
-    tags = [x for x in path if x[0] != "." and x[-1] != "?"]
-    return [*{f"in {x}" for x in path}, f"leaf {tags[-1] if tags else ''}", f"leaf {' '.join(tags[-2:])}"]
+def _leaf_features(path: Path | tuple[str, ...]) -> tuple[str, str]:
+    if isinstance(path, Path):
+        tags = [path.parent.tag, path.tag] if path.parent else [path.tag]
+    else:
+        tags = [x for x in path if x[0] != "." and x[-1] != "?"]
+    return f"leaf {tags[-1] if tags else ''}", f"leaf {' '.join(tags[-2:])}"
+
+
+def path_features(path: Path | tuple[str, ...]) -> list[str]:
+    return [*{f"in {x}" for x in path}, *_leaf_features(path)]
 
 
 def text_features(b: Block, i: int, n: int) -> list[str]:
@@ -155,12 +207,19 @@ class Field:
             self.known[key] = float(sum(self.weights[_number(f)] for f in (features() if callable(features) else features)))
         return self.known[key]
 
+    def stands_in(self, path: Path | tuple[str, ...]) -> float:
+        """The score of path_features(): of what is around a block, sums from the outermost tag on."""
+        if not isinstance(path, Path):
+            return self.score(path, lambda: path_features(path))
+        inside = path.gathered(self, 0.0, lambda total, new: total + sum(self.score(f, (f,)) for f in [f"in {x}" for x in new]))
+        return inside + sum(self.score(f, (f,)) for f in _leaf_features(path))
+
     def labels(self, page: list[Block]) -> list[bool]:
         """Viterbi's path."""
         (s00, s01), (s10, s11) = self.steps.tolist()
         a, b, back, n = 0.0, 0.0, [], len(page)
         for i, x in enumerate(page):
-            e = self.score(x.path, lambda p=x.path: path_features(p)) + sum(self.score(f, (f,)) for f in text_features(x, i, n))
+            e = self.stands_in(x.path) + sum(self.score(f, (f,)) for f in text_features(x, i, n))
             if i == 0:
                 a, b = 0.0, e
                 continue
@@ -267,7 +326,8 @@ _NEVER = frozenset("nav aside footer form dialog noscript .comment .comments .re
 def own_labels(page: str) -> tuple[list[Block], list[bool] | None]:
     """Blocks, with labels where the page marks its article: what stands in the mark and in nothing that never belongs to it."""
     found = blocks(page)
-    ys = [bool(_MARKS & {*b.path}) and not _NEVER & {*b.path} for b in found]
+    seen = lambda told, new: (told[0] or not _MARKS.isdisjoint(new), told[1] or not _NEVER.isdisjoint(new))
+    ys = [b.path.gathered("marks", (False, False), seen) == (True, False) if b.path else False for b in found]
     return found, ys if any(ys) else None
 
 
@@ -301,7 +361,7 @@ def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Field:
 
         for page in sorted(own):
             bs, ys = own_labels(page)
-            if ys is not None:
+            if ys is not None and sum(len(b.path) for b in bs) <= MOST_STEPS:
                 made.append((bs, ys))
             of = [_like_article(b) for b in bs] if ys is None else ys
             article, other = [b.text for b, y in zip(bs, of, strict=True) if y], [b.text for b, y in zip(bs, of, strict=True) if not y]
