@@ -2,32 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provena.functions.text import blank
+from provena.operators import needles
 from provena.operators.findings import COLUMNS, finding
 from provena.operators.reconcile import dense
 
 # Fixed value: the columns of a trace.
 TRACE = ["req_id", "story_id", "rule_id", "source", "confidence", "verdict_stage90"]
-# Fixed value: how a rule id ends.
-_END = r"-R-[0-9]+$"
-
-
-def _ids_in(line: Column) -> Column:
-    """All that may be a rule id in a line: what ends in a rule's number, after which no letter, digit or hyphen comes, from any place before it on."""
-    runs = F.regexp_extract_all(line, F.lit(r"([\w.-]+)"), 1)
-    places = lambda r: F.sequence(F.lit(1), F.length(r))
-    ends = lambda r: F.filter(places(r), lambda i: F.substring(r, F.lit(1), i).rlike(_END) & ~F.substring(r, i + 1, F.lit(1)).rlike(r"[\w-]"))
-    tails = lambda r: F.flatten(F.transform(ends(r), lambda e: F.transform(F.sequence(F.lit(1), e), lambda a: F.substring(r, a, e - a + 1))))
-    return F.flatten(F.transform(runs, tails))
-
 
 def occurrences(rules: DataFrame, lines: DataFrame) -> DataFrame:
     """rules (rule_id) with `times` that they stand in table lines (line); what comes before an id doesn't matter, what comes after ends it."""
     table = lines.where(F.startswith(F.ltrim("line"), F.lit("|")))
-    told = table.select(F.explode(_ids_in(F.col("line"))).alias("rule_id")).groupBy("rule_id").agg(F.count("*").alias("times"))
+    told = needles.occurrences(rules, table, "rule_id", "line", whole=True)
     return rules.select("rule_id").distinct().join(told, "rule_id", "left").withColumn("times", F.coalesce("times", F.lit(0).cast("long")))
 
 

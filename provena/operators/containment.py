@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provena.functions.text import PLACEHOLDER, needle_pattern, normalise, percent
+from provena.operators import needles
 from provena.operators.storage import kept
 
 _HOLE = "\u0001"
@@ -14,7 +15,7 @@ ANCHORS = (3, 1)
 #: Up to so many different anchors, 16 bytes each, go to every task; more are joined by a shuffle of hashes.
 BROADCAST_ANCHORS = 1 << 21
 #: Passages without an anchor go to every task, in parts of about so many bytes.
-SHORT_BYTES = 8 << 20
+SHORT_BYTES = needles.PART_BYTES
 
 
 def _hashes(words: Column, k: int, first: Column, last: Column) -> Column:
@@ -44,8 +45,8 @@ def containing(passages: DataFrame, texts: DataFrame, passage_id: str, text_id:
 
     The words in a passage but its first and last are whole words wherever it stands, so a run of them that
     no placeholder is in is an anchor that its text has too: an equi join on hashes finds all candidates.
-    Passages without such words are held against all texts, in parts that are broadcast. Empty passages
-    stand nowhere.
+    Passages without such words, one or two in all, are looked for by an automaton of all of them. Empty
+    passages stand nowhere.
     """
     p = passages.select(passage_id, normalise(F.col("text")).alias("_p")).where("_p <> ''").withColumn("_q", F.regexp_replace("_p", PLACEHOLDER, _HOLE))
     p = p.withColumn("_w", F.split("_q", " ")).withColumn("_n", F.when(F.contains("_q", F.lit(_HOLE)), needle_pattern(F.col("_p"))))
@@ -62,13 +63,10 @@ def containing(passages: DataFrame, texts: DataFrame, passage_id: str, text_id:
         found = near.join(p.select(passage_id, "_p", "_n"), passage_id).join(texts.select(text_id, F.col("text").alias("_raw")), text_id)
         found = found.withColumn("_t", normalise(F.col("_raw"))).where(stands).select(passage_id, text_id)
         out = found if out is None else out.unionByName(found)
-    short = p.where("_k = 0").select(passage_id, "_p", "_n")
-    parts = -(-(short.agg(F.sum(F.octet_length("_p"))).first()[0] or 0) // SHORT_BYTES) if 0 in sizes else 0
-    for k in range(parts):
-        part = short.where(F.pmod(F.xxhash64(passage_id, "_p"), F.lit(parts)) == k)
-        found = t.join(F.broadcast(part), stands).select(passage_id, text_id)
+    if 0 in sizes:
+        found = needles.standing(p.where("_k = 0"), t, passage_id, text_id, "_p", "_t", "_n", PLACEHOLDER, SHORT_BYTES)
         out = found if out is None else out.unionByName(found)
-    return out if out is not None else p.join(t, F.lit(False)).select(passage_id, text_id)
+    return out if out is not None else p.select(passage_id).where("false").join(t.select(text_id).where("false"))
 
 
 def first_found(passages: DataFrame, hits: DataFrame, passage_id: str, text_id: str, hinted: Column) -> DataFrame:

@@ -2,83 +2,172 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provena.functions.text import blank, line_count, quoted_in, squash
+from provena.operators.storage import kept
 
 #: Lines by which a quote may be off.
 TOLERANCE = 3
 
 
-def overlaps(items: DataFrame, ranges: DataFrame, key: str, tolerance: int = 0, how: str = "left_semi", width: int = 1 << 10) -> DataFrame:
+def _bits(c: Column) -> Column:
+    """The largest power of two, as its exponent, that a number above 0 has."""
+    return F.length(F.bin(c)) - 1
+
+
+def nodes(lo: Column, hi: Column) -> Column:
+    """The fewest (level, node) whose dyadic stretches, node * 2 ** level and so many from there, make up lo to hi: at most two a level, whatever the length."""
+    shift = lambda c, level: F.call_function("shiftright", c, level)
+
+    def of(level: Column) -> Column:
+        first, end = -shift(-lo, level), shift(hi + 1, level)
+        there = first < end
+        node = lambda n: F.struct(level.alias("level"), n.alias("node"))
+        odd = lambda c: c.bitwiseAND(F.lit(1).cast("long")) == 1
+        return F.array(F.when(there & odd(first), node(first)), F.when(there & odd(end), node(end - 1)))
+
+    levels = F.sequence(F.lit(0), _bits(hi - lo + 1))
+    return F.filter(F.flatten(F.transform(levels, of)), lambda x: x.isNotNull())
+
+
+def ancestors(at: Column, top: int) -> Column:
+    """The (level, node) up to level `top` that a point lies in: one a level."""
+    return F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(at, k).alias("node")) for k in range(top + 1)])
+
+
+def _top(spans: DataFrame, lo: str, hi: str) -> int:
+    """The highest level that nodes() of these spans can have."""
+    return spans.agg(F.max(_bits(F.col(hi) - F.col(lo) + 1))).first()[0] or 0
+
+
+def overlaps(items: DataFrame, ranges: DataFrame, key: str, tolerance: int = 0, how: str = "left_semi") -> DataFrame:
     """items (key, start, end) that some range (key, start, end) overlaps; how="left_anti" for the others, "flag" for all with a column `hit`.
 
-    Both sides are cut into buckets of `width`, so that a key with very many ranges is spread and the
-    join stays an equi join; an item that overlaps in several buckets is still one row.
+    Two stretches overlap where one has the other's start. A stretch is a few dyadic nodes, a start has one
+    ancestor a level, so both cases are equi joins on (key, level, node), for stretches of any length: no
+    row for each bucket and no comparison besides. Stretches that end before they start overlap nothing.
     """
     if how not in ("left_semi", "left_anti", "flag"):
         raise ValueError(how)
-    bucket = lambda lo, hi: F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width)))
-    near = ranges.select(F.col(key).alias("_k"), (F.col("start") - tolerance).alias("_lo"), (F.col("end") + tolerance).alias("_hi")).where("_lo <= _hi")
-    near = near.withColumn("_b", bucket(F.col("_lo"), F.col("_hi")))
+    r = ranges.select(F.col(key).alias("_k"), (F.col("start") - tolerance).cast("long").alias("_lo"), (F.col("end") + tolerance).cast("long").alias("_hi")).where("_lo <= _hi")
     numbered = items.withColumn("_id", F.struct(key, "start", "end"))
-    spread = numbered.select("_id", F.col(key).alias("_k"), "start", "end").distinct().withColumn("_b", bucket(F.col("start"), F.col("end")))
-    hit = spread.join(near, (spread["_k"] == near["_k"]) & (spread["_b"] == near["_b"]) & (near["_lo"] <= spread["end"]) & (near["_hi"] >= spread["start"]), "left_semi")
-    ids = hit.select("_id").distinct()
+    i = numbered.select("_id", F.col(key).alias("_k"), F.col("start").cast("long").alias("_lo"), F.col("end").cast("long").alias("_hi")).where("_lo <= _hi").distinct()
+    on = ["_k", "level", "node"]
+    each = lambda df, array, *more: df.select(*more, "_k", F.explode(array).alias("_x")).select(*more, "_k", "_x.level", "_x.node")
+    inside = each(i, ancestors(F.col("_lo"), _top(r, "_lo", "_hi")), "_id").join(each(r, nodes(F.col("_lo"), F.col("_hi"))).distinct(), on, "left_semi")
+    around = each(i, nodes(F.col("_lo"), F.col("_hi")), "_id").join(each(r, ancestors(F.col("_lo"), _top(i, "_lo", "_hi"))).distinct(), on, "left_semi")
+    ids = inside.select("_id").unionByName(around.select("_id")).distinct()
     if how == "flag":
         return numbered.join(ids.withColumn("hit", F.lit(True)), "_id", "left").withColumn("hit", F.coalesce("hit", F.lit(False))).drop("_id")
     return numbered.join(ids, "_id", how).drop("_id")
 
 
-def innermost(points: DataFrame, spans: DataFrame, key: str, at: str, point_id: str, name: str, order: str, width: int = 1 << 10) -> DataFrame:
+def innermost(points: DataFrame, spans: DataFrame, key: str, at: str, point_id: str, name: str, order: str) -> DataFrame:
     """For each point the name of the smallest span (key, start, end) around it; of equal ones that of the last `order`. Null if there is none.
 
-    Spans are cut into buckets of `width`, of which a point is in one.
+    Of each dyadic node the best span is found first, so a point meets one row for each level however many
+    spans are around it.
     """
-    s = spans.where(F.col("start") <= F.col("end")).select(F.col(key).alias("_k"), F.col("start").alias("_lo"), F.col("end").alias("_hi"), F.col(name).alias("_name"), F.col(order).alias("_order"))
-    s = s.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor(F.col("_hi") / width))))
-    near = points.withColumn("_bucket", F.floor(F.col(at) / width))
-    best = near.join(s, (near[key] == s["_k"]) & (near["_bucket"] == s["_b"]) & F.col(at).between(F.col("_lo"), F.col("_hi"))).groupBy(point_id)
-    found = best.agg(F.min_by("_name", F.struct((F.col("_hi") - F.col("_lo")).alias("size"), (-F.col("_order")).alias("late"))).alias(name))
+    size, late = (F.col("_hi") - F.col("_lo")).alias("size"), (-F.col("_order")).alias("late")
+    s = spans.where(F.col("start") <= F.col("end")).select(F.col(key).alias("_k"), F.col("start").cast("long").alias("_lo"), F.col("end").cast("long").alias("_hi"), F.col(name).alias("_name"), F.col(order).alias("_order"))
+    cut_up = s.select("_k", F.struct(size, late).alias("_rank"), "_name", F.explode(nodes(F.col("_lo"), F.col("_hi"))).alias("_x"))
+    best = cut_up.groupBy("_k", F.col("_x.level").alias("level"), F.col("_x.node").alias("node")).agg(F.min("_rank").alias("_rank"), F.min_by("_name", "_rank").alias("_name"))
+    near = points.select(F.col(point_id).alias("_id"), F.col(key).alias("_k"), F.explode(ancestors(F.col(at).cast("long"), _top(s, "_lo", "_hi"))).alias("_x"))
+    near = near.select("_id", "_k", "_x.level", "_x.node").distinct()
+    found = near.join(best, ["_k", "level", "node"]).groupBy("_id").agg(F.min_by("_name", "_rank").alias(name)).withColumnRenamed("_id", point_id)
     return points.join(found, point_id, "left")
 
 
-def nearest_preceding(targets: DataFrame, lines: DataFrame, key: str, declared: Column) -> DataFrame:
-    """For each target line (key, n) the declaration it stands in, going up by indent alone.
+#: What of a document's lines a later part needs: those that still count, with the name that each leads to.
+_STACK = "array<struct<indent:int,name:string>>"
 
-    lines has (key, n, line, indent). Going up from a target, only lines that aren't blank and are indented less than all between count; the first of them that `declared` names is the answer.
-    One pass over each key's lines in order keeps the lines that still count, with the name each leads to.
-    """
-    wanted = targets.select(F.col(key).alias("_k"), F.col("n").alias("_n")).distinct().withColumn("_wanted", F.lit(True))
-    rows = lines.select(F.col(key).alias("_k"), F.col("n").alias("_n"), F.col("indent").cast("int").alias("_indent"), (~blank(F.col("line"))).alias("_counts"), declared.alias("_name"))
-    rows = rows.join(wanted, ["_k", "_n"], "left").repartition("_k").sortWithinPartitions("_k", "_n")
 
-    def walk(batches):
-        import pyarrow as pa
+def _walk(key_type, n_type):
+    """Lines in order to rows: answers (k, n, name), with `limit` where what came before the task's own lines decides, and the stack that a task's first and last document end with."""
+    import pyarrow as pa
+
+    stack_type = pa.list_(pa.struct([("indent", pa.int32()), ("name", pa.string())]))
+    names = ["k", "n", "name", "part", "limit", "stack"]
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, keys, last, stack = TaskContext.get().partitionId(), 0, None, []  # stack: (indent, name of it or of the nearest named one before it that still counts)
+
+        def told(rows):
+            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [key_type, n_type, pa.string(), pa.int32(), pa.int32(), stack_type], strict=True)], names)
 
-        last, stack = None, []  # (indent, name of it or of the nearest named one before it that still counts)
         for batch in batches:
-            keys, ns, names = [], [], []
-            for k, n, indent, counts, name, asked in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if k != last:
-                    last, stack = k, []
-                if asked:
+            out = []
+            # Runs of one document, then its lines: numbers from Arrow's own buffers.
+            indents, counts, asked = (batch.column(i).to_numpy(zero_copy_only=False).tolist() for i in (2, 3, 5))
+            ks, ns, said = batch.column(0).to_pylist(), batch.column(1), batch.column(4).to_pylist()
+            for j, k in enumerate(ks):
+                if not keys or k != last:
+                    if keys == 1:
+                        out.append((last, None, None, part, None, stack))
+                    last, stack, keys = k, [], keys + 1
+                indent = indents[j]
+                if asked[j]:
                     i = len(stack)
                     while i and stack[i - 1][0] >= indent:
                         i -= 1
-                    keys.append(k)
-                    ns.append(n)
-                    names.append(stack[i - 1][1] if i else None)
-                if counts:
+                    name = stack[i - 1][1] if i else None
+                    limit = min(indent, stack[0][0]) if stack else indent
+                    out.append((k, ns[j].as_py(), name, part, limit if name is None and keys == 1 else None, None))
+                if counts[j]:
                     while stack and stack[-1][0] >= indent:
                         stack.pop()
-                    stack.append((indent, name if name is not None else stack[-1][1] if stack else None))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(ns, batch.schema.field(1).type), pa.array(names, pa.string())], [key, "n", "name"])
+                    stack.append((indent, said[j] if said[j] is not None else stack[-1][1] if stack else None))
+            yield told(out)
+        if keys:
+            yield told([(last, None, None, part, None, stack)])
+
+    return run
+
+
+def _brought(pdf):
+    """For each part of a document the stack that the parts before it leave: of theirs what a later part's least indent doesn't end, then its own."""
+    import pandas as pd
+
+    pdf, now, out = pdf.sort_values("part"), [], []
+    for stack in pdf["stack"]:
+        out.append([{"indent": i, "name": x} for i, x in now])
+        own = [(x["indent"], x["name"]) for x in stack]
+        if own:
+            now = [x for x in now if x[0] < own[0][0]]
+            over = now[-1][1] if now else None
+            now = now + [(i, x if x is not None else over) for i, x in own]
+    return pd.DataFrame({"k": pdf["k"], "part": pdf["part"], "brought": out})
+
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    found = rows.mapInArrow(walk, f"`{key}` {kinds['_k']}, n {kinds['_n']}, name string")
-    return targets.join(found, [key, "n"], "left")
+def nearest_preceding(targets: DataFrame, lines: DataFrame, key: str, declared: Column, parts: int | None = None) -> DataFrame:
+    """For each target line (key, n) the declaration it stands in, going up by indent alone.
+
+    lines has (key, n, line, indent). Going up from a target, only lines that aren't blank and are indented less than all between count; the first of them that `declared` names is the answer.
+    Lines are in ranges of (key, n), so a long document is in many tasks. One pass over a task's lines keeps
+    those that still count. What a part of a document leaves is a summary that can be put after another's; by
+    it the targets are answered that no line of their own part decides.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    wanted = targets.select(F.col(key).alias("_k"), F.col("n").alias("_n")).distinct().withColumn("_wanted", F.lit(True))
+    rows = lines.select(F.col(key).alias("_k"), F.col("n").alias("_n"), F.col("indent").cast("int").alias("_indent"), (~blank(F.col("line"))).alias("_counts"), declared.alias("_name"))
+    rows = rows.join(wanted, ["_k", "_n"], "left").withColumn("_wanted", F.col("_wanted").isNotNull()).select("_k", "_n", "_indent", "_counts", "_name", "_wanted")
+    rows = rows.repartitionByRange(*([parts] if parts else []), "_k", "_n").sortWithinPartitions("_k", "_n")
+    kinds = {f.name: f.dataType for f in rows.schema}
+    schema = f"k {kinds['_k'].simpleString()}, n {kinds['_n'].simpleString()}, name string, part int, limit int, stack {_STACK}"
+    found = kept(rows.mapInArrow(_walk(to_arrow_type(kinds["_k"]), to_arrow_type(kinds["_n"])), schema))
+    brought = found.where("stack is not null").groupBy("k").applyInPandas(_brought, f"k {kinds['_k'].simpleString()}, part int, brought {_STACK}")
+    before = F.element_at(F.filter("brought", lambda x: x["indent"] < F.col("limit")), -1)["name"]
+    own = found.where("n is not null and limit is null").select("k", "n", "name")
+    # Few: those in the first document of a task with nothing named above them in it.
+    open_ones = found.where("limit is not null").select("k", "n", "part", "limit").join(brought, ["k", "part"])
+    late = open_ones.select("k", "n", F.when(F.exists("brought", lambda x: x["indent"] < F.col("limit")), before).alias("name"))
+    return targets.join(own.unionByName(late).withColumnsRenamed({"k": key}), [key, "n"], "left")
 
 
 def window_text(lines: Column, start: Column, end: Column, more: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provena.functions import text as X
-from provena.operators import code, completeness, containment, contracts, findings, masking, reconcile, report, spans
+from provena.operators import code, completeness, containment, contracts, findings, masking, needles, reconcile, report, spans
 from provena.sources import files
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,6 +195,63 @@ def nearest_preceding(spark, sf_dir):
     return spans.nearest_preceding(last, d, "doc_id", F.nullif(F.regexp_extract("line", "^([A-Z][a-z]+)", 1), F.lit(""))).select("doc_id", "n", "name")
 
 
+_MS = """spans AS (SELECT user_id, epoch_ms(ts) AS s, epoch_ms(ts) + 1000 * (1 + CAST(floor(value * 60) AS BIGINT) * 60) AS e, event_id FROM events WHERE event_type = 'view'),
+ats AS (SELECT user_id, epoch_ms(ts) AS at, event_id FROM events WHERE event_type = 'error')"""
+
+
+def _milliseconds(spark, sf_dir):
+    """Errors as points, and views as spans of minutes to days, both in milliseconds."""
+    e = _t(spark, sf_dir, "events").select("user_id", "event_type", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("start"), "value")
+    views = e.where("event_type = 'view'").withColumn("end", F.col("start") + 1000 * (1 + F.floor(F.col("value") * 60) * 60)).drop("value")
+    return e.where("event_type = 'error'").withColumn("end", F.col("start")).drop("value"), views
+
+
+@query(f"WITH {_MS} SELECT a.event_id, EXISTS (SELECT 1 FROM spans v WHERE v.user_id = a.user_id AND a.at BETWEEN v.s AND v.e) AS hit FROM ats a")
+def interval_levels(spark, sf_dir):
+    """Errors within spans of up to days in milliseconds: a span is a few dyadic nodes, not a row for each bucket."""
+    errors, views = _milliseconds(spark, sf_dir)
+    return spans.overlaps(errors, views, "user_id", how="flag").select("event_id", "hit")
+
+
+@query(f"WITH {_MS} SELECT event_id FROM spans a WHERE NOT EXISTS (SELECT 1 FROM spans b WHERE b.user_id = a.user_id + 1 AND b.s <= a.e AND b.e >= a.s)")
+def interval_levels_between_spans(spark, sf_dir):
+    """Views of days that no view of the next user overlaps."""
+    _, views = _milliseconds(spark, sf_dir)
+    return spans.overlaps(views, views.withColumn("user_id", F.col("user_id") - 1), "user_id", how="left_anti").select("event_id")
+
+
+@query(f"WITH {_MS} SELECT a.event_id, arg_min(v.event_id, (v.e - v.s, -v.event_id)) AS inner_id FROM ats a LEFT JOIN spans v ON v.user_id = a.user_id AND a.at BETWEEN v.s AND v.e GROUP BY a.event_id")
+def innermost_levels(spark, sf_dir):
+    """For each error the shortest of the views around it."""
+    errors, views = _milliseconds(spark, sf_dir)
+    views = views.withColumn("inner_id", F.col("event_id"))
+    return spans.innermost(errors, views, "user_id", "start", "event_id", "inner_id", "inner_id").select("event_id", "inner_id")
+
+
+_NEEDLES = "n AS MATERIALIZED (SELECT DISTINCT lower(split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 3)) AS needle FROM benchmark WHERE text IS NOT NULL)"
+
+
+@query(f"WITH {_NEEDLES}, t AS MATERIALIZED (SELECT lower(text) AS t FROM documents), c AS (SELECT needle, CAST(sum((length(t) - length(replace(t, needle, ''))) // length(needle)) AS BIGINT) AS times FROM n JOIN t ON contains(t, needle) GROUP BY needle) SELECT needle, times FROM c")
+def needles_in_documents(spark, sf_dir):
+    """How often two words of each benchmark item stand anywhere in documents, whatever is around them."""
+    words = F.split(F.lower("text"), " ", -1)
+    wanted = _t(spark, sf_dir, "benchmark").select(F.concat(F.coalesce(F.get(words, F.lit(1)), F.lit("")), F.lit(" "), F.coalesce(F.get(words, F.lit(2)), F.lit(""))).alias("needle"))
+    return needles.occurrences(wanted, _t(spark, sf_dir, "documents").select(F.lower("text").alias("t")), "needle", "t")
+
+
+@query(
+    f"""WITH p AS MATERIALIZED (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN split_part({_NORM.format("text")}, ' ', 3) ELSE split_part({_NORM.format("text")}, ' ', 4) || ' ' || split_part({_NORM.format("text")}, ' ', 5) END AS p FROM benchmark),
+t AS MATERIALIZED (SELECT {_NORM.format("text")} AS t FROM documents)
+SELECT item_id, count(*) AS texts FROM p JOIN t ON p.p <> '' AND contains(t.t, p.p) GROUP BY item_id"""
+)
+def short_passages(spark, sf_dir):
+    """In how many documents passages of one and of two words stand."""
+    words = F.split(X.normalise(F.col("text")), " ", -1)
+    at = lambda k: F.coalesce(F.get(words, F.lit(k)), F.lit(""))
+    said = _t(spark, sf_dir, "benchmark").select("item_id", F.when(F.col("item_id") % 2 == 0, at(2)).otherwise(F.concat(at(3), F.lit(" "), at(4))).alias("text"))
+    return containment.containing(said, _t(spark, sf_dir, "documents"), "item_id", "doc_id").groupBy("item_id").agg(F.count("*").alias("texts"))
+
+
 # Spans and coverage.
 
 _EVENTS = """views AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) - 600 AS s, CAST(floor(epoch(ts)) AS BIGINT) + 600 AS e FROM events WHERE event_type = 'view'),
@@ -953,7 +1010,7 @@ def line_branches(spark, sf_dir):
 
 
 @query(
-    """WITH t AS (SELECT conv_id, turn, role, CASE role WHEN 'user' THEN ['def turn_T(x):', '    if x:', '        raise ValueError(T)', '    return x'] WHEN 'system' THEN ['class Turn_T:', '    def run(self, x):', '        match x:', '            case 1:', '                raise KeyError(T)'] ELSE ['def turn_T(x):', '    return x'] END AS body FROM conversations),
+    r"""WITH t AS (SELECT conv_id, turn, role, CASE role WHEN 'user' THEN ['def turn_T(x):', '    if x:', '        raise ValueError(T)', '    return x'] WHEN 'system' THEN ['class Turn_T:', '    def run(self, x):', '        match x:', '            case 1:', '                raise KeyError(T)'] ELSE ['def turn_T(x):', '    return x'] END AS body FROM conversations),
 u AS (SELECT *, coalesce(sum(len(body)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t),
 whole AS (SELECT conv_id, flatten(list(list_transform(body, lambda x: replace(x, 'T', CAST(turn AS VARCHAR))) ORDER BY turn)) AS lines FROM t GROUP BY conv_id),
 spans AS (SELECT conv_id, before + CASE role WHEN 'system' THEN 2 ELSE 1 END AS lo, before + len(body) AS hi, CASE role WHEN 'system' THEN 'run' ELSE 'turn_' || turn END AS name FROM u),
