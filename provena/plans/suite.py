@@ -768,6 +768,48 @@ def impact_map(spark, sf_dir):
     return reconcile.impact(changed, trace, "p_partkey", "l_orderkey")
 
 
+_SYNC = """o AS MATERIALIZED (SELECT CAST(o_custkey AS VARCHAR) AS file, CAST(o_orderkey AS VARCHAR) AS rule, o_orderstatus AS s, CAST(left(o_orderpriority, 1) AS INT) AS b FROM orders),
+born AS MATERIALIZED (SELECT file, rule, 0 AS since, CASE WHEN s = 'P' AND b <= 3 THEN b END AS till, CASE WHEN s = 'F' AND b <= 3 THEN b END AS other FROM o
+  UNION ALL SELECT file, rule || '-more', b, NULL, NULL FROM o WHERE s = 'O' AND b <= 3)"""
+
+
+def _synced(spark, sf_dir):
+    """A trace of orders to customers, then three batches: of the orders of one priority those that are finished say something else, pending ones go, open ones get a second rule."""
+    import uuid
+
+    from provena.operators import sync
+    from provena.operators.storage import shared_folder
+
+    o = _t(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("file"), F.col("o_orderkey").cast("string").alias("rule"), F.col("o_orderstatus").alias("s"), F.left("o_orderpriority", F.lit(1)).cast("int").alias("b"))
+    kept = sync.Trace(spark, f"{shared_folder(spark)}/sync-{uuid.uuid4().hex}")
+    kept.apply(o.select("file", "rule", F.col("s").alias("value"), F.lit(0).alias("seq")), 0)
+    for k in (1, 2, 3):
+        own = o.where(F.col("b") == k)
+        rule = F.when(F.col("s") == "O", F.concat("rule", F.lit("-more"))).otherwise(F.col("rule"))
+        kept.apply(own.select("file", rule.alias("rule"), F.when(F.col("s") != "P", F.concat("s", F.lit(str(k)))).alias("value"), F.lit(k).alias("seq")), k)
+    return kept
+
+
+@query(
+    f"""WITH {_SYNC}, batches AS (SELECT unnest([1, 2, 3]) AS batch),
+moved AS (SELECT batch, file, CASE WHEN since = batch THEN 'added' WHEN till = batch THEN 'removed' ELSE 'modified' END AS verdict FROM born, batches WHERE batch IN (since, till, other)),
+left_over AS (SELECT batch, file, count(*) AS rules FROM born, batches WHERE since <= batch AND coalesce(till, 9) > batch GROUP BY batch, file)
+SELECT batch, file, count(*) FILTER (verdict = 'added') AS added, count(*) FILTER (verdict = 'modified') AS modified, count(*) FILTER (verdict = 'removed') AS removed, coalesce(any_value(rules), 0) AS rules
+FROM moved LEFT JOIN left_over USING (batch, file) GROUP BY batch, file"""
+)
+def impact_by_batches(spark, sf_dir):
+    """For each batch and file that it names: what changed, and the rules that it has then. Each batch reads and writes only the buckets of its own files."""
+    found = _synced(spark, sf_dir).changed().where("batch > 0")
+    n = lambda v: F.count_if(F.col("verdict") == v).alias(v)
+    return found.groupBy("batch", "file").agg(n("added"), n("modified"), n("removed"), F.max("rules").alias("rules"))
+
+
+@query(f"WITH {_SYNC} SELECT rule, count(*) AS files FROM born WHERE till IS NULL GROUP BY rule")
+def rules_after_batches(spark, sf_dir):
+    """The rules and their files after all batches, from what is kept by rule."""
+    return _synced(spark, sf_dir).rules().select("rule", "files")
+
+
 @query("WITH t AS (SELECT DISTINCT l_partkey FROM lineitem), c AS (SELECT p_partkey FROM part WHERE p_size > 30) SELECT (SELECT count(*) FROM t) AS traced, count(*) AS changed, 100.0 * count(*) / (SELECT count(*) FROM t) > 30 AS stop FROM c JOIN t ON l_partkey = p_partkey")
 def applicability(spark, sf_dir):
     traced = _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("k")).distinct()
