@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Buckets of a trace; a manifest names each of them, and a batch is at most a rewrite of all.
-BUCKETS = 256
+BUCKETS = 64
 
 _TRACE = "file string, rule string, value string, bucket int"
 _RULES = "rule string, files long, digest decimal(38,0), bucket int"
