@@ -55,3 +55,10 @@ def check(rules: DataFrame, lines: DataFrame, trace: DataFrame, header: list[str
 def stats(rules: DataFrame) -> DataFrame:
     """One row with the map of what was counted."""
     return rules.agg(F.create_map(F.lit("rules_total"), F.count("*")).alias("stats"))
+
+
+def stats_of(rules: DataFrame, checked: DataFrame, numbers: DataFrame, number: str) -> DataFrame:
+    """One row with the map of what the checks counted: rules, those whose evidence was checked, and different numbers in use."""
+    one = lambda name, df, n: df.agg(n.alias("n")).select(F.lit(name).alias("name"), "n")
+    each = one("rules_total", rules, F.count("*")).unionByName(one("rules_checked", checked, F.count("*"))).unionByName(one("ids_used", numbers, F.count_distinct(number)))
+    return each.agg(F.map_from_entries(F.collect_list(F.struct("name", "n"))).alias("stats"))

@@ -693,6 +693,30 @@ def stats_map(spark, sf_dir):
     return completeness.stats(_t(spark, sf_dir, "customer")).select(F.col("stats")["rules_total"].alias("rules_total"))
 
 
+@query(
+    """WITH s AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'order ' || o_orderkey ELSE 'f' || o_custkey || '.py:' || o_orderkey END AS source FROM orders)
+SELECT (SELECT count(*) FROM orders) AS rules_total, count(*) FILTER (regexp_matches(source, '^.+:[0-9]+(-[0-9]+)?$')) AS rules_checked, (SELECT count(DISTINCT o_custkey) FROM orders) AS ids_used FROM s"""
+)
+def stats_of_checks(spark, sf_dir):
+    """All three counts: orders are rules, of which pending ones have no reference; customers' numbers are in use."""
+    o = _t(spark, sf_dir, "orders")
+    source = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("order "), "o_orderkey")).otherwise(F.concat(F.lit("f"), "o_custkey", F.lit(".py:"), "o_orderkey"))
+    checked = o.select(X.source_ref(source).alias("r")).where("r is not null")
+    found = completeness.stats_of(o, checked, o, "o_custkey")
+    return found.select(*[F.col("stats")[k].alias(k) for k in ("rules_total", "rules_checked", "ids_used")])
+
+
+_ROOTED = "f AS (SELECT doc_id, CASE lang WHEN 'en' THEN 'README' || doc_id || '.md' WHEN 'de' THEN '.github/workflows/' || source || '.yml' WHEN 'fr' THEN source || '/README.md' ELSE source || '.txt' END AS path FROM documents)"
+
+
+@query(f"WITH {_ROOTED} SELECT doc_id, path FROM f WHERE regexp_matches(path, '^(README.*|[.]github/workflows/.*[.]ya?ml|requirements.*[.]txt|Dockerfile.*)$')")
+def manifests_in_root(spark, sf_dir):
+    """Of files named after documents' languages and sources those that are manifests: by name in the root, and workflows in their folder."""
+    own = F.when(F.col("lang") == "en", F.concat(F.lit("README"), "doc_id", F.lit(".md"))).when(F.col("lang") == "de", F.concat(F.lit(".github/workflows/"), "source", F.lit(".yml")))
+    path = own.when(F.col("lang") == "fr", F.concat("source", F.lit("/README.md"))).otherwise(F.concat("source", F.lit(".txt")))
+    return files.manifests(_t(spark, sf_dir, "documents").select("doc_id", path.alias("path")))
+
+
 @query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'does not run' WHEN event_id % 4 = 1 THEN 'says nothing' WHEN event_id % 4 = 2 THEN 'says something else' END AS failure FROM events")
 def doc_examples(spark, sf_dir):
     """Examples of documentation and how each failed."""
