@@ -72,33 +72,43 @@ def violations(rows: DataFrame, rules: list[Rule], artifact: Column, position: C
 
 @dataclass(frozen=True)
 class Kind:
-    """What a value must be. Constraints hold only for values of their type, as nothing is said of others."""
+    """What a value must be. Constraints hold only for values of their type, as nothing is said of others.
+
+    `schemas.compiled` makes one of a schema document, `schemas.as_document` a schema document of one.
+    """
 
     types: tuple[str, ...] = ()
     required: tuple[str, ...] = ()
     fields: tuple[tuple[str, Kind], ...] = ()
     items: Kind | None = None
-    one_of: tuple[str, ...] = ()
-    value: bool | None = None
+    one_of: tuple = ()  # texts, numbers, booleans, None
+    value: tuple = ()  # nothing, or the one value
     pattern: str | None = None
     min_length: int = 0
+    max_length: int | None = None
     min_items: int = 0
-    variants: tuple[Kind, ...] = ()
-    unless: tuple[str, str, Kind] | None = None  # field, value, what holds where the field has another value or none
+    max_items: int | None = None
+    minimum: float | None = None
+    maximum: float | None = None
+    variants: tuple[Kind, ...] = ()  # exactly one holds
+    some: tuple[Kind, ...] = ()  # at least one holds
+    also: tuple[Kind, ...] = ()  # all hold; what breaks one is said where it is
+    banned: Kind | None = None  # doesn't hold
+    condition: tuple[Kind, Kind, Kind] | None = None  # where the first holds the second does, elsewhere the third
 
 
-def _type_of(v: Column) -> Column:
-    kind = F.schema_of_variant(v)
-    number = kind.rlike(r"^(?:DECIMAL|DOUBLE|FLOAT)")
-    whole = number & (F.try_variant_get(v, "$", "double") == F.floor(F.try_variant_get(v, "$", "double")))
-    return (
-        F.when(F.startswith(kind, F.lit("OBJECT")), "object").when(F.startswith(kind, F.lit("ARRAY")), "array").when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean")
-        .when((kind == "BIGINT") | whole, "integer").when(number, "number").when(kind == "VOID", "null").otherwise("other")
-    )
+# What a variant's schema begins with, by the type's name in a contract.
+_VARIANT = {"object": ("OBJECT",), "array": ("ARRAY",), "string": ("STRING",), "boolean": ("BOOLEAN",), "null": ("VOID",), "integer": ("BIGINT",), "number": ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")}
 
 
 def _of_type(v: Column, types: tuple[str, ...]) -> Column:
-    return _type_of(v).isin(*types, *["integer"] * ("number" in types))
+    """Whether a value is of one of the types; a number without a fraction is an integer too. The value's schema is asked for once or twice, as it is a walk over the value."""
+    begins = F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    out = begins.isin(*sorted({x for t in types for x in _VARIANT[t]}))
+    if "integer" in types and "number" not in types:
+        number = F.try_variant_get(v, "$", "double")
+        out = out | (begins.isin(*_VARIANT["number"]) & (number == F.floor(number)))
+    return out
 
 
 def _field(v: Column, name: str) -> Column:
@@ -106,11 +116,24 @@ def _field(v: Column, name: str) -> Column:
 
 
 def _text(v: Column) -> Column:
-    return F.when(_type_of(v) == "string", F.try_variant_get(v, "$", "string"))
+    return F.when(_of_type(v, ("string",)), F.try_variant_get(v, "$", "string"))
+
+
+def _number(v: Column) -> Column:
+    return F.when(_of_type(v, ("number",)), F.try_variant_get(v, "$", "double"))
 
 
 def _list(v: Column) -> Column:
-    return F.when(_type_of(v) == "array", F.try_variant_get(v, "$", "array<variant>"))
+    return F.when(_of_type(v, ("array",)), F.try_variant_get(v, "$", "array<variant>"))
+
+
+def _equals(v: Column, value) -> Column:
+    """Whether a value is this text, number or boolean, or null; numbers are equal whatever they are written like."""
+    if value is None:
+        return _of_type(v, ("null",))
+    if isinstance(value, bool):
+        return (_of_type(v, ("boolean",))) & (F.try_variant_get(v, "$", "boolean") == value)
+    return _text(v) == value if isinstance(value, str) else _number(v) == float(value)
 
 
 def _own_rules(v: Column, kind: Kind) -> list[tuple[Column, str]]:
@@ -119,36 +142,47 @@ def _own_rules(v: Column, kind: Kind) -> list[tuple[Column, str]]:
     if kind.types:
         out.append((~_of_type(v, kind.types), f"type {' or '.join(kind.types)}"))
     if kind.one_of:
-        out.append((~F.coalesce(_text(v).isin(*kind.one_of), F.lit(False)), "one of: " + ", ".join(kind.one_of)))
-    if kind.value is not None:
-        out.append((~F.coalesce((_type_of(v) == "boolean") & (F.try_variant_get(v, "$", "boolean") == kind.value), F.lit(False)), f"the value {kind.value}"))
+        held = reduce(lambda a, b: a | b, [F.coalesce(_equals(v, x), F.lit(False)) for x in kind.one_of if not isinstance(x, str)], F.coalesce(_text(v).isin(*[x for x in kind.one_of if isinstance(x, str)]), F.lit(False)))
+        out.append((~held, "one of: " + ", ".join(map(str, kind.one_of))))
+    if kind.value:
+        out.append((~F.coalesce(_equals(v, kind.value[0]), F.lit(False)), f"the value {kind.value[0]}"))
     if kind.pattern:
         out.append((~_text(v).rlike(kind.pattern), f"text like {kind.pattern}"))
     if kind.min_length:
         out.append((F.length(_text(v)) < kind.min_length, "text that isn't empty" if kind.min_length == 1 else f"at least {kind.min_length} characters"))
+    if kind.max_length is not None:
+        out.append((F.length(_text(v)) > kind.max_length, f"at most {kind.max_length} characters"))
     if kind.min_items:
         out.append((F.size(_list(v)) < kind.min_items, f"at least {kind.min_items} items"))
+    if kind.max_items is not None:
+        out.append((F.size(_list(v)) > kind.max_items, f"at most {kind.max_items} items"))
+    if kind.minimum is not None:
+        out.append((_number(v) < kind.minimum, f"at least {kind.minimum:g}"))
+    if kind.maximum is not None:
+        out.append((_number(v) > kind.maximum, f"at most {kind.maximum:g}"))
     if kind.required:
-        is_object = _type_of(v) == "object"
+        is_object = _of_type(v, ("object",))
         out += [(is_object & _field(v, name).isNull(), "required: " + ", ".join(kind.required)) for name in kind.required]
     if kind.variants:
         held = reduce(lambda a, b: a + b, [_valid(v, k).cast("int") for k in kind.variants])
         out.append((held != 1, "exactly one of the variants"))
+    if kind.some:
+        out.append((~reduce(lambda a, b: a | b, [_valid(v, k) for k in kind.some]), "at least one of the variants"))
+    if kind.banned is not None:
+        out.append((_valid(v, kind.banned), "not what is excluded"))
     return [(F.coalesce(broken, F.lit(False)), said) for broken, said in out]
 
 
-def _applies(v: Column, unless: tuple[str, str, Kind]) -> Column:
-    return ~F.coalesce(_text(_field(v, unless[0])) == unless[1], F.lit(False))
-
-
 def _valid(v: Column, kind: Kind) -> Column:
     """Whether a value that is there holds its kind, all levels down."""
     parts = [~broken for broken, _ in _own_rules(v, kind)]
     parts += [_field(v, name).isNull() | _valid(_field(v, name), k) for name, k in kind.fields]
     if kind.items:
         parts.append(F.coalesce(F.forall(_list(v), lambda x: _valid(x, kind.items)), F.lit(True)))
-    if kind.unless:
-        parts.append(~_applies(v, kind.unless) | _valid(v, kind.unless[2]))
+    parts += [_valid(v, k) for k in kind.also]
+    if kind.condition:
+        holds, then, other = kind.condition
+        parts.append(F.when(_valid(v, holds), _valid(v, then)).otherwise(_valid(v, other)))
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
@@ -157,11 +191,13 @@ def _flat(path: Column, v: Column, kind: Kind) -> tuple[list[Column], list[tuple
     there = v.isNotNull()
     said = [F.when(there & broken, F.struct(path.alias("path"), F.lit(expected).alias("expected"), F.to_json(v).alias("got"))) for broken, expected in _own_rules(v, kind)]
     arrays = [(path, v, kind.items)] if kind.items else []
-    if kind.unless:
-        more, _ = _flat(path, F.when(_applies(v, kind.unless), v), kind.unless[2])
-        said += more
-    for name, k in kind.fields:
-        more, below = _flat(F.concat(path, F.when(path == "", "").otherwise("."), F.lit(name)), _field(v, name), k)
+    inside = [(path, v, k) for k in kind.also]
+    if kind.condition:
+        holds, then, other = kind.condition
+        inside += [(path, F.when(there & _valid(v, holds), v), then), (path, F.when(there & ~_valid(v, holds), v), other)]
+    inside += [(F.concat(path, F.when(path == "", "").otherwise("."), F.lit(name)), _field(v, name), k) for name, k in kind.fields]
+    for at, x, k in inside:
+        more, below = _flat(at, x, k)
         said, arrays = said + more, arrays + below
     return said, arrays
 
@@ -223,6 +259,7 @@ def _object(required: str, **fields: Kind) -> Kind:
     return Kind(("object",), required=tuple(required.split()), fields=tuple(fields.items()))
 
 
+# The fields of the seven kinds of documents, which of them must be there, and what they hold.
 KINDS = {
     "inventory": _object(
         "repo repo_path modules", repo=WORDS, repo_path=WORDS, languages=Kind(("array", "object", "null")), frameworks=_objects("name source", name=WORDS, source=REF),
@@ -246,7 +283,7 @@ KINDS = {
         variants=(
             _object("openapi paths", openapi=Kind(("string",), pattern=r"^3\."), paths=Kind(("object",))),
             _object(
-                "openapi_applicable openapi_absence_evidence interface", openapi_applicable=Kind(value=False), openapi_absence_evidence=WORDS, interface=Kind(one_of=BOUNDARIES),
+                "openapi_applicable openapi_absence_evidence interface", openapi_applicable=Kind(value=(False,)), openapi_absence_evidence=WORDS, interface=Kind(one_of=BOUNDARIES),
                 commands=_objects("name x-source", name=WORDS, summary=TEXT, options=ANY_LIST, **{"x-source": REF}),
             ),
         ),
@@ -271,7 +308,7 @@ KINDS = {
         items=Kind(
             ("object",), required=("req_id", "verdict", "layer1", "source", "statement"),
             fields=(("req_id", Kind(("string",), pattern=RULE_ID)), ("verdict", Kind(one_of=tuple(VERDICTS))), ("layer1", WORDS), ("layer2", TEXT), ("checked_with", TEXT), ("source", REF), ("statement", WORDS)),
-            unless=("verdict", VERDICTS[0], Kind(required=("checked_with",), fields=(("checked_with", Kind(min_length=1)),))),
+            condition=(Kind(fields=(("verdict", Kind(banned=Kind(value=(VERDICTS[0],)))),)), Kind(required=("checked_with",), fields=(("checked_with", Kind(min_length=1)),)), Kind()),
         ),
     ),
     "predictions": _object(

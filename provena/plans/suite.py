@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provena.functions import text as X
-from provena.operators import code, completeness, containment, contracts, findings, masking, needles, reconcile, report, spans
+from provena.operators import code, completeness, containment, contracts, findings, masking, needles, reconcile, report, schemas, spans
 from provena.sources import files
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -931,6 +932,70 @@ def validation_contract(spark, sf_dir):
     return contracts.check_documents(docs, contracts.KINDS["validation"], "schema:validation").select("artifact", "path", "expected")
 
 
+def _checked_by_schema(documents, kind):
+    """Findings by the contract that a table of schema documents gives for this kind."""
+    rows = [(name, json.dumps(schemas.as_document(k))) for name, k in contracts.KINDS.items()]
+    known = schemas.kinds(documents.sparkSession.createDataFrame(rows, "kind string, schema string"))
+    return schemas.check(documents.withColumn("kind", F.lit(kind)), {kind: known[kind]}).select("check", "artifact", "path", "expected")
+
+
+@query(
+    r"""WITH t AS (SELECT conv_id, string_agg('{"name":' || to_json(split_part(text, ' ', 1)) || ',"summary":' || to_json(text) || ',"x-source":"' || role || CASE WHEN length(text) % 7 = 0 THEN '' ELSE ':' || turn END || '"}', ',' ORDER BY turn) AS cmds,
+  string_agg('{"topic_or_queue":"' || role || '"' || CASE WHEN length(text) % 3 = 0 THEN '' ELSE ',"source":"a:' || turn || '"' END || '}', ',' ORDER BY turn) AS ev FROM conversations GROUP BY conv_id),
+d AS MATERIALIZED (SELECT 'c' || conv_id AS artifact, CAST('{' || CASE conv_id % 5 WHEN 0 THEN '"openapi":"3.0","paths":{}' WHEN 1 THEN '"openapi":"2.0","paths":{}' WHEN 2 THEN '"openapi":"3.1","paths":{},"openapi_applicable":false,"openapi_absence_evidence":"e","interface":"cli"'
+  WHEN 3 THEN '"openapi_applicable":false,"openapi_absence_evidence":"e","interface":"worker","commands":[' || cmds || ']' ELSE '"openapi_applicable":0,"openapi_absence_evidence":"e","interface":"cli","commands":[' || cmds || ']' END || ',"x-events":{"produces":[' || ev || '],"consumes":null}}' AS JSON) AS doc FROM t),
+c AS (SELECT artifact, unnest(CAST(json_extract(doc, '$.commands') AS JSON[])) AS c FROM d WHERE json_type(doc, '$.commands') = 'ARRAY'),
+good AS (SELECT artifact, bool_and(regexp_matches(json_extract_string(c, '$."x-source"'), '^.+:[0-9]+(-[0-9]+)?$') AND json_extract_string(c, '$.name') <> '') AS good FROM c GROUP BY artifact),
+v AS (SELECT artifact, coalesce(json_type(doc, '$.openapi') = 'VARCHAR' AND regexp_matches(json_extract_string(doc, '$.openapi'), '^3\.') AND json_type(doc, '$.paths') = 'OBJECT', false) AS http,
+  coalesce(json_type(doc, '$.openapi_applicable') = 'BOOLEAN' AND json_extract_string(doc, '$.openapi_applicable') = 'false' AND json_extract_string(doc, '$.openapi_absence_evidence') <> '' AND json_extract_string(doc, '$.interface') IN ('cli', 'library', 'worker'), false) AND coalesce(good, true) AS cli FROM d LEFT JOIN good USING (artifact)),
+e AS (SELECT artifact, unnest(CAST(json_extract(doc, '$."x-events".produces') AS JSON[])) AS e, generate_subscripts(CAST(json_extract(doc, '$."x-events".produces') AS JSON[]), 1) - 1 AS i FROM d)
+SELECT 'schema:interface' AS "check", artifact, '(document)' AS path, 'exactly one of the variants' AS expected FROM v WHERE CAST(http AS INT) + CAST(cli AS INT) <> 1
+UNION ALL SELECT 'schema:interface', artifact, 'x-events.produces[' || i || ']', 'required: topic_or_queue, source' FROM e WHERE json_type(e, '$.source') IS NULL"""
+)
+def interface_contract(spark, sf_dir):
+    """An interface of each conversation: a fifth are served, a fifth are commands, the others both, neither, or commands that say 0 for false."""
+    role, size, source = F.col("role"), F.length("text"), F.concat(F.lit(":"), "turn")
+    command = F.struct(F.split_part("text", F.lit(" "), F.lit(1)).alias("name"), F.col("text").alias("summary"), F.concat(role, F.when(size % 7 == 0, "").otherwise(source)).alias("x-source"))
+    event = F.struct(role.alias("topic_or_queue"), F.when(size % 3 != 0, F.concat(F.lit("a"), source)).alias("source"))
+    turns = F.array_sort(F.collect_list(F.struct("turn", command.alias("c"), event.alias("e"))))
+    made = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.to_json(F.transform(turns, lambda x: x["c"])).alias("cmds"), F.to_json(F.transform(turns, lambda x: x["e"])).alias("ev"))
+    m, absent = F.col("conv_id") % 5, ',"openapi_absence_evidence":"e","interface":'
+    head = (
+        F.when(m == 0, '"openapi":"3.0","paths":{}').when(m == 1, '"openapi":"2.0","paths":{}').when(m == 2, '"openapi":"3.1","paths":{},"openapi_applicable":false' + absent + '"cli"')
+        .when(m == 3, F.concat(F.lit('"openapi_applicable":false' + absent + '"worker","commands":'), "cmds")).otherwise(F.concat(F.lit('"openapi_applicable":0' + absent + '"cli","commands":'), "cmds"))
+    )
+    doc = F.concat(F.lit("{"), head, F.lit(',"x-events":{"produces":'), "ev", F.lit(',"consumes":null}}'))
+    return _checked_by_schema(made.select(F.concat(F.lit("c"), "conv_id").alias("artifact"), F.parse_json(doc).alias("document")), "interface")
+
+
+@query(
+    r"""WITH s AS (SELECT conv_id, turn, role, length(text) AS size, unnest(string_split(text, '. ')) AS s, generate_subscripts(string_split(text, '. '), 1) AS k FROM conversations),
+x AS (SELECT conv_id, turn, size, string_agg('{"kind":"' || CASE length(s) % 4 WHEN 0 THEN 'check' WHEN 1 THEN 'message' WHEN 2 THEN 'threshold' ELSE role END || '"' || CASE WHEN length(s) % 5 = 0 THEN '' ELSE ',"text":' || to_json(s) END || '}', ',' ORDER BY k) AS expect FROM s GROUP BY ALL),
+d AS MATERIALIZED (SELECT 'c' || conv_id AS artifact, CAST('{"predictions":[' || string_agg('{"rule_id":"C-R-' || CASE WHEN size % 2 = 1 THEN CAST(turn AS VARCHAR) ELSE lpad(CAST(turn AS VARCHAR), 3, '0') END || '","expect":[' || CASE WHEN turn % 4 = 3 THEN '' ELSE expect END || ']}', ',' ORDER BY turn) || ']' || CASE WHEN conv_id % 3 = 0 THEN '' ELSE ',"capability":"c"' END || '}' AS JSON) AS doc FROM x GROUP BY conv_id),
+p AS MATERIALIZED (SELECT artifact, unnest(CAST(json_extract(doc, '$.predictions') AS JSON[])) AS p, generate_subscripts(CAST(json_extract(doc, '$.predictions') AS JSON[]), 1) - 1 AS i FROM d),
+e AS MATERIALIZED (SELECT artifact, 'predictions[' || i || '].expect[' AS place, unnest(CAST(json_extract(p, '$.expect') AS JSON[])) AS e, generate_subscripts(CAST(json_extract(p, '$.expect') AS JSON[]), 1) - 1 AS j FROM p)
+SELECT 'schema:predictions' AS "check", artifact, '(document)' AS path, 'required: capability, predictions' AS expected FROM d WHERE json_type(doc, '$.capability') IS NULL
+UNION ALL SELECT 'schema:predictions', artifact, 'predictions[' || i || '].rule_id', 'text like ^[A-Za-z0-9_.\-]+-R-[0-9]{3,}$' FROM p WHERE NOT regexp_matches(json_extract_string(p, '$.rule_id'), '^[A-Za-z0-9_.\-]+-R-[0-9]{3,}$')
+UNION ALL SELECT 'schema:predictions', artifact, 'predictions[' || i || '].expect', 'at least 1 items' FROM p WHERE json_array_length(p, '$.expect') < 1
+UNION ALL SELECT 'schema:predictions', artifact, place || j || '].kind', 'one of: check, message, threshold, location, other' FROM e WHERE json_extract_string(e, '$.kind') NOT IN ('check', 'message', 'threshold', 'location', 'other')
+UNION ALL SELECT 'schema:predictions', artifact, place || j || '].text', 'text that isn''t empty' FROM e WHERE json_extract_string(e, '$.text') = ''
+UNION ALL SELECT 'schema:predictions', artifact, place || j || ']', 'required: kind, text' FROM e WHERE json_type(e, '$.text') IS NULL"""
+)
+def predictions_contract(spark, sf_dir):
+    """Predictions of each conversation, a rule a turn, an expectation a sentence."""
+    t, role = F.col("turn"), F.col("role")
+
+    def expectation(s):
+        kind = F.when(F.length(s) % 4 == 0, "check").when(F.length(s) % 4 == 1, "message").when(F.length(s) % 4 == 2, "threshold").otherwise(role)
+        return F.struct(kind.alias("kind"), F.when(F.length(s) % 5 != 0, s).alias("text"))
+
+    expect = F.filter(F.transform(F.split("text", r"\. "), expectation), lambda x: t % 4 != 3)
+    rule = F.struct(F.concat(F.lit("C-R-"), F.when(F.length("text") % 2 == 1, t.cast("string")).otherwise(X.padded(t, 3))).alias("rule_id"), expect.alias("expect"))
+    made = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", rule.alias("r")))).alias("turns"))
+    doc = F.to_json(F.struct(F.when(F.col("conv_id") % 3 != 0, "c").alias("capability"), F.transform("turns", lambda x: x["r"]).alias("predictions")))
+    return _checked_by_schema(made.select(F.concat(F.lit("c"), "conv_id").alias("artifact"), F.parse_json(doc).alias("document")), "predictions")
+
+
 @query("SELECT '{\"check\":\"contract\",\"artifact\":\"' || conv_id || '\",\"path\":\"[' || turn || '].role\",\"expected\":\"one of: user, system\",\"got\":\"' || role || '\",\"hint\":\"\",\"severity\":\"error\"}' AS json FROM conversations WHERE role NOT IN ('user', 'system')")
 def json_findings(spark, sf_dir):
     found = contracts.violations(_t(spark, sf_dir, "conversations"), [contracts.one_of("role", ["user", "system"])], F.col("conv_id").cast("string"), F.col("turn"))
