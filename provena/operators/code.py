@@ -5,7 +5,7 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provena.functions.text import line_count, lines, percent, source_ref
@@ -37,26 +37,60 @@ def _items(source: str) -> Iterator[tuple]:
         todo += [(child, outer, classes) for child in ast.iter_child_nodes(node)]
 
 
-def register(spark: SparkSession) -> None:
-    """py_items(source) as a table function: what (branch, function, span or error), name, line, end."""
-    from pyspark.sql.functions import udtf
+#: A batch of items ends with the file that brings it to so many rows.
+BATCH_ROWS = 1 << 14
 
-    @udtf(returnType="what string, name string, line int, end int, ord int")
-    class PyItems:
-        def eval(self, source: str):
-            try:
-                for i, x in enumerate(_items(source or "")):
-                    yield (*x, i)
-            except (SyntaxError, ValueError, RecursionError) as e:
-                yield ("error", str(e)[:200], None, None, 0)
 
-    spark.udtf.register("py_items", PyItems)
+def _parsed(source: str | None) -> list[tuple]:
+    try:
+        return [(*x, i) for i, x in enumerate(_items(source or ""))]
+    except (SyntaxError, ValueError, RecursionError) as e:
+        return [("error", str(e)[:200], None, None, 0)]
+
+
+def _branches_by_line(source: str | None) -> list[tuple]:
+    found = sorted((line, name, end) for what, name, line, end, _ in _parsed(source) if what == "branch")
+    return [(i, name, line, end) for i, (line, name, end) in enumerate(found)]
+
+
+def _each_file(files: DataFrame, rows_of, **columns: str) -> DataFrame:
+    """path and these columns (name=type) of the rows that rows_of gives for each file's text, in Arrow batches."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = [{"string": pa.string(), "int": pa.int32()}[kind] for kind in columns.values()]
+
+        def made(path_kind, paths, rows):
+            cells = [[row[i] for row in rows] for i in range(len(kinds))]
+            return pa.RecordBatch.from_arrays([pa.array(paths, path_kind), *map(pa.array, cells, kinds)], ["path", *columns])
+
+        for batch in batches:
+            path_kind, paths, rows = batch.schema.field(0).type, [], []
+            for path, text in zip(batch.column(0), batch.column(1), strict=True):
+                found = rows_of(text.as_py())
+                rows += found
+                paths += [path.as_py()] * len(found)
+                if len(rows) >= BATCH_ROWS:
+                    yield made(path_kind, paths, rows)
+                    paths, rows = [], []
+            yield made(path_kind, paths, rows)
+
+    path_kind = files.schema["path"].dataType.simpleString()
+    return files.select("path", "text").mapInArrow(run, f"path {path_kind}, " + ", ".join(f"{name} {kind}" for name, kind in columns.items()))
 
 
 def python_items(files: DataFrame) -> DataFrame:
-    """(path, what, name, line, end, ord) of Python files (path, text); a file that can't be parsed has one row `error`."""
-    register(files.sparkSession)
-    return files.sparkSession.sql("SELECT f.path, i.* FROM {files} f, LATERAL py_items(f.text) i", files=files.select("path", "text"))
+    """(path, what, name, line, end, ord) of Python files (path, text); a file that can't be parsed has one row `error`.
+
+    what is branch, function, span or error. Nothing is registered in the session, so callers don't meet.
+    """
+    return _each_file(files, _parsed, what="string", name="string", line="int", end="int", ord="int")
+
+
+def python_branches(files: DataFrame) -> DataFrame:
+    """(path, number, name, line, end) of the branches of Python files (path, text), numbered from 0 by line and then kind. A file that can't be parsed has none."""
+    return _each_file(files, _branches_by_line, number="int", name="string", line="int", end="int")
 
 
 def branch_kind(line: Column) -> Column:

@@ -1118,6 +1118,23 @@ def py_branches(spark, sf_dir):
     return found.groupBy("path").agg(F.count_if(F.col("what") == "branch").alias("branches"), F.count_if(F.col("what") == "function").alias("functions"))
 
 
+@query(
+    r"""WITH w AS (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '[A-Za-z]{7,}') AS words FROM conversations),
+s AS (SELECT 'c' || conv_id AS path, string_agg('def turn_' || turn || '(x):' || chr(10) || array_to_string(list_transform(words, lambda w: '    if x == ''' || w || ''': raise KeyError(''' || w || ''')' || chr(10)), '') || '    return ''if raise''', chr(10) ORDER BY turn) AS text FROM w GROUP BY conv_id),
+l AS (SELECT path, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM s),
+b AS (SELECT path, 'if' AS name, line FROM l WHERE regexp_matches(l, '^\s*if ') UNION ALL SELECT path, 'raise', line FROM l WHERE regexp_matches(l, ':\s*raise '))
+SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY line, name) - 1 AS INT) AS number, name, CAST(line AS INT) AS line FROM b"""
+)
+def branches_in_order(spark, sf_dir):
+    """A source for each conversation, with an `if` and a `raise` in one line for each long word of its texts; branches by line, then kind."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]{7,}"), F.lit(0))
+    body = F.array_join(F.transform(words, lambda w: F.concat(F.lit("    if x == '"), w, F.lit("': raise KeyError('"), w, F.lit("')\n"))), "")
+    own = F.concat(F.lit("def turn_"), "turn", F.lit("(x):\n"), body, F.lit("    return 'if raise'"))
+    made = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", own.alias("c")))), lambda x: x["c"]), "\n")
+    sources = _t(spark, sf_dir, "conversations").groupBy(F.concat(F.lit("c"), "conv_id").alias("path")).agg(made.alias("text"))
+    return code.python_branches(sources).select("path", "number", "name", "line")
+
+
 @query(f"WITH n AS (SELECT 'c' || conv_id AS path, CAST(2 * count(*) FILTER (role IN ('user', 'system')) AS BIGINT) AS total, CAST(count(*) FILTER (role IN ('user', 'system')) AS BIGINT) AS covered FROM conversations GROUP BY conv_id) SELECT path, total, covered, {_PCT.format('covered', 'total', '100.0')} AS share FROM n")
 def py_coverage(spark, sf_dir):
     """Rules name the line before each raise: it is within the `if` or `match` above, and not the raise. Sources without branches have 100.0."""

@@ -121,6 +121,14 @@ def test_python_items_and_errors(spark):
     assert [r.what for r in got if r.path == "b.py"] == ["error"]
 
 
+def test_branches_by_line_and_kind(spark, monkeypatch):
+    monkeypatch.setattr(code, "BATCH_ROWS", 2)
+    source = "def f(x):\n  raise A\nif a:\n  if b: raise C\n  match x:\n    case 1: pass\n"
+    sources = spark.createDataFrame([(1, source), (2, "def ("), (3, None), (4, "if a: raise B")], "path long, text string").coalesce(1)
+    got = [tuple(r) for r in code.python_branches(sources).orderBy("path", "number").collect()]
+    assert got == [(1, 0, "raise", 2, 2), (1, 1, "if", 3, 6), (1, 2, "if", 4, 4), (1, 3, "raise", 4, 4), (1, 4, "match", 5, 6), (4, 0, "if", 1, 1), (4, 1, "raise", 1, 1)]
+
+
 def test_sources(spark, tmp_path):
     for name, text in {"a/x.py": "a\nb\n", "a/node_modules/y.py": "", "README.md": "r", "z.bin": "q", "d.yaml": "a: [1", "e.yaml": "\n"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
