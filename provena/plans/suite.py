@@ -1086,6 +1086,44 @@ def file_blocks(spark, sf_dir):
     return files.accepted_blocks(made, c.select(F.col("conv_id").alias("tag"), F.concat(F.lit("out/"), "turn", F.lit(".md")).alias("path")))
 
 
+def _outputs(spark, sf_dir):
+    """Outputs of conversations, a block a turn, every third for a file that nobody asked for; and the files asked for."""
+    c = _t(spark, sf_dir, "conversations")
+    path = F.concat(F.lit("c"), "conv_id", F.lit("/t"), "turn", F.lit(".md"))
+    block = F.concat(F.lit("=== FILE: "), F.when(F.col("turn") % 3 == 2, F.concat(F.lit("other/x"), path)).otherwise(path), F.lit(" ===\n"), "text", F.lit("\n=== END FILE ==="))
+    made = c.groupBy(F.col("conv_id").alias("tag")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", block.alias("b")))), lambda x: x["b"]), "\n").alias("output"))
+    return made, c.where("turn % 3 <> 2").select(F.col("conv_id").alias("tag"), path.alias("path"))
+
+
+@query("SELECT 'c' || conv_id || '/t' || turn || '.md' AS path, CASE WHEN suffix(text, chr(10)) THEN text ELSE text || chr(10) END AS text FROM conversations WHERE turn % 3 <> 2")
+def blocks_written(spark, sf_dir):
+    """Accepted blocks as files in the shared folder, read again."""
+    import uuid
+
+    from provena.operators.storage import shared_folder
+    from provena.sources import outputs
+
+    folder = f"{shared_folder(spark)}/blocks-{uuid.uuid4().hex}"
+    outputs.write_blocks(*_outputs(spark, sf_dir), folder)
+    return files.text_files(spark, folder).select("path", "text")
+
+
+@query("SELECT '[' || conv_id || '] a block for another path, left out: other/xc' || conv_id || '/t' || turn || '.md' AS message FROM conversations WHERE turn % 3 = 2")
+def blocks_left_out(spark, sf_dir):
+    """The log's lines on blocks that nobody asked for, appended in two goes and read again without their time."""
+    import uuid
+
+    from provena.operators.storage import shared_folder
+    from provena.sources import outputs
+
+    folder = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    said = outputs.log_messages(outputs.foreign_blocks(*_outputs(spark, sf_dir)))
+    late = F.contains("message", F.lit("/t2.md"))
+    files.append_log(said.where(~late), folder)
+    files.append_log(said.where(late), folder)
+    return spark.read.text(folder).select(F.regexp_replace("value", "^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2} ", "").alias("message"))
+
+
 @query("SELECT page_id, regexp_extract(rtrim(url, '/'), '([^/]*)$', 1) AS name, regexp_replace(regexp_extract(rtrim(url, '/'), '([^/]*)$', 1), '(.)\\.[^.]+$', '\\1') AS module, lpad(CAST(page_id AS VARCHAR), CAST(greatest(3, length(CAST(page_id AS VARCHAR))) AS INTEGER), '0') AS padded, CASE WHEN length(html) > 200 THEN html[:200] || '…' ELSE html END AS cut FROM pages")
 def scalar_functions(spark, sf_dir):
     p = _t(spark, sf_dir, "pages")
