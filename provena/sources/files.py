@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from provena.functions.text import any_glob, lines, without_fence
+from provena.operators.storage import kept
 
 # Which files are sources, which folders never are, which files are manifests.
 SUFFIXES = [".py", ".pyi", ".js", ".ts", ".tsx", ".go", ".java", ".kt", ".rb", ".rs", ".c", ".h", ".cpp", ".cs", ".php", ".sql", ".sh", ".yaml", ".yml", ".toml", ".cfg", ".ini", ".json", ".md", ".rst", ".txt"]
@@ -34,18 +35,71 @@ def text_files(spark: SparkSession, root: str, glob: str | None = None) -> DataF
     return out.unionByName(empty.select("path", F.lit("").alias("text"), F.lit(b"").alias("bytes")))
 
 
-def empty_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """(path) of the files without bytes, by the file system's own recursive listing."""
+def place(folder: str):
+    """The file system of a folder, and the folder's path there, for code in tasks; ArrowInvalid where Arrow doesn't know the scheme."""
+    from pyarrow.fs import FileSystem, LocalFileSystem
+
+    if folder.startswith("file:"):
+        folder = "/" + folder[5:].lstrip("/")
+    if "://" not in folder:
+        return LocalFileSystem(), folder.rstrip("/")
+    fs, root = FileSystem.from_uri(folder)
+    return fs, root.rstrip("/")
+
+
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """(path, bytes) of all files below root, or of root itself where it is a file; of what isn't there, none.
+
+    Folders are listed by tasks, a level of the tree a job, so neither names nor calls pass through the driver.
+    A scheme that Arrow can't open is listed by Hadoop's own recursive listing, on the driver.
+    """
+    import pyarrow as pa
+    from pyarrow.fs import FileType
+
+    try:
+        fs, top = place(root)
+    except pa.ArrowInvalid:
+        return spark.createDataFrame(_walked(spark, root), "path string, bytes long")
+    here = fs.get_file_info(top)
+    if here.type != FileType.Directory:
+        return spark.createDataFrame([(top, here.size)] if here.type == FileType.File else [], "path string, bytes long")
+
+    def run(batches):
+        from pyarrow.fs import FileSelector
+
+        fs, _ = place(root)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                inside = [x for x in fs.get_file_info(FileSelector(folder, allow_not_found=True)) if x.type in (FileType.File, FileType.Directory)]
+                sizes = [x.size if x.type == FileType.File else None for x in inside]
+                yield pa.RecordBatch.from_arrays([pa.array([x.path for x in inside], pa.string()), pa.array(sizes, pa.int64())], ["path", "bytes"])
+
+    level, out = spark.createDataFrame([(top,)], "path string"), None
+    while True:
+        seen = kept(level.mapInArrow(run, "path string, bytes long"))
+        found = seen.where("bytes is not null")
+        out = found if out is None else out.unionByName(found)
+        folders = seen.where("bytes is null").select("path")
+        if folders.isEmpty():
+            return out
+        level = folders.repartition("path")
+
+
+def _walked(spark: SparkSession, root: str) -> list[tuple[str, int]]:
     jvm, sc = spark._jvm, spark.sparkContext
     top = jvm.org.apache.hadoop.fs.Path(root)
-    fs, names = top.getFileSystem(sc._jsc.hadoopConfiguration()), []
+    fs, out = top.getFileSystem(sc._jsc.hadoopConfiguration()), []
     if fs.exists(top):
-        listed = fs.listFiles(top, True)
-        while listed.hasNext():
-            f = listed.next()
-            if f.getLen() == 0:
-                names.append((f.getPath().toString(),))
-    out = spark.createDataFrame(names, "path string").select(below(F.col("path"), root).alias("path"))
+        files = fs.listFiles(top, True)
+        while files.hasNext():
+            f = files.next()
+            out.append((f.getPath().toString(), f.getLen()))
+    return out
+
+
+def empty_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+    """(path) of the files without bytes."""
+    out = listed(spark, root).where("bytes = 0").select(below(F.col("path"), root).alias("path"))
     return out.where(any_glob(F.element_at(F.split("path", "/", -1), -1), [glob])) if glob else out
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-from provena.sources.files import accepted_blocks, file_blocks
+from provena.sources.files import accepted_blocks, file_blocks, place
 
 #: Folders in which files wait for their commit begin with this; no path may.
 STAGING = "_staging-"
@@ -19,18 +19,6 @@ STAGING = "_staging-"
 MOVERS = 16
 
 
-def _place(folder: str):
-    """The file system of a folder, and the folder's path there."""
-    from pyarrow.fs import FileSystem, LocalFileSystem
-
-    if folder.startswith("file:"):
-        folder = "/" + folder[5:].lstrip("/")
-    if "://" not in folder:
-        return LocalFileSystem(), folder.rstrip("/")
-    fs, root = FileSystem.from_uri(folder)
-    return fs, root.rstrip("/")
-
-
 def _checked(path: str | None) -> str:
     """A path below the folder, or an error: outputs come from elsewhere, so none may leave it."""
     parts = (path or "").split("/")
@@ -53,7 +41,7 @@ class _Writer(DataSourceArrowWriter):
     def write(self, iterator):
         from pyspark import TaskContext
 
-        fs, root = _place(self.folder)
+        fs, root = place(self.folder)
         task = TaskContext.get()
         stage = f"{root}/{self.job}/{task.partitionId()}-{task.taskAttemptId()}"
         fs.create_dir(stage)
@@ -74,7 +62,7 @@ class _Writer(DataSourceArrowWriter):
     def commit(self, messages):
         from concurrent.futures import ThreadPoolExecutor
 
-        fs, root = _place(self.folder)
+        fs, root = place(self.folder)
 
         def move(stage, n, name):
             fs.create_dir(f"{root}/{name}".rsplit("/", 1)[0])
@@ -89,7 +77,7 @@ class _Writer(DataSourceArrowWriter):
         self._clear(fs, root)
 
     def abort(self, messages):
-        self._clear(*_place(self.folder))
+        self._clear(*place(self.folder))
 
     def _clear(self, fs, root):
         from pyarrow.fs import FileType

@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from provena.sources import outputs
+from provena.sources import files, outputs
 
 
 def _tree(folder):
@@ -38,3 +38,16 @@ def test_blocks_for_expected_paths_alone(spark, tmp_path):
     outputs.write_blocks(made, expected, str(tmp_path / "out"))
     assert _tree(str(tmp_path / "out")) == {"a.md": "A\n", "x/b.md": "B\n", "c.md": "bare\n"}
     assert [tuple(r) for r in outputs.foreign_blocks(made, expected).collect()] == [(1, "evil.md")]
+
+
+def test_listing_by_tasks_equals_a_walk(spark, tmp_path):
+    for name, text in {"a/b/c/d.txt": "x", "a/e.txt": "", "f.txt": "yy", "g/_h.txt": ""}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    (tmp_path / "empty/er").mkdir(parents=True)
+    root = str(tmp_path)
+    bare = lambda rows: sorted((str(p).split(":", 1)[-1], n) for p, n in rows)
+    assert bare(files.listed(spark, "file:" + root).collect()) == bare(files._walked(spark, root)) and len(files._walked(spark, root)) == 4
+    assert [tuple(r) for r in files.listed(spark, root + "/f.txt").collect()] == [(root + "/f.txt", 2)]
+    assert files.listed(spark, root + "/none").count() == 0
+    assert sorted(r.path for r in files.empty_files(spark, root, "e*").collect()) == ["a/e.txt"]
