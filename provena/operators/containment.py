@@ -23,16 +23,27 @@ def _hashes(words: Column, k: int, first: Column, last: Column) -> Column:
     return F.when(last >= first, F.transform(F.sequence(first, last), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)])))
 
 
-def _candidates(p: DataFrame, t: DataFrame, passage_id: str, text_id: str, k: int) -> DataFrame:
-    """(passage_id, text_id) of the texts that have a passage's rarest anchor. Only hashes and ids are shuffled."""
+def anchors(p: DataFrame, passage_id: str, k: int) -> DataFrame:
+    """(passage_id, _h) of the runs of k words inside prepared passages that no placeholder is in."""
     runs = F.transform(F.sequence(F.lit(1), F.size("_w") - k - 1), lambda i: F.struct(F.array_join(F.slice("_w", i + 1, k), " ").alias("r"), F.xxhash64(*[F.get(F.col("_w"), i + j) for j in range(k)]).alias("h")))
     free = F.transform(F.filter(runs, lambda r: ~F.contains(r["r"], F.lit(_HOLE))), lambda r: r["h"])
-    anchors = p.select(passage_id, F.explode(F.array_distinct(free)).alias("_h"))
+    return p.select(passage_id, F.explode(F.array_distinct(free)).alias("_h"))
+
+
+def different(anchors: DataFrame) -> DataFrame:
+    """Each anchor once, broadcast where they are few enough."""
     every = anchors.select("_h").distinct()
-    every = F.broadcast(every) if every.count() <= BROADCAST_ANCHORS else every
+    return F.broadcast(every) if every.count() <= BROADCAST_ANCHORS else every
+
+
+def runs_of(t: DataFrame, text_id: str, k: int) -> DataFrame:
+    """(text_id, _h) of the different runs of k words of normalised texts `_t`."""
     words = F.split("_t", " ")
-    seen = t.select(text_id, words.alias("_w")).select(text_id, F.explode(F.array_distinct(_hashes(F.col("_w"), k, F.lit(0), F.size("_w") - k))).alias("_h")).join(every, "_h")
-    seen = kept(seen)
+    return t.select(text_id, words.alias("_w")).select(text_id, F.explode(F.array_distinct(_hashes(F.col("_w"), k, F.lit(0), F.size("_w") - k))).alias("_h"))
+
+
+def by_rarest(anchors: DataFrame, seen: DataFrame, passage_id: str, text_id: str) -> DataFrame:
+    """(passage_id, text_id) of the texts that have a passage's rarest anchor; seen (text_id, _h) has the anchors' texts."""
     often = seen.groupBy("_h").agg(F.count("*").alias("_n"))
     # An anchor that no text has rules its passage out; of the others the rarest makes fewest candidates.
     rarest = anchors.join(often, "_h", "left").groupBy(passage_id).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_h").alias("h"))).alias("_r"))
@@ -40,6 +51,27 @@ def _candidates(p: DataFrame, t: DataFrame, passage_id: str, text_id: str, k: in
     return seen.join(rarest, "_h").select(passage_id, text_id)
 
 
+def _candidates(p: DataFrame, t: DataFrame, passage_id: str, text_id: str, k: int) -> DataFrame:
+    """(passage_id, text_id) of the texts that have a passage's rarest anchor. Only hashes and ids are shuffled."""
+    own = anchors(p, passage_id, k)
+    seen = kept(runs_of(t, text_id, k).join(different(own), "_h"))
+    return by_rarest(own, seen, passage_id, text_id)
+
+
+def prepared(passages: DataFrame, passage_id: str) -> DataFrame:
+    """Passages normalised (`_p`), with holes for placeholders, in words (`_w`), as a pattern where they have placeholders (`_n`), and with the words of an anchor (`_k`; 0: none)."""
+    p = passages.select(passage_id, normalise(F.col("text")).alias("_p")).where("_p <> ''").withColumn("_q", F.regexp_replace("_p", PLACEHOLDER, _HOLE))
+    p = p.withColumn("_w", F.split("_q", " ")).withColumn("_n", F.when(F.contains("_q", F.lit(_HOLE)), needle_pattern(F.col("_p"))))
+    clean = F.transform(F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0))), lambda w: ~F.contains(w, F.lit(_HOLE)))
+    run = lambda k: F.exists(F.sequence(F.lit(0), F.greatest(F.size("_w") - 2 - k, F.lit(0))), lambda i: (F.size("_w") - 2 >= k) & F.forall(F.slice(clean, i + 1, k), lambda x: x))
+    return p.withColumn("_k", F.coalesce(*[F.when(run(k), k) for k in ANCHORS], F.lit(0)))
+
+
+def stands() -> Column:
+    """Whether a prepared passage stands in a normalised text `_t`."""
+    return F.contains("_t", "_p") | F.coalesce(F.regexp_like("_t", F.col("_n")), F.lit(False))
+
+
 def containing(passages: DataFrame, texts: DataFrame, passage_id: str, text_id: str) -> DataFrame:
     """(passage_id, text_id) of each passage whose normalised text stands in a normalised text; a placeholder in it also stands for a number.
 
@@ -48,20 +80,15 @@ def containing(passages: DataFrame, texts: DataFrame, passage_id: str, text_id:
     Passages without such words, one or two in all, are looked for by an automaton of all of them. Empty
     passages stand nowhere.
     """
-    p = passages.select(passage_id, normalise(F.col("text")).alias("_p")).where("_p <> ''").withColumn("_q", F.regexp_replace("_p", PLACEHOLDER, _HOLE))
-    p = p.withColumn("_w", F.split("_q", " ")).withColumn("_n", F.when(F.contains("_q", F.lit(_HOLE)), needle_pattern(F.col("_p"))))
-    clean = F.transform(F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0))), lambda w: ~F.contains(w, F.lit(_HOLE)))
-    run = lambda k: F.exists(F.sequence(F.lit(0), F.greatest(F.size("_w") - 2 - k, F.lit(0))), lambda i: (F.size("_w") - 2 >= k) & F.forall(F.slice(clean, i + 1, k), lambda x: x))
-    p = p.withColumn("_k", F.coalesce(*[F.when(run(k), k) for k in ANCHORS], F.lit(0)))
+    p = prepared(passages, passage_id)
     sizes = {r["_k"] for r in p.select("_k").distinct().collect()}
     t = texts.select(text_id, normalise(F.col("text")).alias("_t"))
-    stands = F.contains("_t", "_p") | F.coalesce(F.regexp_like("_t", F.col("_n")), F.lit(False))
     out = None
     for k in (k for k in ANCHORS if k in sizes):
         near = _candidates(p.where(F.col("_k") == k), t, passage_id, text_id, k)
         # Texts are normalised again where they are candidates, which few are.
         found = near.join(p.select(passage_id, "_p", "_n"), passage_id).join(texts.select(text_id, F.col("text").alias("_raw")), text_id)
-        found = found.withColumn("_t", normalise(F.col("_raw"))).where(stands).select(passage_id, text_id)
+        found = found.withColumn("_t", normalise(F.col("_raw"))).where(stands()).select(passage_id, text_id)
         out = found if out is None else out.unionByName(found)
     if 0 in sizes:
         found = needles.standing(p.where("_k = 0"), t, passage_id, text_id, "_p", "_t", "_n", PLACEHOLDER, SHORT_BYTES)

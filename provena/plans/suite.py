@@ -120,6 +120,26 @@ def placeholder_containment(spark, sf_dir):
     return containment.containing(said, texts, "prediction", "p_partkey")
 
 
+@query(
+    f"""WITH p AS MATERIALIZED (SELECT item_id, {_NORM.format("text")} AS p FROM benchmark),
+t AS MATERIALIZED (SELECT 'd' || doc_id AS id, {_NORM.format("text")} AS t FROM documents UNION ALL SELECT 'c' || conv_id || '/' || turn, {_NORM.format("text")} FROM conversations)
+SELECT item_id, id FROM p JOIN t ON p.p <> '' AND contains(t.t, p.p)"""
+)
+def indexed_containment(spark, sf_dir):
+    """Where benchmark passages stand, by an index of documents and conversations that is put together in two goes and opened again for its use."""
+    import uuid
+
+    from provena.operators.index import Index
+    from provena.operators.storage import shared_folder
+
+    folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    docs = _t(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
+    turns = _t(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("/"), "turn").alias("id"), "text")
+    Index(spark, folder).put(docs, "id", "all")
+    Index(spark, folder).put(docs.unionByName(turns), "id", "all")
+    return Index(spark, folder).containing(_t(spark, sf_dir, "benchmark"), "all", "item_id")
+
+
 @query(f"""WITH {_FIRST}, r AS (SELECT 'src' || (item_id % 20) AS rule, count(*) AS total, count(found_in) AS confirmed FROM found GROUP BY 1), s AS (SELECT DISTINCT source AS rule FROM documents WHERE source IS NOT NULL)
 SELECT rule, coalesce(total, 0) AS total, coalesce(confirmed, 0) AS confirmed, {_PCT.format("coalesce(confirmed, 0)", "coalesce(total, 0)", "0.0")} AS share FROM s LEFT JOIN r USING (rule)""")
 def inverse_by_source(spark, sf_dir):
