@@ -634,6 +634,21 @@ def csv_round_trip(spark, sf_dir):
     return files.csv_rows(spark, where).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("int").alias("turn"), "role", "text")
 
 
+@query("SELECT doc_id, coalesce(source, '') AS source, octet_length(encode(coalesce(text, ''))) AS bytes, md5(coalesce(text, '')) AS digest FROM documents")
+def csv_in_chunks(spark, sf_dir):
+    """Documents as CSV files, every cell quoted, read again by chunks whose borders stand anywhere, in quoted line breaks too."""
+    import uuid
+
+    from provena.operators.storage import shared_folder
+    from provena.sources.chunks import csv_file_cells
+
+    folder = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    own = _t(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    own.write.csv(folder, header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="")
+    cells = csv_file_cells(spark, folder, "*.csv", 1 << 20).where("n > 0").select(*[F.get("cells", i).alias(c) for i, c in enumerate(own.columns)])
+    return cells.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.octet_length("text").cast("long").alias("bytes"), F.md5(F.encode("text", "UTF-8")).alias("digest"))
+
+
 @query("SELECT conv_id, CAST(turn AS INT) AS turn, CASE WHEN turn % 5 = 4 THEN NULL ELSE role END AS role, CASE WHEN turn % 5 = 4 THEN NULL ELSE length(text) END AS n, turn % 5 = 4 AS broken FROM conversations")
 def yaml_fields(spark, sf_dir):
     """A YAML document a turn; each fifth can't be read."""

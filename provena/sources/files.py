@@ -147,6 +147,7 @@ def csv_cells(texts: DataFrame, id_col: str = "path") -> DataFrame:
 
         import pyarrow as pa
 
+        csv.field_size_limit(1 << 62)
         for batch in batches:
             ids, ns, cells = [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -175,9 +176,13 @@ def csv_problems(spark: SparkSession, path: str, header: list[str]) -> DataFrame
 
 def csv_text_problems(texts: DataFrame, header: list[str], id_col: str = "path") -> DataFrame:
     """(id, problem, row) of CSV texts: a header that isn't just this one, and records of another width; blank records don't count."""
-    raw = csv_cells(texts, id_col)
+    return cell_problems(csv_cells(texts, id_col), texts.select(id_col), header, id_col)
+
+
+def cell_problems(raw: DataFrame, ids: DataFrame, header: list[str], id_col: str) -> DataFrame:
+    """(id, problem, row) of records (id, n, cells), with ids of those that may have none."""
     head = raw.where("n = 0").select(id_col, "cells")
-    wrong = texts.select(id_col).join(head, id_col, "left").where(~F.equal_null("cells", F.array(*map(F.lit, header)))).select(id_col, F.lit("header").alias("problem"), F.lit(0).alias("row"))
+    wrong = ids.join(head, id_col, "left").where(~F.equal_null("cells", F.array(*map(F.lit, header)))).select(id_col, F.lit("header").alias("problem"), F.lit(0).alias("row"))
     return wrong.unionByName(raw.where((F.col("n") > 0) & (F.size("cells") != len(header))).select(id_col, F.lit("width").alias("problem"), F.col("n").alias("row")))
 
 
