@@ -36,10 +36,12 @@ def different(anchors: DataFrame) -> DataFrame:
     return F.broadcast(every) if every.count() <= BROADCAST_ANCHORS else every
 
 
-def runs_of(t: DataFrame, text_id: str, k: int) -> DataFrame:
-    """(text_id, _h) of the different runs of k words of normalised texts `_t`."""
+def runs_of(t: DataFrame, text_id: str, *ks: int) -> DataFrame:
+    """(text_id, _h) of the different runs of k words of normalised texts `_t`, for each k."""
     words = F.split("_t", " ")
-    return t.select(text_id, words.alias("_w")).select(text_id, F.explode(F.array_distinct(_hashes(F.col("_w"), k, F.lit(0), F.size("_w") - k))).alias("_h"))
+    own = [F.array_distinct(_hashes(F.col("_w"), k, F.lit(0), F.size("_w") - k)) for k in ks]
+    every = own[0] if len(ks) == 1 else F.concat(*[F.coalesce(x, F.array().cast("array<bigint>")) for x in own])
+    return t.select(text_id, words.alias("_w")).select(text_id, F.explode(every).alias("_h"))
 
 
 def by_rarest(anchors: DataFrame, seen: DataFrame, passage_id: str, text_id: str) -> DataFrame:

@@ -20,15 +20,13 @@ from provena.functions.text import PLACEHOLDER, normalise
 from provena.operators import containment, needles
 from provena.operators.storage import kept
 
-#: A slot has about so many bytes of normalised text, or of hashes.
+#: A slot has about so many bytes of text, or of hashes.
 SLOT_BYTES = 32 << 20
 #: At most 2 to the power of so many slots a part, whose numbers the driver may hold.
 MOST_BITS = 16
-#: Rows of hashes that a task puts in order.
-TASK_ROWS = 1 << 22
 
-_TEXTS = "content binary, text string, slot int"
-_RUNS = "h long, content binary, k int, slot int"
+_TEXTS = "content binary, no long, text string, slot int"
+_RUNS = "h long, no long, slot int"
 
 
 def content(text: Column) -> Column:
@@ -40,8 +38,9 @@ def _slot_of_hash(h: Column, bits: int) -> Column:
     return F.shiftrightunsigned(h, 64 - bits).cast("int") if bits else F.lit(0)
 
 
-def _slot_of_content(c: Column, bits: int) -> Column:
-    return F.shiftright(F.conv(F.hex(F.substring(c, 1, 2)), 16, 10).cast("int"), 16 - bits)
+def _slot_of_text(no: Column) -> Column:
+    """The task that numbered and wrote a text: what monotonically_increasing_id has in front."""
+    return F.shiftrightunsigned(no, 33).cast("int")
 
 
 def _bits(size: int) -> int:
@@ -71,7 +70,7 @@ class Index:
 
     def corpus(self, name: str) -> DataFrame:
         """(id, content) of a corpus, an id of whatever type and name it was put with."""
-        return self.spark.read.parquet(f"{self.folder}/corpora/{self.state['corpora'][name]}")
+        return self.spark.read.parquet(f"{self.folder}/corpora/{self.state['corpora'][name]}").drop("bytes")
 
     def _contents(self) -> DataFrame:
         out = self.spark.createDataFrame([], _TEXTS)
@@ -87,36 +86,35 @@ class Index:
         """
         named, state = uuid.uuid4().hex, json.loads(json.dumps(self.state))
         texts = texts.select(text_id, "text").withColumn("content", content(F.col("text")))
-        texts.select(text_id, "content").write.parquet(f"{self.folder}/corpora/{named}")
+        texts.select(text_id, "content", F.octet_length("text").cast("long").alias("bytes")).write.parquet(f"{self.folder}/corpora/{named}")
         members = self.spark.read.parquet(f"{self.folder}/corpora/{named}")
         # One row stands for a content, so that a text with many copies travels once, or as often as its row is repeated.
-        new = members.groupBy("content").agg(F.min(text_id).alias("_id")).join(self._contents().select("content"), "content", "left_anti")
+        new = members.groupBy("content").agg(F.min(text_id).alias("_id"), F.max("bytes").alias("bytes")).join(self._contents().select("content"), "content", "left_anti")
         new = kept(new)
-        n = new.count()
+        n, size = new.agg(F.count("*"), F.sum("bytes")).first()
         if n:
-            own = texts.join(new.withColumnRenamed("content", "_c"), (F.col("content") == F.col("_c")) & F.col(text_id).eqNullSafe(F.col("_id")))
-            state["parts"].append(self._part(own.select("content", normalise(F.col("text")).alias("text")).dropDuplicates(["content"])))
+            one = new.select(F.col("content").alias("_c"), "_id")
+            one = F.broadcast(one) if n <= containment.BROADCAST_ANCHORS else one
+            own = texts.join(one, (F.col("content") == F.col("_c")) & F.col(text_id).eqNullSafe(F.col("_id")))
+            state["parts"].append(self._part(own.select("content", normalise(F.col("text")).alias("text")), size or 0))
         state["corpora"][name] = named
         self._say(state)
         return n
 
-    def _part(self, new: DataFrame) -> dict:
-        name = uuid.uuid4().hex
-        new = kept(new)
-        size = new.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        bits = _bits(size)
-        by_slot = new.withColumn("slot", _slot_of_content(F.col("content"), bits)).repartition("slot")
-        by_slot.write.partitionBy("slot").parquet(f"{self.folder}/texts/{name}")
-        # 24 bytes for a run; a text has at most two for each two of its bytes.
-        words = new.agg(F.sum(F.size(F.split("text", " ")))).first()[0]
-        run_bits, runs = _bits(48 * words), None
-        for k in containment.ANCHORS:
-            own = containment.runs_of(new.select("content", F.col("text").alias("_t")), "content", k).select(F.col("_h").alias("h"), "content", F.lit(k).alias("k"))
-            runs = own if runs is None else runs.unionByName(own)
-        runs = runs.withColumn("slot", _slot_of_hash(F.col("h"), run_bits))
-        # By ranges of hash and content: a word that all texts have is in as many tasks as it needs.
-        tasks = max(self.spark.sparkContext.defaultParallelism, -(-2 * words // TASK_ROWS))
-        runs.repartitionByRange(tasks, "k", "slot", "h", "content").sortWithinPartitions("k", "slot", "h").write.partitionBy("k", "slot").parquet(f"{self.folder}/runs/{name}")
+    def _part(self, new: DataFrame, size: int) -> dict:
+        """A part of contents (content, text), of which some rows may be repeated; size: their texts' bytes, about."""
+        name, bits = uuid.uuid4().hex, _bits(size)
+        # A slot is a task, so that a text's number tells its slot.
+        texts = new.repartition(1 << bits, "content").dropDuplicates(["content"])
+        texts = texts.select("content", F.monotonically_increasing_id().alias("no"), "text", F.spark_partition_id().alias("slot"))
+        texts.write.partitionBy("slot").parquet(f"{self.folder}/texts/{name}")
+        texts = self.spark.read.schema(_TEXTS).parquet(f"{self.folder}/texts/{name}")
+        # A text has at most a run of one and a run of three words for each two of its bytes, mostly far fewer.
+        run_bits = _bits(2 * size)
+        runs = containment.runs_of(texts.select("no", F.col("text").alias("_t")), "no", *containment.ANCHORS)
+        runs = runs.select(F.col("_h").alias("h"), "no", _slot_of_hash(F.col("_h"), run_bits).alias("slot"))
+        # Rebalanced, not repartitioned: the slot of a word that all texts have is split where it gets too large.
+        runs.hint("rebalance", "slot").sortWithinPartitions("slot", "h", "no").write.partitionBy("slot").parquet(f"{self.folder}/runs/{name}")
         return {"name": name, "bits": bits, "run_bits": run_bits}
 
     def _read(self, what: str, schema: str, part: dict, slots: DataFrame, bits: int) -> DataFrame:
@@ -125,11 +123,12 @@ class Index:
         asked = [r[0] for r in slots.distinct().collect()]
         return rows if len(asked) == 1 << bits else rows.where(F.col("slot").isin(asked))
 
-    def _seen(self, anchors: DataFrame, k: int) -> DataFrame:
-        every, out = containment.different(anchors), self.spark.createDataFrame([], "_h long, content binary")
-        for part in self.state["parts"]:
+    def _seen(self, anchors: DataFrame) -> DataFrame:
+        """(_h, _at): the texts, by part and number, that have the anchors."""
+        every, out = containment.different(anchors), self.spark.createDataFrame([], "_h long, _at struct<part:int,no:long>")
+        for i, part in enumerate(self.state["parts"]):
             rows = self._read("runs", _RUNS, part, anchors.select(_slot_of_hash(F.col("_h"), part["run_bits"])), part["run_bits"])
-            out = out.unionByName(rows.where(F.col("k") == k).select(F.col("h").alias("_h"), "content").join(every, "_h"))
+            out = out.unionByName(rows.select(F.col("h").alias("_h"), F.struct(F.lit(i).alias("part"), "no").alias("_at")).join(every, "_h"))
         return kept(out)
 
     def containing(self, passages: DataFrame, name: str, passage_id: str) -> DataFrame:
@@ -145,12 +144,12 @@ class Index:
         found = self.spark.createDataFrame([], T.StructType([p.schema[passage_id], T.StructField("content", T.BinaryType())]))
         for k in (k for k in containment.ANCHORS if k in sizes):
             own = containment.anchors(p.where(F.col("_k") == k), passage_id, k)
-            # Contents of other corpora are no candidates.
-            seen = self._seen(own, k).join(members.select("content"), "content", "left_semi")
-            near = kept(containment.by_rarest(own, seen, passage_id, "content"))
-            for part in self.state["parts"]:
-                texts = self._read("texts", _TEXTS, part, near.select(_slot_of_content(F.col("content"), part["bits"])), part["bits"])
-                both = near.join(texts.select("content", F.col("text").alias("_t")), "content").join(p.select(passage_id, "_p", "_n"), passage_id)
+            # A text in which a passage stands has all its anchors, whatever other corpora have.
+            near = kept(containment.by_rarest(own, self._seen(own), passage_id, "_at")).select(passage_id, "_at.part", "_at.no")
+            for i, part in enumerate(self.state["parts"]):
+                here = near.where(F.col("part") == i)
+                texts = self._read("texts", _TEXTS, part, here.select(_slot_of_text(F.col("no"))), part["bits"])
+                both = here.join(texts.select("content", "no", F.col("text").alias("_t")), "no").join(p.select(passage_id, "_p", "_n"), passage_id)
                 found = found.unionByName(both.where(containment.stands()).select(passage_id, "content"))
         if 0 in sizes:
             t = self._contents().select("content", F.col("text").alias("_t"))
@@ -165,5 +164,6 @@ class Index:
         for name in state["corpora"]:
             own = self.corpus(name).select("content")
             held = own if held is None else held.unionByName(own)
-        state["parts"] = [self._part(self._contents().select("content", "text").join(held, "content", "left_semi"))]
+        left = self._contents().select("content", "text").join(held, "content", "left_semi")
+        state["parts"] = [self._part(left, self._contents().agg(F.sum(F.octet_length("text"))).first()[0] or 0)]
         self._say(state)
