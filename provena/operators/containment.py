@@ -9,7 +9,7 @@ from provena.functions.text import PLACEHOLDER, needle_pattern, normalise, perce
 from provena.operators import needles
 from provena.operators.storage import kept
 
-_HOLE = "\u0001"
+HOLE = "\u0001"
 #: Words of an anchor: three where a passage has them, else one.
 ANCHORS = (3, 1)
 #: Up to so many different anchors, 16 bytes each, go to every task; more are joined by a shuffle of hashes.
@@ -26,7 +26,7 @@ def _hashes(words: Column, k: int, first: Column, last: Column) -> Column:
 def anchors(p: DataFrame, passage_id: str, k: int) -> DataFrame:
     """(passage_id, _h) of the runs of k words inside prepared passages that no placeholder is in."""
     runs = F.transform(F.sequence(F.lit(1), F.size("_w") - k - 1), lambda i: F.struct(F.array_join(F.slice("_w", i + 1, k), " ").alias("r"), F.xxhash64(*[F.get(F.col("_w"), i + j) for j in range(k)]).alias("h")))
-    free = F.transform(F.filter(runs, lambda r: ~F.contains(r["r"], F.lit(_HOLE))), lambda r: r["h"])
+    free = F.transform(F.filter(runs, lambda r: ~F.contains(r["r"], F.lit(HOLE))), lambda r: r["h"])
     return p.select(passage_id, F.explode(F.array_distinct(free)).alias("_h"))
 
 
@@ -36,12 +36,10 @@ def different(anchors: DataFrame) -> DataFrame:
     return F.broadcast(every) if every.count() <= BROADCAST_ANCHORS else every
 
 
-def runs_of(t: DataFrame, text_id: str, *ks: int) -> DataFrame:
-    """(text_id, _h) of the different runs of k words of normalised texts `_t`, for each k."""
+def runs_of(t: DataFrame, text_id: str, k: int) -> DataFrame:
+    """(text_id, _h) of the different runs of k words of normalised texts `_t`."""
     words = F.split("_t", " ")
-    own = [F.array_distinct(_hashes(F.col("_w"), k, F.lit(0), F.size("_w") - k)) for k in ks]
-    every = own[0] if len(ks) == 1 else F.concat(*[F.coalesce(x, F.array().cast("array<bigint>")) for x in own])
-    return t.select(text_id, words.alias("_w")).select(text_id, F.explode(every).alias("_h"))
+    return t.select(text_id, words.alias("_w")).select(text_id, F.explode(F.array_distinct(_hashes(F.col("_w"), k, F.lit(0), F.size("_w") - k))).alias("_h"))
 
 
 def by_rarest(anchors: DataFrame, seen: DataFrame, passage_id: str, text_id: str) -> DataFrame:
@@ -62,9 +60,9 @@ def _candidates(p: DataFrame, t: DataFrame, passage_id: str, text_id: str, k: in
 
 def prepared(passages: DataFrame, passage_id: str) -> DataFrame:
     """Passages normalised (`_p`), with holes for placeholders, in words (`_w`), as a pattern where they have placeholders (`_n`), and with the words of an anchor (`_k`; 0: none)."""
-    p = passages.select(passage_id, normalise(F.col("text")).alias("_p")).where("_p <> ''").withColumn("_q", F.regexp_replace("_p", PLACEHOLDER, _HOLE))
-    p = p.withColumn("_w", F.split("_q", " ")).withColumn("_n", F.when(F.contains("_q", F.lit(_HOLE)), needle_pattern(F.col("_p"))))
-    clean = F.transform(F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0))), lambda w: ~F.contains(w, F.lit(_HOLE)))
+    p = passages.select(passage_id, normalise(F.col("text")).alias("_p")).where("_p <> ''").withColumn("_q", F.regexp_replace("_p", PLACEHOLDER, HOLE))
+    p = p.withColumn("_w", F.split("_q", " ")).withColumn("_n", F.when(F.contains("_q", F.lit(HOLE)), needle_pattern(F.col("_p"))))
+    clean = F.transform(F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0))), lambda w: ~F.contains(w, F.lit(HOLE)))
     run = lambda k: F.exists(F.sequence(F.lit(0), F.greatest(F.size("_w") - 2 - k, F.lit(0))), lambda i: (F.size("_w") - 2 >= k) & F.forall(F.slice(clean, i + 1, k), lambda x: x))
     return p.withColumn("_k", F.coalesce(*[F.when(run(k), k) for k in ANCHORS], F.lit(0)))
 

@@ -1,7 +1,7 @@
 """A kept index of texts by content: what containment makes of a text is made once, for all checks and all corpora.
 
-Contents are named by 128 bits of their SHA-256. A content's normalised text and the hashes of its runs of words
-are written once, in a part of the index, in slots by leading bits, so that a use reads the slots that its
+Contents are named by 128 bits of their SHA-256. A content's normalised text and the least hashes of its windows of
+runs of words are written once, in a part of the index, in slots by leading bits, so that a use reads the slots that its
 anchors and candidates fall in. A corpus is a table of ids and contents. A manifest, written last, says which
 parts and corpora hold: what died before it is as if it hadn't begun.
 """
@@ -25,6 +25,9 @@ SLOT_BYTES = 32 << 20
 #: At most 2 to the power of so many slots a part, whose numbers the driver may hold.
 MOST_BITS = 16
 
+#: Words of a run, and runs of a window, of which the least hash is kept: two kept of five runs, about.
+RUN, WINDOW = 3, 4
+
 _TEXTS = "content binary, no long, text string, slot int"
 _RUNS = "h long, no long, slot int"
 
@@ -34,6 +37,23 @@ def content(text: Column) -> Column:
     return F.substring(F.unhex(F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256)), 1, 16)
 
 
+def least_of_windows(words: Column, first: int, last: Column) -> Column:
+    """The least hash of each window of runs of words from first to last, windows with a placeholder left out; words within a text have a window's least hash wherever they stand."""
+    at = lambda n: F.when(last - n >= first, F.sequence(F.lit(first), last - n))
+    clean = lambda i: ~F.exists(F.slice(words, i + 1, RUN), lambda w: F.contains(w, F.lit(containment.HOLE)))
+    runs = F.transform(at(RUN - 1), lambda i: F.when(clean(i), F.xxhash64(*[F.get(words, i + j) for j in range(RUN)])))
+    # Runs are an array of its own, so that each is hashed once.
+    least = F.transform(F.array(runs), lambda r: F.when(F.size(r) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(r) - WINDOW), lambda i: _least([F.get(r, i + j) for j in range(WINDOW)]))))
+    return F.coalesce(F.array_distinct(F.filter(F.get(least, F.lit(0)), lambda h: h.isNotNull())), F.array().cast("array<bigint>"))
+
+
+def _least(hashes: list[Column]) -> Column:
+    every = hashes[0].isNotNull()
+    for h in hashes[1:]:
+        every = every & h.isNotNull()
+    return F.when(every, F.least(*hashes))
+
+
 def _slot_of_hash(h: Column, bits: int) -> Column:
     return F.shiftrightunsigned(h, 64 - bits).cast("int") if bits else F.lit(0)
 
@@ -109,11 +129,11 @@ class Index:
         texts = texts.select("content", F.monotonically_increasing_id().alias("no"), "text", F.spark_partition_id().alias("slot"))
         texts.write.partitionBy("slot").parquet(f"{self.folder}/texts/{name}")
         texts = self.spark.read.schema(_TEXTS).parquet(f"{self.folder}/texts/{name}")
-        # A text has at most a run of one and a run of three words for each two of its bytes, mostly far fewer.
-        run_bits = _bits(2 * size)
-        runs = containment.runs_of(texts.select("no", F.col("text").alias("_t")), "no", *containment.ANCHORS)
-        runs = runs.select(F.col("_h").alias("h"), "no", _slot_of_hash(F.col("_h"), run_bits).alias("slot"))
-        # Rebalanced, not repartitioned: the slot of a word that all texts have is split where it gets too large.
+        # A hash and a number for each fifteen bytes or so.
+        run_bits = _bits(size)
+        words = texts.select("no", F.split("text", " ").alias("_w"))
+        runs = words.select("no", F.explode(least_of_windows(F.col("_w"), 0, F.size("_w") - 1)).alias("h")).withColumn("slot", _slot_of_hash(F.col("h"), run_bits))
+        # Rebalanced, not repartitioned: the slot of a run that all texts have is split where it gets too large.
         runs.hint("rebalance", "slot").sortWithinPartitions("slot", "h", "no").write.partitionBy("slot").parquet(f"{self.folder}/runs/{name}")
         return {"name": name, "bits": bits, "run_bits": run_bits}
 
@@ -135,25 +155,25 @@ class Index:
         """(passage_id, id) of each passage whose normalised text stands in a text of the corpus, as containment.containing has it of the texts themselves.
 
         The corpus isn't read, but its ids and contents are. Of the index, a use reads the slots with anchors of
-        passages and with candidates' texts; passages without an anchor, of one or two words, read all its
-        normalised texts.
+        passages and with candidates' texts; passages without an anchor, of fewer than RUN + WINDOW - 1
+        words between the first and the last, or with placeholders that leave no such stretch, are looked for
+        by an automaton in all its normalised texts. A passage without an id has no row.
         """
         members = self.corpus(name)
-        p = kept(containment.prepared(passages, passage_id))
-        sizes = {r["_k"] for r in p.select("_k").distinct().collect()}
+        p = containment.prepared(passages, passage_id).withColumn("_a", least_of_windows(F.col("_w"), 1, F.size("_w") - 2))
+        p = kept(p.where(F.col(passage_id).isNotNull()).select(passage_id, "_p", "_n", "_a"))
         found = self.spark.createDataFrame([], T.StructType([p.schema[passage_id], T.StructField("content", T.BinaryType())]))
-        for k in (k for k in containment.ANCHORS if k in sizes):
-            own = containment.anchors(p.where(F.col("_k") == k), passage_id, k)
-            # A text in which a passage stands has all its anchors, whatever other corpora have.
-            near = kept(containment.by_rarest(own, self._seen(own), passage_id, "_at")).select(passage_id, "_at.part", "_at.no")
-            for i, part in enumerate(self.state["parts"]):
-                here = near.where(F.col("part") == i)
-                texts = self._read("texts", _TEXTS, part, here.select(_slot_of_text(F.col("no"))), part["bits"])
-                both = here.join(texts.select("content", "no", F.col("text").alias("_t")), "no").join(p.select(passage_id, "_p", "_n"), passage_id)
-                found = found.unionByName(both.where(containment.stands()).select(passage_id, "content"))
-        if 0 in sizes:
+        own, short = p.select(passage_id, F.explode("_a").alias("_h")), p.where(F.size("_a") == 0)
+        # A text in which a passage stands has all its anchors, whatever other corpora have.
+        near = kept(containment.by_rarest(own, self._seen(own), passage_id, "_at")).select(passage_id, "_at.part", "_at.no")
+        for i, part in enumerate(self.state["parts"]):
+            here = near.where(F.col("part") == i)
+            texts = self._read("texts", _TEXTS, part, here.select(_slot_of_text(F.col("no"))), part["bits"])
+            both = here.join(texts.select("content", "no", F.col("text").alias("_t")), "no").join(p.select(passage_id, "_p", "_n"), passage_id)
+            found = found.unionByName(both.where(containment.stands()).select(passage_id, "content"))
+        if not short.isEmpty():
             t = self._contents().select("content", F.col("text").alias("_t"))
-            found = found.unionByName(needles.standing(p.where("_k = 0"), t, passage_id, "content", "_p", "_t", "_n", PLACEHOLDER, containment.SHORT_BYTES))
+            found = found.unionByName(needles.standing(short, t, passage_id, "content", "_p", "_t", "_n", PLACEHOLDER, containment.SHORT_BYTES))
         return found.join(members, "content").select(passage_id, *[c for c in members.columns if c != "content"])
 
     def compact(self) -> None:

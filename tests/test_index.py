@@ -17,7 +17,7 @@ def _passages(r, texts, n):
     for k in range(7, n):
         words = (r.choice(texts)[1] or "").split()
         at = r.randrange(len(words) + 1)
-        out.append((k, " ".join(words[at : at + r.randint(1, 7)])[r.randint(0, 1) :]))
+        out.append((k, " ".join(words[at : at + r.randint(1, 16)])[r.randint(0, 1) :]))
     return out
 
 
@@ -28,7 +28,7 @@ def test_equals_containment_of_the_texts(spark, tmp_path, monkeypatch):
     texts += [(k + 1000, t) for k, t in texts[:40]] + [texts[0], (None, texts[50][1]), (7777, "the a b " * 500)]
     frame = lambda rows: spark.createDataFrame(rows, "d long, text string").repartition(3)
     passages = spark.createDataFrame(_passages(r, texts, 80), "p int, text string")
-    pairs = lambda df: {tuple(x) for x in df.where("d is not null").collect()}
+    pairs = lambda df: {tuple(x) for x in df.where("d is not null and p is not null").collect()}
     want = pairs(containment.containing(passages, frame(texts), "p", "d"))
     assert len(want) > 200
 
@@ -54,14 +54,14 @@ def test_equals_containment_of_the_texts(spark, tmp_path, monkeypatch):
 def test_a_use_reads_the_index_alone_and_few_slots(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(index, "SLOT_BYTES", 1 << 12)
     source, folder = str(tmp_path / "source"), str(tmp_path / "index")
-    spark.range(2000).selectExpr("id AS d", "concat('alpha w', id, ' x', id, ' y', id, ' z', id, ' omega') AS text").write.parquet(source)
+    spark.range(2000).selectExpr("id AS d", "concat('alpha w', id, ' x', id, ' y', id, ' z', id, ' v', id, ' u', id, ' t', id, ' omega') AS text").write.parquet(source)
     assert index.Index(spark, folder).put(spark.read.parquet(source), "d", "c") == 2000
     (tmp_path / "source").rename(tmp_path / "gone")
     read, kept = [], index.kept
     monkeypatch.setattr(index, "kept", lambda df: read.extend(df.inputFiles()) or kept(df))
-    found = index.Index(spark, folder).containing(spark.createDataFrame([(1, "b w77 x77 y77 z77 o")], "p int, text string"), "c", "p")
+    found = index.Index(spark, folder).containing(spark.createDataFrame([(1, "b w77 x77 y77 z77 v77 u77 t77 o")], "p int, text string"), "c", "p")
     assert [tuple(x) for x in found.collect()] == []
-    found = index.Index(spark, folder).containing(spark.createDataFrame([(1, "ha w77 X77  y77 z77 o")], "p int, text string"), "c", "p")
+    found = index.Index(spark, folder).containing(spark.createDataFrame([(1, "ha w77 X77  y77 z77 v77 u77 t77 o")], "p int, text string"), "c", "p")
     assert [tuple(x) for x in found.collect()] == [(1, 77)]
     assert not [f for f in [*read, *found.inputFiles()] if "/index/" not in f]
     plan = found._jdf.queryExecution().executedPlan().toString()
