@@ -52,7 +52,7 @@ def test_equals_containment_of_the_texts(spark, tmp_path, monkeypatch):
 
 
 def test_a_use_reads_the_index_alone_and_few_slots(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(index, "SLOT_BYTES", 1 << 12)
+    monkeypatch.setattr(index, "SLOT_BYTES", 1 << 11)
     source, folder = str(tmp_path / "source"), str(tmp_path / "index")
     spark.range(2000).selectExpr("id AS d", "concat('alpha w', id, ' x', id, ' y', id, ' z', id, ' v', id, ' u', id, ' t', id, ' omega') AS text").write.parquet(source)
     assert index.Index(spark, folder).put(spark.read.parquet(source), "d", "c") == 2000
