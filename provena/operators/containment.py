@@ -10,8 +10,8 @@ from provena.operators import needles
 from provena.operators.storage import kept
 
 HOLE = "\u0001"
-#: Words of an anchor: three where a passage has them, else one.
-ANCHORS = (3, 1)
+#: Words of an anchor: the most of these that a passage has in one run. Shorter ones may be in every text: two names that each are common make a rare run only together.
+ANCHORS = (6, 3, 1)
 #: Up to so many different anchors, 16 bytes each, go to every task; more are joined by a shuffle of hashes.
 BROADCAST_ANCHORS = 1 << 21
 #: Passages without an anchor go to every task, in parts of about so many bytes.
@@ -36,10 +36,11 @@ def different(anchors: DataFrame) -> DataFrame:
     return F.broadcast(every) if every.count() <= BROADCAST_ANCHORS else every
 
 
-def runs_of(t: DataFrame, text_id: str, k: int) -> DataFrame:
-    """(text_id, _h) of the different runs of k words of normalised texts `_t`."""
-    words = F.split("_t", " ")
-    return t.select(text_id, words.alias("_w")).select(text_id, F.explode(F.array_distinct(_hashes(F.col("_w"), k, F.lit(0), F.size("_w") - k))).alias("_h"))
+def runs_of(t: DataFrame, text_id: str, ks: list[int]) -> DataFrame:
+    """(text_id, _h) of the different runs of so many words, for each of ks, of normalised texts `_t`."""
+    words = t.select(text_id, F.split("_t", " ").alias("_w"))
+    runs = [F.coalesce(_hashes(F.col("_w"), k, F.lit(0), F.size("_w") - k), F.array().cast("array<bigint>")) for k in ks]
+    return words.select(text_id, F.explode(F.array_distinct(F.concat(*runs))).alias("_h"))
 
 
 def by_rarest(anchors: DataFrame, seen: DataFrame, passage_id: str, text_id: str) -> DataFrame:
@@ -51,10 +52,14 @@ def by_rarest(anchors: DataFrame, seen: DataFrame, passage_id: str, text_id: str
     return seen.join(rarest, "_h").select(passage_id, text_id)
 
 
-def _candidates(p: DataFrame, t: DataFrame, passage_id: str, text_id: str, k: int) -> DataFrame:
-    """(passage_id, text_id) of the texts that have a passage's rarest anchor. Only hashes and ids are shuffled."""
-    own = anchors(p, passage_id, k)
-    seen = kept(runs_of(t, text_id, k).join(different(own), "_h"))
+def _candidates(p: DataFrame, t: DataFrame, passage_id: str, text_id: str, ks: list[int]) -> DataFrame:
+    """(passage_id, text_id) of the texts that have a passage's rarest anchor of `_k` words. Only hashes and ids are shuffled."""
+    own = None
+    for k in ks:
+        some = anchors(p.where(F.col("_k") == k), passage_id, k)
+        own = some if own is None else own.unionByName(some)
+    own = kept(own)
+    seen = kept(runs_of(t, text_id, ks).join(different(own), "_h"))
     return by_rarest(own, seen, passage_id, text_id)
 
 
@@ -80,16 +85,15 @@ def containing(passages: DataFrame, texts: DataFrame, passage_id: str, text_id:
     Passages without such words, one or two in all, are looked for by an automaton of all of them. Empty
     passages stand nowhere.
     """
-    p = prepared(passages, passage_id)
+    p = kept(prepared(passages, passage_id))
     sizes = {r["_k"] for r in p.select("_k").distinct().collect()}
     t = texts.select(text_id, normalise(F.col("text")).alias("_t"))
     out = None
-    for k in (k for k in ANCHORS if k in sizes):
-        near = _candidates(p.where(F.col("_k") == k), t, passage_id, text_id, k)
+    if ks := [k for k in ANCHORS if k in sizes]:
+        near = _candidates(p, t, passage_id, text_id, ks)
         # Texts are normalised again where they are candidates, which few are.
         found = near.join(p.select(passage_id, "_p", "_n"), passage_id).join(texts.select(text_id, F.col("text").alias("_raw")), text_id)
-        found = found.withColumn("_t", normalise(F.col("_raw"))).where(stands()).select(passage_id, text_id)
-        out = found if out is None else out.unionByName(found)
+        out = found.withColumn("_t", normalise(F.col("_raw"))).where(stands()).select(passage_id, text_id)
     if 0 in sizes:
         found = needles.standing(p.where("_k = 0"), t, passage_id, text_id, "_p", "_t", "_n", PLACEHOLDER, SHORT_BYTES)
         out = found if out is None else out.unionByName(found)
