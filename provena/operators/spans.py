@@ -10,6 +10,8 @@ from provena.operators.storage import kept
 
 #: Lines by which a quote may be off.
 TOLERANCE = 3
+#: Up to so many spans of a key, each of its points meets them all.
+FEW_SPANS = 32
 
 
 def _bits(c: Column) -> Column:
@@ -67,16 +69,24 @@ def overlaps(items: DataFrame, ranges: DataFrame, key: str, tolerance: int = 0,
 def innermost(points: DataFrame, spans: DataFrame, key: str, at: str, point_id: str, name: str, order: str) -> DataFrame:
     """For each point the name of the smallest span (key, start, end) around it; of equal ones that of the last `order`. Null if there is none.
 
-    Of each dyadic node the best span is found first, so a point meets one row for each level however many
-    spans are around it.
+    A key's spans, where they are few, meet the key's points as they are. Of more, the best span of each dyadic
+    node is found first, so a point meets one row for each level however many spans are around it.
     """
     size, late = (F.col("_hi") - F.col("_lo")).alias("size"), (-F.col("_order")).alias("late")
     s = spans.where(F.col("start") <= F.col("end")).select(F.col(key).alias("_k"), F.col("start").cast("long").alias("_lo"), F.col("end").cast("long").alias("_hi"), F.col(name).alias("_name"), F.col(order).alias("_order"))
-    cut_up = s.select("_k", F.struct(size, late).alias("_rank"), "_name", F.explode(nodes(F.col("_lo"), F.col("_hi"))).alias("_x"))
-    best = cut_up.groupBy("_k", F.col("_x.level").alias("level"), F.col("_x.node").alias("node")).agg(F.min("_rank").alias("_rank"), F.min_by("_name", "_rank").alias("_name"))
-    near = points.select(F.col(point_id).alias("_id"), F.col(key).alias("_k"), F.explode(ancestors(F.col(at).cast("long"), _top(s, "_lo", "_hi"))).alias("_x"))
-    near = near.select("_id", "_k", "_x.level", "_x.node").distinct()
-    found = near.join(best, ["_k", "level", "node"]).groupBy("_id").agg(F.min_by("_name", "_rank").alias(name)).withColumnRenamed("_id", point_id)
+    p = points.select(F.col(point_id).alias("_id"), F.col(key).alias("_k"), F.col(at).cast("long").alias("_at")).where("_k is not null")
+    many = kept(s.where("_k is not null").groupBy("_k").agg(F.count("*").alias("_n")).where(F.col("_n") > FEW_SPANS).select("_k"))
+    some = not many.isEmpty()
+    few_s, few_p = (x.join(many, "_k", "left_anti") if some else x for x in (s, p))
+    near = few_p.join(few_s, "_k").where("_at between _lo and _hi")
+    found = near.select("_id", F.struct(size, late).alias("_rank"), "_name")
+    if some:
+        s, p = (x.join(many, "_k", "left_semi") for x in (s, p))
+        cut_up = s.select("_k", F.struct(size, late).alias("_rank"), "_name", F.explode(nodes(F.col("_lo"), F.col("_hi"))).alias("_x"))
+        best = cut_up.groupBy("_k", F.col("_x.level").alias("level"), F.col("_x.node").alias("node")).agg(F.min("_rank").alias("_rank"), F.min_by("_name", "_rank").alias("_name"))
+        each = p.select("_id", "_k", F.explode(ancestors(F.col("_at"), _top(s, "_lo", "_hi"))).alias("_x")).select("_id", "_k", "_x.level", "_x.node").distinct()
+        found = found.unionByName(each.join(best, ["_k", "level", "node"]).select("_id", "_rank", "_name"))
+    found = found.groupBy("_id").agg(F.min_by("_name", "_rank").alias(name)).withColumnRenamed("_id", point_id)
     return points.join(found, point_id, "left")
 
 

@@ -1,6 +1,10 @@
 """Work that must not grow faster than the input."""
 
-from provena.operators import containment
+import random
+
+import pytest
+
+from provena.operators import containment, spans
 
 
 def test_names_that_are_common_alone_make_no_candidates_of_all_texts(spark, monkeypatch):
@@ -19,3 +23,19 @@ def test_names_that_are_common_alone_make_no_candidates_of_all_texts(spark, monk
     assert found == sorted([(i % 64, i) for i in range(256)] + [(64, i) for i in range(256) if i % 8 == 3] + [(65, i) for i in range(256) if i % 8 == 2])
     # Each text is a candidate of its own passage alone, besides those of passage 64, and of 66, which has but single words.
     assert sum(made) == 256 + 32 + 256
+
+
+@pytest.mark.parametrize("few", [0, 5, 1000])
+def test_innermost_of_few_and_many_spans(spark, monkeypatch, few):
+    monkeypatch.setattr(spans, "FEW_SPANS", few, raising=False)
+    r = random.Random(few)
+    ranges = [(i, "abbbcccccccc"[i % 12], lo, lo + r.randint(-1, 30)) for i, lo in enumerate(r.randint(-50, 50) for _ in range(60))]
+    points = [(i, r.choice(["a", "b", "c", "d", None]), r.choice([None, *range(-60, 60)])) for i in range(200)]
+    want = {}
+    for i, k, at in points:
+        around = [(d - c, -x, x) for x, q, c, d in ranges if q == k and at is not None and c <= at <= d]
+        want[i] = min(around)[2] if around else None
+    found = spans.innermost(spark.createDataFrame(points, "p long, k string, at long"), spark.createDataFrame(ranges, "id long, k string, start long, end long"), "k", "at", "p", "id", "id")
+    assert {x.p: x.id for x in found.collect()} == want
+    if few == 1000:
+        assert "explode" not in found._jdf.queryExecution().toString().lower()
