@@ -9,6 +9,8 @@ from provena.functions.text import any_glob, percent, source_ref
 from provena.operators.storage import kept
 
 BLOCK = 100
+#: Keys that a task takes at once.
+ROWS_A_TASK = 1 << 20
 
 
 def exactly_once(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
@@ -19,10 +21,16 @@ def exactly_once(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
 
 
 def both_ways(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """(key, side) of keys that one side alone has."""
-    a, b = (x.where(F.col(key).isNotNull()).select(key).distinct() for x in (left, right))
-    only = lambda x, y, side: x.join(y, key, "left_anti").withColumn("side", F.lit(side))
-    return only(a, b, "left").unionByName(only(b, a, "right"))
+    """(key, side) of keys that one side alone has.
+
+    Both sides are one table of keys in as many tasks as it has stretches of ROWS_A_TASK rows, whatever they take
+    as bytes: keys compress so well that tasks cut by bytes would hold ever more of them.
+    """
+    tasks = -(-(left.count() + right.count()) // ROWS_A_TASK)
+    rows = [x.where(F.col(key).isNotNull()).select(key, F.lit(side).alias("side")) for x, side in ((left, "left"), (right, "right"))]
+    each = rows[0].unionByName(rows[1]).repartition(max(1, tasks), key)
+    sides = each.groupBy(key).agg(F.bool_or(F.col("side") == "left").alias("_left"), F.bool_or(F.col("side") == "right").alias("_right"))
+    return sides.where(F.col("_left") != F.col("_right")).select(key, F.when(F.col("_left"), "left").otherwise("right").alias("side"))
 
 
 def used(numbers: DataFrame, number: str, place: str) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from provena.operators import containment, spans
+from provena.operators import containment, reconcile, spans
 
 
 def test_names_that_are_common_alone_make_no_candidates_of_all_texts(spark, monkeypatch):
@@ -39,3 +39,12 @@ def test_innermost_of_few_and_many_spans(spark, monkeypatch, few):
     assert {x.p: x.id for x in found.collect()} == want
     if few == 1000:
         assert "explode" not in found._jdf.queryExecution().toString().lower()
+
+
+def test_keys_of_both_sides_in_tasks_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(reconcile, "ROWS_A_TASK", 100, raising=False)
+    left, right = (spark.range(a, b).selectExpr("if(id % 50 = 0, null, id) as k").union(spark.range(7).selectExpr("5 as k")) for a, b in ((0, 600), (300, 1000)))
+    found = reconcile.both_ways(left, right, "k")
+    want = [(k, "left") for k in range(300) if k % 50 and k != 5] + [(k, "right") for k in range(600, 1000) if k % 50]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert found.rdd.getNumPartitions() == 14
