@@ -1,10 +1,11 @@
 """Work that must not grow faster than the input."""
 
 import random
+import re
 
 import pytest
 
-from provena.operators import containment, reconcile, spans
+from provena.operators import containment, needles, reconcile, spans
 
 
 def test_names_that_are_common_alone_make_no_candidates_of_all_texts(spark, monkeypatch):
@@ -48,3 +49,22 @@ def test_keys_of_both_sides_in_tasks_of_bounded_rows(spark, monkeypatch):
     want = [(k, "left") for k in range(300) if k % 50 and k != 5] + [(k, "right") for k in range(600, 1000) if k % 50]
     assert sorted(map(tuple, found.collect())) == sorted(want)
     assert found.rdd.getNumPartitions() == 14
+
+
+@pytest.mark.parametrize("longest", [3, 64])
+def test_many_needles_take_one_pass(spark, monkeypatch, longest):
+    monkeypatch.setattr(needles, "MOST_LENGTH", longest, raising=False)
+    monkeypatch.setattr(needles, "SLICE_CHARS", 40, raising=False)
+    parts = [0]
+    automaton = needles.parts
+    monkeypatch.setattr(needles, "parts", lambda own, needle, most: (parts.__setitem__(0, parts[0] + 1) or x for x in automaton(own, needle, most)))
+    monkeypatch.setattr(needles, "PART_BYTES", 100)
+    r = random.Random(longest)
+    ids = ["".join(r.choice("aé-7_ß") for _ in range(r.randint(1, 7))) for _ in range(80)] + ["aa", "aaa"]
+    lines = ["".join(r.choice([*ids, " ", ".", "𝄞", "a"]) for _ in range(r.randint(0, 30))) for _ in range(120)] + ["aaaaaaa aaaa", None, ""]
+    texts, wanted = spark.createDataFrame([(x,) for x in lines], "line string"), spark.createDataFrame([(x,) for x in ids], "id string")
+    for whole, end in ((True, r"(?![\w-])"), (False, "")):
+        want = {x: n for x in ids if (n := sum(len(re.findall(re.escape(x) + end, t or "")) for t in lines))}
+        assert {x.id: x.times for x in needles.occurrences(wanted, texts, "id", "line", whole).collect()} == want
+    if longest == 64:
+        assert parts[0] == 0
