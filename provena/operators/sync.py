@@ -73,7 +73,8 @@ class Trace:
         """A new version of the touched buckets; those of which nothing is left are in no manifest."""
         path = f"{self.folder}/{what}/v{batch}"
         rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
-        left = {r["bucket"] for r in rows.select("bucket").distinct().collect()}
+        # Told by the folders written, so that the rows are computed once.
+        left = {r["bucket"] for r in self.spark.read.schema("bucket int").parquet(path).distinct().collect()}
         for b in touched:
             self.state[what].pop(str(b), None)
             if b in left:
@@ -90,10 +91,11 @@ class Trace:
             raise ValueError(f"batch {batch} after {self.state['batch']}")
         n, before = self.state["buckets"], json.dumps(self.state)
         try:
-            latest = changes.groupBy("file", "rule").agg(F.max_by("value", "seq").alias("new")).withColumn("bucket", _bucket(F.col("file"), n))
-            files = [r["bucket"] for r in latest.select("bucket").distinct().collect()]
-            old = self._read("trace", _TRACE, files)
-            both = old.withColumn("_held", F.lit(True)).join(latest.withColumn("_named", F.lit(True)), ["file", "rule", "bucket"], "full_outer")
+            latest = changes.groupBy("file", "rule").agg(F.max_by("value", "seq").alias("new"))
+            files = [r["bucket"] for r in changes.select(_bucket(F.col("file"), n).alias("bucket")).distinct().collect()]
+            old = self._read("trace", _TRACE, files).drop("bucket")
+            # By file and rule alone, as the changes are grouped: they are shuffled once.
+            both = old.withColumn("_held", F.lit(True)).join(latest.withColumn("_named", F.lit(True)), ["file", "rule"], "full_outer").withColumn("bucket", _bucket(F.col("file"), n))
             value = F.when(F.col("_named"), F.col("new")).otherwise(F.col("value"))
             verdict = (
                 F.when(F.col("_held").isNull(), F.when(F.col("new").isNull(), "absent").otherwise("added"))
@@ -122,9 +124,9 @@ class Trace:
         file = F.col("file")
         more = F.coalesce(F.when(F.col("now").isNotNull(), _said(file, F.col("now"))), F.lit(0)) - F.coalesce(F.when(F.col("value").isNotNull(), _said(file, F.col("value"))), F.lit(0))
         files = F.col("now").isNotNull().cast("long") - F.col("value").isNotNull().cast("long")
-        delta = moved.groupBy("rule").agg(F.sum(files).alias("_files"), F.sum(more.cast("decimal(38,0)")).cast("decimal(38,0)").alias("_digest")).withColumn("bucket", _bucket(F.col("rule"), n))
-        touched = [r["bucket"] for r in delta.select("bucket").distinct().collect()]
-        both = self._read("rules", _RULES, touched).join(delta, ["rule", "bucket"], "full_outer")
+        delta = moved.groupBy("rule").agg(F.sum(files).alias("_files"), F.sum(more.cast("decimal(38,0)")).cast("decimal(38,0)").alias("_digest"))
+        touched = [r["bucket"] for r in moved.select(_bucket(F.col("rule"), n).alias("bucket")).distinct().collect()]
+        both = self._read("rules", _RULES, touched).drop("bucket").join(delta, "rule", "full_outer").withColumn("bucket", _bucket(F.col("rule"), n))
         zero = lambda c: F.coalesce(c, F.lit(0))
         new = both.select("rule", (zero("files") + zero("_files")).cast("long").alias("files"), (zero("digest") + zero("_digest")).cast("decimal(38,0)").alias("digest"), "bucket").where("files > 0")
         self._write("rules", new, batch, touched)

@@ -4,8 +4,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from provena.operators import containment, needles, reconcile, spans
+from provena.operators import containment, needles, reconcile, spans, sync
 
 
 def test_names_that_are_common_alone_make_no_candidates_of_all_texts(spark, monkeypatch):
@@ -68,3 +69,17 @@ def test_many_needles_take_one_pass(spark, monkeypatch, longest):
         assert {x.id: x.times for x in needles.occurrences(wanted, texts, "id", "line", whole).collect()} == want
     if longest == 64:
         assert parts[0] == 0
+
+
+def test_buckets_are_computed_once(spark, tmp_path):
+    seen, trace = spark.sparkContext.accumulator(0), sync.Trace(spark, str(tmp_path), 4)
+
+    def told(x):
+        seen.add(1)
+        return x
+
+    rows = spark.range(30).select(F.udf(told, "string")(F.col("id").cast("string")).alias("rule"), (F.col("id") % 3).cast("int").alias("bucket"))
+    trace._write("rules", rows, 0, [0, 1, 2, 3])
+    assert trace.state["rules"] == {"0": 0, "1": 0, "2": 0} and seen.value == 30
+    trace._write("rules", rows.where("false"), 1, [0, 1])
+    assert trace.state["rules"] == {"2": 0}
