@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.common import binary_array, binary_slices, fresh, modest_batches, named, remembered, text_slices, without
+from provena.llm.common import binary_array, binary_slices, fresh, modest_batches, named, remembered, text_slices, trim, without
 
 #: The file of ranks is broadcast; no vocabulary in use comes near this size.
 MOST_RANK_BYTES = 64 << 20
-#: Pieces whose ids a worker remembers; beyond that it forgets all and goes on.
-REMEMBERED = 150_000
+#: Pieces whose ids a worker remembers; beyond that it forgets all and goes on. Each takes about 250 bytes.
+REMEMBERED = 60_000
+#: Text bytes, and bytes of ids, that are encoded and decoded at once: their pieces and places take tens of times as much.
+AT_ONCE = 100_000
 #: Stands between pieces that go to the library in one string; a piece that has it is merged by rank.
 BETWEEN = "\U0010ffff"
 
@@ -76,7 +78,6 @@ class Codec(Decoder):
 
     def __init__(self, raw: bytes, pattern: str):
         import regex
-        import tiktoken
         from tokenizers import Tokenizer, models, pre_tokenizers
 
         ranks = _ranks_of(raw)
@@ -86,12 +87,24 @@ class Codec(Decoder):
         merges = [(name[t[:i]], name[t[i:]]) for t in sorted(ranks, key=ranks.get) for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.library = Tokenizer(models.BPE(vocab={name[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
         self.library.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(BETWEEN, "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.by_rank = tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.raw, self.ranked = raw, None
         # The rank files' own library takes the Unicode property White_Space for \s.
         self.find = regex.compile(pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
         # x, y, z with x + y == y + z: the bytes begin with a repetition and one byte more of it.
         self.overlap = re.compile(rb"(.)(.*?)\1\2\1", re.DOTALL).search
         self.ids: dict[str, bytes] = {}
+        # What it was made from is several times what stays.
+        del name, merges, ranks
+        trim()
+
+    def by_rank(self, piece: str) -> list[int]:
+        """A piece's ids, merged by rank; what does it is made when the first piece asks for it."""
+        if self.ranked is None:
+            import tiktoken
+
+            self.ranked = tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=_ranks_of(self.raw), special_tokens={}).encode_ordinary
+            trim()
+        return self.ranked(piece)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -157,7 +170,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
 
     def run(texts: pa.Array) -> pa.Array:
         own, ids, spans = codec(ranks, pattern), [], []
-        for rows, _, _ in text_slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])])):
+        for rows, _, _ in text_slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), most=AT_ONCE):
             some = [t or "" for t in rows.column(0).to_pylist()]
             new = own.encode(some)
             ids += new
@@ -179,7 +192,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
 
 def _decoded(own: Decoder, ids: pa.Array) -> pa.Array:
     out = []
-    for _, data, ends in binary_slices(iter([pa.RecordBatch.from_arrays([ids], ["ids"])]), "ids"):
+    for _, data, ends in binary_slices(iter([pa.RecordBatch.from_arrays([ids], ["ids"])]), "ids", AT_ONCE):
         own_ids = data.view("<u4").astype(np.int64)
         bytes_before = np.concatenate([[0], np.cumsum(own.lengths[own_ids])]) if len(own_ids) else np.zeros(1, np.int64)
         out.append(binary_array(own.decode(own_ids), bytes_before[ends // 4]))
@@ -203,10 +216,10 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, text_col:
     ranks = read_ranks(docs.sparkSession, ranks_path)
 
     def run(texts: pa.Array) -> pa.Array:
-        own, ids = codec(ranks, pattern), []
-        for rows, _, _ in text_slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])])):
-            ids += own.encode([t or "" for t in rows.column(0).to_pylist()])
-        made = pa.array(ids, pa.binary())
+        own, parts = codec(ranks, pattern), []
+        for rows, _, _ in text_slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), most=AT_ONCE):
+            parts.append(pa.array(own.encode([t or "" for t in rows.column(0).to_pylist()]), pa.binary()))
+        made = pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
         return pa.StructArray.from_arrays([made, _decoded(own, made)], ["ids", "bytes"])
 
     frame = without(docs, ids_col, bytes_col)

@@ -97,6 +97,11 @@ def tidy() -> None:
         if time.monotonic() - asked > FORGET_AFTER:
             cache.clear()
             del _kept[k]
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the machine."""
     pa.default_memory_pool().release_unused()
     if hasattr(_libc, "malloc_trim"):
         _libc.malloc_trim(0)
