@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import uuid
 
+import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,10 @@ MOST_BITS = 16
 
 #: Words of a run, and runs of a window, of which the least hash is kept: two kept of five runs, about.
 RUN, WINDOW = 3, 4
+#: The form of the hashes; a part with those of another can't be used before it is compacted.
+HASHES = 2
+#: Bytes of texts that one numpy pass takes; a longer text is a pass of its own.
+SLICE_BYTES = 1 << 20
 
 _TEXTS = "content binary, no long, text string, slot int"
 _RUNS = "h long, no long, slot int"
@@ -37,21 +42,64 @@ def content(text: Column) -> Column:
     return F.substring(F.unhex(F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256)), 1, 16)
 
 
-def least_of_windows(words: Column, first: int, last: Column) -> Column:
-    """The least hash of each window of runs of words from first to last, windows with a placeholder left out; words within a text have a window's least hash wherever they stand."""
-    at = lambda n: F.when(last - n >= first, F.sequence(F.lit(first), last - n))
-    clean = lambda i: ~F.exists(F.slice(words, i + 1, RUN), lambda w: F.contains(w, F.lit(containment.HOLE)))
-    runs = F.transform(at(RUN - 1), lambda i: F.when(clean(i), F.xxhash64(*[F.get(words, i + j) for j in range(RUN)])))
-    # Runs are an array of its own, so that each is hashed once.
-    least = F.transform(F.array(runs), lambda r: F.when(F.size(r) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(r) - WINDOW), lambda i: _least([F.get(r, i + j) for j in range(WINDOW)]))))
-    return F.coalesce(F.array_distinct(F.filter(F.get(least, F.lit(0)), lambda h: h.isNotNull())), F.array().cast("array<bigint>"))
-
-
-def _least(hashes: list[Column]) -> Column:
-    every = hashes[0].isNotNull()
-    for h in hashes[1:]:
-        every = every & h.isNotNull()
-    return F.when(every, F.least(*hashes))
+def least_of_windows(text: Column) -> Column:
+    """The least hash of each window of runs of words of a normalised text, each once, windows with a placeholder left out; words within a text have a window's least hash wherever they stand."""
+
+    def run(texts):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = texts.cast(pa.large_binary())
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        sizes, values, at = [], [], 0
+        while at < len(texts):
+            # As many texts as a slice has, one at least.
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+            own, h = _least(texts.slice(at, to - at))
+            sizes.append(own)
+            values.append(h)
+            at = to
+        starts = np.cumsum(np.concatenate([[0], *sizes]), dtype=np.int64).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate([np.empty(0, np.int64), *values])))
+
+    return F.arrow_udf(run, "array<long>")(text)
+
+
+def _least(texts) -> tuple[np.ndarray, np.ndarray]:
+    """least_of_windows() of an Arrow array of texts: how many hashes each has, and the hashes."""
+    import pandas as pd
+    import pyarrow.compute as pc
+
+    words, span = pc.split_pattern(texts, " "), RUN + WINDOW - 1
+    of = np.repeat(np.arange(len(texts)), pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))
+    if len(of) < span:
+        return np.zeros(len(texts), np.int64), np.empty(0, np.int64)
+    coded = words.flatten().dictionary_encode()
+    hole = pc.match_substring(coded.dictionary, containment.HOLE).to_numpy(zero_copy_only=False)
+    # Each different word is hashed once.
+    w = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False), categorize=False)[coded.indices.to_numpy()]
+    holes = np.cumsum(np.concatenate([[False], hole[coded.indices.to_numpy()]]))
+    h = np.zeros(len(w) - RUN + 1, np.uint64)
+    for j in range(RUN):
+        h = (h ^ w[j : len(h) + j]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    n = len(w) - span + 1
+    least = h[:n].copy()
+    for j in range(1, WINDOW):
+        np.minimum(least, h[j : n + j], out=least)
+    at = np.flatnonzero((of[:n] == of[span - 1 :]) & (holes[span:] == holes[:n]))
+    # Most that are the same are next to each other, so that few are sorted.
+    own, least = _without_repeats(of[at], least[at])
+    order = np.lexsort((least, own))
+    own, least = _without_repeats(own[order], least[order])
+    # What is least begins with zeros: mixed again, so that slots by leading bits are of one size.
+    return np.bincount(own, minlength=len(texts)), (least * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+
+
+def _without_repeats(own: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = np.ones(len(own), bool)
+    first[1:] = (own[1:] != own[:-1]) | (least[1:] != least[:-1])
+    return own[first], least[first]
 
 
 def _slot_of_hash(h: Column, bits: int) -> Column:
@@ -131,11 +179,10 @@ class Index:
         texts = self.spark.read.schema(_TEXTS).parquet(f"{self.folder}/texts/{name}")
         # A hash and a number for each fifteen bytes or so.
         run_bits = _bits(size)
-        words = texts.select("no", F.split("text", " ").alias("_w"))
-        runs = words.select("no", F.explode(least_of_windows(F.col("_w"), 0, F.size("_w") - 1)).alias("h")).withColumn("slot", _slot_of_hash(F.col("h"), run_bits))
+        runs = texts.select("no", least_of_windows(F.col("text")).alias("_a")).select("no", F.explode("_a").alias("h")).withColumn("slot", _slot_of_hash(F.col("h"), run_bits))
         # Rebalanced, not repartitioned: the slot of a run that all texts have is split where it gets too large.
-        runs.hint("rebalance", "slot").sortWithinPartitions("slot", "h", "no").write.partitionBy("slot").parquet(f"{self.folder}/runs/{name}")
-        return {"name": name, "bits": bits, "run_bits": run_bits}
+        runs.hint("rebalance", "slot").write.partitionBy("slot").parquet(f"{self.folder}/runs/{name}")
+        return {"name": name, "bits": bits, "run_bits": run_bits, "hashes": HASHES}
 
     def _read(self, what: str, schema: str, part: dict, slots: DataFrame, bits: int) -> DataFrame:
         """A part's rows in the slots that are named; their numbers, bounded by MOST_BITS, are all that the driver gets."""
@@ -147,6 +194,8 @@ class Index:
         """(_h, _at): the texts, by part and number, that have the anchors."""
         every, out = containment.different(anchors), self.spark.createDataFrame([], "_h long, _at struct<part:int,no:long>")
         for i, part in enumerate(self.state["parts"]):
+            if part.get("hashes") != HASHES:
+                raise ValueError("the index has hashes of an older form; compact() makes them anew")
             rows = self._read("runs", _RUNS, part, anchors.select(_slot_of_hash(F.col("_h"), part["run_bits"])), part["run_bits"])
             out = out.unionByName(rows.select(F.col("h").alias("_h"), F.struct(F.lit(i).alias("part"), "no").alias("_at")).join(every, "_h"))
         return kept(out)
@@ -160,7 +209,7 @@ class Index:
         by an automaton in all its normalised texts. A passage without an id has no row.
         """
         members = self.corpus(name)
-        p = containment.prepared(passages, passage_id).withColumn("_a", least_of_windows(F.col("_w"), 1, F.size("_w") - 2))
+        p = containment.prepared(passages, passage_id).withColumn("_a", least_of_windows(F.array_join(F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0))), " ")))
         p = kept(p.where(F.col(passage_id).isNotNull()).select(passage_id, "_p", "_n", "_a"))
         found = self.spark.createDataFrame([], T.StructType([p.schema[passage_id], T.StructField("content", T.BinaryType())]))
         own, short = p.select(passage_id, F.explode("_a").alias("_h")), p.where(F.size("_a") == 0)
@@ -169,6 +218,9 @@ class Index:
         for i, part in enumerate(self.state["parts"]):
             here = near.where(F.col("part") == i)
             texts = self._read("texts", _TEXTS, part, here.select(_slot_of_text(F.col("no"))), part["bits"])
+            # Texts that are no candidates stay where they are.
+            some = kept(here.select("no").distinct())
+            texts = texts.join(F.broadcast(some) if some.count() <= containment.BROADCAST_ANCHORS else some, "no", "left_semi")
             both = here.join(texts.select("content", "no", F.col("text").alias("_t")), "no").join(p.select(passage_id, "_p", "_n"), passage_id)
             found = found.unionByName(both.where(containment.stands()).select(passage_id, "content"))
         if not short.isEmpty():
@@ -177,8 +229,8 @@ class Index:
         return found.join(members, "content").select(passage_id, *[c for c in members.columns if c != "content"])
 
     def compact(self) -> None:
-        """All parts as one, without the contents that no corpus has. Files of the old parts stay until the folder is cleared."""
-        if len(self.state["parts"]) < 2:
+        """All parts as one, with hashes of the present form and without the contents that no corpus has. Files of the old parts stay until the folder is cleared."""
+        if len(self.state["parts"]) < 2 and all(p.get("hashes") == HASHES for p in self.state["parts"]):
             return
         state, held = json.loads(json.dumps(self.state)), None
         for name in state["corpora"]:

@@ -85,3 +85,30 @@ def test_what_died_before_its_manifest_is_not_there(spark, tmp_path, monkeypatch
     assert set(index.Index(spark, folder).state["corpora"]) == {"c"}
     assert index.Index(spark, folder).put(frame.limit(0), "d", "none") == 0
     assert index.Index(spark, folder).containing(frame.withColumnRenamed("d", "p"), "none", "p").count() == 0
+
+
+def test_slots_are_of_one_size_and_only_candidates_are_moved(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "SLICE_BYTES", 300, raising=False)
+    r, folder = random.Random(7), str(tmp_path)
+    texts = [(i, " ".join(f"w{r.randrange(5000)}" for _ in range(20))) for i in range(300)] + [(300, None), (301, ""), (302, "é ß " * 30), (303, "x \u0001 y " * 20)]
+    made = index.Index(spark, folder)
+    made.put(spark.createDataFrame(texts, "d long, text string"), "d", "c")
+    runs = [tuple(x) for x in spark.read.parquet(f"{folder}/runs/*").select("h", "no").collect()]
+    # What is least is mixed again: half of all begin with a one, and a text has each once.
+    assert 0.4 < sum(h < 0 for h, _ in runs) / len(runs) < 0.6 and len(set(runs)) == len(runs)
+    inside = [(i, " ".join(texts[i][1].split()[k : k + 8])[1:]) for i in range(300) for k in (0, 6, 12)] + [(302, "é ß é ß é ß é ß é"), (-1, "x y x y x y x y x")]
+    found = made.containing(spark.createDataFrame(inside, "p long, text string"), "c", "p")
+    assert {tuple(x) for x in found.collect()} == {(i, i) for i in (*range(300), 302)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [no" in plan and "LeftSemi" in plan
+
+
+def test_hashes_of_an_older_form_are_made_anew(spark, tmp_path):
+    frame = spark.createDataFrame([(1, "one two three four five six seven eight nine")], "d long, text string")
+    made = index.Index(spark, str(tmp_path))
+    made.put(frame, "d", "c")
+    made.state["parts"][0].pop("hashes")
+    with pytest.raises(ValueError, match="compact"):
+        made.containing(frame.withColumnRenamed("d", "p"), "c", "p")
+    made.compact()
+    assert [tuple(x) for x in made.containing(frame.withColumnRenamed("d", "p"), "c", "p").collect()] == [(1, 1)]
