@@ -13,12 +13,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from provena.operators.storage import modest_batches  # noqa: F401
+
 #: Text bytes that one numpy pass takes at once, under a power of two that tables of powers are as long as (a longer text is a pass of its own).
 SLICE_BYTES = 500_000
 
-#: Bytes of an Arrow batch where the session sets no bound of its own: each task has several batches at a time in the JVM and in Python.
-BATCH_BYTES = "4m"
-
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE_KEYS = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -28,13 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def modest_batches(spark: SparkSession) -> None:
-    """Bounds the bytes of the session's Arrow batches, unless the session does."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "1b") == "1b":
-        spark.conf.set(key, BATCH_BYTES)
-
-
 def fresh(df: DataFrame, *stems: str) -> list[str]:
     """Names like the stems that no column of df has, for columns that come and go within an operator."""
     taken = {c.lower() for c in df.columns}

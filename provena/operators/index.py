@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from provena.functions.text import PLACEHOLDER, normalise
 from provena.operators import containment, needles
-from provena.operators.storage import kept
+from provena.operators.storage import kept, modest_batches
 
 #: A slot has about so many bytes of text, or of hashes.
 SLOT_BYTES = 32 << 20
@@ -120,6 +120,7 @@ class Index:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        modest_batches(spark)
         self.state = {"version": 0, "parts": [], "corpora": {}}
         try:
             last = spark.read.schema("version int, state string").json(f"{self.folder}/manifest/*").orderBy(F.desc("version")).first()
